@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from .decontamination import OP7_SQL, op7
 from .packing import op2
 from .simhash import op4
+from .substring import OP5_SQL, op5
+from .warc import OP9_SQL, op9
 
 QUERIES = {
     "op2_harmonic_packing": op2,
     "op4_simhash_near_dedup": op4,
+    "op5_substring_dedup": op5,
+    "op7_benchmark_decontamination": op7,
+    "op9_warc": op9,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": OP5_SQL,
+    "op7_benchmark_decontamination": OP7_SQL,
+    "op9_warc": OP9_SQL,
+}
