@@ -23,7 +23,7 @@ WINDOW = 10
 BLOCK_CHARS = 16 << 20
 #: A shard is indexed when it holds so many symbols or so many characters of text.
 SHARD_SYMBOLS, SHARD_CHARS = 1 << 19, 32 << 20
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes to words: A-Z in lower case, ASCII that is neither letter nor digit to a blank, the rest unchanged.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 
@@ -74,6 +74,8 @@ def search_shard(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[list[in
     index = FMIndex(text, len(phrases.vocabulary))
     low, high = index.search(phrases.symbols, phrases.lengths)
     hit = np.flatnonzero(low < high)
+    if not len(hit):
+        return found
     counts = (high - low)[hit]
     phrase = np.repeat(hit, counts)
     rows = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low[hit], counts)

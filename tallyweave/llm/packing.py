@@ -8,6 +8,7 @@ at its end is cut anew into whole sequences and powers of two, which need no pad
 
 from __future__ import annotations
 
+import base64
 import os
 import zlib
 
@@ -23,19 +24,31 @@ TAIL_SHARE = 16
 END_ID = 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_tokenizers: dict = {}
+_encoders: dict = {}
 
 
-def tokenizer(path: str):
-    """The tokenizer of a file, loaded once a worker. Special tokens' strings in a text are ordinary text."""
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def encoder(path: str):
+    """A function from texts to lists of ids, from a file of `tokenizers` (.json) or the same ranks for tiktoken (.tiktoken).
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _tokenizers[path] = t
-    return _tokenizers[path]
+    Special tokens' strings in a text are ordinary text. Loaded once a worker.
+    """
+    if path not in _encoders:
+        if path.endswith(".tiktoken"):
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            coding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            _encoders[path] = lambda texts: map(coding.encode_ordinary, texts)
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            t = Tokenizer.from_file(path)
+            t.encode_special_tokens = True
+            _encoders[path] = lambda texts: (e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False))
+    return _encoders[path]
 
 
 def cuts(n: int, capacity: int, tail: int) -> list[tuple[int, int]]:
@@ -107,13 +120,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def each(batches):
         context = TaskContext.get()
         bins = Bins(capacity, (context.partitionId() if context else 0) << 32)
-        tok = tokenizer(tokenizer_path)
+        encode = encoder(tokenizer_path)
         for b in batches:
             texts = [t or "" for t in b["text"]]
             for at in range(0, len(texts), 64):
-                encoded = tok.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)
-                for doc, e in zip(b["id"][at : at + 64], encoded, strict=True):
-                    ids = np.array([*e.ids, END_ID], "<u4")
+                for doc, own in zip(b["id"][at : at + 64], encode(texts[at : at + 64]), strict=True):
+                    ids = np.array([*own, END_ID], "<u4")
                     for start, n in cuts(len(ids), capacity, max(1, capacity // TAIL_SHARE)):
                         bins.add(doc, start, ids[start : start + n], len(ids))
             yield bins.flush()

@@ -6,9 +6,11 @@ from .decontamination import OP7_SQL, op7
 from .packing import op2
 from .simhash import op4
 from .substring import OP5_SQL, op5
+from .toxicity import op1
 from .warc import OP9_SQL, op9
 
 QUERIES = {
+    "op1_toxicity": op1,
     "op2_harmonic_packing": op2,
     "op4_simhash_near_dedup": op4,
     "op5_substring_dedup": op5,

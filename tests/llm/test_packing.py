@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -5,11 +6,18 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tallyweave.llm.packing import pack
+from tallyweave.llm.packing import encoder, pack
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def test_both_libraries_give_the_same_ids():
+    r = random.Random(0)
+    pool = [*(chr(c) for c in range(1, 0x3000) if c % 5 == 0), *" \n\t'" * 60, "'s", "<|endoftext|>", "l'été", "tion"]
+    texts = ["", *("".join(r.choices(pool, k=r.randrange(60))) for _ in range(2000))]
+    assert list(encoder(PATH)(texts)) == list(encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))(texts))
+
+
 def test_pieces_cover_every_id_once_and_padding_is_small(spark):
     rows = [(i, ("Some words %d, " % i) * (i * i % 700)) for i in range(120)] + [(500, None), (501, ""), (502, "é\n" * 9000), (502, "same id")]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, start int").repartition(3)
