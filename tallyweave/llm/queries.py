@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP7_SQL, op7
+from .html import op6
 from .packing import op2
 from .simhash import op4
 from .substring import OP5_SQL, op5
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_harmonic_packing": op2,
     "op4_simhash_near_dedup": op4,
     "op5_substring_dedup": op5,
+    "op6_html_extraction": op6,
     "op7_benchmark_decontamination": op7,
     "op9_warc": op9,
 }
