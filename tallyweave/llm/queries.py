@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP7_SQL, op7
 from .html import op6
 from .packing import op2
+from .secrets import op3
 from .simhash import op4
 from .substring import OP5_SQL, op5
 from .toxicity import op1
@@ -13,6 +14,7 @@ from .warc import OP9_SQL, op9
 QUERIES = {
     "op1_toxicity": op1,
     "op2_harmonic_packing": op2,
+    "op3_secret_scan": op3,
     "op4_simhash_near_dedup": op4,
     "op5_substring_dedup": op5,
     "op6_html_extraction": op6,
