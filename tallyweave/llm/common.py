@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python; with whole texts, a smaller batch keeps a worker's memory bounded.
 ARROW_ROWS = 1000
@@ -47,3 +48,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def ascii_words(text: str | None) -> list[bytes]:
     """UTF-8 words between the white space \\x20 and \\x09-\\x0D; null has none."""
     return text.encode().split() if text else []
+
+
+def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """A bounded number of rows of df, those whose keys have the smallest hashes; only keys are gathered to choose them."""
+    chosen = df.select(key).dropna().distinct().orderBy(F.xxhash64(key), key).limit(rows)
+    return df.join(F.broadcast(chosen), key)

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 #: Pages that the weights are counted on at most, chosen by hash.
 MAX_PAGES = 2000
 #: Bounds of the weight of a name with a prior, of any other, of the sum of the positive ones, and the words a prior counts for.
@@ -167,7 +169,7 @@ def learn(pages: DataFrame, max_pages: int = MAX_PAGES) -> Weights:
                         seen[name][int(content)] += n
             yield pd.DataFrame([(k, *v) for k, v in seen.items()], columns=["name", "other", "content"])
 
-    chosen = pages.where("html is not null").select("page_id", "html").orderBy(F.xxhash64("page_id", "html"), "page_id").limit(max_pages)
+    chosen = sampled(pages.where("html is not null").select("page_id", "html"), "page_id", max_pages)
     counted = chosen.mapInPandas(count, "name string, other long, content long")
     rows = counted.groupBy("name").agg(F.sum("other").alias("other"), F.sum("content").alias("content")).collect()
     seen = {r["name"]: (r["other"], r["content"]) for r in rows}

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import sampled, scratch_path
 
 # Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -93,8 +93,8 @@ def parsed(data: bytes, archive: str) -> tuple:
 
 def dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of pages, chosen by hash; raw content where they are too few to train on."""
-    rows = pages.where("length(html) > 0").orderBy(F.xxhash64("page_id", "html"), "page_id").select("html").limit(SAMPLE_PAGES).collect()
-    samples = [r["html"].encode()[: DICTIONARY_BYTES * 2] for r in rows]
+    rows = sampled(pages.select("page_id", "html").where("html is not null"), "page_id", SAMPLE_PAGES).limit(SAMPLE_PAGES).collect()
+    samples = [r["html"].encode()[: DICTIONARY_BYTES * 2] for r in sorted(rows, key=lambda r: (r["page_id"], r["html"]))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
