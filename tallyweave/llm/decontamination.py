@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .fmindex import FMIndex
 
 WINDOW = 10
@@ -157,6 +158,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return rows.mapInPandas(finish, "id long, text string, spans array<int>, items array<string>, n_words long, n_hit long, clean string")
 
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs, all columns, with the spans of contamination() cut out of their texts; n_chars, if any, is counted anew.
+
+    Only documents with hits are joined; ids must be unique.
+    """
+    hits = contamination(docs, benchmark, id_col, text_col, window).where("n_hit > 0").select(F.col("id").alias(id_col), F.col("clean").alias("_clean"))
+    out = docs.join(written(hits, "clean"), id_col, "left").withColumn(text_col, F.coalesce("_clean", text_col))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(text_col).cast("long"))
+    return out.select(docs.columns)
+
+
 def op7(spark, sf_dir):
     from .common import table
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .decontamination import OP7_SQL, op7
 from .html import op6
+from .licenses import op8
 from .packing import op2
+from .search import op10
 from .secrets import op3
 from .simhash import op4
 from .substring import OP5_SQL, op5
@@ -19,7 +21,9 @@ QUERIES = {
     "op5_substring_dedup": op5,
     "op6_html_extraction": op6,
     "op7_benchmark_decontamination": op7,
+    "op8_license_scan": op8,
     "op9_warc": op9,
+    "op10_top_k_search": op10,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +133,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     return fit_bags(split, np.array([r["toxic"] for r in rows]))
 
 
+def _score(text: str | None, words: WordScores, model: Model) -> tuple[float, list[tuple[int, int, set[str]]], np.ndarray]:
+    """A text's noisy-or, its sentences and their probabilities."""
+    found = sentences(text)
+    p = model.probabilities(np.array([sum(map(words.__getitem__, sorted(s))) for _, _, s in found]) + model.bias)
+    return float(1 - np.exp(np.log1p(-p).sum())), found, p
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", offending: float = 0.3) -> DataFrame:
     """(id, score, spans) for every row: spans are (start, end, score) of the sentences that score offending or more.
 
@@ -143,9 +151,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             ids, scores, spans = b["id"], [], []
             for text in b["text"]:
-                found = sentences(text)
-                p = model.probabilities(np.array([sum(map(words.__getitem__, sorted(s))) for _, _, s in found]) + model.bias)
-                scores.append(float(1 - np.exp(np.log1p(-p).sum())))
+                total, found, p = _score(text, words, model)
+                scores.append(total)
                 spans.append([{"start": found[i][0], "end": found[i][1], "score": float(p[i])} for i in np.flatnonzero(p >= offending)])
             yield pd.DataFrame({"id": ids, "score": scores, "spans": spans})
 
@@ -153,6 +160,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInPandas(each, "id long, score double, spans array<struct<start: int, end: int, score: double>>")
 
 
+def kept(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below limit."""
+
+    def each(batches):
+        words = WordScores(model.weights)
+        for b in batches:
+            texts = b.column(text_col).to_pylist()
+            yield b.filter(pa.array([_score(t, words, model)[0] < limit for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def op1(spark, sf_dir):
     from .common import table
 

@@ -93,8 +93,8 @@ def parsed(data: bytes, archive: str) -> tuple:
 
 def dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of pages, chosen by hash; raw content where they are too few to train on."""
-    rows = sampled(pages.select("page_id", "html").where("html is not null"), "page_id", SAMPLE_PAGES).limit(SAMPLE_PAGES).collect()
-    samples = [r["html"].encode()[: DICTIONARY_BYTES * 2] for r in sorted(rows, key=lambda r: (r["page_id"], r["html"]))]
+    rows = sampled(pages.where("html is not null").select("page_id", F.substring("html", 1, DICTIONARY_BYTES * 2).alias("html")), "page_id", SAMPLE_PAGES).limit(SAMPLE_PAGES).collect()
+    samples = [r["html"].encode() for r in sorted(rows, key=lambda r: (r["page_id"], r["html"]))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
