@@ -41,7 +41,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

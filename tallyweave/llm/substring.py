@@ -2,7 +2,7 @@
 
 Level 1 looks at windows of half the target length. Of each run of neighbouring windows only the one with the smallest
 hash is looked at: any target window holds exactly one such minimum, and equal windows hold equal ones, so no repeat is missed
-while a thirteenth of the windows is shuffled. Level 2 extends the windows that repeat in another document to twice
+while a thirteenth of the windows is shuffled. Whole copies are settled there. Level 2 extends the windows that repeat in another document to twice
 their length: only target windows whose minimum survived are hashed. Doubling goes on while windows survive, up to the target.
 Windows stand for their word sequences by 64-bit hashes at level 1, and by 96 bits at the target.
 """
@@ -100,36 +100,49 @@ def _hash(words: list[bytes], cache: WordHashes) -> np.ndarray:
 
 
 def minima(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, id, at): in each document the minimal half-length windows of all its target windows."""
+    """(h, id, at, d, e, lead): in each document the minimal half-length windows of all its target windows.
+
+    d and e are a 128-bit hash of all its words; lead marks one row of each document.
+    """
     half = max(1, window // 2)
 
     def each(batches):
         cache, powers = WordHashes(), Powers()
         for b in batches:
-            hs, ids, ats = [], [], []
+            hs, ids, ats, wholes, leads = [], [], [], [], []
             for doc, text in zip(b["id"], b["text"], strict=True):
-                h = window_hashes(_hash(ascii_words(text), cache), half, powers)
+                words = ascii_words(text)
+                h = window_hashes(_hash(words, cache), half, powers)
                 at = np.unique(smallest(h, window - half + 1))
-                hs.append(h[at])
-                ids.append(np.full(len(at), doc))
-                ats.append(at)
-            yield pd.DataFrame({"h": np.concatenate(hs).view(np.int64), "id": np.concatenate(ids), "at": np.concatenate(ats).astype(np.int32)})
-
-    return docs.mapInPandas(each, "h long, id long, at int")
+                if len(at):
+                    hs.append(h[at])
+                    ids.append(np.full(len(at), doc))
+                    ats.append(at)
+                    wholes.append(np.repeat(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), "<i8")[None], len(at), 0))
+                    leads.append(np.arange(len(at)) == 0)
+            if hs:
+                whole = np.concatenate(wholes)
+                h, at = np.concatenate(hs).view(np.int64), np.concatenate(ats).astype(np.int32)
+                yield pd.DataFrame({"h": h, "id": np.concatenate(ids), "at": at, "d": whole[:, 0], "e": whole[:, 1], "lead": np.concatenate(leads)})
 
-
-def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that occur in two documents at least, with the smallest of them."""
-    found = rows.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    return found.where("first < last").drop("last")
+    return docs.mapInPandas(each, "h long, id long, at int, d long, e long, lead boolean")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, starts): starts of the document's target windows that also occur in a document with a smaller id."""
+    """(id, copy, starts): of each document that repeats one with a smaller id, whether it is a copy of it, else the starts
+    of the target windows that also occur in such a document.
+
+    Copies are settled first, by the hash of all words: they hold no window that their first does not hold, so neither they
+    nor half windows that only copies share go on to the next level.
+    """
     half = max(1, window // 2)
     level = written(minima(docs, window), "minima")
-    alive = level.join(_shared(level, ["h"]), "h").groupBy("id").agg(F.collect_set("at").alias("ats"))
-    kept = _packed(docs).join(alive, "id")
+    whole = level.where("lead").select("id", "d", "e")
+    copies = whole.join(whole.groupBy("d", "e").agg(F.min("id").alias("first")), ["d", "e"]).where("first < id").select("id")
+    copies = written(copies, "copies")
+    shared = level.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("h")
+    alive = level.select("h", "id", "at").join(shared, "h").groupBy("id").agg(F.collect_set("at").alias("ats"))
+    kept = _packed(docs).join(alive.join(copies, "id", "left_anti"), "id")
 
     def extend(batches):
         cache, powers = WordHashes(), Powers()
@@ -150,8 +163,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     target = written(kept.mapInPandas(extend, "hi long, lo int, id long, start int"), "windows")
     keys = ["hi", "lo"]
-    hit = target.join(_shared(target, keys), keys).where("first < id")
-    return hit.groupBy("id").agg(F.collect_set("start").alias("starts"))
+    firsts = target.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    hit = target.join(firsts, keys).where("first < id").groupBy("id").agg(F.collect_set("start").alias("starts"))
+    return hit.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
 
 
 def covered(n: int, starts, window: int) -> np.ndarray:
@@ -178,9 +192,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(batches):
         for b in batches:
             out = []
-            for doc, text, starts in zip(b["id"], b["text"], b["starts"], strict=True):
+            for doc, text, copy, starts in zip(b["id"], b["text"], b["copy"], b["starts"], strict=True):
                 words = _words(text)
-                gone = covered(len(words), starts, window)
+                gone = np.ones(len(words), bool) if copy is True else covered(len(words), starts, window)
                 kept = b" ".join([w for w, g in zip(words, gone, strict=True) if not g] if gone.any() else words)
                 out.append((doc, len(words), int(gone.sum()), kept.decode()))
             yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])

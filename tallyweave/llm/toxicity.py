@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents of each label that the model is fitted on at most, chosen by hash.
-MAX_TOXIC, MAX_CLEAN = 2500, 4000
+MAX_TOXIC, MAX_CLEAN = 2000, 3000
 SLOTS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 SENTENCE = re.compile(r"[^.!?\n]+")
