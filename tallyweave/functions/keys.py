@@ -12,7 +12,7 @@ DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd/MM/yy", "MM/dd/yy"
 
 
 def key_date(c: Column) -> Column:
-    return F.date_format(F.coalesce(*(F.try_to_date(trimmed(c), F.lit(f)) for f in DATE_FORMATS)), "yyyy-MM-dd")
+    return F.date_format(F.coalesce(*(F.try_to_date(trimmed(c), f) for f in DATE_FORMATS)), "yyyy-MM-dd")
 
 
 def key_number(c: Column) -> Column:

@@ -94,7 +94,8 @@ def energy_unit(c: Column) -> Column:
     upper = F.upper(base_clean(c))
     rate = upper.rlike(rf"/\s*(?<![A-Z0-9])(?:{names})(?![A-Z0-9])|(?<![A-Z0-9])(?:{names})(?![A-Z0-9])\s*(?:/|PER )")
     found = F.regexp_extract_all(F.regexp_replace(upper, r"[^A-Z0-9]+", " "), F.lit(rf"(?<![A-Z0-9])({names})(?![A-Z0-9])"), F.lit(1))
-    aliases = F.create_map(*(F.lit(x) for a, u in UNIT_ALIASES.items() for x in (a.replace(" ", "").replace("-", ""), u)))
+    bare = {a.replace(" ", "").replace("-", ""): u for a, u in UNIT_ALIASES.items()}
+    aliases = F.create_map(*(F.lit(x) for kv in bare.items() for x in kv))
     units = F.array_distinct(F.transform(found, lambda u: F.element_at(aliases, F.regexp_replace(u, " ", ""))))
     return F.when(c.isNull(), None).when(~rate & (F.size(units) == 1), units[0]).otherwise("")
 
@@ -111,7 +112,7 @@ def _repaired_once(c: Column) -> Column:
 def mojibake_repaired(c: Column) -> Column:
     """UTF-8 that was read as windows-1252 put right, up to three times, as long as each pass leaves fewer marks of it."""
     for _ in range(3):
-        c = _repaired_once(c)
+        c = F.get(F.transform(F.array(c), _repaired_once), F.lit(0))  # binds c, which a pass reads many times
     return c
 
 

@@ -14,6 +14,11 @@ from tallyweave.plans import archive_v1, audit, reports
 from tallyweave.sources import lens
 from tallyweave.streaming import stream
 
+def _round(c: str, digits: int):
+    """Rounded with ties that floating sums leave undecided moved off the edge."""
+    return F.round(F.col(c) + 1e-7, digits)
+
+
 FACILITY = ["division", "legal_entity", "unit_name"]
 FIELDS = {"account_number": "critical", "supplier_name": "optional", "energy_unit": "noncritical", "quantity": "critical"}
 DOCUMENT_FIELDS = {"account": ["Account No", "Customer Account"], "total": ["Total", "Amount"]}
@@ -28,7 +33,7 @@ def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def monthly_kwh(spark: SparkSession, sf_dir: str) -> DataFrame:
     kwh = units.to_kwh(F.col("split_quantity"), F.col("energy_unit"))
     out = _splits(spark, sf_dir).groupBy(*FACILITY, "activity_group", "month").agg(F.sum(kwh).alias("kwh"), F.count("*").alias("splits"))
-    return out.withColumn("kwh", F.round("kwh", 4))
+    return out.withColumn("kwh", _round("kwh", 4))
 
 
 def billing_date_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +152,7 @@ def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monthly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _monthly(spark, sf_dir).drop("row_id").withColumn("monthly_consumption", F.round("monthly_consumption", 4))
+    return _monthly(spark, sf_dir).drop("row_id").withColumn("monthly_consumption", _round("monthly_consumption", 4))
 
 
 def _allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +170,7 @@ def _template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kpi_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _template(spark, sf_dir).select("row_id", F.col("Energy KPI").alias("energy_kpi"), F.round("Amount of energy consumed", 4).alias("amount"), F.col("business_mapping_issue").alias("issue"))
+    return _template(spark, sf_dir).select("row_id", F.col("Energy KPI").alias("energy_kpi"), _round("Amount of energy consumed", 4).alias("amount"), F.col("business_mapping_issue").alias("issue"))
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,14 +178,14 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gold(spark, sf_dir).select("row_id", F.col("Energy KPI").alias("energy_kpi"), F.round("Amount of energy consumed", 4).alias("kwh"), F.col("Original Energy Unit").alias("original_unit"))
+    return _gold(spark, sf_dir).select("row_id", F.col("Energy KPI").alias("energy_kpi"), _round("Amount of energy consumed", 4).alias("kwh"), F.col("Original Energy Unit").alias("original_unit"))
 
 
 def gold_aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gold.gold_aggregated(_gold(spark, sf_dir))
     return g.select(
-        *FACILITY, "month", F.col("KPI Component").alias("component"), F.round("Total amount of energy consumed", 3).alias("total_kwh"), F.round("`fossil_fuel_%`", 6).alias("fossil"),
-        F.round("total_solar_consumed", 3).alias("solar"), "proration_component_count", "source_file_count", F.col("Energy KPI").alias("kpis"),
+        *FACILITY, "month", F.col("KPI Component").alias("component"), _round("Total amount of energy consumed", 3).alias("total_kwh"), _round("`fossil_fuel_%`", 4).alias("fossil"),
+        _round("total_solar_consumed", 3).alias("solar"), "proration_component_count", "source_file_count", F.col("Energy KPI").alias("kpis"),
     )
 
 
@@ -203,16 +208,16 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def year_over_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, sf_dir).withColumns({c: F.round(c, 4) for c in ("current", "previous", "difference")})
+    return _cells(spark, sf_dir).withColumns({c: _round(c, 4) for c in ("current", "previous", "difference")})
 
 
 def high_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = reports.high_variance(_cells(spark, sf_dir))
-    return out.select(*FACILITY, "kpi", "month", F.round("size", 4).alias("size"), "class")
+    return out.select(*FACILITY, "kpi", "month", _round("size", 4).alias("size"), "class")
 
 
 def top_variance_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = reports.high_variance(_cells(spark, sf_dir)).withColumn("size", F.round("size", 4)).where("size <> double('infinity')")
+    out = reports.high_variance(_cells(spark, sf_dir)).withColumn("size", _round("size", 4)).where("size <> double('infinity')")
     return reports.page(out, [F.desc("size"), *map(F.asc, [*FACILITY, "kpi", "month"])], 1, 25).select(*FACILITY, "kpi", "month", "size")
 
 
@@ -261,7 +266,7 @@ def best_mapping_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_sql_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _allocated(spark, sf_dir).selectExpr("row_id", "activity_group", "`fossil_fuel_%` fossil", "`renewable_energy_%` renewable", "`nuclear_%` nuclear", "round(monthly_consumption, 4) amount", "cast(null as string) contractual_instruments")
+    rows = _allocated(spark, sf_dir).selectExpr("row_id", "activity_group", "`fossil_fuel_%` fossil", "`renewable_energy_%` renewable", "`nuclear_%` nuclear", "round(monthly_consumption + 1e-7, 4) amount", "cast(null as string) contractual_instruments")
     return archive_v1.gold_v1(rows)
 
 
@@ -298,29 +303,30 @@ def facility_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = lens.table(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate").cast("date"))
-    names = F.array(*(F.lit(n) for n in "janvier février März abril maio junho juli août settembre oktober noviembre dezember".split()))
+    names = F.array(*(F.lit(n) for n in "janvier février März abril mayo junho juli août settembre oktober noviembre dezember".split()))
     month = F.get(names, F.month("d") - 1)
     forms = F.array(
         F.date_format("d", "yyyy-MM-dd"), F.date_format("d", "dd/MM/yyyy"), F.date_format("d", "M/d/yy"), F.concat(F.dayofmonth("d").cast("string"), F.lit(" de "), month, F.lit(" "), F.year("d").cast("string")),
-        F.concat(month, F.lit(" "), F.year("d").cast("string")), F.concat((F.year("d") - 1911).cast("string"), F.date_format("d", "/M/d")), F.date_format("d", "dd.MM.yyyy 23:59"), F.lit("no date"), F.lit("31/02/2020"), F.lit("  "),
+        F.concat(month, F.lit(" "), F.year("d").cast("string")), F.concat((F.year("d") + 20 - 1911).cast("string"), F.date_format("d", "/M/d")), F.date_format("d", "dd.MM.yyyy 23:59"), F.lit("no date"), F.lit("31/02/2020"), F.lit("  "),
     )
     return o.select("o_orderkey", "d", F.get(forms, (F.col("o_orderkey") % 10).cast("int")).alias("raw"))
 
 
 def date_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.col("raw")
-    return _date_texts(spark, sf_dir).select("o_orderkey", dates.normalised_date(raw).alias("date"), dates.date_status(raw).alias("status"), F.size(dates.date_candidates(raw)).alias("candidates"), dates.excel_serial(dates.normalised_date(raw)).alias("serial"), dates.fiscal_year(F.col("d")).alias("fiscal_year"))
+    out = dates.with_dates(_date_texts(spark, sf_dir), "raw", "date")
+    return out.select("o_orderkey", "date", F.col("date_status").alias("status"), F.size("date_candidates").alias("candidates"), dates.excel_serial(F.col("date")).alias("serial"), dates.fiscal_year(F.col("d")).alias("fiscal_year"))
 
 
 def date_range_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = lens.table(spark, sf_dir, "orders").withColumn("d", F.col("o_orderdate").cast("date")).withColumn("e", F.expr("date_add(d, cast(o_orderkey % 60 as int))"))
-    pick = dates.chosen_range(dates.date_candidates(F.date_format("d", "MM/dd/yyyy")), dates.date_candidates(F.date_format("e", "MM/dd/yyyy")))
-    return o.select("o_orderkey", pick["s"].alias("s"), pick["e"].alias("e"))
+    o = lens.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    rows = o.select("o_orderkey", F.date_format("d", "MM/dd/yyyy").alias("a"), F.date_format(F.expr("date_add(d, cast(o_orderkey % 60 as int))"), "MM/dd/yyyy").alias("b"))
+    rows = dates.with_dates(dates.with_dates(rows, "a", "start"), "b", "end")
+    return dates.with_chosen_range(rows, "start_candidates", "end_candidates", "pick").select("o_orderkey", "pick.s", "pick.e")
 
 
 def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts damaged by reading UTF-8 as Latin-1, put right, and compared with what they were."""
-    damaged = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    """Texts damaged by reading UTF-8 as windows-1252, put right, beside what they were."""
+    damaged = F.translate(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), text.CP1252_BYTES, text.CP1252)
     docs = lens.table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.sha2(text.mojibake_repaired(damaged), 256).alias("repaired"), F.sha2("text", 256).alias("original"))
 
@@ -344,7 +350,7 @@ def stream_monthly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals of the events table read as a stream until its end."""
     files = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(files).schema
-    source = spark.readStream.schema(schema).parquet(sf_dir, pathGlobFilter="events.parquet")
+    source = spark.readStream.schema(schema).parquet(sf_dir, pathGlobFilter="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
     where = f"{base.rstrip('/')}/events-{uuid.uuid4().hex}"
 

@@ -81,7 +81,7 @@ periods AS (
 def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as nested JSON documents: two ways to name the account, a blank amount at times, and up to three table lines."""
     o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
-    field = lambda kind, value: F.map_from_arrays(F.array(F.lit(kind), F.lit("confidence")), F.array(value.cast("string"), (F.col("k") % 10 / 10).cast("string")))
+    field = lambda kind, value: F.struct(value.cast("string").alias(kind), (F.col("k") % 10 / 10).alias("confidence"))
     line = lambda i: F.create_map(F.lit("valueObject"), F.create_map(F.lit("Qty"), F.create_map(F.lit("valueNumber"), (F.col("k") % 7 + i).cast("string")), F.lit("Waste"), F.create_map(F.lit("content"), F.concat(F.lit("kind "), (F.col("k") % 3 + i).cast("string")))))
     lines = F.slice(F.array(line(0), line(1), line(2)), F.lit(1), (F.col("k") % 4).cast("int"))
     name = F.when(F.col("k") % 2 == 0, "Account No").otherwise("Customer Account")

@@ -26,7 +26,7 @@ def report_by_kpi(df: DataFrame, path: str, column: str = "kpi_component") -> No
 
 def typed(df: DataFrame, dates: list[str], numbers: list[str]) -> DataFrame:
     """Text columns as dates and numbers, null where they are none."""
-    cols = {c: F.try_to_date(c, F.lit("yyyy-MM-dd")) for c in dates if c in df.columns}
+    cols = {c: F.try_to_date(c, "yyyy-MM-dd") for c in dates if c in df.columns}
     return df.withColumns(cols | {c: F.col(c).try_cast("double") for c in numbers if c in df.columns})
 
 
