@@ -157,3 +157,18 @@ def test_reports_and_tables(spark, tmp_path):
         readers.lookup_table(lookup, ["z"])
     typed = sinks.typed(spark.createDataFrame([("2024-01-02", "x")], "d string, n string"), ["d"], ["n"]).first()
     assert tuple(typed) == (D(2024, 1, 2), None)
+
+
+def test_late_arrivals_resolve_as_the_batch_does(spark):
+    spans = [(D(2023, 1, 5), D(2023, 2, 5)), (D(2023, 3, 5), D(2023, 4, 4)), (D(2023, 2, 5), D(2023, 3, 5))]
+    df = billed(spark, spans)
+    other = billed(spark, [(D(2023, 1, 5), D(2023, 2, 5))], account="B").withColumn("row_id", F.lit("b"))
+    history, late = df.where("row_id <> 'r002'").unionByName(other), df.where("row_id = 'r002'")
+    key = lambda rows: sorted((x.row_id, x.date_resolution, x.effective_end) for x in rows.collect())
+    assert key(stream.re_resolved(history, late)) == key(periods.resolve_dates(df))
+
+
+def test_queries_name_their_sql():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and "monthly_kwh" in entry.queries()
