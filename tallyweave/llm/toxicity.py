@@ -64,14 +64,15 @@ class WordScores(dict):
         return s
 
 
-def telling(bags: list[list[np.ndarray]], y: np.ndarray, least: int = 4, odds: float = 1.0) -> np.ndarray:
-    """Slots that occur in so many toxic documents at least, and in a larger share of them by these log odds."""
+def telling(bags: list[list[np.ndarray]], y: np.ndarray, least: int = 3, odds: float = 1.0, errors: float = 2.5) -> np.ndarray:
+    """Slots that occur in so many toxic documents at least, and in a larger share of them by these log odds and standard errors."""
     seen = np.zeros((2, SLOTS))
     for bag, label in zip(bags, y, strict=True):
         if bag:
             seen[int(label), np.unique(np.concatenate(bag))] += 1
     share = (seen + 0.5) / (np.bincount(y, minlength=2)[:, None] + 1)
-    return np.flatnonzero((seen[1] >= least) & (np.log(share[1] / share[0]) > odds))
+    log = np.log(share[1] / share[0])
+    return np.flatnonzero((seen[1] >= least) & (log > odds) & (log > errors * np.sqrt((1 / (seen + 0.5)).sum(0))))
 
 
 def fit_bags(bags: list[list[np.ndarray]], y: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 3e-5) -> Model:
