@@ -21,7 +21,8 @@ def key_number(c: Column) -> Column:
     comma, point = F.instr(F.reverse(t), ","), F.instr(F.reverse(t), ".")
     decimal_comma = (comma > 0) & ((point == 0) & ~t.rlike(r",\d{3}$") | (point > 0) & (comma < point))
     plain = F.when(decimal_comma, F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit("")))
-    return F.format_string("%.6f", F.when(plain.rlike(r"^-?\d+(\.\d+)?$"), plain).try_cast("double"))
+    number = F.when(plain.rlike(r"^-?\d+(\.\d+)?$"), plain).try_cast("double")
+    return F.get(F.transform(F.array(number), lambda x: F.when(x.isNotNull(), F.format_string("%.6f", x))), F.lit(0))
 
 
 def key_text(c: Column) -> Column:
@@ -30,11 +31,15 @@ def key_text(c: Column) -> Column:
 
 def business_key(dates: dict[str, Column], numbers: dict[str, Column], texts: dict[str, Column]) -> Column:
     """SHA-256 of name=value parts; null with fewer than three parts, or without a date or number."""
-    strong = [F.when(v.isNotNull() & (v != "null"), F.concat(F.lit(f"{k}="), v)) for k, v in [*((k, key_date(c)) for k, c in dates.items()), *((k, F.when(~is_blank(c), key_number(c))) for k, c in numbers.items())]]
+    strong = [F.concat(F.lit(f"{k}="), key_date(c)) for k, c in dates.items()] + [F.concat(F.lit(f"{k}="), key_number(c)) for k, c in numbers.items()]
     weak = [F.when(~is_blank(c), F.concat(F.lit(f"{k}="), key_text(c))) for k, c in texts.items()]
-    parts = F.array_sort(F.array_compact(F.array(*strong, *weak)))
-    enough = (F.size(parts) >= 3) & (F.size(F.array_compact(F.array(*strong))) >= 1)
-    return F.when(enough, F.sha2(F.concat_ws("|", parts), 256))
+    parts = F.struct(F.array_compact(F.array(*strong)).alias("strong"), F.array_compact(F.array(*weak)).alias("weak"))
+
+    def hashed(p: Column) -> Column:
+        enough = (F.size(p["strong"]) >= 1) & (F.size(p["strong"]) + F.size(p["weak"]) >= 3)
+        return F.when(enough, F.sha2(F.concat_ws("|", F.array_sort(F.concat(p["strong"], p["weak"]))), 256))
+
+    return F.get(F.transform(F.array(parts), hashed), F.lit(0))  # binds the parts, which are read several times
 
 
 def content_hash(json_text: Column) -> Column:
