@@ -1,8 +1,8 @@
 """Secret scans: candidate strings are told from false positives by a random forest trained on labelled findings.
 
 The forest sees a candidate's length, the likelihood of its character transitions, how much of it dictionary words cover, the
-document's path and the neighbouring words. Transitions and dictionary are learnt from a bounded sample of documents, the
-forest from a bounded sample of labelled findings; every whole text is scanned. Labels come with the findings, or from
+document's path and the neighbouring words. Transitions and dictionary are counted over all documents, the forest is fitted on
+a bounded sample of labelled findings; every whole text is scanned. Labels come with the findings, or from
 weak_label(), which applies published key formats and assignment rules.
 """
 
@@ -19,10 +19,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, written
+from .common import written
 
-#: Documents that transitions and dictionary are learnt from, dictionary words, and findings of each label for the forest.
-SAMPLE_DOCS, DICTIONARY_WORDS, MAX_FINDINGS = 2000, 20000, 4000
+#: Dictionary words, findings of each label for the forest, and distinct words that a task counts before it passes them on.
+DICTIONARY_WORDS, MAX_FINDINGS, COUNTED = 20000, 4000, 200000
 THRESHOLD = 0.5
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{12,}={0,2}(?![A-Za-z0-9+/_\-])")
 WORD = re.compile(r"\w+")
@@ -64,21 +64,30 @@ class Lexicon:
         return covered / max(1, len(low))
 
 
-def learn_lexicon(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, words: int = DICTIONARY_WORDS) -> Lexicon:
-    """From docs(id, text): a bounded number of documents, chosen by hash, and their commonest words."""
+def learn_lexicon(docs: DataFrame, words: int = DICTIONARY_WORDS) -> Lexicon:
+    """From docs(id, text): character pairs and words counted over all documents; the commonest words are the dictionary."""
+
+    def rows(seen):
+        pairs = Counter()
+        for w, n in seen.items():
+            codes = [_fold(c) for c in w]
+            for a, c in zip(codes, codes[1:], strict=False):
+                pairs[a * 29 + c] += n
+        out = [(w, n) for w, n in seen.items() if 3 <= len(w) <= 12 and w.isalpha()] + [(str(k), n) for k, n in pairs.items()]
+        return pd.DataFrame(out, columns=["key", "n"])
 
     def count(batches):
+        seen = Counter()
         for b in batches:
-            seen = Counter(w for t in b["text"] for w in WORD.findall((t or "").lower()) if not w.isdigit())
-            pairs = Counter()
-            for w, n in seen.items():
-                codes = [_fold(c) for c in w]
-                for a, c in zip(codes, codes[1:], strict=False):
-                    pairs[a * 29 + c] += n
-            rows = [(w, n) for w, n in seen.items() if 3 <= len(w) <= 12 and w.isalpha()] + [(str(k), n) for k, n in pairs.items()]
-            yield pd.DataFrame(rows, columns=["key", "n"])
-
-    counted = sampled(docs, "id", sample_docs).mapInPandas(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            for t in b["text"]:
+                seen.update(WORD.findall((t or "").lower()))
+                if len(seen) >= COUNTED:
+                    yield rows({w: n for w, n in seen.items() if not w.isdigit()})
+                    seen.clear()
+        yield rows({w: n for w, n in seen.items() if not w.isdigit()})
+
+    counted = docs.select("text").mapInPandas(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = written(counted, "counted")
     is_pair = F.col("key").rlike("^[0-9]+$")
     pairs = {int(r["key"]): r["n"] for r in counted.where(is_pair).collect()}
     common = counted.where(~is_pair).orderBy(F.desc("n"), "key").limit(words).collect()

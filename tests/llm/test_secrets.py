@@ -1,6 +1,7 @@
 import random
 
-from tallyweave.llm.secrets import redacted, scan, weak_label
+from tallyweave.llm import secrets
+from tallyweave.llm.secrets import learn_lexicon, redacted, scan, weak_label
 
 
 def corpus(r, n):
@@ -48,3 +49,15 @@ def test_labels():
     assert weak_label("f7c8b4419544ffc2cf", "x password=") == 1
     assert weak_label("example-0000-key", "token: ") == 0
     assert weak_label("4737979070983470", "of the ") == 0
+
+
+def test_lexicon_counts_every_document(spark, monkeypatch):
+    docs = [(i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26 % 26) * 2}{chr(97 + i // 676) * 2} common" if i % 3 else None) for i in range(4000)]
+    rows = spark.createDataFrame(docs, "id long, text string").repartition(3)
+    want = {w for _, t in docs for w in (t or "").split()}
+    whole = learn_lexicon(rows)
+    assert whole.words == want and len(want) > 2600
+    monkeypatch.setattr(secrets, "COUNTED", 50)
+    parts = learn_lexicon(rows)
+    assert parts.words == want and parts.logs == whole.logs
+    assert learn_lexicon(rows, 1).words == {"common"}
