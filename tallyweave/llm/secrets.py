@@ -1,6 +1,6 @@
 """Secret scans: candidate strings are told from false positives by a random forest trained on labelled findings.
 
-The forest sees a candidate's length, the likelihood of its character transitions, how much of it dictionary words cover, the
+The forest sees a candidate's length, whether it has a published format, the likelihood of its character transitions, how much of it dictionary words cover, the
 document's path and the neighbouring words. Transitions and dictionary are counted over all documents, the forest is fitted on
 a bounded sample of labelled findings; every whole text is scanned. Labels come with the findings, or from
 weak_label(), which applies published key formats and assignment rules.
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 
 import pandas as pd
@@ -30,7 +31,14 @@ AROUND = 48
 WORD_SLOTS, PATH_SLOTS = 24, 8
 
 # Published formats of keys, names that secrets are assigned to, and stand-ins that are no secrets.
-FORMATS = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20}")
+NAMES = r"(?:token|secret|passw(?:or)?d|pwd|api_?-?key|access_?-?key|auth|credential|private_?-?key)\w{0,64}[\"']?\s{0,32}(?:=>|:=|=|:)\s{0,32}"
+#: A whole assigned value: between quotes, or up to white space.
+VALUE = re.compile(NAMES + r"""(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|["']?([^\s"']\S*))""", re.I)
+NAME = re.compile(NAMES, re.I)
+PEM_BEGIN, PEM_END = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----"), re.compile(r"-----(BEGIN|END) [A-Z0-9 ]{0,64}-----")
+#: The lines of a private key whose end is missing.
+PEM_LINES = re.compile(r"(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{16,})*")
+FORMATS = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY[\s\S]*|(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20}")
 ASSIGNED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api_?-?key|access_?-?key|auth|credential|private_?-?key)\w*[\"']?\s*(?:=|:|=>|:=)\s*[\"']?\Z", re.I)
 STAND_INS = re.compile(r"example|sample|dummy|changeme|placeholder|your[_-]|test|xxxx|0000|1234|abcd", re.I)
 
@@ -96,7 +104,7 @@ def learn_lexicon(docs: DataFrame, words: int = DICTIONARY_WORDS) -> Lexicon:
 
 def weak_label(value: str, before: str) -> int:
     """1 for a published key format, or a value assigned to a secret's name that is no stand-in; else 0."""
-    if STAND_INS.search(value):
+    if not PEM_BEGIN.match(value) and STAND_INS.search(value):
         return 0
     return int(bool(FORMATS.fullmatch(value) or ASSIGNED.search(before) and any(c.isdigit() for c in value)))
 
@@ -117,6 +125,7 @@ def _features(value: str, before: str, after: str, path: str, lexicon: Lexicon)
         float(all(c in "0123456789abcdefABCDEF" for c in value)),
         float(before[-1:] in ("'", '"')),
         float(bool(re.search(r"[=:]\s*[\"']?\Z", before))),
+        float(bool(FORMATS.fullmatch(value))),
     ]
     near, paths = [0.0] * WORD_SLOTS, [0.0] * PATH_SLOTS
     for w in [*WORD.findall(before.lower())[-2:], *WORD.findall(after.lower())[:1]]:
@@ -126,21 +135,47 @@ def _features(value: str, before: str, after: str, path: str, lexicon: Lexicon)
     return [*out, *near, *paths]
 
 
+def _places(text: str) -> list[tuple[int, int]]:
+    """[start, stop) of the candidates, in order: private keys from BEGIN to END, whole assigned values, and runs of key characters.
+
+    Places may overlap, as a run within an assigned value; runs within a private key are part of it.
+    """
+    keys: list[tuple[int, int]] = []
+    at = 0
+    while begin := PEM_BEGIN.search(text, at):
+        end = PEM_END.search(text, begin.end())
+        at = end.end() if end and end[1] == "END" else PEM_LINES.match(text, begin.end()).end()
+        keys.append((begin.start(), at))
+    found = set()
+    at = 0
+    while m := VALUE.search(text, at):
+        found.add(m.span(m.lastindex))
+        own = NAME.search(text, m.start(3), m.end() + AROUND) if m[3] else None
+        at = m.start(3) if own and own.start() < m.end() < own.end() else m.end()  # a value may be the name of the next one
+    for m in CANDIDATE.finditer(text):
+        value = m[0]
+        if any(c.isdigit() for c in value) or FORMATS.fullmatch(value) or ASSIGNED.search(text, max(0, m.start() - AROUND), m.start()):
+            found.add(m.span())
+    if keys:
+        starts = [a for a, _ in keys]
+        found = {(a, b) for a, b in found if not ((i := bisect_right(starts, a) - 1) >= 0 and b <= keys[i][1])}
+    return sorted(found.union(keys))
+
+
 def candidates(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(id, start, stop, label, features) of every candidate in docs(id, text, path); label by weak_label().
 
-    A candidate is a run of 12 or more key characters with a digit in it, of a published format, or assigned to a secret's name. Null and empty
-    texts have none; a null path is empty.
+    A candidate is a private key from BEGIN to END, a whole value of any length assigned to a secret's name, or a run of 12 or more key
+    characters with a digit in it, of a published format, or assigned to a secret's name. Null and empty texts have none; a null path is empty.
     """
 
     def each(batches):
         for b in batches:
             rows = []
             for doc, text, path in zip(b["id"], b["text"], b["path"], strict=True):
-                for m in CANDIDATE.finditer(text or ""):
-                    value, before, after = m[0], text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
-                    if any(c.isdigit() for c in value) or FORMATS.fullmatch(value) or ASSIGNED.search(before):
-                        rows.append((doc, m.start(), m.end(), weak_label(value, before), _features(value, before, after, path or "", lexicon)))
+                for start, stop in _places(text or ""):
+                    value, before, after = text[start:stop], text[max(0, start - AROUND) : start], text[stop : stop + AROUND]
+                    rows.append((doc, start, stop, weak_label(value, before), _features(value, before, after, path or "", lexicon)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATES.split(", ")])
 
     return docs.mapInPandas(each, CANDIDATES)
@@ -178,15 +213,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
 
 
 def redacted(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with the secrets of scan() replaced by mark; other texts, and nulls, unchanged. Ids must be unique."""
+    """docs with the secrets of scan() replaced by mark, one mark where they overlap; other texts, and nulls, unchanged. Ids must be unique."""
     spans = found.where("secret").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
     joined = docs.join(spans.withColumnRenamed("id", id_col), id_col, "left")
 
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for text, own in zip(texts, spans, strict=True):
-            for s in reversed(own if own is not None and text is not None else ()):
-                text = text[: s["start"]] + mark + text[s["stop"] :]
+            merged: list[list[int]] = []
+            for s in own if own is not None and text is not None else ():
+                if merged and s["start"] < merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], s["stop"])
+                else:
+                    merged.append([s["start"], s["stop"]])
+            for start, stop in reversed(merged):
+                text = text[:start] + mark + text[stop:]
             out.append(text)
         return pd.Series(out, dtype=object)
 
