@@ -13,10 +13,10 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
 from .fmindex import FMIndex
 
 WINDOW = 10
@@ -36,9 +36,9 @@ def split_words(text: str | None) -> list[bytes]:
 class Phrases:
     """The distinct windows of one block of benchmark items as rows of symbols, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        of: dict[tuple[int, ...], list[str]] = {}
+        of: dict[tuple[int, ...], list[str | None]] = {}
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in split_words(text)]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
@@ -59,9 +59,14 @@ def _runs(ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return start[long], end[long]
 
 
-def search_shard(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[list[int], list[str]]]:
+def in_order(items) -> list[str | None]:
+    """The distinct items, null last."""
+    return sorted(set(items), key=lambda i: (i is None, i or ""))
+
+
+def search_shard(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[list[int], list[str | None]]]:
     """For each document, as symbols: the flat list of [first, last) words of its occurrences, and the items found."""
-    found: list[tuple[list[int], list[str]]] = [([], []) for _ in docs]
+    found: list[tuple[list[int], list[str | None]]] = [([], []) for _ in docs]
     whole = np.concatenate([np.append(d, 0) for d in docs]) if docs else np.zeros(0, np.int64)
     ends = np.cumsum([len(d) + 1 for d in docs])
     start, end = _runs(whole, phrases.shortest)
@@ -86,7 +91,7 @@ def search_shard(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[list[in
     order = np.argsort(doc, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1):
         s, p = first[own], phrase[own]
-        found[doc[own[0]]] = (merged(s, s + phrases.lengths[p]), sorted({i for x in np.unique(p) for i in phrases.items[x]}))
+        found[doc[own[0]]] = (merged(s, s + phrases.lengths[p]), in_order(i for x in np.unique(p) for i in phrases.items[x]))
     return found
 
 
@@ -110,13 +115,15 @@ def without_spans(text: str, spans: list[int]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _scan(rows: DataFrame, phrases: Phrases) -> DataFrame:
+def _scan(rows: DataFrame, phrases: Phrases, text_col: str) -> DataFrame:
+    """rows, all columns, with what is found added to _spans and _items."""
+
     def each(batches):
         for b in batches:
             shard: list[np.ndarray] = []
             found: list = []
             symbols = chars = 0
-            for text in b["text"]:
+            for text in b.column(text_col).to_pylist():
                 words = split_words(text)
                 shard.append(np.fromiter(map(phrases.vocabulary.get, words, repeat(0)), np.int64, len(words)))
                 symbols, chars = symbols + len(words), chars + len(text or "")
@@ -124,27 +131,35 @@ def _scan(rows: DataFrame, phrases: Phrases) -> DataFrame:
                     found += search_shard(shard, phrases)
                     shard, symbols, chars = [], 0, 0
             found += search_shard(shard, phrases)
-            spans = [[*old, *new] for old, (new, _) in zip(b["spans"], found, strict=True)]
-            items = [[*old, *new] for old, (_, new) in zip(b["items"], found, strict=True)]
-            yield pd.DataFrame({"id": b["id"], "text": b["text"], "spans": spans, "items": items})
+            for k, name in enumerate(("_spans", "_items")):
+                at = b.schema.get_field_index(name)
+                both = [[*old, *new[k]] for old, new in zip(b.column(at).to_pylist(), found, strict=True)]
+                b = b.set_column(at, b.schema.field(at), pa.array(both, b.schema.field(at).type))
+            yield b
+
+    return rows.mapInArrow(each, rows.schema)
 
-    return rows.mapInPandas(each, "id long, text string, spans array<int>, items array<string>")
+
+def _searched(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int) -> DataFrame:
+    """docs, all columns, with _spans and _items of all blocks of the benchmark as they were found."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("phrase")).where("phrase is not null")
+    chars = items.agg(F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-chars // BLOCK_CHARS))
+    rows = docs.select("*", F.expr("cast(array() as array<int>) _spans"), F.expr("cast(array() as array<string>) _items"))
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item", "phrase"), F.lit(blocks)) == k)
+        rows = _scan(rows, Phrases([(r["item"], r["phrase"]) for r in block.collect()], window), text_col)
+    return rows
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, text, spans, items, n_words, n_hit, clean) for every row of docs.
 
     spans: [first, last) word numbers inside benchmark windows, merged, as a flat list; items: the benchmark's item_ids found, as
-    sorted strings; clean: the text without those spans. Null texts stay null and have no words; an empty text or
-    benchmark has no hits. Repeated rows and ids give a row each. Null item ids or texts are left out of the benchmark.
+    sorted strings, a null one last; clean: the text without those spans. Null texts stay null and have no words; an empty text or
+    benchmark has no hits. Repeated rows and ids give a row each. Null texts are left out of the benchmark; items without an id are searched.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("phrase")).dropna()
-    chars = items.agg(F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-chars // BLOCK_CHARS))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.expr("cast(array() as array<int>) spans"), F.expr("cast(array() as array<string>) items"))
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        rows = _scan(rows, Phrases([(r["item"], r["phrase"]) for r in block.collect()], window))
+    rows = _searched(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, "text", window)
 
     def finish(batches):
         for b in batches:
@@ -152,7 +167,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for doc, text, spans, found in b.itertuples(index=False):
                 spans = merged(spans[::2], spans[1::2]) if len(spans) else []
                 clean = without_spans(text, spans) if spans else text
-                out.append((doc, text, spans, sorted(set(found)), len(split_words(text)), sum(spans[1::2]) - sum(spans[::2]), clean))
+                out.append((doc, text, spans, in_order(found), len(split_words(text)), sum(spans[1::2]) - sum(spans[::2]), clean))
             yield pd.DataFrame(out, columns=["id", "text", "spans", "items", "n_words", "n_hit", "clean"])
 
     return rows.mapInPandas(finish, "id long, text string, spans array<int>, items array<string>, n_words long, n_hit long, clean string")
@@ -161,10 +176,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def cleaned(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns, with the spans of contamination() cut out of their texts; n_chars, if any, is counted anew.
 
-    Only documents with hits are joined; ids must be unique.
+    Texts are cut where they are searched: nothing is joined, and null or repeated ids are rows like others.
     """
-    hits = contamination(docs, benchmark, id_col, text_col, window).where("n_hit > 0").select(F.col("id").alias(id_col), F.col("clean").alias("_clean"))
-    out = docs.join(written(hits, "clean"), id_col, "left").withColumn(text_col, F.coalesce("_clean", text_col))
+    rows, names = _searched(docs, benchmark, text_col, window), docs.columns
+
+    def cut(batches):
+        for b in batches:
+            texts = []
+            for text, spans in zip(b.column(text_col).to_pylist(), b.column("_spans").to_pylist(), strict=True):
+                spans = merged(spans[::2], spans[1::2])
+                texts.append(without_spans(text, spans) if spans else text)
+            at = b.schema.get_field_index(text_col)
+            b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+            yield b.select(names)
+
+    out = rows.mapInArrow(cut, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast("long"))
     return out.select(docs.columns)

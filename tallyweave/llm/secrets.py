@@ -42,7 +42,7 @@ FORMATS = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY[\s\S]*|(?:AKIA|
 ASSIGNED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api_?-?key|access_?-?key|auth|credential|private_?-?key)\w*[\"']?\s*(?:=|:|=>|:=)\s*[\"']?\Z", re.I)
 STAND_INS = re.compile(r"example|sample|dummy|changeme|placeholder|your[_-]|test|xxxx|0000|1234|abcd", re.I)
 
-CANDIDATES = "id long, start int, stop int, label int, features array<double>"
+CANDIDATES = "start int, stop int, label int, features array<double>"
 
 
 def _fold(c: str) -> int:
@@ -176,9 +176,9 @@ def candidates(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 for start, stop in _places(text or ""):
                     value, before, after = text[start:stop], text[max(0, start - AROUND) : start], text[stop : stop + AROUND]
                     rows.append((doc, start, stop, weak_label(value, before), _features(value, before, after, path or "", lexicon)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATES.split(", ")])
+            yield pd.DataFrame(rows, columns=["id", *(c.split()[0] for c in CANDIDATES.split(", "))])
 
-    return docs.mapInPandas(each, CANDIDATES)
+    return docs.mapInPandas(each, f"id {docs.schema['id'].dataType.simpleString()}, {CANDIDATES}")
 
 
 def train(findings: DataFrame, max_findings: int = MAX_FINDINGS, trees: int = 20, depth: int = 8) -> RandomForestClassificationModel | None:
@@ -213,8 +213,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
 
 
 def redacted(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with the secrets of scan() replaced by mark, one mark where they overlap; other texts, and nulls, unchanged. Ids must be unique."""
-    spans = found.where("secret").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
+    """docs with the secrets of scan() replaced by mark, one mark where they overlap; other texts, and nulls, unchanged.
+
+    Ids must be unique and not null; masked() needs none.
+    """
+    spans = found.where("secret").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
     joined = docs.join(spans.withColumnRenamed("id", id_col), id_col, "left")
 
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -236,6 +239,16 @@ def redacted(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     return joined.withColumn(text_col, new).select(docs.columns)
 
 
+def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """docs, every row, with the secrets that scan() finds replaced: rows are told apart by id, text and path, so null and repeated ids serve.
+
+    Rows alike in all three have the same secrets.
+    """
+    parts = [F.struct(F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in (id_col, text_col, path_col)]
+    rows = docs.withColumn("_row", F.sha2(F.to_json(F.struct(*(p.alias(f"c{i}") for i, p in enumerate(parts)))), 256))
+    return redacted(rows, scan(rows, "_row", text_col, path_col), "_row", text_col).select(docs.columns)
+
+
 def op3(spark, sf_dir):
     from .common import table
 

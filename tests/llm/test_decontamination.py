@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from tallyweave.llm import decontamination
-from tallyweave.llm.decontamination import contamination
+from tallyweave.llm.decontamination import cleaned, contamination
 from tallyweave.llm.fmindex import FMIndex
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -76,3 +76,24 @@ def test_index_finds_every_place():
     for i, n in enumerate(lengths):
         want = [j for j in range(len(text) - n + 1) if (text[j : j + n] == phrases[i, :n]).all()]
         assert sorted(index.locate(np.arange(low[i], max(low[i], high[i])))) == want
+
+
+def test_null_ids_of_documents_and_items_are_worked(spark):
+    docs = spark.createDataFrame([(None, "keep one two three and four five", 9), (None, "alone", 9), (3, "one two three", 9), (3, "four five", 9), (4, None, None)], "doc_id long, text string, n_chars long")
+    items = spark.createDataFrame([(None, "one two three"), (8, "four five"), (None, "four five"), (9, None)], "item_id long, text string")
+    found = {(x.id, x.text): (x.n_hit, x["items"]) for x in contamination(docs, items).collect()}
+    assert found == {(None, "keep one two three and four five"): (5, ["8", None]), (None, "alone"): (0, []), (3, "one two three"): (3, [None]), (3, "four five"): (2, ["8", None]), (4, None): (0, [])}
+    out = sorted(((x.doc_id or 0, x.text, x.n_chars) for x in cleaned(docs, items).collect()), key=str)
+    assert out == sorted([(0, "keep  and ", 10), (0, "alone", 5), (3, "", 0), (3, "", 0), (4, None, None)], key=str)
+
+
+def test_query_agrees_with_its_sql_on_null_ids(spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame([(1, "keep one two three and four five"), (2, "one two three"), (3, "none"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "one two three"), (8, "four five"), (None, "four five"), (9, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = sorted(db.execute(decontamination.OP7_SQL).fetchall())
+    assert sorted(tuple(x) for x in decontamination.op7(spark, str(tmp_path)).collect()) == want

@@ -92,3 +92,15 @@ def test_places_stay_linear_and_cover_broken_keys():
     text = "secret: password = 'x y1' end"
     assert (text.index("x y1"), text.index("' end")) in secrets._places(text)
     assert len(secrets._places("token=" * 20000)) == 1
+
+
+def test_rows_without_an_id_are_masked(spark):
+    docs, _ = corpus(random.Random(9), 100)
+    docs = [(None if i % 2 else 7, *rest) for i, *rest in docs]
+    docs += [docs[0], (None, None, None, "e")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string, secret string").repartition(3)
+    out = secrets.masked(table)
+    assert out.columns == table.columns
+    texts = [x.text for x in out.collect()]
+    assert len(texts) == len(docs) and sum("[SECRET]" in (t or "") for t in texts) == 41
+    assert not any("AKIA" in (t or "") or "token = \"[0-9a-f]" in (t or "") for t in texts)
