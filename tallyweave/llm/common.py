@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,25 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def filesystem(path: str):
+    """(file system, path there) of a path of the shared folder, for tasks that read or write files by themselves."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Sets the rows of an Arrow batch for the jobs within, and puts the session's own value back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

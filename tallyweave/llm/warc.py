@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sampled, scratch_path
+from .common import filesystem, sampled, scratch_path
 
 # Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -101,12 +101,6 @@ def dictionary(pages: DataFrame) -> bytes:
         return b"".join(samples)[:DICTIONARY_BYTES] or b"<!DOCTYPE html><html><head>"
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes pages(page_id, url, html) as archives under path (any file system of pyarrow); returns (archive, records).
 
@@ -119,12 +113,12 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     groups = rows.groupBy("content").agg(F.max("page_id").alias("response"))
     ready = rows.join(groups, "content").sortWithinPartitions("page_id", "content", "url")
     shared = dictionary(pages)
-    base, root = _filesystem(path)
+    base, root = filesystem(path)
     base.create_dir(root, recursive=True)
 
     def each(batches):
         context = TaskContext.get()
-        files, root = _filesystem(path)
+        files, root = filesystem(path)
         compressor = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(shared), write_checksum=True)
         out, done, held, n, k = None, [], 0, 0, 0
         for b in batches:
@@ -201,7 +195,7 @@ def read_archives(archives: DataFrame, path: str, payloads: bool = True) -> Data
     """
 
     def each(batches):
-        files, root = _filesystem(path)
+        files, root = filesystem(path)
         for b in batches:
             for name in b["archive"]:
                 rows, held = [], 0
