@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters dropped at the ends of a cleaned text, and words always written in capitals.
@@ -32,6 +32,14 @@ CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œž
 CP1252_BYTES = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
 
 
+def own_columns(df: DataFrame) -> list[str]:
+    """df's columns; names that begin like an operator's own helper columns are refused."""
+    taken = [c for c in df.columns if c.startswith("_tw_")]
+    if taken:
+        raise ValueError(f"column names beginning with _tw_ are reserved: {', '.join(taken)}")
+    return df.columns
+
+
 def is_blank(c: Column) -> Column:
     """Null, empty or white space."""
     return c.isNull() | c.rlike(r"(?U)^\s*$")
