@@ -48,12 +48,12 @@ TEMPLATES = {
 }
 
 
-def bands_for(similarity: float, miss: float = MISS, most: int = 128) -> tuple[int, int]:
-    """(bands, rows): the most rows for which at most so many bands miss a pair of this similarity with probability miss."""
-    rows = 1
+def bands_for(similarity: float, miss: float = MISS, most: int = 128, rows: int = 4) -> tuple[int, int]:
+    """(bands, rows): the most rows, up to so many, for which at most so many bands miss a pair of this similarity with probability miss."""
+    most_rows, rows = rows, 1
     while True:
         bands = math.ceil(math.log(miss) / math.log1p(-(similarity ** (rows + 1)))) if similarity < 1 else 1
-        if bands > most or rows == 4:
+        if bands > most or rows == most_rows:
             break
         rows += 1
     return (math.ceil(math.log(miss) / math.log1p(-(similarity**rows))) if similarity < 1 else 1), rows

@@ -50,7 +50,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, shingle) for t in b["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"id": b["id"], "fp": fp})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(each, "id long, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(each, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _bit(p: str) -> str:
