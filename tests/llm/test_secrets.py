@@ -1,7 +1,7 @@
 import random
 
 from tallyweave.llm import secrets
-from tallyweave.llm.secrets import learn_lexicon, redacted, scan, weak_label
+from tallyweave.llm.secrets import Forest, fit, learn_lexicon, masked, planted, scan, train
 
 
 def corpus(r, n):
@@ -36,7 +36,7 @@ def test_forest_keeps_secrets_and_removes_false_positives(spark):
     flagged = {x.id: (x.start, x.stop) for x in found if x.secret and x.id < 1000}
     assert flagged == want
     assert {x.id for x in found if not x.secret} >= {i for i, *_ in docs if i < 600 and i % 5 in (2, 3)}
-    out = {x.doc_id: x.text for x in redacted(table, scan(table)).collect()}
+    out = {x.doc_id: x.text for x in masked(table).collect()}
     for i, text, *_ in docs:
         if i in want:
             assert out[i] == text[: want[i][0]] + "[SECRET]" + text[want[i][1] :]
@@ -45,10 +45,23 @@ def test_forest_keeps_secrets_and_removes_false_positives(spark):
     assert scan(table.limit(0)).collect() == []
 
 
-def test_labels():
-    assert weak_label("f7c8b4419544ffc2cf", "x password=") == 1
-    assert weak_label("example-0000-key", "token: ") == 0
-    assert weak_label("4737979070983470", "of the ") == 0
+def test_forest_scores_as_spark_does_and_holds_on_findings_held_apart(spark):
+    docs, _ = corpus(random.Random(12), 900)
+    rows = spark.createDataFrame([(i, t, p) for i, t, p, _ in docs], "id long, text string, path string").repartition(3)
+    lexicon = learn_lexicon(rows)
+    model = train(planted(rows, lexicon))
+    held = planted(rows, lexicon, seed=2).collect()
+    forest = Forest(model, spark)
+    seen = [x for x in held if x.features is not None]
+    scores = forest.scores([x.features for x in seen])
+    from pyspark.ml.linalg import Vectors
+
+    for x, s in list(zip(seen, scores, strict=True))[:40]:
+        assert abs(model.predictProbability(Vectors.dense(x.features))[1] - s) < 1e-9
+    caught = sum(x.label == 1 and s >= 0.5 for x, s in zip(seen, scores, strict=True))
+    wrong = sum(x.label == 0 and s >= 0.5 for x, s in zip(seen, scores, strict=True))
+    assert caught >= 0.9 * sum(x.label == 1 for x in held)
+    assert caught >= 0.9 * (caught + wrong)
 
 
 def test_lexicon_counts_every_document(spark, monkeypatch):
@@ -81,7 +94,7 @@ def test_whole_values_and_private_keys_are_found_and_masked(spark):
         docs.append((2000 + i, f"alpha {text} charlie", "conf", "e"))
         want[2000 + i] = "alpha [SECRET] charlie"
     table = spark.createDataFrame(docs, "doc_id long, text string, source string, secret string").repartition(3)
-    out = {x.doc_id: x.text for x in redacted(table, scan(table)).collect()}
+    out = {x.doc_id: x.text for x in masked(table).collect()}
     assert {i: out[i] for i in want} == want
 
 
