@@ -31,8 +31,10 @@ from .common import scratch_path, written
 
 #: Dictionary words, excerpts that findings are planted in, findings of each label for the forest, and distinct words that a task counts before it passes them on.
 DICTIONARY_WORDS, MAX_EXCERPTS, MAX_FINDINGS, COUNTED = 20000, 3000, 8000, 200000
-EXCERPT = 600
-THRESHOLD = 0.5
+#: Characters of an excerpt, and how often five findings are planted in it.
+EXCERPT, PLANTED = 600, 4
+#: A candidate is a secret from this score on: below one half, as a secret left in costs more than a word masked.
+THRESHOLD = 0.4
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{12,}={0,2}(?![A-Za-z0-9+/_\-])")
 WORD = re.compile(r"\w+")
 AROUND = 48
@@ -175,12 +177,17 @@ class Kinds:
     def some(self, letters: str, low: int, high: int | None = None) -> str:
         return "".join(self.r.choices(letters, k=self.r.randint(low, high or low)))
 
+    def word(self, words: list[str]) -> str:
+        """One of the words at hand, or one that no dictionary has."""
+        if self.r.random() < 0.6:
+            return self.r.choice(words)
+        return "".join(self.some("bcdfghjklmnprstvwz", 1) + self.some("aeiou", 1) + self.some("lnrst", 0, 1) for _ in range(self.r.randint(2, 4)))
+
     def password(self, words: list[str]) -> str:
-        r, alnum = self.r, string.ascii_letters + string.digits
-        word = "".join(c for c in r.choice(words) if c.isalnum()) or "pass"
+        r, alnum, word = self.r, string.ascii_letters + string.digits, self.word(words)
         leet = word.translate(str.maketrans("aeiost", "431057"))
         kinds = [self.some(alnum, 8, 24), self.some(alnum + "!@#$%^&*-_+?.", 8, 24), leet + self.some("!@#$%&*-_?", 1, 2) + self.some(string.digits, 1, 4), word.capitalize() + self.some(string.digits + "!#$&", 2, 6),
-                 word + r.choice(words)[:6] + self.some(string.digits, 0, 4), word[:8] + self.some(string.digits, 1, 2) + word[: r.randint(2, 6)], word[:8] + self.some(string.digits, 1, 2) + r.choice(words)[:6], " ".join([*r.sample(words, min(2, len(words))), self.some(alnum + "'", 1, 6)]), self.some(alnum + "!?#", 4, 7)]
+                 word + self.word(words)[:6] + self.some(string.digits, 0, 4), word[:8] + self.some(string.digits, 1, 2) + word[: r.randint(2, 6)], word[:8] + self.some(string.digits, 1, 2) + self.word(words)[:6], " ".join([*r.sample(words, min(2, len(words))), self.some(alnum + "'", 1, 6)]), self.some(alnum + "!?#", 4, 7)]
         return r.choice(kinds).replace('"', "").replace("\\", "").replace("\n", " ").strip()
 
     def secret(self, words: list[str]) -> tuple[str, bool]:
@@ -231,7 +238,7 @@ class Kinds:
 
     def harmless(self, words: list[str]) -> tuple[str, str, str]:
         r, hexes = self.r, "0123456789abcdef"
-        word = lambda: "".join(c for c in r.choice(words) if c.isalnum()) or "word"
+        word = lambda: self.word(words)
         bare = [
             self.some(string.digits, 12, 20), f"{self.some(string.digits, 3)}-{self.some(string.digits, 3)}-{self.some(string.digits, 4)}-{self.some(string.digits, 4)}", "-".join(self.some(hexes, n) for n in (8, 4, 4, 4, 12)),
             f"{word()}-{r.randrange(99)}-{word()}-{word()}", f"{word()}_{word()}_{r.randrange(1000)}", f"{word()}/{word()}/{word()}{r.randrange(100)}", f"20{self.some(string.digits, 2)}-0{r.randint(1, 9)}-1{r.randrange(10)}T10-{self.some(string.digits, 2)}-00",
@@ -265,7 +272,7 @@ def planted(docs: DataFrame, lexicon: Lexicon, excerpts: int = MAX_EXCERPTS, see
             rows = []
             for text, path, h in zip(b["text"], b["path"], b["h"], strict=True):
                 kinds, words = Kinds((h & 0xFFFFFFFF) * 31 + seed), [w for w in WORD.findall(text) if w.isalpha()] or ["word"]
-                for label in (0, 0, 1, 1, 0):
+                for label in (0, 0, 1, 1, 0) * PLANTED:
                     before, value, after = (kinds.offending if label else kinds.harmless)(words)
                     spots = [m.start() for m in re.finditer(r"\s", text)] or [len(text)]
                     spot = kinds.r.choice(spots)
@@ -296,7 +303,7 @@ def train(findings: DataFrame, max_findings: int = MAX_FINDINGS, trees: int = 24
     rows = written(parts[0].union(parts[1]).select("label", array_to_vector("features").alias("vector")), "findings")
     if rows.select("label").distinct().count() < 2:
         return None
-    return RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, maxBins=32, seed=7).fit(rows)
+    return RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=trees, maxDepth=depth, maxBins=32, featureSubsetStrategy="onethird", seed=7).fit(rows)
 
 
 class Forest:
@@ -346,7 +353,8 @@ class Scanner:
             return [[(a, b, float(bool(FORMATS.fullmatch(t[a:b])))) for a, b in own] for t, own in zip(texts, places, strict=True)]
         features = [_features_at(t, a, b, p or "", self.lexicon) for t, p, own in zip(texts, paths, places, strict=True) for a, b in own]
         scores = iter(self.forest.scores(features).tolist() if features else ())
-        return [[(a, b, next(scores)) for a, b in own] for own in places]
+        # a private key says what it is
+        return [[(a, b, max(next(scores), float(bool(PEM_BEGIN.match(t, a))))) for a, b in own] for t, own in zip(texts, places, strict=True)]
 
     def masked(self, text: str | None, found: list[tuple[int, int, float]], mark: str) -> str | None:
         """text with mark in place of its secrets, one mark where they overlap."""
