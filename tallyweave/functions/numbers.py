@@ -29,7 +29,8 @@ def clean_amount(c: Column, separator: Column) -> Column:
 def clean_quantity(c: Column, separator: Column) -> Column:
     """The first number in a text. Dashes become blanks first, so a minus sign is lost; without a number the text stays."""
     text = F.regexp_replace(trimmed(c), "[-‐-―−]", " ")
-    number = F.regexp_extract(text, r"\d[\d.,\s]*\d|\d", 0)
+    # runs of digits with blanks or one mark between them, or a fraction without a whole part
+    number = F.regexp_extract(text, r"\d++(?:\s*+[.,]?\s*+\d++)*|[.,]\s*\d+", 0)
     found = F.when(number != "", F.regexp_replace(number, r"\s+", "")).otherwise(text)
     return F.when(is_blank(c), c).otherwise(with_separator(found, separator))
 

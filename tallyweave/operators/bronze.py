@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions.text import mojibake_repaired, nullif_blank
+from tallyweave.functions.text import mojibake_repaired, nullif_blank, own_columns
 
 PAYLOAD = "struct<valueString:string,valueNumber:string,valueDate:string,valueCurrency:string,content:string,confidence:double>"
 LINE_ITEMS = f"array<struct<valueObject:map<string,{PAYLOAD}>>>"
@@ -54,15 +54,18 @@ def mark_duplicates(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows (content_hash, business_key) with duplicate_status, duplicate_of and match_type.
 
     Where equal hashes have equal business keys a group is one key: the first in order is PRIMARY. Rows without a key
-    are PRIMARY and match nothing. Groups are windows of their own copies; keyless rows stay out of any shared window.
+    are PRIMARY and match nothing. Only the first of each group of two or more meets its rows again, so no group is
+    gathered or sorted; a row whose order equals the first's is a primary too.
     """
-    group = F.coalesce(nullif_blank(F.col("business_key")), nullif_blank(F.col("content_hash")))
-    alone = F.concat_ws("\u0001", F.lit("alone"), *order)
-    w = Window.partitionBy(F.coalesce(group, alone)).orderBy(*order)
-    rows = rows.withColumn("_n", F.row_number().over(w)).withColumn("_hash", F.first_value("content_hash").over(w)).withColumn("_first", F.first_value(order[0]).over(w))
-    dup = group.isNotNull() & (F.col("_n") > 1)
-    kind = F.when(dup, F.when(F.col("content_hash") == F.col("_hash"), "CONTENT_HASH").otherwise("BUSINESS_KEY"))
-    return rows.withColumns({"duplicate_status": F.when(dup, "DUPLICATE").otherwise("PRIMARY"), "duplicate_of": F.when(dup, F.col("_first")), "match_type": kind}).drop("_n", "_hash", "_first")
+    kept = own_columns(rows)
+    rows = rows.withColumn("_tw_group", F.coalesce(nullif_blank(F.col("business_key")), nullif_blank(F.col("content_hash"))))
+    place = F.struct(*order)
+    groups = rows.where(F.col("_tw_group").isNotNull()).groupBy("_tw_group").agg(F.count("*").alias("_tw_n"), F.min(F.struct(place.alias("at"), F.col("content_hash").alias("hash"))).alias("_tw_first"))
+    out = rows.join(groups.where("_tw_n > 1").drop("_tw_n"), "_tw_group", "left")
+    dup = F.coalesce(place != F.col("_tw_first.at"), F.lit(False))
+    kind = F.when(dup, F.when(F.col("content_hash") == F.col("_tw_first.hash"), "CONTENT_HASH").otherwise("BUSINESS_KEY"))
+    marks = {"duplicate_status": F.when(dup, "DUPLICATE").otherwise("PRIMARY"), "duplicate_of": F.when(dup, F.col(f"_tw_first.at.{order[0]}")), "match_type": kind}
+    return out.withColumns(marks).select(*(c for c in kept if c not in marks), *marks)
 
 
 def split_duplicates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

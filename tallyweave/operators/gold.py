@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.functions.text import own_columns
 from tallyweave.functions.units import factor, to_kwh
 
 from .rollup import SHARE_KPIS, VALUE_KPIS
 
 GOLD_KEY = ["division", "legal_entity", "unit_name", "month", "KPI Component"]
 AMOUNTS = ("Amount of energy consumed", "Total amount of energy consumed", "solar_total_generation", "total_solar_consumed")
-SOURCE = ["account_number", "supplier_name", "Original Energy Unit"]
+#: What tells two sources of a gold row apart: manual entries, other splits and other files are sources of their own.
+SOURCE = ["account_number", "supplier_name", "Original Energy Unit", "flow", "split_digest", "source_files"]
 
 
 def gold_template(template: DataFrame) -> DataFrame:
@@ -25,21 +27,33 @@ def gold_template(template: DataFrame) -> DataFrame:
 def gold_aggregated(gold: DataFrame) -> DataFrame:
     """One row a facility, month and component. Solar KPIs stay out of the total; shares are weighted anew by amounts.
 
-    Solar amounts and component counts repeat on every KPI row of a source, so they are summed over sources, each once.
+    Solar amounts and component counts repeat on every KPI row of a source, so rows are first summed by source, and sources then by
+    key: one pass, without a join. source_file_count counts distinct files, told apart without case, over all sources.
     """
-    kwh = gold.where(F.lower("energy_unit") == "kwh")
-    amount, counted = F.col("Amount of energy consumed"), ~F.col("Energy KPI").isin(*VALUE_KPIS.values())
-    total = F.sum(F.when(counted, amount))
-    sums = kwh.groupBy(*GOLD_KEY).agg(
-        total.alias("Amount of energy consumed"),
-        total.alias("Total amount of energy consumed"),
-        *(F.try_divide(F.sum(F.when(F.col("Energy KPI") == k, amount)), total).alias(c) for c, k in SHARE_KPIS.items()),
-        F.array_join(F.array_sort(F.collect_set("Energy KPI")), "; ").alias("Energy KPI"),
+    own_columns(gold)
+    kwh = gold.where(F.lower(F.trim("energy_unit")) == "kwh")
+    amount, kpi = F.col("Amount of energy consumed"), F.col("Energy KPI")
+    kpis = [*SHARE_KPIS.values(), *VALUE_KPIS.values()]
+    by_source = kwh.groupBy(*GOLD_KEY, *SOURCE).agg(
+        *(F.sum(F.when(kpi == k, amount)).alias(f"_tw_{i}") for i, k in enumerate(kpis)),
+        *(F.max(kpi == k).alias(f"_tw_has_{i}") for i, k in enumerate(kpis)),
+        *(F.max(c).alias(c) for c in ("solar_total_generation", "total_solar_consumed", "proration_component_count")),
     )
-    once = kwh.groupBy(*GOLD_KEY, *SOURCE).agg(F.max("solar_total_generation").alias("g"), F.max("total_solar_consumed").alias("s"), F.max("proration_component_count").alias("n"), F.max("source_file_count").alias("f"))
-    solar = once.groupBy(*GOLD_KEY).agg(F.sum("g").alias("solar_total_generation"), F.sum("s").alias("total_solar_consumed"), F.sum("n").alias("proration_component_count"), F.sum("f").alias("source_file_count"))
-    same = [sums[k].eqNullSafe(solar[k]) for k in GOLD_KEY]
-    cond = same[0]
-    for c in same[1:]:
-        cond &= c
-    return sums.join(solar, cond).select(*(sums[c] for c in sums.columns), *(solar[c] for c in solar.columns if c not in GOLD_KEY))
+    # a source's numbers stand on the row of its first file only
+    files = by_source.select("*", F.posexplode_outer("source_files").alias("_tw_at", "_tw_file"))
+    once = lambda c: F.sum(F.when(F.coalesce("_tw_at", F.lit(0)) == 0, F.col(c)))
+    shares = list(enumerate(SHARE_KPIS))
+    sums = files.groupBy(*GOLD_KEY).agg(
+        *(once(f"_tw_{i}").alias(f"_tw_{i}") for i, _ in shares),
+        *(F.max(f"_tw_has_{i}").alias(f"_tw_has_{i}") for i in range(len(kpis))),
+        *(once(c).alias(c) for c in ("solar_total_generation", "total_solar_consumed", "proration_component_count")),
+        F.countDistinct(F.lower("_tw_file")).alias("source_file_count"),
+    )
+    present = F.when(F.greatest(*(F.col(f"_tw_{i}").isNotNull() for i, _ in shares)), sum((F.coalesce(f"_tw_{i}", F.lit(0.0)) for i, _ in shares), F.lit(0.0)))
+    named = F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"_tw_has_{i}"), k) for i, k in enumerate(kpis)))))
+    sums = sums.withColumn("Total amount of energy consumed", present)
+    total = F.col("Total amount of energy consumed")
+    return sums.select(
+        *GOLD_KEY, total.alias("Amount of energy consumed"), total, *(F.try_divide(F.coalesce(f"_tw_{i}", F.lit(0.0)), total).alias(c) for i, c in shares),
+        F.array_join(named, "; ").alias("Energy KPI"), "solar_total_generation", "total_solar_consumed", "proration_component_count", "source_file_count",
+    )

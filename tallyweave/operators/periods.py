@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.dates import inclusive_days
-from tallyweave.functions.text import is_blank, lookup_text, trimmed
+from tallyweave.functions.text import is_blank, own_columns, trimmed
 
 SEQUENCE = ("division", "legal_entity", "unit_name", "supplier_name", "account_number", "activity_group")
-# How adjustments are written; the minus is U+2212.
+# How adjustments and resolutions are written; the minus is U+2212.
 END_LESS, START_MORE = "End −1 day", "Start +1 day"
+INVALID, OVERLAP, SINGLE, MONTH_START, MONTH_END = "Invalid dates", "Overlap", "Single day", "Month-start dates", "Month-end dates"
+SHARED, CONSECUTIVE, GAP, PATTERN, ALONE = "Shared date", "Consecutive dates", "Gap", "Previous invoice pattern", "Insufficient history"
 
 
 def stacked(df: DataFrame, groups: list[dict[str, str]], common: list[str]) -> DataFrame:
@@ -32,24 +34,25 @@ def _sequences(df: DataFrame) -> DataFrame:
     linked = valid & ~is_blank(F.col("account_number")) & (is_blank(F.col("mapping_status")) | (F.col("mapping_status") == "MAPPED"))
     key = F.concat_ws("\u0001", *(F.lower(F.coalesce(trimmed(F.col(c)), F.lit(""))) for c in SEQUENCE))
     alone = F.concat_ws("\u0001", F.lit("alone"), "row_id", "period_index")
-    return df.withColumn("_valid", F.coalesce(valid, F.lit(False))).withColumn("_seq", F.when(linked, key).otherwise(alone))
+    own_columns(df)
+    return df.withColumns({"_tw_valid": F.coalesce(valid, F.lit(False)), "_tw_seq": F.when(linked, key).otherwise(alone)})
 
 
 def overlap_flags(df: DataFrame) -> DataFrame:
-    """df with _valid, _seq and conflict: whether a period overlaps another of its sequence by more than one shared end date.
+    """df with conflict, whether a period overlaps another of its sequence by more than one shared end date, and the helpers of the sequence.
 
-    Rows without an account, unmapped rows and invalid dates are sequences of their own, so they never share a partition.
+    Rows without an account, unmapped rows and invalid dates are sequences of their own, so they never share a partition. Both
+    running bounds grow along their frame, forwards and backwards, so a sequence takes time in proportion to its length.
     """
     rows = _sequences(df)
-    order = Window.partitionBy("_seq").orderBy("start", "end", "row_id", "period_index")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    order = Window.partitionBy("_tw_seq").orderBy("start", "end", "row_id", "period_index")
+    back = Window.partitionBy("_tw_seq").orderBy(F.desc("start"), F.desc("end"), F.desc("row_id"), F.desc("period_index"))
     start, end = F.col("start"), F.col("end")
-    reach = F.max("end").over(before)
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    single = F.min(F.when(start == end, start)).over(back.rowsBetween(Window.unboundedPreceding, -1))
     own = (reach > start) | (F.lag("start").over(order) == start) | ((start == end) & (reach >= start))
-    single = F.min(F.when(start == end, start)).over(after)
     partner = (F.lead("start").over(order) < end) | (F.lead("start").over(order) == start) | (single <= end)
-    flag = F.col("_valid") & (F.coalesce(own, F.lit(False)) | F.coalesce(partner, F.lit(False)))
-    return rows.withColumn("conflict", flag)
+    return rows.withColumn("conflict", F.col("_tw_valid") & (F.coalesce(own, F.lit(False)) | F.coalesce(partner, F.lit(False))))
 
 
 def resolve_dates(df: DataFrame) -> DataFrame:
@@ -57,68 +60,80 @@ def resolve_dates(df: DataFrame) -> DataFrame:
 
     df has row_id, period_index, the sequence columns, mapping_status, start and end; all flows resolve as one history.
     """
-    order = Window.partitionBy("_seq").orderBy("start", "end", "row_id", "period_index")
+    order = Window.partitionBy("_tw_seq").orderBy("start", "end", "row_id", "period_index")
     ref = F.struct("start", "end", "conflict", F.concat(F.col("row_id"), F.lit(" (period "), F.col("period_index"), F.lit(")")).alias("ref"))
-    rows = overlap_flags(df).withColumn("_next", F.lead(ref).over(order)).withColumn("_prev", F.lag(ref).over(order))
-    start, end, nxt, prev = F.col("start"), F.col("end"), F.col("_next"), F.col("_prev")
+    rows = overlap_flags(df).withColumn("_tw_next", F.lead(ref).over(order)).withColumn("_tw_prev", F.lag(ref).over(order))
+    start, end, nxt, prev = F.col("start"), F.col("end"), F.col("_tw_next"), F.col("_tw_prev")
     shares = (nxt["start"] == end) & (start < end)
     shared = (start == prev["end"]) & (start < end)
     label = (
-        F.when(~F.col("_valid"), "Invalid dates")
-        .when(F.col("conflict"), "Overlap")
-        .when(start == end, "Single day")
-        .when((F.dayofmonth(start) == 1) & (F.dayofmonth(end) == 1), "Month-start dates")
-        .when((start == F.last_day(start)) & (end == F.last_day(end)), "Month-end dates")
-        .when(nxt.isNotNull() & nxt["conflict"], "Overlap")
-        .when(nxt.isNotNull() & shares, "Shared date")
-        .when(nxt.isNotNull() & (nxt["start"] == F.date_add(end, 1)), "Consecutive dates")
-        .when(nxt.isNotNull(), "Gap")
-        .when(prev.isNotNull() & prev["conflict"], "Overlap")
-        .when(prev.isNotNull() & (shared | (start == F.date_add(prev["end"], 1))), "Previous invoice pattern")
-        .when(prev.isNotNull(), "Gap")
-        .otherwise("Insufficient history")
+        F.when(~F.col("_tw_valid"), INVALID)
+        .when(F.col("conflict"), OVERLAP)
+        .when(start == end, SINGLE)
+        .when((F.dayofmonth(start) == 1) & (F.dayofmonth(end) == 1), MONTH_START)
+        .when((start == F.last_day(start)) & (end == F.last_day(end)), MONTH_END)
+        .when(nxt.isNotNull() & nxt["conflict"], OVERLAP)
+        .when(nxt.isNotNull() & shares, SHARED)
+        .when(nxt.isNotNull() & (nxt["start"] == F.date_add(end, 1)), CONSECUTIVE)
+        .when(nxt.isNotNull(), GAP)
+        .when(prev.isNotNull() & prev["conflict"], OVERLAP)
+        .when(prev.isNotNull() & (shared | (start == F.date_add(prev["end"], 1))), PATTERN)
+        .when(prev.isNotNull(), GAP)
+        .otherwise(ALONE)
     )
     rows = rows.withColumn("date_resolution", label)
     r = F.col("date_resolution")
-    less = r.isin("Month-start dates", "Shared date") | ((r == "Previous invoice pattern") & shared)
-    fixed = ~F.col("_valid") | F.col("conflict") | r.isin("Single day", "Month-start dates", "Month-end dates")
+    less = r.isin(MONTH_START, SHARED) | ((r == PATTERN) & shared)
+    fixed = ~F.col("_tw_valid") | F.col("conflict") | r.isin(SINGLE, MONTH_START, MONTH_END)
     rows = (
-        rows.withColumn("date_adjustment", F.when(less, END_LESS).when(r == "Month-end dates", START_MORE).otherwise("None"))
+        rows.withColumn("date_adjustment", F.when(less, END_LESS).when(r == MONTH_END, START_MORE).otherwise("None"))
         .withColumn("effective_start", F.when(F.col("date_adjustment") == START_MORE, F.date_add(start, 1)).otherwise(start))
         .withColumn("effective_end", F.when(F.col("date_adjustment") == END_LESS, F.date_sub(end, 1)).otherwise(end))
-        .withColumn("date_provisional", ~r.isin("Single day", "Month-start dates", "Month-end dates", "Shared date", "Consecutive dates"))
+        .withColumn("date_provisional", ~r.isin(SINGLE, MONTH_START, MONTH_END, SHARED, CONSECUTIVE))
         .withColumn("resolution_reference", F.when(~fixed, F.coalesce(nxt["ref"], prev["ref"])))
     )
-    return rows.drop("_valid", "_seq", "_next", "_prev", "conflict")
+    return rows.drop("_tw_valid", "_tw_seq", "_tw_next", "_tw_prev", "conflict")
 
 
-def month_split(df: DataFrame, start: str = "effective_start", end: str = "effective_end", quantity: str = "quantity") -> DataFrame:
-    """One row a month that a valid period touches: month, split_start, split_end, split_days, total_days, split_quantity."""
+def month_split(df: DataFrame, start: str = "effective_start", end: str = "effective_end", quantity: str = "quantity", keep_unsplit: bool = False) -> DataFrame:
+    """One row a month that a valid period touches: month, split_start, split_end, split_days, total_days, split_quantity.
+
+    keep_unsplit: periods without valid dates or quantity stay as one row, with null in these columns.
+    """
     s, e = F.col(start), F.col(end)
-    usable = df.where(s.isNotNull() & e.isNotNull() & (e >= s) & F.col(quantity).isNotNull())
-    rows = usable.withColumn("month", F.explode(F.sequence(F.trunc(s, "MM"), e, F.expr("interval 1 month"))))
-    rows = rows.withColumn("split_start", F.greatest(s, "month")).withColumn("split_end", F.least(e, F.last_day("month")))
-    rows = rows.withColumn("split_days", inclusive_days(F.col("split_start"), F.col("split_end"))).withColumn("total_days", inclusive_days(s, e))
+    usable = s.isNotNull() & e.isNotNull() & (e >= s) & F.col(quantity).isNotNull()
+    months = F.sequence(F.trunc(s, "MM"), e, F.expr("interval 1 month"))
+    rows = df.withColumn("month", F.explode_outer(F.when(usable, months))) if keep_unsplit else df.where(usable).withColumn("month", F.explode(months))
+    there = lambda c: F.when(F.col("month").isNotNull(), c) if keep_unsplit else c
+    rows = rows.withColumns({"split_start": there(F.greatest(s, "month")), "split_end": there(F.least(e, F.last_day("month")))})
+    rows = rows.withColumns({"split_days": inclusive_days(F.col("split_start"), F.col("split_end")), "total_days": there(inclusive_days(s, e))})
     return rows.withColumn("split_quantity", F.col(quantity) / F.col("total_days") * F.col("split_days"))
 
 
 def covered_days(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """keys with covered_days, the length of the union of their inclusive intervals, and islands, how many it has."""
-    valid = df.where(F.col(end) >= F.col(start)).select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).distinct()
-    order = Window.partitionBy(*keys).orderBy("_s", "_e")
-    reach = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("_s") > F.date_add(reach, 1)), 1).otherwise(0)
-    islands = valid.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = islands.groupBy(*keys, "_island").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
-    return spans.groupBy(*keys).agg(F.sum(inclusive_days(F.col("_s"), F.col("_e"))).alias("covered_days"), F.count("*").alias("islands"))
+    own_columns(df)
+    valid = df.where(F.col(end) >= F.col(start)).select(*keys, F.col(start).alias("_tw_s"), F.col(end).alias("_tw_e")).distinct()
+    order = Window.partitionBy(*keys).orderBy("_tw_s", "_tw_e")
+    reach = F.max("_tw_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reach.isNull() | (F.col("_tw_s") > F.date_add(reach, 1)), 1).otherwise(0)
+    islands = valid.withColumn("_tw_new", new).withColumn("_tw_island", F.sum("_tw_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = islands.groupBy(*keys, "_tw_island").agg(F.min("_tw_s").alias("_tw_s"), F.max("_tw_e").alias("_tw_e"))
+    return spans.groupBy(*keys).agg(F.sum(inclusive_days(F.col("_tw_s"), F.col("_tw_e"))).alias("covered_days"), F.count("*").alias("islands"))
 
 
 def day_coverage(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """keys, month with covered_days and overlapping_days (days in two periods or more)."""
-    rows = df.where(F.col(end) >= F.col(start)).withColumn("day", F.explode(F.sequence(F.col(start), F.col(end))))
-    days = rows.groupBy(*keys, "day").agg(F.count("*").alias("n"))
-    return days.groupBy(*keys, F.trunc("day", "MM").alias("month")).agg(F.count("*").alias("covered_days"), F.count_if(F.col("n") > 1).alias("overlapping_days"))
+    """keys, month with covered_days and overlapping_days (days in two periods or more).
 
-
-def normalised_keys(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: lookup_text(F.col(c)) for c in columns})
+    Periods are two events each, one more and one fewer; events of a day are summed before they are ordered, so a span between
+    two event days is one row however long it is, cut only where a month ends. Null keys are a key like others.
+    """
+    own_columns(df)
+    valid = df.where(F.col(end) >= F.col(start))
+    edges = F.array(F.struct(F.col(start).alias("d"), F.lit(1).alias("n")), F.struct(F.date_add(end, 1).alias("d"), F.lit(-1).alias("n")))
+    events = valid.select(*keys, F.explode(edges).alias("_tw_e")).groupBy(*keys, F.col("_tw_e.d").alias("_tw_d")).agg(F.sum("_tw_e.n").alias("_tw_n"))
+    order = Window.partitionBy(*keys).orderBy("_tw_d")
+    spans = events.withColumns({"_tw_open": F.sum("_tw_n").over(order), "_tw_to": F.date_sub(F.lead("_tw_d").over(order), 1)}).where("_tw_open > 0")
+    cut = spans.withColumn("month", F.explode(F.sequence(F.trunc("_tw_d", "MM"), "_tw_to", F.expr("interval 1 month"))))
+    days = inclusive_days(F.greatest("_tw_d", "month"), F.least("_tw_to", F.last_day("month"))).cast("long")
+    return cut.groupBy(*keys, "month").agg(F.sum(days).alias("covered_days"), F.sum(F.when(F.col("_tw_open") > 1, days).otherwise(0)).alias("overlapping_days"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.text import lookup_text
+from tallyweave.functions.text import is_blank, lookup_text, nullif_blank, own_columns, trimmed
 from tallyweave.functions.units import factor
 
 MONTHLY_KEY = ["division", "legal_entity", "unit_name", "supplier_name", "account_number", "activity_group", "energy_unit", "month"]
@@ -13,34 +13,62 @@ SHARES = ("fossil_fuel_%", "renewable_energy_%", "nuclear_%")
 # The KPI each share or amount becomes; the last two serve electricity only and stay out of totals.
 SHARE_KPIS = dict(zip(SHARES, ("Fossil Fuels", "Renewable sources", "Nuclear sources"), strict=True))
 VALUE_KPIS = {"solar_total_generation": "Renewable energy production", "total_solar_consumed": "Consumption of self-generated non-fuel renewable energy"}
+# What is wrong with the shares of a row.
+MISSING_SHARES = "missing allocation percentages"
+OUTSIDE_SHARES = "allocation percentages must be fractions between 0 and 1"
+UNEQUAL_SHARES = "allocation percentages must total 1 (100%)"
+
+
+def in_first_order(items: Column, key=lambda x: x) -> Column:
+    """The distinct values of an array in the order they first appear, told apart by key(value)."""
+    keys = F.transform(items, key)
+    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
 
 
 def joined_distinct(value: Column, order: Column, separator: str = "; ") -> Column:
-    """Distinct values of a group in the order they first appear, joined."""
-    items = F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v"))))), lambda x: x["v"])
-    return F.concat_ws(separator, F.array_distinct(items))
+    """Distinct values of a group in the order they first appear, joined; case counts."""
+    return F.concat_ws(separator, F.array_distinct(_ordered(value, order)))
+
+
+def joined_parts(value: Column, order: Column, separator: str = "; ") -> Column:
+    """Distinct parts of a group's texts, which may hold several between semicolons, joined in order; the first spelling of a part stays."""
+    parts = F.flatten(F.transform(_ordered(value, order), lambda v: F.transform(F.split(v, ";"), trimmed)))
+    return F.concat_ws(separator, in_first_order(F.filter(parts, lambda x: x != ""), F.lower))
 
 
 def first_in_order(value: Column, order: Column) -> Column:
-    """The first value of a group that is not null."""
-    return F.min_by(value, F.when(value.isNotNull(), order))
+    """The first value of a group that is not blank."""
+    return F.min_by(value, F.when(~is_blank(value.cast("string")), order))
+
+
+def _ordered(value: Column, order: Column) -> Column:
+    pairs = F.collect_list(F.when(~is_blank(value.cast("string")), F.struct(order.alias("o"), value.alias("v"))))
+    return F.transform(F.array_sort(pairs), lambda x: x["v"])
+
+
+def passes_mapping_gate() -> Column:
+    """Whether a row may be billed: its mapping_status is blank or MAPPED."""
+    return is_blank(F.col("mapping_status")) | (F.col("mapping_status") == "MAPPED")
 
 
-def monthly_rollup(splits: DataFrame) -> DataFrame:
-    """Sums, lineage and coverage of the splits of an account and month.
+def monthly_rollup(splits: DataFrame, extra_keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sums and coverage of the billable splits of an account and month (and extra keys), with a digest of the splits and their files.
 
-    Covered days count each day once: splits lie within one month, so at most 31 day numbers are kept for a group.
+    Rows that are not mapped are left out: splits keep them, amounts must not. Covered days count each day once: splits lie within
+    one month, so at most 31 day numbers are kept for a group. The digest does not depend on order; operators.lineage has the splits themselves.
     """
     days = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.dayofmonth("split_start"), F.dayofmonth("split_end"))))))
-    out = splits.groupBy(*MONTHLY_KEY).agg(
+    files = F.array_sort(F.collect_set(nullif_blank(F.col("invoice_id"))))
+    out = splits.where(passes_mapping_gate()).groupBy(*MONTHLY_KEY, *extra_keys).agg(
         F.sum("split_quantity").alias("monthly_consumption"),
         F.count("*").alias("proration_component_count"),
-        F.countDistinct("invoice_id").alias("source_file_count"),
+        files.alias("source_files"),
+        F.bit_xor(F.xxhash64("row_id", "split_start", "split_end")).alias("split_digest"),
         F.min("row_id").alias("first_row_id"),
         days.alias("covered_days_in_month"),
     )
-    out = out.withColumn("calendar_days_in_month", F.dayofmonth(F.last_day("month")))
-    return out.withColumn("complete_month_data_captured", F.col("covered_days_in_month") == F.col("calendar_days_in_month"))
+    out = out.withColumns({"source_file_count": F.size("source_files").cast("long"), "calendar_days_in_month": F.dayofmonth(F.last_day("month"))})
+    return out.withColumn("complete_month_data_captured", F.col("covered_days_in_month") >= F.col("calendar_days_in_month"))
 
 
 def allocation_issue() -> Column:
@@ -52,15 +80,16 @@ def allocation_issue() -> Column:
         outside |= (s < 0) | F.isnan(s)
     total = F.abs(shares[0] + shares[1] + shares[2] - 1) > 1e-6
     return (
-        F.when(missing, "missing allocation percentages")
-        .when(outside, "allocation percentages must be fractions between 0 and 1")
-        .when(total, "allocation percentages must total 1 (100%)")
+        F.when(missing, MISSING_SHARES)
+        .when(outside, OUTSIDE_SHARES)
+        .when(total, UNEQUAL_SHARES)
         .otherwise("")
     )
 
 
 def business_rows(monthly: DataFrame) -> DataFrame:
     """Template columns and the issue that keeps a row from being reported. monthly has shares, lookup_issue and solar amounts."""
+    own_columns(monthly)
     electric = lookup_text(F.col("activity_group")) == "electricity"
     solar = F.col("solar_total_generation") - F.coalesce("solar_export", F.lit(0.0))
     issue = F.concat_ws(
@@ -76,7 +105,7 @@ def business_rows(monthly: DataFrame) -> DataFrame:
         "KPI Component": F.concat(F.lit("Purchased "), F.lower("activity_group")),
         "total_solar_consumed": F.when(electric, solar),
         "solar_total_generation": F.when(electric, F.col("solar_total_generation")),
-        "_electric": electric,
+        "_tw_electric": electric,
     })
 
 
@@ -86,9 +115,9 @@ def kpi_template(business: DataFrame) -> DataFrame:
     shares = [F.struct(F.lit(k).alias("kpi"), (total * F.col(f"`{c}`")).alias("amount")) for c, k in SHARE_KPIS.items()]
     values = [F.struct(F.lit(k).alias("kpi"), F.col(c).cast("double").alias("amount")) for c, k in VALUE_KPIS.items()]
     none = F.array(F.struct(F.lit(None).cast("string").alias("kpi"), F.lit(None).cast("double").alias("amount")))
-    all_rows = F.when(F.col("business_mapping_issue") != "", none).when(F.col("_electric"), F.array(*shares, *values)).otherwise(F.array(*shares))
-    rows = business.withColumn("_k", F.explode(all_rows))
-    return rows.withColumns({"Energy KPI": F.col("_k.kpi"), "Amount of energy consumed": F.col("_k.amount"), "Total amount of energy consumed": total}).drop("_k", "_electric", "monthly_consumption")
+    all_rows = F.when(F.col("business_mapping_issue") != "", none).when(F.col("_tw_electric"), F.array(*shares, *values)).otherwise(F.array(*shares))
+    rows = business.withColumn("_tw_k", F.explode(all_rows))
+    return rows.withColumns({"Energy KPI": F.col("_tw_k.kpi"), "Amount of energy consumed": F.col("_tw_k.amount"), "Total amount of energy consumed": total}).drop("_tw_k", "_tw_electric", "monthly_consumption")
 
 
 def template_output(template: DataFrame) -> DataFrame:

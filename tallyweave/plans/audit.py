@@ -20,44 +20,57 @@ def different(a: Column, b: Column, unit_factor: Column) -> Column:
     return F.coalesce(F.abs(a - b) > limit, F.lit(True))
 
 
-def _case(df: DataFrame, issue: str, month: Column) -> DataFrame:
-    return df.select(F.lit(issue).alias("issue"), month.alias("month"), F.col("period_id"))
+# What a case is called.
+MAPPING, INPUTS, UNIT = "Missing mapping", "Invalid invoice inputs", "Unsupported energy unit"
+RECONCILIATION, REPEATED, CALCULATION, MONTH = "Invoice reconciliation", "Missing or repeated allocation", "Allocation calculation", "Invalid allocation month"
+UNCOVERED, OVERLAPPING = "Missing coverage", "Overlapping billing periods"
 
+PERIOD = ["period_id", *FACILITY, "account_number", "activity_group", "mapping_status", "start", "end", "quantity", "energy_unit"]
+ALLOCATION = ["month", "split_start", "split_end", "split_days", "split_quantity"]
 
-def allocation_cases(periods: DataFrame, allocations: DataFrame, months: tuple[str, str]) -> DataFrame:
+
+def allocation_cases(periods: DataFrame, allocations: DataFrame) -> DataFrame:
     """(issue, month, period_id) of every fault. Facility filters may come before; month filters only after.
 
-    periods: period_id, facility, account_number, activity_group, mapping_status, start, end, quantity, energy_unit.
-    allocations: period_id, month, split_start, split_end, split_days, split_quantity.
+    periods has the columns PERIOD, allocations has period_id and ALLOCATION; an allocation of no period is left to split_faults().
     """
-    label = F.coalesce(F.date_format("start", "yyyy-MM"), F.lit("Unknown period"))
-    valid_dates = F.coalesce(F.col("end") >= F.col("start"), F.lit(False))
+    return joined_cases(periods.select(*PERIOD).join(allocations.select("period_id", *ALLOCATION), "period_id", "left"))
+
+
+def joined_cases(rows: DataFrame) -> DataFrame:
+    """allocation_cases() of periods that already stand beside their allocations, one row each; a period without any has nulls in ALLOCATION.
+
+    Rows of a period meet once, in one aggregate, that gives the list of its issues.
+    """
+    start, end, month, f = F.col("start"), F.col("end"), F.col("month"), factor(F.col("energy_unit"))
+    dated = F.coalesce(end >= start, F.lit(False))
+    low, high = F.greatest(start, month), F.least(end, F.last_day(month))
+    days = inclusive_days(low, high)
+    share = F.col("quantity") / inclusive_days(start, end) * days
+    outside = (month != F.trunc(month, "MM")) | (month < F.trunc(start, "MM")) | (month > end)
+    wrong = (F.col("split_start") != low) | (F.col("split_end") != high) | (F.col("split_days") != days) | different(F.col("split_quantity"), share, f)
+    listed = F.when(month.isNotNull(), F.struct(month.alias("month"), F.coalesce(outside, F.lit(True)).alias("outside"), F.coalesce(wrong, F.lit(True)).alias("wrong")))
+    p = rows.groupBy(*PERIOD).agg(F.sum("split_quantity").alias("allocated"), F.count("month").alias("n"), F.sort_array(F.collect_set(listed)).alias("lines"))
     blank = is_blank(F.col("account_number"))
     for c in FACILITY:
         blank |= is_blank(F.col(c))
-    p = periods.withColumn("factor", factor(F.col("energy_unit")))
-    unmapped = p.where(blank | F.coalesce(F.col("mapping_status") != "MAPPED", F.lit(True)))
-    invalid = p.where(~valid_dates | F.col("quantity").isNull())
-    unsupported = p.where(F.col("factor").isNull())
-    sound = p.where(valid_dates & F.col("quantity").isNotNull())
-    sums = allocations.groupBy("period_id").agg(F.sum("split_quantity").alias("allocated"), F.count("*").alias("n"), F.sort_array(F.collect_set("month")).alias("months"))
-    full = sound.join(sums, "period_id", "left")
-    unequal = full.where(F.col("n").isNull() | different(F.col("allocated"), F.col("quantity"), F.col("factor")))
-    want = F.sequence(F.trunc("start", "MM"), F.trunc("end", "MM"), F.expr("interval 1 month"))
-    repeated = full.where(F.coalesce((F.col("n") != F.size(want)) | (F.col("months") != want), F.lit(True)))
-    lines = sound.join(allocations, "period_id")
-    low, high = F.greatest(F.col("start"), F.col("month")), F.least(F.col("end"), F.last_day("month"))
-    days = inclusive_days(low, high)
-    share = F.col("quantity") / inclusive_days(F.col("start"), F.col("end")) * days
-    wrong = lines.where((F.col("split_start") != low) | (F.col("split_end") != high) | (F.col("split_days") != days) | different(F.col("split_quantity"), share, F.col("factor")))
-    return (
-        _case(unmapped, "Missing mapping", label)
-        .union(_case(invalid, "Invalid invoice inputs", label))
-        .union(_case(unsupported, "Unsupported energy unit", label))
-        .union(_case(unequal, "Invoice reconciliation", label))
-        .union(_case(repeated, "Missing or repeated allocation", label))
-        .union(_case(wrong, "Allocation calculation", F.date_format("month", "yyyy-MM")))
-    )
+    sound = dated & F.col("quantity").isNotNull()
+    label = F.coalesce(F.date_format(start, "yyyy-MM"), F.lit("Unknown period"))
+    want = F.sequence(F.trunc(start, "MM"), F.trunc(end, "MM"), F.expr("interval 1 month"))
+    got = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["month"])))
+    found = {
+        MAPPING: blank | F.coalesce(F.col("mapping_status") != "MAPPED", F.lit(True)),
+        INPUTS: ~sound,
+        UNIT: f.isNull(),
+        RECONCILIATION: sound & ((F.col("n") == 0) | different(F.col("allocated"), F.col("quantity"), f)),
+        REPEATED: F.when(sound, F.coalesce((F.col("n") != F.size(want)) | (got != want), F.lit(True))).otherwise(F.lit(False)),
+    }
+    own = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(issue).alias("issue"), label.alias("month"))) for issue, test in found.items())))
+    named = lambda issue: lambda x: F.struct(F.lit(issue).alias("issue"), F.date_format(x["month"], "yyyy-MM").alias("month"))
+    strange = F.transform(F.filter("lines", lambda x: x["outside"]), named(MONTH))
+    bad = F.transform(F.filter("lines", lambda x: ~x["outside"] & x["wrong"]), named(CALCULATION))
+    lines = F.when(sound, F.concat(strange, bad)).otherwise(F.array().cast("array<struct<issue: string, month: string>>"))
+    return p.select("period_id", F.explode(F.concat(own, lines)).alias("x")).select("x.issue", "x.month", "period_id")
 
 
 def coverage_cases(periods: DataFrame, first: str, last: str) -> DataFrame:
@@ -74,7 +87,7 @@ def coverage_cases(periods: DataFrame, first: str, last: str) -> DataFrame:
         same &= grid[k].eqNullSafe(got[k])
     rows = grid.join(got, same, "left").select(*(grid[c] for c in [*key, "month"]), F.coalesce("covered_days", F.lit(0)).alias("covered"), F.coalesce("overlapping_days", F.lit(0)).alias("over"))
     missing = F.dayofmonth(F.last_day("month")) - F.col("covered")
-    kinds = F.array(F.struct(F.lit("Missing coverage").alias("issue"), missing.cast("long").alias("days")), F.struct(F.lit("Overlapping billing periods").alias("issue"), F.col("over").cast("long").alias("days")))
+    kinds = F.array(F.struct(F.lit(UNCOVERED).alias("issue"), missing.cast("long").alias("days")), F.struct(F.lit(OVERLAPPING).alias("issue"), F.col("over").cast("long").alias("days")))
     return rows.withColumn("k", F.explode(F.filter(kinds, lambda k: k["days"] > 0))).select(*key, "month", "k.*")
 
 

@@ -59,17 +59,18 @@ factors(unit, f) AS (VALUES ('kWh', 1.0::DOUBLE), ('MWh', 1000.0::DOUBLE), ('ton
 """
 
 MONTHLY = """
+billable AS (SELECT * FROM splits WHERE mapping_status IS NULL OR trim(mapping_status) IN ('', 'MAPPED')),
 monthly AS (
-  SELECT division, legal_entity, unit_name, supplier_name, account_number, activity_group, energy_unit, "month", sum(split_quantity) AS monthly_consumption,
-    count(*) AS proration_component_count, count(DISTINCT invoice_id) AS source_file_count, min(row_id) AS first_row_id
-  FROM splits GROUP BY ALL
+  SELECT division, legal_entity, unit_name, supplier_name, account_number, activity_group, energy_unit, "month", flow, sum(split_quantity) AS monthly_consumption,
+    count(*) AS proration_component_count, count(DISTINCT invoice_id) AS source_file_count, string_agg(DISTINCT invoice_id, '; ' ORDER BY invoice_id) AS source_files, min(row_id) AS first_row_id
+  FROM billable GROUP BY ALL
 ),
 month_days AS (
-  SELECT division, legal_entity, unit_name, supplier_name, account_number, activity_group, energy_unit, "month", count(DISTINCT day) AS covered
-  FROM (SELECT *, unnest(range(day(split_start), day(split_end) + 1)) AS day FROM splits) GROUP BY ALL
+  SELECT division, legal_entity, unit_name, supplier_name, account_number, activity_group, energy_unit, "month", flow, count(DISTINCT day) AS covered
+  FROM (SELECT *, unnest(range(day(split_start), day(split_end) + 1)) AS day FROM billable) GROUP BY ALL
 ),
 rolled AS (
-  SELECT m.*, concat_ws('|', m.division, m.legal_entity, m.unit_name, m.supplier_name, coalesce(m.account_number, ''), m.activity_group, m.energy_unit, m."month") AS row_id
+  SELECT m.*, concat_ws('|', m.division, m.legal_entity, m.unit_name, m.supplier_name, coalesce(m.account_number, ''), m.activity_group, m.energy_unit, m."month", m.flow) AS row_id
   FROM monthly m
 )
 """
@@ -183,8 +184,9 @@ facts AS (
   FROM checked WHERE reject_reason IS NULL GROUP BY ALL
 ),
 facts_key AS (SELECT replace(d, '_', ' ') AS d, replace(l, '_', ' ') AS l, u, kpi, m, kwh FROM facts),
+ends AS (SELECT date_trunc('month', min("start")) AS lo, date_trunc('month', max("start")) AS hi FROM periods),
 grid AS (
-  SELECT DISTINCT division, legal_entity, unit_name, activity_group AS kpi, CAST(unnest(generate_series(DATE '1998-01-01', DATE '1998-12-01', INTERVAL 1 MONTH)) AS DATE) AS "month" FROM periods
+  SELECT division, legal_entity, unit_name, kpi, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS "month" FROM (SELECT DISTINCT division, legal_entity, unit_name, activity_group AS kpi FROM periods), ends
 ),
 pairs AS (
   SELECT g.*, a.kwh AS current, b.kwh AS previous
@@ -201,9 +203,9 @@ classed AS (
 
 AUDITED = """
 planted AS (
-  SELECT *, unnest(CASE WHEN part_key % 89 = 5 THEN [1, 2] ELSE [1] END) AS i FROM splits WHERE NOT (part_key % 97 = 3 AND "month" = date_trunc('month', effective_start))
+  SELECT *, unnest(CASE WHEN part_key % 89 = 5 THEN [1, 2] ELSE [1] END) AS i FROM splits WHERE NOT (part_key % 97 = 3 AND CASE WHEN part_key % 101 = 6 THEN "month" + INTERVAL 40 MONTH ELSE "month" END = date_trunc('month', effective_start))
 ),
-lines AS (SELECT row_id AS period_id, "month", split_start, split_end, split_days, CASE WHEN part_key % 83 = 7 THEN split_quantity + 1 ELSE split_quantity END AS q FROM planted),
+lines AS (SELECT row_id AS period_id, CASE WHEN part_key % 101 = 6 THEN CAST("month" + INTERVAL 40 MONTH AS DATE) ELSE "month" END AS "month", split_start, split_end, split_days, CASE WHEN part_key % 83 = 7 THEN split_quantity + 1 ELSE split_quantity END AS q FROM planted),
 p AS (
   SELECT row_id AS period_id, division, legal_entity, unit_name, account_number, activity_group, mapping_status, effective_start AS s, effective_end AS e, quantity, f, coalesce(effective_end >= effective_start, false) AS ok
   FROM resolved LEFT JOIN factors ON unit = energy_unit
@@ -217,8 +219,9 @@ cases AS (
     WHERE ok AND (n IS NULL OR abs(allocated - quantity) > greatest(0.01 / coalesce(f, 1), 1e-10 * greatest(abs(allocated), abs(quantity))))
   UNION SELECT 'Missing or repeated allocation', strftime(s, '%Y-%m'), period_id FROM p LEFT JOIN sums USING (period_id)
     WHERE ok AND (n IS NULL OR n <> datediff('month', s, e) + 1 OR months <> datediff('month', s, e) + 1 OR first <> date_trunc('month', s) OR last <> date_trunc('month', e))
+  UNION SELECT 'Invalid allocation month', strftime("month", '%Y-%m'), period_id FROM p JOIN lines USING (period_id) WHERE ok AND "month" > e
   UNION SELECT 'Allocation calculation', strftime("month", '%Y-%m'), period_id FROM p JOIN lines USING (period_id)
-    WHERE ok AND abs(q - quantity / (e - s + 1) * split_days) > greatest(0.01 / coalesce(f, 1), 1e-10 * greatest(abs(q), abs(quantity / (e - s + 1) * split_days)))
+    WHERE ok AND "month" <= e AND abs(q - quantity / (e - s + 1) * split_days) > greatest(0.01 / coalesce(f, 1), 1e-10 * greatest(abs(q), abs(quantity / (e - s + 1) * split_days)))
 )
 """
 
@@ -235,7 +238,7 @@ _QUA = (PERIODS_SQL, BRONZE_SQL, QUALITY)
 _HIS = (PERIODS_SQL, HISTORY)
 
 ORACLE_SQL = {
-    "monthly_kwh": _with(*_SPL) + """SELECT division, legal_entity, unit_name, activity_group, "month", round(sum(split_quantity * f) + 1e-7, 4) AS kwh, count(*) AS splits FROM splits LEFT JOIN factors ON unit = energy_unit GROUP BY ALL""",
+    "monthly_kwh": _with(*_SPL) + """SELECT division, legal_entity, unit_name, activity_group, "month", round(sum(split_quantity * f) + 1e-7, 4) AS kwh, count(*) AS splits FROM splits LEFT JOIN factors ON unit = energy_unit WHERE mapping_status = 'MAPPED' GROUP BY ALL""",
     "billing_date_resolution": _with(*_RES) + "SELECT row_id, effective_start, effective_end, date_adjustment, date_resolution, resolution_reference, date_provisional FROM resolved",
     # by brute force: every pair of a sequence
     "billing_overlap_flags": _with(PERIODS_SQL) + """, linked AS (SELECT *, concat_ws('|', account_number, activity_group, unit_name, legal_entity) AS seq FROM periods WHERE "end" >= "start" AND account_number IS NOT NULL AND mapping_status = 'MAPPED'),
@@ -286,38 +289,42 @@ combos AS (SELECT DISTINCT u, s, a, g FROM r),
 c AS (SELECT x.u, x.s, x.a, x.g, count(m.map_id) AS n, min(m.map_id) AS one FROM combos x LEFT JOIN m ON (x.u IS NULL OR x.u = m.u) AND (x.s IS NULL OR x.s = m.s) AND (x.a IS NULL OR x.a = m.a) AND (x.g IS NULL OR x.g = m.g) AND NOT (x.u IS NULL AND x.s IS NULL AND x.a IS NULL AND x.g IS NULL) GROUP BY ALL)
 SELECT r.row_id, CASE WHEN n = 0 THEN 'UNMAPPED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'MAPPED' END AS mapping_status, CASE WHEN n = 1 THEN one END AS mapped_id
 FROM r JOIN c ON r.u IS NOT DISTINCT FROM c.u AND r.s IS NOT DISTINCT FROM c.s AND r.a IS NOT DISTINCT FROM c.a AND r.g IS NOT DISTINCT FROM c.g""",
-    "monthly_rollup": _with(*_SPL, MONTHLY) + """SELECT m.* REPLACE (round(monthly_consumption + 1e-7, 4) AS monthly_consumption), CAST(covered AS INT) AS covered_days_in_month, CAST(day(last_day(m."month")) AS INT) AS calendar_days_in_month, covered = day(last_day(m."month")) AS complete_month_data_captured
-FROM monthly m JOIN month_days d ON m.division = d.division AND m.legal_entity = d.legal_entity AND m.unit_name = d.unit_name AND m.supplier_name = d.supplier_name AND m.account_number IS NOT DISTINCT FROM d.account_number AND m.activity_group = d.activity_group AND m.energy_unit = d.energy_unit AND m."month" = d."month" """,
+    "monthly_rollup": _with(*_SPL, MONTHLY) + """SELECT m.* REPLACE (round(monthly_consumption + 1e-7, 4) AS monthly_consumption), CAST(covered AS INT) AS covered_days_in_month, CAST(day(last_day(m."month")) AS INT) AS calendar_days_in_month, covered >= day(last_day(m."month")) AS complete_month_data_captured
+FROM monthly m JOIN month_days d ON m.division = d.division AND m.legal_entity = d.legal_entity AND m.unit_name = d.unit_name AND m.supplier_name = d.supplier_name AND m.account_number IS NOT DISTINCT FROM d.account_number AND m.activity_group = d.activity_group AND m.energy_unit = d.energy_unit AND m."month" = d."month" AND m.flow = d.flow""",
     "specificity_lookup": _with(*_ALL) + "SELECT row_id, lookup_id, lookup_issue FROM allocated",
     "kpi_template": _with(*_TPL) + "SELECT row_id, energy_kpi, round(amount + 1e-7, 4) AS amount, issue FROM template",
     "gold_template": _with(*_TPL) + "SELECT row_id, energy_kpi, round(kwh + 1e-7, 4) AS kwh, energy_unit AS original_unit FROM gold",
     "gold_aggregated": _with(*_TPL) + """, main AS (SELECT division, legal_entity, unit_name, "month", 'Purchased ' || lower(activity_group) AS component, sum(kwh) FILTER (energy_kpi IN ('Fossil Fuels', 'Renewable sources', 'Nuclear sources')) AS total,
   sum(kwh) FILTER (energy_kpi = 'Fossil Fuels') AS fossil_kwh, string_agg(DISTINCT energy_kpi, '; ' ORDER BY energy_kpi) AS kpis FROM gold GROUP BY ALL),
-once AS (SELECT DISTINCT division, legal_entity, unit_name, "month", 'Purchased ' || lower(activity_group) AS component, row_id, solar, proration_component_count AS n, source_file_count AS c FROM gold),
-extra AS (SELECT division, legal_entity, unit_name, "month", component, sum(solar) AS solar, CAST(sum(n) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS c FROM once GROUP BY ALL)
+once AS (SELECT DISTINCT division, legal_entity, unit_name, "month", 'Purchased ' || lower(activity_group) AS component, row_id, solar, proration_component_count AS n, source_files AS c FROM gold),
+extra AS (SELECT division, legal_entity, unit_name, "month", component, sum(solar) AS solar, CAST(sum(n) AS BIGINT) AS n FROM once GROUP BY ALL),
+files AS (SELECT division, legal_entity, unit_name, "month", component, count(DISTINCT f) AS c FROM (SELECT *, unnest(string_split(c, '; ')) AS f FROM once) GROUP BY ALL)
 SELECT division, legal_entity, unit_name, "month", component, round(total + 1e-7, 3) AS total_kwh, round(CASE WHEN total <> 0 THEN fossil_kwh / total END + 1e-7, 4) AS fossil, round(solar + 1e-7, 3) AS solar, n AS proration_component_count, c AS source_file_count, kpis
-FROM main JOIN extra USING (division, legal_entity, unit_name, "month", component)""",
+FROM main JOIN extra USING (division, legal_entity, unit_name, "month", component) JOIN files USING (division, legal_entity, unit_name, "month", component)""",
     "reporting_rejects": _with(*_HIS) + "SELECT row_id, reject_reason FROM checked WHERE reject_reason IS NOT NULL",
     "year_over_year": _with(*_HIS) + """SELECT division, legal_entity, unit_name, kpi, "month", round(current + 1e-7, 4) AS current, round(previous + 1e-7, 4) AS previous, round(difference + 1e-7, 4) AS difference, class,
 CASE WHEN current IS NULL AND previous IS NULL THEN 'no data' WHEN current IS NULL THEN 'missing current' WHEN previous IS NULL THEN 'missing previous' ELSE 'compared' END AS status FROM classed""",
     "high_variance": _with(*_HIS) + """SELECT division, legal_entity, unit_name, kpi, "month", round(abs(difference) + 1e-7, 4) AS size, class FROM classed WHERE abs(difference) > 0.1""",
     "top_variance_page": _with(*_HIS) + """SELECT division, legal_entity, unit_name, kpi, "month", round(abs(difference) + 1e-7, 4) AS size FROM classed WHERE abs(difference) > 0.1 AND NOT isinf(difference) ORDER BY size DESC, division, legal_entity, unit_name, kpi, "month" LIMIT 25 OFFSET 25""",
-    "completeness": _with(PERIODS_SQL) + """, a AS (SELECT DISTINCT division, legal_entity, unit_name, activity_group AS kpi, account_number, CASE length(unit_name || account_number) % 3 WHEN 0 THEN DATE '1998-03-15' END AS es, CASE length(unit_name || account_number) % 3 WHEN 1 THEN DATE '1998-09-10' END AS ee FROM periods WHERE account_number IS NOT NULL),
-due AS (SELECT *, CAST(unnest(generate_series(greatest(coalesce(es, DATE '1998-01-01'), DATE '1998-01-01'), least(coalesce(ee, DATE '1998-12-31'), DATE '1998-12-31'), INTERVAL 1 DAY)) AS DATE) AS d FROM a),
+    "completeness": _with(PERIODS_SQL) + """, ends AS (SELECT CAST(date_trunc('month', min("start")) AS DATE) AS lo, CAST(date_trunc('month', max("start")) AS DATE) AS hi FROM periods), a AS (SELECT DISTINCT division, legal_entity, unit_name, activity_group AS kpi, account_number, CASE length(unit_name || account_number) % 3 WHEN 0 THEN DATE '1998-03-15' END AS es, CASE length(unit_name || account_number) % 3 WHEN 1 THEN DATE '1998-09-10' END AS ee FROM periods WHERE account_number IS NOT NULL),
+due AS (SELECT *, CAST(unnest(generate_series(greatest(coalesce(es, lo), lo), least(coalesce(ee, last_day(hi)), last_day(hi)), INTERVAL 1 DAY)) AS DATE) AS d FROM a, ends),
 got AS (SELECT DISTINCT division, legal_entity, unit_name, activity_group AS kpi, account_number, CAST(unnest(generate_series("start", "end", INTERVAL 1 DAY)) AS DATE) AS d FROM periods WHERE "end" >= "start"),
 both_ AS (SELECT division, legal_entity, unit_name, kpi, CAST(date_trunc('month', d) AS DATE) AS "month", count(*) AS expected_days, count(g.account_number) AS covered_days FROM due LEFT JOIN (SELECT *, true AS has FROM got) g USING (division, legal_entity, unit_name, kpi, account_number, d) GROUP BY ALL),
 hits AS (SELECT division, legal_entity, unit_name, kpi, CAST(date_trunc('month', d) AS DATE) AS "month", count(*) AS covered_days FROM due JOIN got USING (division, legal_entity, unit_name, kpi, account_number, d) GROUP BY ALL),
-grid AS (SELECT DISTINCT division, legal_entity, unit_name, kpi, CAST(unnest(generate_series(DATE '1998-01-01', DATE '1998-12-01', INTERVAL 1 MONTH)) AS DATE) AS "month" FROM a),
+grid AS (SELECT DISTINCT division, legal_entity, unit_name, kpi, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS "month" FROM a, ends),
 r AS (SELECT g.*, coalesce(h.covered_days, 0) AS covered_days, coalesce(b.expected_days, 0) AS expected_days FROM grid g LEFT JOIN both_ b USING (division, legal_entity, unit_name, kpi, "month") LEFT JOIN hits h USING (division, legal_entity, unit_name, kpi, "month")),
 q AS (SELECT *, CASE WHEN expected_days > 0 THEN covered_days / expected_days END AS x FROM r)
 SELECT * EXCLUDE (x), round(x, 6) AS ratio, CASE WHEN x IS NULL THEN 'missing' WHEN x >= 1 THEN 'complete' WHEN x >= 0.5 THEN 'over_half' WHEN x >= 0.25 THEN 'over_quarter' ELSE 'low' END AS class FROM q""",
-    "expected_accounts": _with(MAPPING_SQL) + """SELECT map_id, CASE WHEN trim(account_number) <> '' AND count(*) OVER (PARTITION BY division, legal_entity, unit_name, trim(activity_group), account_number) > 1 THEN 'duplicate account' WHEN map_id % 7 = 0 THEN 'effective dates are reversed' WHEN trim(account_number) = '' THEN 'missing account number' ELSE '' END AS issue FROM mapping""",
+    "expected_accounts": _with(MAPPING_SQL) + """, k AS (SELECT *, lower(trim(activity_group)) AS act, trim(account_number) AS account FROM mapping)
+SELECT map_id, CASE WHEN count(*) OVER (PARTITION BY division, legal_entity, unit_name, act, account) > 1 THEN 'Duplicate facility/KPI/account rows in the shared mapping'
+  WHEN map_id % 7 = 0 AND map_id % 17 <> 3 THEN 'Account effective end date precedes its start date' WHEN map_id % 7 <> 0 AND map_id % 19 = 4 THEN 'Invalid effective_end_date in the shared account mapping'
+  WHEN map_id % 17 = 3 THEN 'Invalid effective_start_date in the shared account mapping' WHEN account = '' THEN 'Missing expected account number' ELSE '' END AS issue FROM k""",
     "audit_cases": _with(*_SPL, AUDITED) + """SELECT issue, "month", period_id, 'A-' || substr(sha256(concat_ws('|', issue, "month", period_id)), 1, 10) AS case_id FROM cases""",
-    "audit_coverage": _with(*_RES) + """, v AS (SELECT division, legal_entity, unit_name, coalesce(account_number, '?') AS account, activity_group, effective_start AS s, effective_end AS e FROM resolved WHERE effective_end >= effective_start),
-days AS (SELECT division, legal_entity, unit_name, account, activity_group, CAST(unnest(generate_series(greatest(s, DATE '1998-01-01'), least(e, DATE '1998-12-31'), INTERVAL 1 DAY)) AS DATE) AS d FROM v),
+    "audit_coverage": _with(*_RES) + """, ends AS (SELECT CAST(date_trunc('month', min("start")) AS DATE) AS lo, CAST(date_trunc('month', max("start")) AS DATE) AS hi FROM periods), v AS (SELECT division, legal_entity, unit_name, coalesce(account_number, '?') AS account, activity_group, effective_start AS s, effective_end AS e FROM resolved WHERE effective_end >= effective_start),
+days AS (SELECT division, legal_entity, unit_name, account, activity_group, CAST(unnest(generate_series(greatest(s, lo), least(e, last_day(hi)), INTERVAL 1 DAY)) AS DATE) AS d FROM v, ends),
 n AS (SELECT *, count(*) AS n FROM days GROUP BY ALL),
 c AS (SELECT division, legal_entity, unit_name, account, activity_group, CAST(date_trunc('month', d) AS DATE) AS "month", count(*) AS covered, count(*) FILTER (n > 1) AS over FROM n GROUP BY ALL),
-g AS (SELECT DISTINCT division, legal_entity, unit_name, account, activity_group, CAST(unnest(generate_series(DATE '1998-01-01', DATE '1998-12-01', INTERVAL 1 MONTH)) AS DATE) AS "month" FROM v),
+g AS (SELECT division, legal_entity, unit_name, account, activity_group, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS "month" FROM (SELECT DISTINCT division, legal_entity, unit_name, account, activity_group FROM v), ends),
 f AS (SELECT g.*, day(last_day("month")) - coalesce(covered, 0) AS missing, coalesce(over, 0) AS over FROM g LEFT JOIN c USING (division, legal_entity, unit_name, account, activity_group, "month"))
 SELECT division, legal_entity, unit_name, nullif(account, '?') AS account_number, activity_group, "month", 'Missing coverage' AS issue, missing AS days FROM f WHERE missing > 0
 UNION ALL SELECT division, legal_entity, unit_name, nullif(account, '?'), activity_group, "month", 'Overlapping billing periods', over FROM f WHERE over > 0""",

@@ -22,8 +22,12 @@ def _round(c: str, digits: int):
 FACILITY = ["division", "legal_entity", "unit_name"]
 FIELDS = {"account_number": "critical", "supplier_name": "optional", "energy_unit": "noncritical", "quantity": "critical"}
 DOCUMENT_FIELDS = {"account": ["Account No", "Customer Account"], "total": ["Total", "Amount"]}
-#: The dashboards' months, and the same months a year before.
-MONTHS = [(f"1998-{m:02d}-01", f"1997-{m:02d}-01") for m in range(1, 13)]
+
+
+def _months(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    """Every month in which a period starts, from the first to the last, with the same month a year before."""
+    ends = lens.periods(spark, sf_dir).agg(F.min(F.trunc("start", "MM")).alias("first"), F.max(F.trunc("start", "MM")).alias("last"))
+    return reports.months_of(ends.first())
 
 
 def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +36,7 @@ def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def monthly_kwh(spark: SparkSession, sf_dir: str) -> DataFrame:
     kwh = units.to_kwh(F.col("split_quantity"), F.col("energy_unit"))
-    out = _splits(spark, sf_dir).groupBy(*FACILITY, "activity_group", "month").agg(F.sum(kwh).alias("kwh"), F.count("*").alias("splits"))
+    out = _splits(spark, sf_dir).where(rollup.passes_mapping_gate()).groupBy(*FACILITY, "activity_group", "month").agg(F.sum(kwh).alias("kwh"), F.count("*").alias("splits"))
     return out.withColumn("kwh", _round("kwh", 4))
 
 
@@ -67,10 +71,10 @@ def period_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_marking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lens.periods(spark, sf_dir).withColumn("source_file", F.col("row_id"))
-    raw = F.to_json(F.struct("account_number", "activity_group", "start", "quantity", "energy_unit", "end"))
-    key = keys.business_key({"start": F.col("start").cast("string")}, {"quantity": F.col("quantity").cast("string")}, {"account": F.col("account_number"), "activity": F.col("activity_group")})
+    key = keys.business_key({"start": F.col("start")}, {"quantity": F.col("quantity")}, {"account": F.col("account_number"), "activity": F.col("activity_group")}, typed=True)
+    content = keys.row_hash("account_number", "activity_group", "start", "quantity", "energy_unit", "end")
     # without an account too little is left to tell two bills apart
-    rows = rows.withColumn("business_key", F.when(F.col("account_number").isNotNull(), key)).withColumn("content_hash", F.when(F.col("account_number").isNotNull(), keys.content_hash(raw)))
+    rows = rows.withColumn("business_key", F.when(F.col("account_number").isNotNull(), key)).withColumn("content_hash", F.when(F.col("account_number").isNotNull(), content))
     return bronze.mark_duplicates(rows, ["source_file"]).select("source_file", "duplicate_status", "duplicate_of", "match_type")
 
 
@@ -147,12 +151,12 @@ def manual_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rollup.monthly_rollup(_splits(spark, sf_dir))
-    return rows.withColumn("row_id", F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in rollup.MONTHLY_KEY)))
+    rows = rollup.monthly_rollup(_splits(spark, sf_dir), ("flow",))
+    return rows.withColumn("row_id", F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in [*rollup.MONTHLY_KEY, "flow"])))
 
 
 def monthly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _monthly(spark, sf_dir).drop("row_id").withColumn("monthly_consumption", _round("monthly_consumption", 4))
+    return _monthly(spark, sf_dir).drop("row_id", "split_digest").withColumn("source_files", F.array_join("source_files", "; ")).withColumn("monthly_consumption", _round("monthly_consumption", 4))
 
 
 def _allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +208,7 @@ def reporting_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reports.reporting_rows(_history(spark, sf_dir))[0]
     facilities = lens.periods(spark, sf_dir).withColumn("kpi", F.col("activity_group"))
-    return reports.year_over_year(facilities, rows, rows, MONTHS)
+    return reports.year_over_year(facilities, rows, rows, _months(spark, sf_dir))
 
 
 def year_over_year(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,31 +233,34 @@ def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lens.periods(spark, sf_dir).withColumn("kpi", F.col("activity_group"))
-    out = reports.completeness(_accounts(spark, sf_dir).where("account_number is not null"), rows, [a for a, _ in MONTHS])
+    out = reports.completeness(_accounts(spark, sf_dir).where("account_number is not null"), rows, [a for a, _ in _months(spark, sf_dir)])
     return out.withColumn("ratio", F.round("ratio", 6))
 
 
 def expected_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lens.mapping(spark, sf_dir).selectExpr("map_id", "division", "legal_entity", "unit_name", "trim(activity_group) kpi", "account_number", "date'2024-01-01' effective_start", "case when map_id % 7 = 0 then date'2023-12-01' end effective_end")
+    rows = lens.mapping(spark, sf_dir).selectExpr("map_id", "division", "legal_entity", "unit_name", "trim(activity_group) kpi", "account_number", "case when map_id % 17 = 3 then 'soon' else '2024-01-01' end effective_start", "case when map_id % 7 = 0 then '2023-12-01' when map_id % 19 = 4 then '31.31.2024' else '' end effective_end")
     return reports.expected_accounts(rows).select("map_id", "issue")
 
 
-def _audited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Periods with resolved dates, and their allocations with planted faults: one lost month, one doubled, one wrong share."""
-    rows = periods.resolve_dates(lens.periods(spark, sf_dir))
-    splits = periods.month_split(rows).where("not (part_key % 97 = 3 and month = trunc(effective_start, 'MM'))")
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods with resolved dates beside their allocations with planted faults: one lost month, one doubled, one wrong share, one strange month."""
+    rows = periods.month_split(periods.resolve_dates(lens.periods(spark, sf_dir)), keep_unsplit=True)
+    lost = F.coalesce((F.col("part_key") % 97 == 3) & (F.col("month") == F.trunc("effective_start", "MM")), F.lit(False))
+    moved = F.when(F.col("part_key") % 101 == 6, F.add_months("month", 40)).otherwise(F.col("month"))
+    rows = rows.withColumn("month", moved).withColumns({c: F.when(~lost, F.col(c)) for c in audit.ALLOCATION})
     again = F.when(F.col("part_key") % 89 == 5, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    splits = splits.withColumn("_i", F.explode(again)).withColumn("split_quantity", F.when(F.col("part_key") % 83 == 7, F.col("split_quantity") + 1).otherwise(F.col("split_quantity")))
-    p = rows.select(F.col("row_id").alias("period_id"), *FACILITY, "account_number", "activity_group", "mapping_status", F.col("effective_start").alias("start"), F.col("effective_end").alias("end"), "quantity", "energy_unit")
-    return p, splits.select(F.col("row_id").alias("period_id"), "month", "split_start", "split_end", "split_days", "split_quantity")
+    rows = rows.withColumn("copy", F.explode(again)).withColumn("split_quantity", F.when(F.col("part_key") % 83 == 7, F.col("split_quantity") + 1).otherwise(F.col("split_quantity")))
+    return rows.withColumn("period_id", F.col("row_id")).drop("start", "end").withColumnsRenamed({"effective_start": "start", "effective_end": "end"})
 
 
 def audit_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.case_table(audit.allocation_cases(*_audited(spark, sf_dir), MONTHS[0]))
+    return audit.case_table(audit.joined_cases(_audited(spark, sf_dir)))
 
 
 def audit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.coverage_cases(_audited(spark, sf_dir)[0], "1998-01-01", "1998-12-01")
+    rows = periods.resolve_dates(lens.periods(spark, sf_dir)).drop("start", "end").withColumnsRenamed({"effective_start": "start", "effective_end": "end"})
+    months = _months(spark, sf_dir)
+    return audit.coverage_cases(rows, months[0][0], months[-1][0])
 
 
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

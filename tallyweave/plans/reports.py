@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.dates import inclusive_days
+from tallyweave.functions.dates import inclusive_days, to_date
 from tallyweave.functions.numbers import completeness_class, difference_class, percent_difference
-from tallyweave.functions.text import facility_key, is_blank
+from tallyweave.functions.text import facility_key, is_blank, lookup_text, own_columns
 from tallyweave.functions.units import factor
 from tallyweave.operators.periods import covered_days
 
 FACILITY = ["division", "legal_entity", "unit_name"]
 
 
+def months_of(ends) -> list[tuple[str, str]]:
+    """The first days of all months from ends.first to ends.last, each with that of the year before; none if either is null."""
+    if ends["first"] is None or ends["last"] is None:
+        return []
+    number = lambda d: d.year * 12 + d.month - 1
+    return [tuple(f"{n // 12 - back:04d}-{n % 12 + 1:02d}-01" for back in (0, 1)) for n in range(number(ends["first"]), number(ends["last"]) + 1)]
+
+
 def reporting_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows in kWh, rejected rows with reason) of a history table: facility, kpi, unit, amount, date, issue."""
     bad = (
@@ -42,14 +50,23 @@ def monthly_values(df: DataFrame, value: str = "kwh") -> DataFrame:
 def year_over_year(facilities: DataFrame, current: DataFrame, previous: DataFrame, months: list[tuple[str, str]]) -> DataFrame:
     """One row for each facility, KPI and month: current and previous kWh, difference, class and status.
 
-    months: pairs of first days, (current, previous), a fixed short list, so the grid grows with facilities alone.
+    months: pairs of first days, (current, previous), a list that the caller chooses, so the grid grows with facilities alone. Values of a
+    month are summed once and then stand in two places, as its own and as the month's before; where both tables are
+    the same one it is read once.
     """
-    pairs = F.array(*(F.struct(F.lit(a).cast("date").alias("month"), F.lit(b).cast("date").alias("previous_month")) for a, b in months))
-    grid = facilities.select(*FACILITY, "kpi").distinct().withColumns({f"{c}_key": facility_key(F.col(c)) for c in FACILITY}).withColumn("m", F.explode(pairs)).select("*", "m.*").drop("m")
+    pairs = F.array(*(F.struct(F.lit(a).cast("date").alias("month"), F.lit(b).cast("date").alias("before")) for a, b in months))
     keys = [f"{c}_key" for c in FACILITY] + ["kpi"]
-    now = monthly_values(current).withColumnRenamed("kwh", "current")
-    then = monthly_values(previous).withColumnRenamed("kwh", "previous").withColumnRenamed("month", "previous_month")
-    rows = grid.join(now, [*keys, "month"], "left").join(then, [*keys, "previous_month"], "left")
+    none = F.lit(None).cast("double")
+
+    def placed(df: DataFrame, now: bool, then: bool) -> DataFrame:
+        spots = F.flatten(F.transform(pairs, lambda p: F.filter(F.array(F.struct(p["month"].alias("at"), F.lit(True).alias("now"), p["month"].alias("from")), F.struct(p["month"].alias("at"), F.lit(False).alias("now"), p["before"].alias("from"))), lambda x: (x["from"] == F.col("month")) & (x["now"] & F.lit(now) | ~x["now"] & F.lit(then)))))
+        rows = monthly_values(df).withColumn("x", F.explode(spots))
+        return rows.select(*keys, F.col("x.at").alias("month"), F.when(F.col("x.now"), F.col("kwh")).otherwise(none).alias("current"), F.when(~F.col("x.now"), F.col("kwh")).otherwise(none).alias("previous"))
+
+    values = placed(current, True, True) if previous is current else placed(current, True, False).union(placed(previous, False, True))
+    values = values.groupBy(*keys, "month").agg(F.max("current").alias("current"), F.max("previous").alias("previous"))
+    grid = facilities.select(*FACILITY, "kpi").distinct().withColumns({f"{c}_key": facility_key(F.col(c)) for c in FACILITY})
+    rows = grid.withColumn("month", F.explode(F.transform(pairs, lambda p: p["month"]))).join(values, [*keys, "month"], "left")
     p = percent_difference(F.col("current"), F.col("previous"))
     status = F.when(F.col("current").isNull() & F.col("previous").isNull(), "no data").when(F.col("current").isNull(), "missing current").when(F.col("previous").isNull(), "missing previous").otherwise("compared")
     return rows.select(*FACILITY, "kpi", "month", "current", "previous", p.alias("difference"), difference_class(p).alias("class"), status.alias("status"))
@@ -83,16 +100,34 @@ def completeness(accounts: DataFrame, periods: DataFrame, months: list[str]) ->
     return out.withColumn("ratio", ratio).withColumn("class", completeness_class(ratio))
 
 
+# What is wrong with an expected account; of several the last counts.
+ACCOUNT_FAULTS = (
+    "Missing expected account number",
+    "Invalid effective_start_date in the shared account mapping",
+    "Invalid effective_end_date in the shared account mapping",
+    "Account effective end date precedes its start date",
+    "Duplicate facility/KPI/account rows in the shared mapping",
+)
+
+
 def expected_accounts(accounts: DataFrame) -> DataFrame:
-    """accounts with an issue: missing account, reversed dates or duplicates (the last that applies)."""
-    n = F.count("*").over(Window.partitionBy(*FACILITY, "kpi", "account_number"))
-    issue = (
-        F.when(~is_blank(F.col("account_number")) & (n > 1), "duplicate account")
-        .when(F.col("effective_end") < F.col("effective_start"), "effective dates are reversed")
-        .when(is_blank(F.col("account_number")), "missing account number")
-        .otherwise("")
-    )
-    return accounts.withColumn("issue", issue)
+    """accounts with issue, and effective_start and effective_end as dates: missing account, invalid or reversed dates, duplicates.
+
+    Facilities and KPIs are compared without case, marks and spacing, accounts without case and spacing; blank accounts can be duplicates too.
+    """
+    own_columns(accounts)
+    rows = accounts.withColumns({f"_tw_{c}": facility_key(F.coalesce(F.col(c), F.lit(""))) for c in [*FACILITY, "kpi"]} | {"_tw_account": F.coalesce(lookup_text(F.col("account_number")), F.lit(""))})
+    keys = [c for c in rows.columns if c.startswith("_tw_")]
+    repeated = rows.groupBy(*keys).agg(F.count("*").alias("_tw_n")).where("_tw_n > 1")
+    rows = rows.join(repeated, keys, "left")
+    dates = {c: to_date(F.col(c)) for c in ("effective_start", "effective_end")}
+    bad = [~is_blank(F.col(c).cast("string")) & d.isNull() for c, d in dates.items()]
+    tests = [F.col("_tw_account") == "", *bad, dates["effective_end"] < dates["effective_start"], F.col("_tw_n") > 1]
+    issue = F.lit("")
+    for test, text in zip(tests, ACCOUNT_FAULTS, strict=True):
+        issue = F.when(test, text).otherwise(issue)
+    rows = rows.withColumn("issue", issue)
+    return rows.withColumns(dates).select(*accounts.columns, "issue")
 
 
 def by_month(cells: DataFrame, value: Column, labels: list[str]) -> DataFrame:

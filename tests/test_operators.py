@@ -124,7 +124,7 @@ def test_mapping_statuses(spark):
 
 
 def test_gold_is_idempotent_and_does_not_count_twice(spark):
-    monthly = spark.createDataFrame([("d", "l", "u", "s", "a", "Electricity", "MWh", D(2024, 1, 1), 2.0, 3, 1, "", 0.35, 0.65, 0.0, 0.5, 0.1)], "division string, legal_entity string, unit_name string, supplier_name string, account_number string, activity_group string, energy_unit string, month date, monthly_consumption double, proration_component_count long, source_file_count long, lookup_issue string, `fossil_fuel_%` double, `renewable_energy_%` double, `nuclear_%` double, solar_total_generation double, solar_export double")
+    monthly = spark.createDataFrame([("d", "l", "u", "s", "a", "Electricity", "MWh", D(2024, 1, 1), 2.0, 3, 1, "Reviewed OCR", 7, ["f"], "", 0.35, 0.65, 0.0, 0.5, 0.1)], "division string, legal_entity string, unit_name string, supplier_name string, account_number string, activity_group string, energy_unit string, month date, monthly_consumption double, proration_component_count long, source_file_count long, flow string, split_digest long, source_files array<string>, lookup_issue string, `fossil_fuel_%` double, `renewable_energy_%` double, `nuclear_%` double, solar_total_generation double, solar_export double")
     template = rollup.template_output(rollup.kpi_template(rollup.business_rows(monthly)))
     once = gold.gold_template(template)
     twice = gold.gold_template(once)
@@ -133,14 +133,40 @@ def test_gold_is_idempotent_and_does_not_count_twice(spark):
     assert (x["Total amount of energy consumed"], x["fossil_fuel_%"], x["total_solar_consumed"], x["proration_component_count"]) == (2000.0, 0.35, 400.0, 3)
 
 
+def test_two_sources_of_one_account_both_count(spark):
+    """Sources that differ only in files and splits keep their solar amounts; a file that two accounts share counts once."""
+    rows = [("a", 7, ["f1; x"[:2]], 0.5), ("a", 8, ["f2"], 0.5), ("b", 9, ["F2", "f3"], 1.0)]
+    cols = "division string, legal_entity string, unit_name string, month date, `KPI Component` string, account_number string, supplier_name string, `Original Energy Unit` string, flow string, split_digest long, source_files array<string>, energy_unit string, `Energy KPI` string, `Amount of energy consumed` double, solar_total_generation double, total_solar_consumed double, proration_component_count long"
+    table = [("d", "l", "u", D(2024, 1, 1), "c", acc, "s", "kWh", "Reviewed OCR", digest, files, "kWh", kpi, amount, solar, solar, 2) for acc, digest, files, solar in rows for kpi, amount in (("Fossil Fuels", 3.0), ("Renewable energy production", 9.0))]
+    x = gold.gold_aggregated(spark.createDataFrame(table, cols)).first()
+    assert (x["Total amount of energy consumed"], x["solar_total_generation"], x["proration_component_count"], x["source_file_count"]) == (9.0, 2.0, 6, 3)
+
+
+def test_unmapped_splits_are_not_billed(spark):
+    df = billed(spark, [(D(2023, 1, 5), D(2023, 1, 20))]).unionByName(billed(spark, [(D(2023, 1, 5), D(2023, 1, 20))], status="UNMAPPED").withColumn("row_id", F.lit("x"))).unionByName(billed(spark, [(D(2023, 1, 5), D(2023, 1, 20))], account="B", status=" ").withColumn("row_id", F.lit("y")))
+    splits = periods.month_split(df, "start", "end")
+    assert splits.count() == 3
+    assert sorted((x.account_number, x.monthly_consumption, x.proration_component_count) for x in rollup.monthly_rollup(splits).collect()) == [("A", 10.0, 1), ("B", 10.0, 1)]
+
+
+def test_columns_that_clash_with_helpers(spark):
+    from tallyweave.functions import dates
+
+    rows = spark.createDataFrame([("mine", "2024-01-02", "x", "y")], "_text string, raw string, _n string, _hash string")
+    out = dates.with_dates(rows, "raw", "d").first()
+    assert (out["_text"], out["_n"], str(out["d"])) == ("mine", "x", "2024-01-02")
+    with pytest.raises(ValueError, match="reserved"):
+        dates.with_dates(rows.withColumnRenamed("_n", "_tw_text"), "raw", "d")
+
+
 def test_faults_raise_their_case(spark):
     df = billed(spark, [(D(2023, 1, 10), D(2023, 2, 20)), (D(2023, 4, 1), D(2023, 4, 20))])
     p = df.withColumn("period_id", F.col("row_id"))
     cut = periods.month_split(p, "start", "end").select("period_id", "month", "split_start", "split_end", "split_days", "split_quantity")
-    assert audit.allocation_cases(p, cut, ("", "")).count() == 0
+    assert audit.allocation_cases(p, cut).count() == 0
     lost = cut.where("not (period_id = 'r000' and month = date'2023-02-01')")
-    assert {x.issue for x in audit.allocation_cases(p, lost, ("", "")).collect()} == {"Invoice reconciliation", "Missing or repeated allocation"}
-    assert {x.issue for x in audit.allocation_cases(p.withColumn("energy_unit", F.lit("?")), cut, ("", "")).collect()} == {"Unsupported energy unit"}
+    assert {x.issue for x in audit.allocation_cases(p, lost).collect()} == {"Invoice reconciliation", "Missing or repeated allocation"}
+    assert {x.issue for x in audit.allocation_cases(p.withColumn("energy_unit", F.lit("?")), cut).collect()} == {"Unsupported energy unit"}
     cover = {(x.month, x.issue): x.days for x in audit.coverage_cases(df, "2023-01-01", "2023-03-01").collect()}
     assert cover == {(D(2023, 1, 1), "Missing coverage"): 9, (D(2023, 2, 1), "Missing coverage"): 8, (D(2023, 3, 1), "Missing coverage"): 31}
 
