@@ -57,3 +57,13 @@ def difference_class(p: Column) -> Column:
 
 def completeness_class(ratio: Column) -> Column:
     return F.when(ratio.isNull(), "missing").when(ratio >= 1, "complete").when(ratio >= 0.5, "over_half").when(ratio >= 0.25, "over_quarter").otherwise("low")
+
+
+def shown_difference(p: Column) -> Column:
+    """A difference as a dashboard shows it: a signed percentage, >999% where it is infinite."""
+    return F.when(p.isNull(), "missing").when(F.abs(p) == float("inf"), ">999%").otherwise(F.format_string("%+.1f%%", p * 100))
+
+
+def exported_difference(p: Column) -> Column:
+    """A difference as an export holds it: four decimals, null where it is missing or infinite."""
+    return F.when(F.abs(p) != float("inf"), F.round(p, 4))

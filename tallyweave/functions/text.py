@@ -143,6 +143,15 @@ def safe_link(c: Column) -> Column:
     return F.coalesce(c.rlike(r"(?i)^https?:"), F.lit(False))
 
 
+# Fixed value: what stands in place of a link that cannot be opened.
+NO_LINK = "SharePoint link unavailable"
+
+
+def source_label(c: Column) -> Column:
+    """A link that can be opened, else NO_LINK."""
+    return F.when(safe_link(c), c).otherwise(NO_LINK)
+
+
 def contains_any(term: str, *cs: Column) -> Column:
     """Whether any column contains a text, without case; a separator keeps it from spanning two columns."""
     return F.lower(F.concat_ws("\u0001", *cs)).contains(term.lower())

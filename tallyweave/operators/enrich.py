@@ -19,11 +19,6 @@ MESSAGES = {
 }
 
 
-def active_rows(lookup: DataFrame) -> DataFrame:
-    """Lookup rows that are not wholly null and not switched off."""
-    return lookup.na.drop("all").where(F.coalesce(F.lower(F.trim("active")) != "no", F.lit(True)))
-
-
 def mapping_cascade(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """rows with mapped_* columns, mapping_status, mapping_method and mapping_message.
 
@@ -101,3 +96,9 @@ def specific_lookup(rows: DataFrame, lookup: DataFrame, values: list[str]) -> Da
     only = F.col("b.n") == 1
     got = best.select("row_id", *(F.when(only, F.col(f"b.one.{v}")).alias(v) for v in ("lookup_id", *values)), F.when(~only, "ambiguous mapping; specify account_number and activity_group").alias("lookup_issue"))
     return rows.join(got, "row_id", "left").withColumn("lookup_issue", F.coalesce("lookup_issue", F.lit("")))
+
+
+def first_match(rows: DataFrame, lookup: DataFrame, values: list[str], order: str, key: str = "lookup_key") -> DataFrame:
+    """rows with the values of the first lookup row of their key; null where there is none. Only one lookup row a key meets the rows."""
+    first = lookup.groupBy(key).agg(F.min_by(F.struct(*values), order).alias("_tw_first"))
+    return rows.join(first, key, "left").select(*rows.columns, *(F.col(f"_tw_first.{v}").alias(v) for v in values))

@@ -101,7 +101,7 @@ def approve(bronze: DataFrame, summary: DataFrame, decisions: DataFrame, fields:
 
 def carry_decisions(issues: DataFrame, old: DataFrame) -> DataFrame:
     """Decision rows for issues: by issue id, else by (invoice, field, original value), else new; overrides without an issue stay."""
-    by_id = old.select("issue_id", F.struct("review_decision", "corrected_value").alias("by_id")).dropDuplicates(["issue_id"])
+    by_id = old.select("issue_id", F.struct("review_decision", "corrected_value").alias("by_id")).groupBy("issue_id").agg(F.max("by_id").alias("by_id"))
     stable = old.groupBy("invoice_id", "field_name", F.coalesce("original_value", F.lit("")).alias("value")).agg(F.max_by(F.struct("review_decision", "corrected_value"), "issue_id").alias("by_value"))
     rows = issues.withColumn("value", F.coalesce("ocr_value", F.lit(""))).join(by_id, "issue_id", "left").join(stable, ["invoice_id", "field_name", "value"], "left")
     got = F.coalesce("by_id", "by_value")
@@ -138,3 +138,18 @@ def suffixed_ids(uploads: DataFrame, base: str, order: str) -> DataFrame:
     """Unique ids for uploads of one name: the first keeps it, the next get _2, _3."""
     n = F.row_number().over(Window.partitionBy(base).orderBy(order))
     return uploads.withColumn("upload_id", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), n.cast("string"))))
+
+
+def queue(summary: DataFrame, statuses: list[str], include_approved: bool = False) -> DataFrame:
+    """Summaries of these statuses; approved ones only if asked for. For a report sort by review_severity (as text), invoice and line."""
+    rows = summary.where(F.col("review_status").isin(*statuses))
+    return rows if include_approved else rows.where(F.col("review_status") != "AUTO_APPROVED")
+
+
+def field_view(rows: DataFrame, summary: DataFrame, fields: list[str]) -> DataFrame:
+    """One row a line and field: its value, and what the line's summary says of it."""
+    parts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))
+    named = lambda c: F.array_contains(F.split(c, ";"), F.col("x.field"))
+    status = F.when(named("missing_required_fields"), "Missing").when(named("low_confidence_fields"), "Low confidence").when(named("failed_fields"), "Failed").otherwise("OK")
+    out = rows.select(*LINE, F.explode(parts).alias("x")).join(summary.select(*LINE, "missing_required_fields", "low_confidence_fields", "failed_fields"), LINE)
+    return out.select(*LINE, "x.field", "x.value", status.alias("status"))

@@ -49,3 +49,80 @@ def gold_v1(enriched: DataFrame) -> DataFrame:
 
 def invalid_allocations(allocation: DataFrame) -> DataFrame:
     return allocation.selectExpr("*", "fossil + renewable + nuclear as total_pct").where("total_pct not between 0.99 and 1.01")
+
+
+def quantities(ocr: DataFrame) -> DataFrame:
+    """One row a quantity that is not blank; the sixth is in the second unit."""
+    return ocr.sparkSession.sql(
+        """
+        SELECT * FROM {o} LATERAL VIEW stack(6, 'quantity_1', quantity_1, quantity_unit_1, 'quantity_2', quantity_2, quantity_unit_1, 'quantity_3', quantity_3, quantity_unit_1,
+          'quantity_4', quantity_4, quantity_unit_1, 'quantity_5', quantity_5, quantity_unit_1, 'quantity_6', quantity_6, quantity_unit_2) s AS quantity_column, quantity_value, quantity_unit
+        WHERE trim(quantity_value) <> ''
+        """,
+        o=ocr,
+    )
+
+
+def selected_quantity(ocr: DataFrame, selection: DataFrame) -> DataFrame:
+    """The quantity and unit of each row: the first ones, unless a selection names others."""
+    names = ", ".join(f"'quantity_{i}', o.quantity_{i}" for i in range(1, 7))
+    return ocr.sparkSession.sql(
+        f"""
+        SELECT o.ocr_record_id, coalesce(q.selected_quantity_column, 'quantity_1') selected_quantity_column, element_at(map({names}), coalesce(q.selected_quantity_column, 'quantity_1')) amount,
+          element_at(map('quantity_unit_1', o.quantity_unit_1, 'quantity_unit_2', o.quantity_unit_2), coalesce(q.selected_quantity_unit_column, 'quantity_unit_1')) energy_unit, q.reason
+        FROM {{o}} o LEFT JOIN {{q}} q ON q.ocr_record_id = o.ocr_record_id
+        """,
+        o=ocr,
+        q=selection,
+    )
+
+
+def enriched(ocr: DataFrame, mapping: DataFrame, division: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Rows with their best mapping, division and contract. A division serves an entity by unit or by facility id, so rows can multiply."""
+    best = best_mapping(ocr.withColumnRenamed("ocr_record_id", "row_id"), mapping)
+    return ocr.sparkSession.sql(
+        """
+        WITH m AS (
+          SELECT o.ocr_record_id, b.mapping_id, b.mapping_needs_review, coalesce(m.legal_entity, o.legal_entity) legal_entity, coalesce(m.unit_name, o.unit_name) unit_name, coalesce(m.supplier_name, o.supplier) supplier_name,
+            coalesce(m.account_number, o.account_number) account_number, m.division, m.activity_group, m.facility_identifier
+          FROM {o} o JOIN {b} b ON b.row_id = o.ocr_record_id LEFT JOIN {m} m ON m.mapping_id = b.mapping_id
+        ),
+        d AS (
+          SELECT m.*, da.division own_division, coalesce(da.legal_entity, m.legal_entity) d_entity, coalesce(da.unit_name, m.unit_name) d_unit
+          FROM m LEFT JOIN {da} da ON lower(trim(da.legal_entity)) = lower(trim(m.legal_entity))
+            AND (nullif(lower(trim(da.unit_name)), '') = lower(trim(m.unit_name)) OR nullif(lower(trim(da.facility_identifier)), '') = lower(trim(m.facility_identifier)))
+        )
+        SELECT d.ocr_record_id, d.mapping_id, d.mapping_needs_review, d.account_number, coalesce(d.own_division, d.division) division, d.activity_group, c.contract_id
+        FROM d LEFT JOIN {c} c ON lower(trim(c.legal_entity)) = lower(trim(d.d_entity)) AND lower(trim(c.unit_name)) = lower(trim(d.d_unit)) AND lower(trim(c.supplier_name)) = lower(trim(d.supplier_name))
+        """,
+        o=ocr,
+        b=best,
+        m=mapping,
+        da=division,
+        c=contracts,
+    )
+
+
+def unmatched(rows: DataFrame) -> DataFrame:
+    return rows.where("mapping_id is null or mapping_needs_review = 1")
+
+
+def contracts_missing(rows: DataFrame) -> DataFrame:
+    """Electricity without a contract."""
+    return rows.where("lower(coalesce(activity_group, '')) = 'electricity' and contract_id is null")
+
+
+def uploadable(rows: DataFrame) -> DataFrame:
+    return rows.where("coalesce(mapping_needs_review, 0) = 0")
+
+
+def broken_constraints(allocation: DataFrame, unique: list[str], key: str) -> DataFrame:
+    """(id, constraint) of shares outside 0 to 1, of totals outside 0.99 to 1.01, and of keys that repeat."""
+    rows = [allocation.where(f"{c} not between 0 and 1").selectExpr(f"cast({key} as string) id", f"'{c} between 0 and 1' constraint") for c in ("fossil", "renewable", "nuclear")]
+    rows.append(invalid_allocations(allocation).selectExpr(f"cast({key} as string) id", "'shares total 1' constraint"))
+    names = ", ".join(unique)
+    rows.append(allocation.groupBy(*unique).count().where("count > 1").selectExpr(f"lower(concat_ws('|', {names})) id", f"'unique {names}' constraint"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out

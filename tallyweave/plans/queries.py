@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import dates, keys, numbers, text, units
 from tallyweave.operators import bronze, enrich, gold, periods, review, rollup
-from tallyweave.plans import archive_v1, audit, reports
+from tallyweave.plans import archive_v1, audit, report_queries, reports, review_queries, silver_queries
+from tallyweave.plans.shared import scratch
 from tallyweave.sources import lens
 from tallyweave.streaming import stream
 
@@ -358,8 +356,7 @@ def stream_monthly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(files).schema
     source = spark.readStream.schema(schema).parquet(sf_dir, pathGlobFilter="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
-    where = f"{base.rstrip('/')}/events-{uuid.uuid4().hex}"
+    where = scratch(spark, "events")
 
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{where}/out")
@@ -379,3 +376,4 @@ QUERIES = {
         search_any_column, stream_monthly_events,
     )
 }
+QUERIES |= silver_queries.QUERIES | review_queries.QUERIES | report_queries.QUERIES

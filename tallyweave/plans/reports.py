@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.dates import inclusive_days, to_date
 from tallyweave.functions.numbers import completeness_class, difference_class, percent_difference
-from tallyweave.functions.text import facility_key, is_blank, lookup_text, own_columns
+from tallyweave.functions.text import facility_key, is_blank, lookup_text, own_columns, trimmed
 from tallyweave.functions.units import factor
 from tallyweave.operators.periods import covered_days
 
@@ -146,3 +146,50 @@ def category_dashboard(summary: DataFrame, by: list[str]) -> DataFrame:
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """One page of a sorted report."""
     return df.orderBy(*order).offset(number * size).limit(size)
+
+
+def active_accounts(accounts: DataFrame, active: DataFrame) -> DataFrame:
+    """Expected accounts of active facilities; names are compared without case, marks and spacing."""
+    key = lambda df: df.select("*", *(facility_key(F.col(c)).alias(f"_tw_{c}") for c in FACILITY))
+    own_columns(accounts)
+    return key(accounts).join(key(active.select(*FACILITY)).select(*(f"_tw_{c}" for c in FACILITY)).distinct(), [f"_tw_{c}" for c in FACILITY], "left_semi").select(accounts.columns)
+
+
+def all_facilities(expected: DataFrame, seen: DataFrame) -> DataFrame:
+    """Every facility that is expected or seen, once."""
+    return expected.select(*FACILITY).union(seen.select(*FACILITY)).dropDuplicates()
+
+
+def monthly_sources(rows: DataFrame) -> DataFrame:
+    """The distinct files (told apart without case, parts of texts counted singly) and links of each facility, KPI and month, in order.
+
+    rows: facility, kpi, date, source_files (text with semicolons), source_link. Parts are made distinct before they are gathered.
+    """
+    keys = {f"{c}_key": facility_key(F.col(c)) for c in FACILITY}
+    rows = rows.withColumns(keys | {"month": F.trunc("date", "MM")}).where(F.col("unit_name_key").isNotNull() & (F.col("unit_name_key") != ""))
+    key = [*keys, "kpi", "month"]
+    parts = rows.select(*key, "source_link", F.explode_outer(F.transform(F.split("source_files", ";"), lambda x: F.lower(trimmed(x)))).alias("file"))
+    distinct = parts.groupBy(*key, F.when(F.col("file") != "", F.col("file")).alias("file"), "source_link").agg(F.lit(1).alias("n"))
+    return distinct.groupBy(*key).agg(F.array_sort(F.collect_set("file")).alias("sources"), F.array_sort(F.collect_set("source_link")).alias("links"))
+
+
+def matching_facilities(cells: DataFrame, term: str) -> DataFrame:
+    """Cells whose facility holds a text, without case, marks and spacing."""
+    return cells.where(facility_key(F.concat_ws(" ", *FACILITY)).contains(term.lower()))
+
+
+def tiles(cells: DataFrame) -> DataFrame:
+    """Counts of a dashboard's cells by KPI: all, compared, without a previous value, and over 10 %."""
+    status = F.col("status")
+    return cells.groupBy("kpi").agg(F.count("*").alias("cells"), F.count_if(status == "compared").alias("compared"), F.count_if(status == "missing previous").alias("missing_previous"), F.count_if(F.abs("difference") > 0.10).alias("over_10"))
+
+
+def column_slice(df: DataFrame, first: str, last: str, more: list[str]) -> DataFrame:
+    """The columns from first to last in df's order, then some others."""
+    at, to = df.columns.index(first), df.columns.index(last)
+    return df.select(*df.columns[at : to + 1], *more)
+
+
+def decision_type(df: DataFrame, column: str = "issue_id") -> DataFrame:
+    """df with decision_type: whether a row's decision is a reviewer's own or answers an issue."""
+    return df.withColumn("decision_type", F.when(F.col(column).startswith("override_"), "Manual override").otherwise("Review decision"))

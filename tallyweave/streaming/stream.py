@@ -14,6 +14,11 @@ def document_stream(spark: SparkSession, path: str, max_files: int = 1000) -> Da
     """New JSON documents of a folder, one a file, as parsed documents with the name and time of their file."""
     reader = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", max_files)
     rows = reader.load(path).select(F.col("value").alias("json"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_modification_time").alias("modified"))
+    return keyed(rows)
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """Rows of JSON texts parsed, with the hash of their content."""
     return parsed(rows).withColumn("content_hash", content_hash(F.col("json")))
 
 
