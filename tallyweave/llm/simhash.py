@@ -89,6 +89,19 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     return pairs.distinct()
 
 
+def near_parts(parts: DataFrame) -> DataFrame:
+    """(part, a, b), a < b: the halves of parts(part, half) that differ in one bit, found at the anchors of each part by itself."""
+    rows = parts.select("part", "half").distinct().withColumn("s", _syndrome("half")).withColumn("home", F.expr(f"half ^ {_bit('s')}"))
+    rows = written(rows, "halves")
+    anchor = F.expr("home + part * 4294967296L")
+    homes = rows.select(anchor.alias("anchor"), "part", F.col("half").alias("a"))
+    flipped = rows.withColumn("i", F.explode(F.sequence(F.lit(-1), F.lit(31)))).where("i = -1 or (s = 0 and i = 0) or (s <> 0 and i < (s ^ i))")
+    near = F.expr(f"case when i = -1 then home ^ 2147483648L else half ^ {_bit('i')} ^ {_bit('(s ^ i)')} end + part * 4294967296L")
+    copies = flipped.select(near.alias("anchor"), F.col("half").alias("b"))
+    same = (homes["anchor"] == copies["anchor"]) & (homes["a"] != copies["b"]) & (F.bit_count(homes["a"].bitwiseXOR(copies["b"])) <= 1)
+    return homes.join(copies, same).select("part", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
     """(id, fingerprint, component): component is the smallest id reachable over links of at most threshold bits.
 
