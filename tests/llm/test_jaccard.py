@@ -32,7 +32,7 @@ def test_survivors_hold_against_brute_force_at_many_similarities(spark):
     assert out.columns == table.columns
     left, want = [(x.doc_id is None, x.doc_id or 0) for x in out.collect()], plain(rows)
     assert set(want) <= set(left)  # no row goes that brute force keeps
-    assert len(rows) - len(left) >= 0.9 * (len(rows) - len(want))
+    assert len(rows) - len(left) >= 0.98 * (len(rows) - len(want))
     assert survivors(table.limit(0)).collect() == []
 
 
@@ -50,21 +50,21 @@ def test_halves_one_bit_apart_meet_at_an_anchor(spark):
     assert got == want and len(want) > 60
 
 
-def test_recall_grows_with_similarity(spark):
+def test_every_pair_that_is_alone_is_found(spark):
     r = random.Random(8)
     rows, kind = [], {}
     for i in range(240):
         w = [f"w{r.randrange(5000)}" for _ in range(200)]
         rows.append((2 * i, " ".join(w)))
-        edits = 1 + i % 4
+        edits = 1 + i % 6
         for at in r.sample(range(5, 195), edits):
             w[at] = f"changed{at}"
         rows.append((2 * i + 1, " ".join(w)))
         kind[2 * i + 1] = jaccard(shingles(rows[-2][1]), shingles(rows[-1][1]))
     left = {x.doc_id for x in survivors(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert {2 * i for i in range(240)} <= left
-    share = lambda low, high: sum(d not in left for d, j in kind.items() if low <= j < high) / max(1, sum(low <= j < high for j in kind.values()))
-    assert share(0.94, 1) > 0.97 and share(0.88, 0.94) > 0.8 and share(0.8, 0.88) > 0.4 and share(0, 0.8) == 0
+    assert {d for d in kind if d not in left} == {d for d, j in kind.items() if j >= 0.8}
+    assert {j >= 0.8 for j in kind.values()} == {True, False}
 
 
 def test_different_texts_of_one_id_stay(spark):
