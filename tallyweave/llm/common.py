@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = f"file://{base}"
@@ -81,6 +83,6 @@ def ascii_words(text: str | None) -> list[bytes]:
 
 
 def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """A bounded number of rows of df, those whose keys have the smallest hashes; only keys are gathered to choose them."""
+    """So many rows of df at most, one for each of the keys with the smallest hashes; only keys are gathered to choose them."""
     chosen = df.select(key).dropna().distinct().orderBy(F.xxhash64(key), key).limit(rows)
-    return df.join(F.broadcast(chosen), key)
+    return df.join(F.broadcast(chosen), key).dropDuplicates([key])

@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         seen = e.join(near, "near").groupBy("node").agg(F.min("seen").alias("seen"))
         took = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
         hooks = took.groupBy(F.col("old").alias("node")).agg(F.min("label").alias("hook"))
-        hooked = took.join(hooks, "node", "left").select("node", "old", F.least("label", "hook").alias("label"))
+        # written, so that it is made once, and a giant component's label is a plain shuffled side that Spark can split
+        hooked = written(took.join(hooks, "node", "left").select("node", "old", F.least("label", "hook").alias("label")), "hooked")
         roots = hooked.select(F.col("node").alias("label"), F.col("label").alias("root"))
         jumped = hooked.join(roots, "label").select("node", "old", F.least("label", "root").alias("label"))
         turn = written(jumped, "labels")

@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .fmindex import FMIndex
 
 WINDOW = 10
-#: Characters of benchmark text sent to the workers at once.
-BLOCK_CHARS = 16 << 20
+#: Characters of benchmark text that make a block, and blocks sent to the workers in one plan before what they found is written.
+BLOCK_CHARS, BLOCKS = 1 << 20, 8
 #: A shard is indexed when it holds so many symbols or so many characters of text.
 SHARD_SYMBOLS, SHARD_CHARS = 1 << 19, 32 << 20
+#: Names that no table of documents has.
+SPANS, ITEMS = "_tallyweave_spans", "_tallyweave_items"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes to words: A-Z in lower case, ASCII that is neither letter nor digit to a blank, the rest unchanged.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -116,7 +119,7 @@ def without_spans(text: str, spans: list[int]) -> str:
 
 
 def _scan(rows: DataFrame, phrases: Phrases, text_col: str) -> DataFrame:
-    """rows, all columns, with what is found added to _spans and _items."""
+    """rows, all columns, with what is found added to SPANS and ITEMS."""
 
     def each(batches):
         for b in batches:
@@ -131,7 +134,7 @@ def _scan(rows: DataFrame, phrases: Phrases, text_col: str) -> DataFrame:
                     found += search_shard(shard, phrases)
                     shard, symbols, chars = [], 0, 0
             found += search_shard(shard, phrases)
-            for k, name in enumerate(("_spans", "_items")):
+            for k, name in enumerate((SPANS, ITEMS)):
                 at = b.schema.get_field_index(name)
                 both = [[*old, *new[k]] for old, new in zip(b.column(at).to_pylist(), found, strict=True)]
                 b = b.set_column(at, b.schema.field(at), pa.array(both, b.schema.field(at).type))
@@ -141,13 +144,15 @@ def _scan(rows: DataFrame, phrases: Phrases, text_col: str) -> DataFrame:
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int) -> DataFrame:
-    """docs, all columns, with _spans and _items of all blocks of the benchmark as they were found."""
+    """docs, all columns, with SPANS and ITEMS of all blocks of the benchmark as they were found."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("phrase")).where("phrase is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    rows = docs.select("*", F.expr("cast(array() as array<int>) _spans"), F.expr("cast(array() as array<string>) _items"))
+    rows = docs.select("*", F.expr(f"cast(array() as array<int>) {SPANS}"), F.expr(f"cast(array() as array<string>) {ITEMS}"))
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item", "phrase"), F.lit(blocks)) == k)
+        if k and k % BLOCKS == 0:
+            rows = written(rows, "searched")
         rows = _scan(rows, Phrases([(r["item"], r["phrase"]) for r in block.collect()], window), text_col)
     return rows
 
@@ -183,7 +188,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     def cut(batches):
         for b in batches:
             texts = []
-            for text, spans in zip(b.column(text_col).to_pylist(), b.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column(text_col).to_pylist(), b.column(SPANS).to_pylist(), strict=True):
                 spans = merged(spans[::2], spans[1::2])
                 texts.append(without_spans(text, spans) if spans else text)
             at = b.schema.get_field_index(text_col)

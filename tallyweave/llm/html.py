@@ -8,7 +8,7 @@ Inside the region, words that score zero or less (an advert within the article)
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from html import unescape
 
 import numpy as np
@@ -20,14 +20,15 @@ from .common import sampled
 
 #: Pages that the weights are counted on at most, chosen by hash.
 MAX_PAGES = 2000
-#: Bounds of the weight of a name with a prior, of any other, of the sum of the positive ones, and the words a prior counts for.
+#: Bounds of the weight of a name with a prior, of any other, of the sum of the positive ones, and the words a prior counts for. A prior is
+#: a pseudo-count: names that many words speak for or against get what the pages say.
 LOWEST, HIGHEST, LEARNT, MOST, PRIOR_WORDS = -6.0, 3.0, 1.0, 5.0, 200
 
 # Names in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-UNREAD = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|head"
-CLOSED_BY_SIBLING = {"li": "li", "dt": "dt|dd", "dd": "dt|dd", "tr": "tr", "td": "td|th", "th": "td|th", "option": "option"}
+UNREAD = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title"
+CLOSED_BY_SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 # Words in names of elements, classes and ids that a page's builder gives to what is not, or is, the article.
 BOILERPLATE = frozenset(
@@ -38,12 +39,13 @@ BOILERPLATE = frozenset(
 )
 CONTENT = frozenset("article articlebody body blog content entry main p post story text".split())
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({UNREAD})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S | re.I,
-)
+#: Attributes: a quote opens a value only behind an equals sign; elsewhere it is a character like others.
+ATTRIBUTES = r"""(?:[^>=]++|=\s*"[^"]*"|=\s*'[^']*'|=)*"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})(?:>|\Z)", re.S)
+UNREAD_TAGS = frozenset(UNREAD.split("|"))
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: An element around so large a share of a page's words, and of whose words so large a share lies in one element of the content, is a wrapper.
+WRAPS = 0.5
 
 
 def names(tag: str, attributes: str) -> tuple[str, ...]:
@@ -70,59 +72,118 @@ class Weights(dict):
         return prior(name)
 
 
-def pieces(html: str):
-    """(kind, value, element names): kind is 'open', 'close' or 'text'; names has those of all open elements, for texts."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    at = 0
-
-    def leave(wanted: str, within: frozenset | set = frozenset()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if re.fullmatch(wanted, stack[i][0]):
-                del stack[i:]
+class Open:
+    """The open elements of a page, with what is asked of them kept up to date: no question walks the stack."""
+
+    def __init__(self, weights: Weights):
+        self.stack: list[tuple[str, int, tuple[str, ...], float, float]] = []  # tag, element, names new with it, sums without it
+        self.weights, self.tags, self.names, self.up, self.down = weights, Counter(), Counter(), 0.0, 0.0
+
+    def push(self, tag: str, element: int, own: tuple[str, ...], wrapper: bool) -> None:
+        fresh = tuple(n for n in own if not self.names[n] and not (wrapper and self.weights[n] < 0))
+        self.stack.append((tag, element, fresh, self.up, self.down))
+        self.tags[tag] += 1
+        for n in fresh:
+            self.names[n] += 1
+            w = self.weights[n]
+            self.up, self.down = (self.up + w, self.down) if w > 0 else (self.up, self.down + w)
+
+    def pop(self) -> None:
+        tag, _, fresh, self.up, self.down = self.stack.pop()
+        self.tags[tag] -= 1
+        for n in fresh:
+            self.names[n] -= 1
+
+    def leave(self, wanted: tuple[str, ...], within: frozenset | set = frozenset()) -> None:
+        """Closes the innermost of the wanted elements and all in it, unless an element of within lies between."""
+        if not any(self.tags[t] for t in wanted):
+            return
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] in wanted:
+                while len(self.stack) > i:
+                    self.pop()
                 return
-            if stack[i][0] in within:
+            if self.stack[i][0] in within:
                 return
 
-    for m in TOKEN.finditer(html):
+    def score(self) -> float:
+        """One for a bare word, more or less by the distinct names of the elements around it."""
+        return 1 + min(self.up, MOST - 1) + self.down
+
+
+def pieces(html: str, open_: Open, wrappers: frozenset | set = frozenset()):
+    """(kind, value): kind is 'open', 'close' or 'text', open_ has the elements around a text. Elements are numbered as they come."""
+    at = element = 0
+    last_end = {m[1].lower(): m.start() for m in re.finditer(rf"</({UNREAD})(?=[\s/>])", html, re.I)}
+    while m := TOKEN.search(html, at):
         if m.start() > at:
-            yield "text", html[at : m.start()], stack
+            yield "text", html[at : m.start()]
         at = m.end()
-        if not m[3]:
-            if m[1]:
-                yield "open", m[1].lower(), stack
+        if not m[2]:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            yield "close", tag
+            open_.leave((tag,))
             continue
-        tag = m[3].lower()
-        if m[2]:
-            yield "close", tag, stack
-            leave(re.escape(tag))
+        if tag in UNREAD_TAGS:  # skipped to its end; without one scripts and styles take the rest, others end at the next tag
+            yield "open", tag
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at) if last_end.get(tag, -1) >= at else None
+            after = end.end() if end else -1 if tag in ("script", "style") else html.find("<", at)
+            at = after if after >= 0 else len(html)
             continue
+        if tag == "br":
+            yield "text", " "
         if tag not in INLINE:
-            leave("p", {"table", "td", "div", "section", "article"})
+            open_.leave(("p",), {"table", "td", "div", "section", "article"})
         if tag in CLOSED_BY_SIBLING:
-            leave(CLOSED_BY_SIBLING[tag], {"ul", "ol", "dl", "table", "select"})
-        yield "open", tag, stack
-        if tag not in VOID and not m[4].rstrip().endswith("/"):
-            stack.append((tag, names(tag, m[4])))
+            open_.leave(CLOSED_BY_SIBLING[tag], {"ul", "ol", "dl", "table", "select"})
+        yield "open", tag
+        if tag not in VOID and not m[3].rstrip().endswith("/"):
+            element += 1
+            open_.push(tag, element, names(tag, m[3]), element in wrappers)
     if at < len(html):
-        yield "text", html[at:], stack
+        yield "text", html[at:]
 
 
-def word_score(stack: list[tuple[str, tuple[str, ...]]], weights: Weights) -> float:
-    """One for a bare word, more or less by the distinct names of the elements around it."""
-    up = down = 0.0
-    for name in {n for _, own in stack for n in own}:
-        w = weights[name]
-        up, down = (up + w, down) if w > 0 else (up, down + w)
-    return 1 + min(up, MOST - 1) + down
+def wrappers_of(html: str, weights: Weights) -> set[int]:
+    """Elements with unwelcome names that wrap the whole page: a page-wide form, a layout named after its sidebar."""
+    open_, words, parent, kind = Open(weights), Counter(), {}, {}
+    for piece, value in pieces(html, open_):
+        if piece == "text":
+            n = len(value.split())
+            if n and open_.stack:
+                words[open_.stack[-1][1]] += n
+            words[0] += n
+        elif piece == "close" or not open_.stack:
+            continue
+        for i in range(len(open_.stack) - 1, -1, -1):  # elements opened since the last piece
+            tag, e, fresh, _, _ = open_.stack[i]
+            if e in parent:
+                break
+            parent[e] = open_.stack[i - 1][1] if i else 0
+            signs = [weights[n] for n in fresh if abs(weights[n]) >= LEARNT]
+            kind[e] = -1 if any(w < 0 for w in signs) else 1 if signs else 0
+    for e in sorted(parent, reverse=True):  # children have larger numbers
+        if parent[e]:
+            words[parent[e]] += words[e]
+    best = Counter()  # the most words that one element of content within holds
+    for e in sorted(parent, reverse=True):
+        best[parent[e]] = max(best[parent[e]], best[e], words[e] if kind[e] > 0 else 0)
+    return {e for e, k in kind.items() if k < 0 and words[e] > WRAPS * words[0] and best[e] > WRAPS * words[e]}
 
 
 def main_text(html: str | None, weights: Weights) -> str:
-    """The text blocks of the best region, one a line; empty if no region scores above zero."""
+    """The text blocks of the best region, one a line; empty if no region scores above zero, as for null and empty html.
+
+    A line break is white space. Elements without an end tag reach to the end of what they can hold; head and title hold no text.
+    """
     items: list[tuple[float, str | None, bool]] = []  # score, text, whether a block ends here
-    for kind, value, stack in pieces(html or ""):
+    html, open_ = html or "", Open(weights)
+    for kind, value in pieces(html, open_, wrappers_of(html, weights)):
         if kind == "text":
             n = len(value.split())
-            items.append((n * word_score(stack, weights) if n else 0.0, value, False))
+            items.append((n * open_.score() if n else 0.0, value, False))
         else:
             items.append((weights.tag_costs.get(value, -0.1), None, value not in INLINE))
     best, span, total, start = 0.0, (0, 0), 0.0, 0
@@ -148,13 +209,13 @@ def labelled(html: str):
     """Whether each word is content, as pages that mark their one article tell: (names, words, content); and tags."""
     if len(re.findall(r"<article[\s>]", html, re.I)) != 1:
         return
-    for kind, value, stack in pieces(html):
-        own = {n for _, x in stack for n in x}
-        content = "t:article" in own and not any(prior(n) < 0 for n in own)
+    open_ = Open(Weights())
+    for kind, value in pieces(html, open_):
         if kind == "text":
-            yield own, len(value.split()), content
+            own = {n for n, k in open_.names.items() if k}
+            yield own, len(value.split()), "t:article" in own and open_.down == 0
         else:
-            yield {f"/{value}"}, 1, content
+            yield {f"/{value}"}, 1, open_.names["t:article"] > 0 and open_.down == 0
 
 
 def learn(pages: DataFrame, max_pages: int = MAX_PAGES) -> Weights:
@@ -183,7 +244,7 @@ def learn(pages: DataFrame, max_pages: int = MAX_PAGES) -> Weights:
             share = (other + content) / (other + content + PRIOR_WORDS)
             held = prior(name)
             learnt = share * odds + (1 - share) * held
-            low, high = (LOWEST, held) if held < 0 else (0.0, HIGHEST) if held else (-LEARNT, LEARNT)
+            low, high = (LOWEST, HIGHEST) if held else (-LEARNT, LEARNT)
             out[name] = float(np.clip(learnt, low, high))
     out.tag_costs = costs
     return out

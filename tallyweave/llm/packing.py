@@ -9,6 +9,7 @@ at its end is cut anew into whole sequences and powers of two, which need no pad
 from __future__ import annotations
 
 import base64
+import json
 import os
 import zlib
 
@@ -27,28 +28,36 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _encoders: dict = {}
 
 
-def encoder(path: str):
-    """A function from texts to lists of ids, from a file of `tokenizers` (.json) or the same ranks for tiktoken (.tiktoken).
+def encoder(path: str, special: bool = True):
+    """A function from texts to lists of ids, from a file of `tokenizers` (.json). Loaded once a worker.
 
-    Special tokens' strings in a text are ordinary text. Loaded once a worker.
+    special: the file's added tokens, such as <|endoftext|>, are one id wherever their string stands, as in a plain call of that library;
+    else their strings are ordinary text. Where the same vocabulary lies beside it as ranks for tiktoken, which is faster, that library
+    encodes, with the same added tokens.
     """
-    if path not in _encoders:
-        if path.endswith(".tiktoken"):
+    key = (path, special)
+    if key not in _encoders:
+        ranks_file = path.removesuffix(".json") + ".tiktoken"
+        with open(path, encoding="utf-8") as file:
+            added = json.load(file).get("added_tokens", [])
+        plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) or t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+        if os.path.exists(ranks_file) and plain:
             import public_tokenizers
             import tiktoken
 
-            with open(path, "rb") as lines:
+            with open(ranks_file, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            coding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _encoders[path] = lambda texts: map(coding.encode_ordinary, texts)
+            tokens = {t["content"]: t["id"] for t in added} if special else {}
+            coding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=tokens)
+            _encoders[key] = lambda texts: (coding.encode(t, allowed_special="all", disallowed_special=()) for t in texts)
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
-            _encoders[path] = lambda texts: (e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False))
-    return _encoders[path]
+            t.encode_special_tokens = not special
+            _encoders[key] = lambda texts: (e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False))
+    return _encoders[key]
 
 
 def cuts(n: int, capacity: int, tail: int) -> list[tuple[int, int]]:
@@ -110,7 +119,7 @@ class Bins:
         return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, special: bool = True) -> DataFrame:
     """One row per piece: every id of every document, its end id included, lies in exactly one piece.
 
     A null or empty text is one end id. Rows with repeated ids are packed each. sequence_id is unique over all workers: the
@@ -120,7 +129,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def each(batches):
         context = TaskContext.get()
         bins = Bins(capacity, (context.partitionId() if context else 0) << 32)
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path, special)
         for b in batches:
             texts = [t or "" for t in b["text"]]
             for at in range(0, len(texts), 64):
@@ -140,4 +149,4 @@ def op2(spark, sf_dir):
 
     from .common import table
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

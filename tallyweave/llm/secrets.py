@@ -264,8 +264,10 @@ def planted(docs: DataFrame, lexicon: Lexicon, excerpts: int = MAX_EXCERPTS, see
     without a candidate raise no finding and have no row. Excerpts are chosen, and cut, by hash.
     """
     at = F.expr(f"pmod(xxhash64(text), greatest(length(text) - {EXCERPT}, 1)) + 1")
-    pieces = docs.where(F.length("text") > 0).select(F.substring(F.col("text"), at.cast("int"), F.lit(EXCERPT)).alias("text"), F.coalesce("path", F.lit("")).alias("path"), F.xxhash64("text").alias("h"))
-    pieces = pieces.orderBy("h", "text", "path").limit(excerpts)
+    # about twice as many as wanted go on, so that no task ever sorts more; copies of a text are told apart by id
+    share = min(1.0, (2 * excerpts + 1000) / max(1, docs.count()))
+    pieces = docs.where(F.length("text") > 0).select(F.substring(F.col("text"), at.cast("int"), F.lit(EXCERPT)).alias("text"), F.coalesce("path", F.lit("")).alias("path"), F.xxhash64("id", "text").alias("h"))
+    pieces = pieces.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("h", "text", "path").limit(excerpts)
 
     def each(batches):
         for b in batches:

@@ -2,9 +2,10 @@
 
 Level 1 looks at windows of half the target length. Of each run of neighbouring windows only the one with the smallest
 hash is looked at: any target window holds exactly one such minimum, and equal windows hold equal ones, so no repeat is missed
-while a thirteenth of the windows is shuffled. Whole copies are settled there. Level 2 extends the windows that repeat in another document to twice
-their length: only target windows whose minimum survived are hashed. Doubling goes on while windows survive, up to the target.
-Windows stand for their word sequences by 64-bit hashes at level 1, and by 96 bits at the target.
+while a thirteenth of the windows is shuffled. Whole copies are settled there. Each next level doubles the length: only target windows
+whose minimum of the level before repeats in another document are looked at, again by one window each. Doubling goes on while windows
+survive, up to the target, whose windows are all looked at. Windows stand for their word sequences by 64-bit hashes below the
+target, and by 96 bits there.
 """
 
 from __future__ import annotations
@@ -99,12 +100,11 @@ def _hash(words: list[bytes], cache: WordHashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-def minima(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, id, at, d, e, lead): in each document the minimal half-length windows of all its target windows.
+def minima(docs: DataFrame, window: int = WINDOW, half: int = WINDOW // 2) -> DataFrame:
+    """(h, id, at, d, e, lead): in each document the minimal windows of the first length, half, of all its target windows.
 
     d and e are a 128-bit hash of all its words; lead marks one row of each document.
     """
-    half = max(1, window // 2)
 
     def each(batches):
         cache, powers = WordHashes(), Powers()
@@ -128,21 +128,59 @@ def minima(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return docs.mapInPandas(each, "h long, id long, at int, d long, e long, lead boolean")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def first_length(window: int, least: int) -> int:
+    """The length that doubling starts from: the target halved as long as at least so many words are left."""
+    n = max(1, window // 2)
+    while n // 2 >= least:
+        n //= 2
+    return n
+
+
+def _repeating(level: DataFrame, owner: str) -> DataFrame:
+    """(id, ats): the places of each document's windows h of level(h, id, at, ...) that two owners have."""
+    shared = level.groupBy("h").agg(F.min(owner).alias("low"), F.max(owner).alias("high")).where("low < high").select("h")
+    shared = written(shared, "shared")  # so that both sides are plain shuffles and Spark can split a crowded window
+    return level.select("h", "id", "at").join(shared, "h").groupBy("id").agg(F.collect_set("at").alias("ats"))
+
+
+def doubled(kept: DataFrame, window: int, before: int, length: int) -> DataFrame:
+    """(h, id, at) of kept(id, text, ats): windows of this length, one for each target window whose window of the length before is at ats."""
+
+    def each(batches):
+        cache, powers = WordHashes(), Powers()
+        for b in batches:
+            for doc, text, ats in zip(b["id"], b["text"], b["ats"], strict=True):
+                words = _hash(_words(text), cache)
+                live = np.zeros(len(words) + 1, bool)
+                live[np.asarray(ats)] = True
+                targets = live[smallest(window_hashes(words, before, powers), window - before + 1)]
+                h = window_hashes(words, length, powers)
+                at = np.unique(smallest(h, window - length + 1)[targets])
+                yield pd.DataFrame({"h": h[at].view(np.int64), "id": np.full(len(at), doc), "at": at.astype(np.int32)})
+
+    return kept.mapInPandas(each, "h long, id long, at int")
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, least: int = 20) -> DataFrame:
     """(id, copy, starts): of each document that repeats one with a smaller id, whether it is a copy of it, else the starts
     of the target windows that also occur in such a document.
 
     Copies are settled first, by the hash of all words: they hold no window that their first does not hold, so neither they
-    nor half windows that only copies share go on to the next level.
+    nor windows that only copies share go on to the next level. The first length is the target halved down to least words.
     """
-    half = max(1, window // 2)
-    level = written(minima(docs, window), "minima")
+    length = first_length(window, least)
+    level = written(minima(docs, window, length), "minima")
     whole = level.where("lead").select("id", "d", "e")
     copies = whole.join(whole.groupBy("d", "e").agg(F.min("id").alias("first")), ["d", "e"]).where("first < id").select("id")
     copies = written(copies, "copies")
-    shared = level.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("h")
-    alive = level.select("h", "id", "at").join(shared, "h").groupBy("id").agg(F.collect_set("at").alias("ats"))
-    kept = _packed(docs).join(alive.join(copies, "id", "left_anti"), "id")
+    alive = _repeating(level, "d").join(copies, "id", "left_anti")
+    while 2 * length < window:
+        before, length = length, 2 * length
+        level = written(doubled(_packed(docs).join(alive, "id"), window, before, length), f"windows-{length}")
+        if level.limit(1).count() == 0:
+            break
+        alive = _repeating(level, "id")
+    kept = _packed(docs).join(alive, "id")
 
     def extend(batches):
         cache, powers = WordHashes(), Powers()
@@ -150,7 +188,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             his, los, ids, starts = [], [], [], []
             for doc, text, ats in zip(b["id"], b["text"], b["ats"], strict=True):
                 words = _hash(_words(text), cache)
-                part = smallest(window_hashes(words, half, powers), window - half + 1)
+                part = smallest(window_hashes(words, length, powers), window - length + 1)
                 live = np.zeros(len(words) + 1, bool)
                 live[np.asarray(ats)] = True
                 at = np.flatnonzero(live[part])
@@ -164,6 +202,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     target = written(kept.mapInPandas(extend, "hi long, lo int, id long, start int"), "windows")
     keys = ["hi", "lo"]
     firsts = target.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    firsts = written(firsts, "firsts")
     hit = target.join(firsts, keys).where("first < id").groupBy("id").agg(F.collect_set("start").alias("starts"))
     return hit.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
 
@@ -178,7 +217,7 @@ def covered(n: int, starts, window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least: int = 20) -> DataFrame:
     """(id, n_words, n_removed, kept): kept is the words left, joined by one space.
 
     Ids must be unique; a null text has no words, a text shorter than the window keeps all. Windows are judged on the
@@ -187,7 +226,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if window < 2:
         raise ValueError("a window has two words at least")
     texts = _texts(docs, id_col, text_col)
-    joined = _packed(texts).join(repeated_windows(texts, window), "id", "left")
+    joined = _packed(texts).join(repeated_windows(texts, window, least), "id", "left")
 
     def cut(batches):
         for b in batches:

@@ -110,8 +110,12 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("content", F.sha2("html", 256))
-    groups = rows.groupBy("content").agg(F.max("page_id").alias("response"))
-    ready = rows.join(groups, "content").sortWithinPartitions("page_id", "content", "url")
+    # pages with equal payloads are told by ids and hashes alone; html moves by page, so a crowd of empty pages meets in no task
+    owners = rows.select("page_id", "content").distinct()
+    groups = owners.groupBy("content").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
+    answers = owners.join(groups, "content").select(F.col("page_id").alias("own"), F.col("content").alias("hash"), "response")
+    same = rows["page_id"].eqNullSafe(answers["own"]) & (rows["content"] == answers["hash"])
+    ready = rows.join(answers, same, "left").withColumn("response", F.coalesce("response", "page_id")).sortWithinPartitions("page_id", "content", "url")
     shared = dictionary(pages)
     base, root = filesystem(path)
     base.create_dir(root, recursive=True)

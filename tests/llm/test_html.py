@@ -1,3 +1,5 @@
+import time
+
 from tallyweave.llm.html import Weights, extract, learn, main_text
 
 PAGE = (
@@ -5,7 +7,7 @@ PAGE = (
     '<li><a href="/y">more menu</a></li></ul></nav><div class="ad">buy now <b>today</b></div><article><h1>Head &amp; line {0}</h1><p>First <b>bold</b>\n  words here'
     "<p>Second, unclosed &lt;p&gt;<br>same block</p></article><footer>&copy; foot words</footer>"
 )
-TEXT = "Head & line {0}\nFirst bold words here\nSecond, unclosed <p>same block"
+TEXT = "Head & line {0}\nFirst bold words here\nSecond, unclosed <p> same block"
 
 
 def test_learns_weights_and_extracts_every_page(spark):
@@ -29,3 +31,29 @@ def test_priors_serve_pages_without_an_article_element():
     assert main_text(html, Weights()) == "T\nHello & bold x\nOne\nTwo\nMore text of it here."
     assert main_text("<nav>a b c</nav>", Weights()) == "" and main_text(None, Weights()) == ""
     assert main_text("<article><p>cut off <b>in the mid", Weights()) == "cut off in the mid"
+
+
+def test_pages_that_are_not_well_formed():
+    art, text = "<article><h1>T</h1><p>one two three four five six seven eight</p></article>", "T\none two three four five six seven eight"
+    pages = [
+        "<html><head><title>x</title><body>" + art,
+        "<head><title>x<body>" + art,
+        "<svg-icon></svg-icon>" + art,
+        "<svg><text>no</text></svg>" + art + "<script>var x = '<p>no</p>'",
+        "<form>" + art + "<input></form>",
+        '<div class="content-sidebar layout">' + art + "</div>",
+        "<nav>a b</nav>" + art + "<section class=comments><article><p>nice one</p></article></section>",
+    ]
+    assert [main_text(h, Weights()) for h in pages] == [text] * len(pages)
+    assert main_text("<article><p>line one<br>line two<br/>three</p></article>", Weights()) == "line one line two three"
+    assert main_text("<article><p><a href=\"x\"\">the link</a> and <a title=it's href=x>more</a> text</p></article>", Weights()) == "the link and more text"
+
+
+def test_time_grows_with_the_page():
+    def took(html):
+        began = time.process_time()
+        main_text(html, Weights())
+        return time.process_time() - began
+
+    for part in ("<i>x ", "<title>", "<div><p>x", "<svg>", '<a href="', "</b><b>x"):
+        assert took("<article>" + part * 40000) < 8 * took("<article>" + part * 10000) + 0.5

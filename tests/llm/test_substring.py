@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyweave.llm.substring import smallest, without_repeats
+from tallyweave.llm.substring import first_length, smallest, without_repeats
 
 
 def plain(rows, window):
@@ -38,6 +38,14 @@ def test_matches_brute_force(spark):
     assert without_repeats(docs.limit(0)).collect() == []
 
 
+def test_every_level_of_doubling_is_exact(spark):
+    for window, least in ((12, 2), (13, 1), (24, 3)):
+        data = rows(random.Random(window))
+        docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+        assert {tuple(x) for x in without_repeats(docs, window=window, least=least).collect()} == plain(data, window)
+    assert [first_length(50, 20), first_length(50, 6), first_length(200, 20), first_length(2, 20)] == [25, 6, 25, 1]
+
+
 def test_half_windows_of_equal_windows_are_equal():
     r = np.random.default_rng(0)
     h = r.integers(0, 6, 400).astype(np.uint64)
