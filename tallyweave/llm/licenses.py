@@ -41,6 +41,15 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "MIT-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "LGPL-3.0-or-later": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "Unlicense-full": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
@@ -81,7 +90,7 @@ class Templates:
         self.names = sorted(t for t in texts if words_of(texts[t])[0])
         self.words = [words_of(texts[t])[0] for t in self.names]
         self.sizes = [min(shingle, len(w)) for w in self.words]
-        self.shingles = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w, n in zip(self.words, self.sizes, strict=True)]
+        self.order = [{k: i for i, k in enumerate(dict.fromkeys(tuple(w[i : i + n]) for i in range(len(w) - n + 1)))} for w, n in zip(self.words, self.sizes, strict=True)]
         hashes = [np.unique(shingle_hashes(w, n, cache, powers)) for w, n in zip(self.words, self.sizes, strict=True)]
         self.classes: dict[int, list[Class]] = {}  # by shingle size: templates of fewer words have shingles of their own length
         self.known: dict[int, np.ndarray] = {}
@@ -120,9 +129,28 @@ def signature(hashes: np.ndarray, c: Class) -> list[bytes]:
     return [low[i : i + c.rows].tobytes() for i in range(0, k, c.rows)]
 
 
+def occurrences(places: list[int], words: list[bytes], n: int, order: dict[tuple[bytes, ...], int], similarity: float) -> list[tuple[float, int, int, int]]:
+    """(containment, first word, last word, words matched) of each time a template is told among places, where its shingles begin.
+
+    The template's shingles have an order; where it falls back by half of the template, another telling begins.
+    """
+    out, run, last = [], [], -1
+    for j in [*places, None]:
+        at = order[tuple(words[j : j + n])] if j is not None else -1
+        if run and (j is None or at <= last - len(order) // 2):
+            part = len({tuple(words[i : i + n]) for i in run}) / len(order)
+            if part >= similarity:
+                out.append((part, run[0], run[-1] + n - 1, len({x for i in run for x in range(i, i + n)})))
+            run, last = [], -1
+        if j is not None:
+            run.append(j)
+            last = max(last, at) if run[:-1] else at
+    return out
+
+
 def scan_words(words: list[bytes], t: Templates, cache: WordHashes, powers: Powers) -> list[tuple[int, float, int, int, int]]:
     """(template, containment, first word, last word, words matched) of each place where a template is found."""
-    out: list[tuple[int, float, int, int, int]] = []
+    out: set[tuple[int, float, int, int, int]] = set()
     for n, classes in t.classes.items():
         h = shingle_hashes(words, n, cache, powers)
         if not len(h):
@@ -139,22 +167,19 @@ def scan_words(words: list[bytes], t: Templates, cache: WordHashes, powers: Powe
                     continue
                 near = {i for band, key in enumerate(signature(own, c)) for i in c.buckets.get((band, key), ())}
                 for i in near:
-                    places = [j for j in range(a, b - n + 1) if tuple(words[j : j + n]) in t.shingles[i]]
-                    part = len({tuple(words[j : j + n]) for j in places}) / len(t.shingles[i])
-                    if part >= t.similarity:
-                        out.append((i, part, places[0], places[-1] + n - 1, len({x for j in places for x in range(j, j + n)})))
-    return merged_places(out)
+                    places = [j for j in range(a, b - n + 1) if tuple(words[j : j + n]) in t.order[i]]
+                    out |= {(i, *x) for x in occurrences(places, words, n, t.order[i], t.similarity)}
+    return whole_places(out)
 
 
-def merged_places(found: list[tuple[int, float, int, int, int]]) -> list[tuple[int, float, int, int, int]]:
-    """One row for places of a template that overlap, from neighbouring windows: the one that holds most of it."""
+def whole_places(found: set[tuple[int, float, int, int, int]]) -> list[tuple[int, float, int, int, int]]:
+    """Of places of one template that share most of their words, seen from neighbouring windows, the one that holds most of it."""
     out: list[tuple[int, float, int, int, int]] = []
-    for x in sorted(found, key=lambda x: (x[0], x[2], -x[1])):
-        if out and out[-1][0] == x[0] and x[2] <= out[-1][3]:
-            a = out.pop()
-            best = max(a, x, key=lambda y: y[1])
-            x = (a[0], best[1], min(a[2], x[2]), max(a[3], x[3]), max(a[4], x[4]))
-        out.append(x)
+    for x in sorted(found, key=lambda x: (x[0], x[2], -x[1], -x[3])):
+        if out and out[-1][0] == x[0] and 2 * (out[-1][3] - x[2] + 1) > min(out[-1][3] - out[-1][2], x[3] - x[2]) + 1:
+            out[-1] = max(out[-1], x, key=lambda y: (y[1], y[4]))
+        else:
+            out.append(x)
     return out
 
 

@@ -47,3 +47,13 @@ def test_finds_whole_and_edited_templates_as_brute_force_does(spark):
     one = next(x for x in rows if x.id == 903 and x.license == "CC-BY-NC-4.0")
     assert "é Licensed under CC BY-NC 4.0."[one.start : one.stop] == "Licensed under CC BY-NC 4.0"
     assert scan(table.limit(0)).collect() == []
+
+
+def test_every_place_is_a_row(spark):
+    short, long = TEMPLATES["MIT"], TEMPLATES["MIT-text"]
+    docs = [(1, f"{short} word {short}"), (2, f"{short} {short} {short}"), (3, f"a {long} b {long} c"), (4, f"{long} {long.replace('charge', 'cost')}"), (5, "nothing here")]
+    rows = scan(spark.createDataFrame(docs, "doc_id long, text string"), {"short": short, "long": long}).collect()
+    got = sorted((x.id, x.license, docs[x.id - 1][1][x.start : x.stop].rstrip(".")) for x in rows)
+    bare = long.rstrip(".")
+    want = [(1, "short", short.rstrip("."))] * 2 + [(2, "short", short.rstrip("."))] * 3 + [(3, "long", bare)] * 2 + [(4, "long", bare), (4, "long", bare.replace("charge", "cost"))]
+    assert got == sorted(want)
