@@ -1,7 +1,7 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
-Templates of like length share windows: two lengths of the longest of them long, one length apart, so an occurrence lies whole in
-one window. The bands of each class are set from the least Jaccard similarity such a window can have with its template,
+Templates of like length share windows: a quarter longer than the longest of them, and so far apart, so an occurrence of its length lies
+whole in one window. The bands of each class are set from the least Jaccard similarity such a window can have with its template,
 so that a match is missed with a probability of at most MISS. A window that holds no shingle of any template cannot collide in
 a band, so such windows get no MinHash at all.
 """
@@ -23,7 +23,9 @@ SHINGLE, SIMILARITY, MISS = 5, 0.8, 1e-6
 #: Templates are sent to every worker: more characters than this are refused.
 MAX_TEMPLATE_CHARS = 16 << 20
 #: A class has templates of up to this many times its shortest one's shingles.
-SPREAD = 1.5
+SPREAD = 1.25
+#: Windows of a class begin every so many parts of its longest template.
+STEPS = 4
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 LOWER = bytes(range(256)).translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)))
 FOUND = "id long, license string, containment double, start int, stop int, matched_words int"
@@ -102,9 +104,10 @@ class Templates:
                 part = [i for i in own if len(hashes[i]) <= SPREAD * least]
                 own = own[len(part) :]
                 longest = max(len(self.words[i]) for i in part)
-                window, need = 2 * longest, math.ceil(similarity * least)
+                step, need = -(-longest // STEPS), math.ceil(similarity * least)
+                window = longest + step
                 jaccard = need / (window - n + 1 + least - need)
-                c = Class(window, longest, *bands_for(jaccard))
+                c = Class(window, step, *bands_for(jaccard))
                 for i in part:
                     for band, key in enumerate(signature(hashes[i], c)):
                         c.buckets.setdefault((band, key), []).append(i)
