@@ -202,6 +202,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def op7(spark, sf_dir):
+    """Every document's words in benchmark windows. Repeated ids give a row each; an empty table gives none."""
     from .common import table
 
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

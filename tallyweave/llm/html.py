@@ -251,7 +251,10 @@ def learn(pages: DataFrame, max_pages: int = MAX_PAGES) -> Weights:
 
 
 def extract(pages: DataFrame, weights: Weights) -> DataFrame:
-    """pages' page_id and url with text, the main text of html; null, empty and article-less html may give an empty text."""
+    """pages' page_id and url with text, the main text of html; null, empty and article-less html may give an empty text.
+
+    Repeated rows and ids give a row each, equal html equal texts; an empty table gives no rows.
+    """
     plain, costs = dict(weights), weights.tag_costs
 
     def each(batches):
@@ -264,6 +267,7 @@ def extract(pages: DataFrame, weights: Weights) -> DataFrame:
 
 
 def op6(spark, sf_dir):
+    """The main text of every page. Repeated ids give a row each; an empty table gives none and teaches nothing."""
     from .common import table
 
     pages = table(spark, sf_dir, "pages")

@@ -190,7 +190,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     """(id, license, containment, start, stop, matched_words): every place of every whole text where a template is found.
 
     containment is the share of the template's distinct shingles of five words in the window, 0.8 at least; start and stop are
-    characters of the text. A template of fewer than five words is one shingle. Null and empty texts give no rows.
+    characters of the text. A template of fewer than five words is one shingle. Null and empty
+    texts, and empty tables, give no rows; repeated rows and ids give their own.
     """
     texts = TEMPLATES if templates is None else templates
 
@@ -216,6 +217,7 @@ TO_BLANKS = bytes(b if b > 127 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b
 
 
 def op8(spark, sf_dir):
+    """Every place of a license template in every document. Repeated ids give their own rows; an empty table gives none."""
     from .common import table
 
     return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -145,6 +145,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
 
 def op2(spark, sf_dir):
+    """Pieces of all documents in sequences of 1024 tokens. Repeated ids are packed each; an empty table gives none."""
     import public_tokenizers
 
     from .common import table

@@ -422,6 +422,7 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 
 def op3(spark, sf_dir):
+    """Every candidate of every document with its decision. Repeated ids give their own rows; an empty table gives none."""
     from .common import table
 
     return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

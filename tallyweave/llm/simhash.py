@@ -119,6 +119,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op4(spark, sf_dir):
+    """Every document with its fingerprint and the smallest id that it reaches. Repeated ids give a row each; an empty table gives none."""
     from .common import table
 
     found = near_duplicates(table(spark, sf_dir, "documents"))

@@ -242,6 +242,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op5(spark, sf_dir):
+    """Every document's words, those removed, and a digest of those kept. Ids must be unique; an empty table gives none."""
     from .common import table
 
     found = without_repeats(table(spark, sf_dir, "documents"))

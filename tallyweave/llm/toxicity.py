@@ -144,7 +144,8 @@ def _score(text: str | None, words: WordScores, model: Model) -> tuple[float, li
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", offending: float = 0.3) -> DataFrame:
     """(id, score, spans) for every row: spans are (start, end, score) of the sentences that score offending or more.
 
-    A null, empty or wordless text has no sentences and scores 0. Offsets are in characters of the text.
+    A null, empty or wordless text has no sentences and scores 0. Offsets are in characters of the text. Repeated rows and ids score each
+    for itself; equal texts have equal scores; an empty table gives no rows.
     """
 
     def each(batches):
@@ -162,7 +163,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def kept(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below limit."""
+    """The rows of docs, with all their columns, whose text scores below limit; repeated rows stay or go together, an empty table stays empty."""
 
     def each(batches):
         words = WordScores(model.weights)
@@ -174,6 +175,7 @@ def kept(docs: DataFrame, model: Model, limit: float, text_col: str = "text") ->
 
 
 def op1(spark, sf_dir):
+    """A score for every document, held out or not. Repeated ids give a row each; an empty table gives none."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents")
