@@ -78,7 +78,7 @@ files AS (SELECT division, legal_entity, unit_name, "month", component, count(DI
 SELECT division, legal_entity, unit_name, "month", component, round(total + 1e-7, 3) AS total_kwh, round(CASE WHEN total <> 0 THEN fossil_kwh / total END + 1e-7, 4) AS fossil, round(solar + 1e-7, 3) AS solar, n AS proration_component_count, c AS source_file_count, kpis
 FROM main JOIN extra USING (division, legal_entity, unit_name, "month", component) JOIN files USING (division, legal_entity, unit_name, "month", component)""",
     "reporting_rejects": _with(*_HIS) + "SELECT row_id, reject_reason FROM checked WHERE reject_reason IS NOT NULL",
-    "year_over_year": _with(*_HIS) + """SELECT division, legal_entity, unit_name, kpi, "month", round(current + 1e-7, 4) AS current, round(previous + 1e-7, 4) AS previous, round(difference + 1e-7, 4) AS difference, class,
+    "year_over_year": _with(*_HIS) + """SELECT division, legal_entity, unit_name, kpi, "month", round(current + 1e-7, 4) AS current, round(previous + 1e-7, 4) AS previous, round(difference + 1e-7, 4) + 0.0 AS difference, class,
 CASE WHEN current IS NULL AND previous IS NULL THEN 'no data' WHEN current IS NULL THEN 'missing current' WHEN previous IS NULL THEN 'missing previous' ELSE 'compared' END AS status FROM classed""",
     "high_variance": _with(*_HIS) + """SELECT division, legal_entity, unit_name, kpi, "month", round(abs(difference) + 1e-7, 4) AS size, class FROM classed WHERE abs(difference) > 0.1""",
     "top_variance_page": _with(*_HIS) + """SELECT division, legal_entity, unit_name, kpi, "month", round(abs(difference) + 1e-7, 4) AS size FROM classed WHERE abs(difference) > 0.1 AND NOT isinf(difference) ORDER BY size DESC, division, legal_entity, unit_name, kpi, "month" LIMIT 25 OFFSET 25""",
