@@ -76,6 +76,7 @@ class Class:
 
     window: int
     step: int
+    need: int  # shingles that the smallest template's match has at least
     bands: int
     rows: int
     buckets: dict[tuple[int, bytes], list[int]] = field(default_factory=dict)
@@ -107,7 +108,7 @@ class Templates:
                 step, need = -(-longest // STEPS), math.ceil(similarity * least)
                 window = longest + step
                 jaccard = need / (window - n + 1 + least - need)
-                c = Class(window, step, *bands_for(jaccard))
+                c = Class(window, step, need, *bands_for(jaccard))
                 for i in part:
                     for band, key in enumerate(signature(hashes[i], c)):
                         c.buckets.setdefault((band, key), []).append(i)
@@ -128,7 +129,7 @@ def signature(hashes: np.ndarray, c: Class) -> list[bytes]:
     """The MinHash of a set of shingles, a key for each band."""
     k = c.bands * c.rows
     seeds = mixed(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    low = np.array([mixed(hashes ^ s).min() for s in seeds])
+    low = mixed(hashes ^ seeds[:, None]).min(1)
     return [low[i : i + c.rows].tobytes() for i in range(0, k, c.rows)]
 
 
@@ -166,7 +167,7 @@ def scan_words(words: list[bytes], t: Templates, cache: WordHashes, powers: Powe
             for w in lows[(lows >= 0) & (lows <= last)]:
                 a, b = int(w) * c.step, min(len(words), int(w) * c.step + c.window)
                 own = h[a : b - n + 1]
-                if not len(own) or not ((hits >= a) & (hits <= b - n)).any():
+                if np.searchsorted(hits, b - n, "right") - np.searchsorted(hits, a) < c.need:  # too few shingles of any template to match
                     continue
                 near = {i for band, key in enumerate(signature(own, c)) for i in c.buckets.get((band, key), ())}
                 for i in near:
