@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP7_SQL, op7
 from .html import op6
 from .licenses import op8
+from .merkle import OP13_SQL, op13
 from .packing import op2
 from .search import op10
 from .secrets import op3
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_license_scan": op8,
     "op9_warc": op9,
     "op10_top_k_search": op10,
+    "op13_merkle_manifest": op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": OP5_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op9_warc": OP9_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
