@@ -6,6 +6,8 @@ from .decontamination import OP7_SQL, op7
 from .html import op6
 from .licenses import op8
 from .merkle import OP13_SQL, op13
+from .negatives import OP12_SQL, op12
+from .neighbours import op11
 from .packing import op2
 from .search import op10
 from .secrets import op3
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_license_scan": op8,
     "op9_warc": op9,
     "op10_top_k_search": op10,
+    "op11_learned_partitions": op11,
+    "op12_hard_negatives": op12,
     "op13_merkle_manifest": op13,
 }
 
@@ -32,5 +36,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": OP5_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op9_warc": OP9_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
