@@ -27,7 +27,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import by_id, scratch_path, written
 
 #: Dictionary words, excerpts that findings are planted in, findings of each label for the forest, and distinct words that a task counts before it passes them on.
 DICTIONARY_WORDS, MAX_EXCERPTS, MAX_FINDINGS, COUNTED = 20000, 3000, 8000, 200000
@@ -187,7 +187,8 @@ class Kinds:
         r, alnum, word = self.r, string.ascii_letters + string.digits, self.word(words)
         leet = word.translate(str.maketrans("aeiost", "431057"))
         kinds = [self.some(alnum, 8, 24), self.some(alnum + "!@#$%^&*-_+?.", 8, 24), leet + self.some("!@#$%&*-_?", 1, 2) + self.some(string.digits, 1, 4), word.capitalize() + self.some(string.digits + "!#$&", 2, 6),
-                 word + self.word(words)[:6] + self.some(string.digits, 0, 4), word[:8] + self.some(string.digits, 1, 2) + word[: r.randint(2, 6)], word[:8] + self.some(string.digits, 1, 2) + self.word(words)[:6], " ".join([*r.sample(words, min(2, len(words))), self.some(alnum + "'", 1, 6)]), self.some(alnum + "!?#", 4, 7)]
+                 word + self.word(words)[:6] + self.some(string.digits, 0, 4), word[:8] + self.some(string.digits, 1, 2) + word[: r.randint(2, 6)], word[:8] + self.some(string.digits, 1, 2) + self.word(words)[:6], " ".join([*r.sample(words, min(2, len(words))), self.some(alnum + "'", 1, 6)]), self.some(alnum + "!?#", 4, 7),
+                 self.some(alnum, 12, 18) + self.some("$#!%&*.:;", 1) + self.some(alnum, 2, 10)]
         return r.choice(kinds).replace('"', "").replace("\\", "").replace("\n", " ").strip()
 
     def secret(self, words: list[str]) -> tuple[str, bool]:
@@ -340,6 +341,21 @@ class Forest:
         return total / len(self.roots)
 
 
+def _outer_first(found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Places in order, each with the largest score of those within it: a value that holds a secret is one."""
+    out, open_ = [], []
+    for a, b, score in sorted(found, key=lambda x: (x[0], -x[1])):
+        while open_ and out[open_[-1]][1] < b:
+            open_.pop()
+        out.append((a, b, score))
+        for i in reversed(open_):
+            if out[i][2] >= score:
+                break
+            out[i] = (*out[i][:2], score)
+        open_.append(len(out) - 1)
+    return sorted(out)
+
+
 @dataclass
 class Scanner:
     """What tells secrets apart: a lexicon, and a forest (without one, only published formats are secrets)."""
@@ -356,7 +372,7 @@ class Scanner:
         features = [_features_at(t, a, b, p or "", self.lexicon) for t, p, own in zip(texts, paths, places, strict=True) for a, b in own]
         scores = iter(self.forest.scores(features).tolist() if features else ())
         # a private key says what it is
-        return [[(a, b, max(next(scores), float(bool(PEM_BEGIN.match(t, a))))) for a, b in own] for t, own in zip(texts, places, strict=True)]
+        return [_outer_first([(a, b, max(next(scores), float(bool(PEM_BEGIN.match(t, a))))) for a, b in own]) for t, own in zip(texts, places, strict=True)]
 
     def masked(self, text: str | None, found: list[tuple[int, int, float]], mark: str) -> str | None:
         """text with mark in place of its secrets, one mark where they overlap."""
@@ -399,7 +415,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
             out = [(doc, *place, place[2] >= scanner.threshold) for doc, own in zip(b["id"], found, strict=True) for place in own]
             yield pd.DataFrame(out, columns=["id", "start", "stop", "score", "secret"])
 
-    return rows.mapInPandas(each, f"id {rows.schema['id'].dataType.simpleString()}, start int, stop int, score double, secret boolean")
+    return by_id(rows, each, "start int, stop int, score double, secret boolean")
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", mark: str = "[SECRET]", scanner: Scanner | None = None) -> DataFrame:
