@@ -19,11 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_id
+
 CAPACITY = 1024
 #: Tails shorter than this share of the capacity are not cut further.
 TAIL_SHARE = 16
 END_ID = 0
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _encoders: dict = {}
 
@@ -49,17 +51,33 @@ def encoder(path: str, special: bool = True):
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             tokens = {t["content"]: t["id"] for t in added} if special else {}
             coding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=tokens)
-            _encoders[key] = lambda texts: (coding.encode(t, allowed_special="all", disallowed_special=()) for t in texts)
+            _encoders[key] = lambda texts: (_ids(coding, t, path, special) for t in texts)
         else:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
+            _encoders[key] = _plain(path, special)
+    return _encoders[key]
 
-            t = Tokenizer.from_file(path)
-            t.encode_special_tokens = not special
-            _encoders[key] = lambda texts: (e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False))
+
+def _plain(path: str, special: bool):
+    """encoder() by `tokenizers` itself."""
+    key = (path, special, "plain")
+    if key not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = not special
+        _encoders[key] = lambda texts: (e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False))
     return _encoders[key]
 
 
+def _ids(coding, text: str, path: str, special: bool) -> list[int]:
+    """A text's ids; what tiktoken's pattern cannot split, such as a million blanks, is left to `tokenizers`."""
+    try:
+        return coding.encode(text, allowed_special="all", disallowed_special=())
+    except ValueError:
+        return next(iter(_plain(path, special)([text])))
+
+
 def cuts(n: int, capacity: int, tail: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: whole sequences, then powers of two down to tail, then the rest."""
     out, at, size = [], 0, capacity
@@ -114,7 +132,7 @@ class Bins:
                     bin_ = []
 
     def flush(self) -> pd.DataFrame:
-        out = pd.DataFrame(self.rows, columns=[c.split()[0] for c in PIECES.split(", ")])
+        out = pd.DataFrame(self.rows, columns=["doc_id", *(c.split()[0] for c in PIECES.split(", "))])
         self.rows = []
         return out
 
@@ -133,7 +151,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         for b in batches:
             texts = [t or "" for t in b["text"]]
             for at in range(0, len(texts), 64):
-                for doc, own in zip(b["id"][at : at + 64], encode(texts[at : at + 64]), strict=True):
+                for doc, own in zip(b["doc_id"][at : at + 64], encode(texts[at : at + 64]), strict=True):
                     ids = np.array([*own, END_ID], "<u4")
                     for start, n in cuts(len(ids), capacity, max(1, capacity // TAIL_SHARE)):
                         bins.add(doc, start, ids[start : start + n], len(ids))
@@ -141,7 +159,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         bins.finish()
         yield bins.flush()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(each, PIECES)
+    return by_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), each, PIECES, "doc_id")
 
 
 def op2(spark, sf_dir):
