@@ -82,6 +82,13 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+def by_id(rows: DataFrame, each, columns: str, id_col: str = "id") -> DataFrame:
+    """rows.mapInPandas(each), where each gives id_col and columns: ids travel as text, since pandas makes whole numbers beside a null floats."""
+    kind = rows.schema[id_col].dataType.simpleString()
+    text = F.col(id_col).cast("string")
+    return rows.withColumn(id_col, text).mapInPandas(each, f"{id_col} string, {columns}").withColumn(id_col, F.col(id_col).cast(kind))
+
+
 def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
     """So many rows of df at most, one for each of the keys with the smallest hashes; only keys are gathered to choose them."""
     chosen = df.select(key).dropna().distinct().orderBy(F.xxhash64(key), key).limit(rows)

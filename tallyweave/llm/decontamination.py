@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import by_id, written
 from .fmindex import FMIndex
 
 WINDOW = 10
@@ -175,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 out.append((doc, text, spans, in_order(found), len(split_words(text)), sum(spans[1::2]) - sum(spans[::2]), clean))
             yield pd.DataFrame(out, columns=["id", "text", "spans", "items", "n_words", "n_hit", "clean"])
 
-    return rows.mapInPandas(finish, "id long, text string, spans array<int>, items array<string>, n_words long, n_hit long, clean string")
+    return by_id(rows, finish, "text string, spans array<int>, items array<string>, n_words long, n_hit long, clean string")
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

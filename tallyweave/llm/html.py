@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled
+from .common import by_id, sampled
 
 #: Pages that the weights are counted on at most, chosen by hash.
 MAX_PAGES = 2000
@@ -263,7 +263,7 @@ def extract(pages: DataFrame, weights: Weights) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": [main_text(h, known) for h in b["html"]]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(each, "page_id long, url string, text string")
+    return by_id(pages.select("page_id", "url", "html"), each, "url string, text string", "page_id")
 
 
 def op6(spark, sf_dir):

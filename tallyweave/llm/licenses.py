@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_id
 from .substring import Powers, WordHashes, mixed, window_hashes
 
 SHINGLE, SIMILARITY, MISS = 5, 0.8, 1e-6
@@ -28,7 +29,7 @@ SPREAD = 1.25
 STEPS = 4
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 LOWER = bytes(range(256)).translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)))
-FOUND = "id long, license string, containment double, start int, stop int, matched_words int"
+FOUND = "license string, containment double, start int, stop int, matched_words int"
 
 # Published license notices and permission texts.
 TEMPLATES = {
@@ -209,9 +210,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
                         start = len(raw[: at[first]].decode())
                         stop = start + len(raw[at[first] : at[last] + len(own[last])].decode())
                         rows.append((doc, t.names[i], part, start, stop, n))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
+            yield pd.DataFrame(rows, columns=["id", *(c.split()[0] for c in FOUND.split(", "))])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(each, FOUND)
+    return by_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), each, FOUND)
 
 
 TO_BLANKS = bytes(b if b > 127 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, written
+from .common import ascii_words, by_id, written
 
 WINDOW = 50
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -89,7 +89,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "text": [pack((t or "").encode()) for t in b["text"]]})
 
-    return docs.mapInPandas(each, "id long, text binary")
+    return by_id(docs, each, "text binary")
 
 
 def _words(packed: bytes) -> list[bytes]:
@@ -169,7 +169,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, least: int = 20) ->
     nor windows that only copies share go on to the next level. The first length is the target halved down to least words.
     """
     length = first_length(window, least)
-    level = written(minima(docs, window, length), "minima")
+    level = written(minima(docs.where("id is not null"), window, length), "minima")
     whole = level.where("lead").select("id", "d", "e")
     copies = whole.join(whole.groupBy("d", "e").agg(F.min("id").alias("first")), ["d", "e"]).where("first < id").select("id")
     copies = written(copies, "copies")
@@ -220,7 +220,7 @@ def covered(n: int, starts, window: int) -> np.ndarray:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least: int = 20) -> DataFrame:
     """(id, n_words, n_removed, kept): kept is the words left, joined by one space.
 
-    Ids must be unique; a null text has no words, a text shorter than the window keeps all. Windows are judged on the
+    Ids must be unique; a row without one keeps all its words and takes none from others. A null text has no words, a text shorter than the window keeps all. Windows are judged on the
     input, so of several copies the one with the smallest id stays whole. An empty table gives no rows.
     """
     if window < 2:
@@ -238,7 +238,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out.append((doc, len(words), int(gone.sum()), kept.decode()))
             yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
 
-    return joined.mapInPandas(cut, "id long, n_words long, n_removed long, kept string")
+    return by_id(joined, cut, "n_words long, n_removed long, kept string")
 
 
 def op5(spark, sf_dir):

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_id
+
 #: Documents of each label that the model is fitted on at most, chosen by hash.
 MAX_TOXIC, MAX_CLEAN = 2000, 3000
 SLOTS = 1 << 18
@@ -159,7 +161,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame({"id": ids, "score": scores, "spans": spans})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(each, "id long, score double, spans array<struct<start: int, end: int, score: double>>")
+    return by_id(rows, each, "score double, spans array<struct<start: int, end: int, score: double>>")
 
 
 def kept(docs: DataFrame, model: Model, limit: float, text_col: str = "text") -> DataFrame:

@@ -132,7 +132,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
                     draft = f"{root}/{name}.{context.taskAttemptId()}.tmp"
                     out = files.open_output_stream(draft, compression=None)
                     out.write(struct.pack("<II", DICTIONARY_FRAME, len(shared)) + shared)
-                page, response = (None if x != x or x is None else int(x) for x in (page, response))
+                page, response = (None if x is None else int(x) for x in (page, response))
                 payload = html.encode()
                 out.write(compressor.compress(record(page, url, payload, None if page == response else response)))
                 held, n = held + len(payload), n + 1
@@ -147,7 +147,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
             done.append((name, n))
         yield pd.DataFrame(done, columns=["archive", "records"])
 
-    return ready.select("page_id", "url", "html", "response").mapInPandas(each, "archive string, records long")
+    return ready.select(F.col("page_id").cast("string"), "url", "html", F.col("response").cast("string")).mapInPandas(each, "archive string, records long")
 
 
 def frames(stream) -> Iterator[bytes]:
@@ -217,8 +217,9 @@ def read_archives(archives: DataFrame, path: str, payloads: bool = True) -> Data
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    names = [c.split()[0] for c in RECORDS.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pd.DataFrame({n: pd.array(c, "Int64") if n in ("page_id", "refers_to") else list(c) for n, c in zip(names, columns, strict=True)})
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, payloads: bool = True) -> DataFrame:
@@ -231,6 +232,7 @@ def round_trip(spark: SparkSession, pages: DataFrame, payloads: bool = True) ->
 
 
 def op9(spark, sf_dir):
+    """Every page as the archives give it back. Repeated rows give a record each; an empty table gives none."""
     from .common import table
 
     return round_trip(spark, table(spark, sf_dir, "pages"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
