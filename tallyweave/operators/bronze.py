@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.text import mojibake_repaired, nullif_blank, own_columns
@@ -45,9 +45,10 @@ def extracted(documents: DataFrame, mapping: dict[str, list[str]]) -> DataFrame:
 
 def table_lines(documents: DataFrame, table: str, mapping: dict[str, list[str]]) -> DataFrame:
     """One row a line item with line_id from 1; documents without any are one line. Columns of the items replace the document's."""
+    own_columns(documents)
     items = F.filter(F.col("fields")[table]["valueArray"], lambda x: x["valueObject"].isNotNull())
-    rows = documents.select("*", F.posexplode_outer(items).alias("_pos", "_item")).withColumn("line_id", (F.coalesce("_pos", F.lit(0)) + 1).cast("string"))
-    return rows.withColumns({name: value_of(picked(F.col("_item.valueObject"), sources)) for name, sources in mapping.items()}).drop("_pos", "_item")
+    rows = documents.select("*", F.posexplode_outer(items).alias("_tw_pos", "_tw_item")).withColumn("line_id", (F.coalesce("_tw_pos", F.lit(0)) + 1).cast("string"))
+    return rows.withColumns({name: value_of(picked(F.col("_tw_item.valueObject"), sources)) for name, sources in mapping.items()}).drop("_tw_pos", "_tw_item")
 
 
 def mark_duplicates(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -71,25 +72,3 @@ def mark_duplicates(rows: DataFrame, order: list[str]) -> DataFrame:
 def split_duplicates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     dup = F.coalesce(F.upper("duplicate_status") == "DUPLICATE", F.lit(False))
     return rows.where(~dup), rows.where(dup)
-
-
-def mark_duplicates_any(rows: DataFrame, spill) -> DataFrame:
-    """Greedy first-wins marking for arbitrary hashes and keys: rows (seq, content_hash, business_key) with duplicate_status.
-
-    A row is a duplicate if an earlier primary has its hash or its key. Each round decides rows that are first among the undecided
-    in both groups, then the rows that share a key with a new primary. spill(df) writes a round's rows to shared storage.
-    """
-    todo, decided = spill(rows.select("seq", "content_hash", "business_key")), None
-    while todo.limit(1).count():
-        first = lambda c: F.coalesce(F.min("seq").over(Window.partitionBy(F.coalesce(F.col(c), F.concat(F.lit("alone"), "seq")))), F.col("seq"))
-        firsts = todo.withColumn("_h", first("content_hash")).withColumn("_k", first("business_key"))
-        primary = spill(firsts.where((F.col("seq") == F.col("_h")) & (F.col("seq") == F.col("_k"))).select("seq", "content_hash", "business_key"))
-        rest = todo.join(primary.select("seq"), "seq", "left_anti")
-        hit = rest.join(primary.select("content_hash").distinct(), "content_hash", "left_semi").select("seq").union(rest.join(primary.select("business_key").distinct(), "business_key", "left_semi").select("seq")).distinct()
-        hit = spill(hit)
-        part = primary.select("seq", F.lit("PRIMARY").alias("duplicate_status")).union(hit.select("seq", F.lit("DUPLICATE").alias("duplicate_status")))
-        decided = part if decided is None else decided.union(part)
-        todo = spill(rest.join(hit, "seq", "left_anti"))
-    if decided is None:
-        return rows.withColumn("duplicate_status", F.lit(None).cast("string"))
-    return rows.join(decided, "seq")

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import text
-from tallyweave.operators import bronze, lineage, periods, rollup
+from tallyweave.operators import bronze, lineage, numbering, periods, rollup
 from tallyweave.sources import lens
 
 from . import archive_v1, audit, missing, reports, scope
 from .oracle_parts import ALLOCATION_SQL, AUDITED, HISTORY, MAPPING_SQL, MONTHLY, PERIODS_SQL, RESOLVED, SPLITS, with_parts
+from .shared import spill
 
+#: What a split adds to its period.
+SPLIT = ("month", "split_start", "split_end", "split_days", "split_quantity")
 FACILITY = ["division", "legal_entity", "unit_name"]
 
 
@@ -32,12 +35,15 @@ def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit records beside their months: the splits carry their period's columns, so nothing is joined back."""
-    rows = periods.month_split(_records(spark, sf_dir))
-    keep = ["month", "split_start", "split_end", "split_days", "split_quantity"]
-    parent = scope.audit_periods(rows.withColumn("source_link", F.to_json(F.struct("source_link", *keep))))
-    got = F.from_json("source_link", "source_link string, month date, split_start date, split_end date, split_days int, split_quantity double")
-    rows = parent.withColumn("x", got).drop("source_link").select("*", "x.*").drop("x")
-    return rows.withColumns({"allocated_original": F.col("split_quantity"), "allocated_kwh": F.col("split_quantity") * F.col("factor")})
+    return scope.allocated(scope.audit_periods(periods.month_split(_records(spark, sf_dir)), SPLIT))
+
+
+def allocation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits that were written without their periods, joined to them by period and index, as a report reads them from storage."""
+    records = _records(spark, sf_dir)
+    splits = scope.audit_periods(periods.month_split(records), SPLIT).select("period_id", *SPLIT)
+    out = scope.allocation_records(scope.audit_periods(records), splits)
+    return out.select("source_file", "month", "split_start", "split_end", "split_days", "facility", "kpi_component", *(F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("allocated_original", "allocated_kwh")))
 
 
 def audit_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +58,9 @@ def facility_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scope.audit_periods(_records(spark, sf_dir)).where("source = 'Manual entry'")
-    return scope.indexed(rows, [F.col("facility"), F.col("start"), F.col("invoice_id"), F.col("source_file")], "kpi_component").select("kpi_component", "source_file", "index")
+    """Every audit record's place in the report of its KPI."""
+    rows = scope.audit_periods(_records(spark, sf_dir)).select("kpi_component", "facility", "start", "invoice_id", "source_file")
+    return numbering.numbered(rows, ["facility", "start", "invoice_id", "source_file"], spill(spark), by=["kpi_component"]).select("kpi_component", "source_file", "index")
 
 
 def report_options(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +209,7 @@ def constraints_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        audit_records, audit_details, facility_totals, report_index, report_options, case_evidence, case_scope, split_integrity, repeated_ids, missing_mapping, reporting_accounts, month_sources, dashboard_tiles, month_columns,
+        audit_records, allocation_join, audit_details, facility_totals, report_index, report_options, case_evidence, case_scope, split_integrity, repeated_ids, missing_mapping, reporting_accounts, month_sources, dashboard_tiles, month_columns,
         duplicate_counts, template_slice, quantities_v1, selected_quantity_v1, enriched_v1, dq_v1, constraints_v1,
     )
 }
@@ -259,9 +266,11 @@ ORACLE_SQL = {
     "audit_records": with_parts(*_R) + "SELECT invoice_id, line_id, source, facility, kpi_component, mapped, printed_start, e AS \"end\", factor, round(billed_kwh, 4) AS billed_kwh FROM ap",
     "audit_details": with_parts(*_R) + """SELECT facility, kpi_component, account, strftime(s, '%Y-%m-%d') || ' to ' || strftime(e, '%Y-%m-%d') AS invoice_period, strftime("month", '%b %Y') AS "month", round(alloc + 1e-7, 4) AS allocated_original, energy_unit AS original_unit,
   round(alloc_kwh + 1e-7, 4) AS allocated_kwh, round(alloc_kwh + 1e-7, 4) AS recalculated_kwh, coalesce(source_link, 'SharePoint link unavailable') AS link FROM al WHERE division = 'ASIA' AND kpi_component = 'Purchased electricity'""",
+    "allocation_join": with_parts(*_R) + """SELECT ap.source_file, q."month", q.split_start, q.split_end, CAST(q.split_days AS INT) AS split_days, facility, kpi_component, round(q.split_quantity + 1e-7, 4) AS allocated_original,
+  round(q.split_quantity * factor + 1e-7, 4) AS allocated_kwh FROM ap JOIN splits q USING (row_id)""",
     "facility_totals": with_parts(*_R) + """SELECT kpi_component, division, legal_entity, round(sum(alloc_kwh) + 1e-7, 2) AS kwh, count(DISTINCT row_id) AS periods, count(*) FILTER (alloc_kwh IS NULL) AS unavailable,
   CAST((kpi_component IS NOT NULL)::INT + (division IS NOT NULL)::INT + (legal_entity IS NOT NULL)::INT AS INT) AS level FROM al GROUP BY ROLLUP (kpi_component, division, legal_entity)""",
-    "report_index": with_parts(*_R) + "SELECT kpi_component, source_file, CAST(row_number() OVER (PARTITION BY kpi_component ORDER BY facility, s, invoice_id, source_file) AS INT) AS index FROM ap WHERE source = 'Manual entry'",
+    "report_index": with_parts(*_R) + "SELECT kpi_component, source_file, row_number() OVER (PARTITION BY kpi_component ORDER BY facility, s NULLS FIRST, invoice_id, source_file) AS index FROM ap",
     "report_options": with_parts(*_R) + "SELECT DISTINCT 'legal_entity' AS level, legal_entity AS option FROM ap WHERE division = 'EUROPE' UNION SELECT DISTINCT 'unit_name', unit_name FROM ap WHERE division = 'EUROPE' AND legal_entity = 'FRANCE' AND unit_name <> ''",
     "case_evidence": with_parts(*_R, _CASES) + """SELECT issue, "month", x[1] AS facility, x[2] AS kpi_component, x[3] AS account, CAST(periods AS INT) AS periods, CAST(length(files) AS INT) AS files_length, links[1] AS source_1, links[2] AS source_2 FROM full_cases WHERE len(links) > 0""",
     "case_scope": with_parts(*_R, _CASES) + """, chosen AS (SELECT row_id FROM ap WHERE division = 'ASIA' AND source = 'Reviewed OCR'), hit AS (SELECT DISTINCT issue, "month", k FROM evidence WHERE issue <> 'Overlapping billing periods' AND row_id IN (SELECT row_id FROM chosen)

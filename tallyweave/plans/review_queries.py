@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import text
-from tallyweave.operators import bronze, enrich, manual, review
+from tallyweave.operators import bronze, enrich, manual, marking, review
 from tallyweave.sources import lens, readers, sinks
 from tallyweave.streaming import stream
 
@@ -104,10 +104,10 @@ def first_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-wins marking where a row may share its hash with one row and its key with another."""
-    rows = lens.periods(spark, sf_dir).where("account_number is not null")
-    rows = rows.select(F.col("row_id").alias("seq"), F.concat_ws("|", "account_number", "start").alias("content_hash"), F.concat_ws("|", "invoice_id", "quantity").alias("business_key"))
-    return bronze.mark_duplicates_any(rows, spill(spark)).select("seq", "duplicate_status")
+    """First-wins marking of all periods, where a row may share its hash with one row and its key with another; some have no hash."""
+    content = F.when(F.col("account_number").isNotNull(), F.concat_ws("|", "account_number", "start"))
+    rows = lens.periods(spark, sf_dir).select(F.col("row_id").alias("seq"), content.alias("content_hash"), F.concat_ws("|", "invoice_id", "quantity").alias("business_key"))
+    return marking.mark_duplicates_any(rows, spill(spark)).select("seq", "duplicate_status", "duplicate_of", "match_type")
 
 
 def files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +183,16 @@ SELECT b.line_id, b.account_number, (SELECT count(*) FROM issues i WHERE i.line_
     "invoice_fields": with_parts(*_Q) + """SELECT q.line_id, field, value, CASE WHEN list_contains(string_split(missing_required_fields, ';'), field) THEN 'Missing' WHEN list_contains(string_split(low_confidence_fields, ';'), field) THEN 'Low confidence' WHEN list_contains(string_split(failed_fields, ';'), field) THEN 'Failed' ELSE 'OK' END AS status
 FROM quality q JOIN summaries USING (line_id)""",
     "first_lookup": with_parts(PERIODS_SQL, MAPPING_SQL) + """, f AS (SELECT lower(unit_name) AS u, min(map_id) AS map_id, arg_min(activity_group, map_id) AS activity_group FROM mapping GROUP BY 1) SELECT row_id, f.map_id, f.activity_group FROM periods LEFT JOIN f ON u = lower(unit_name)""",
+    "greedy_duplicates": with_parts(PERIODS_SQL).replace("WITH", "WITH RECURSIVE", 1) + """, base AS (SELECT row_id AS seq, account_number || '|' || "start" AS h, invoice_id || '|' || quantity AS k FROM periods),
+state AS (SELECT 0 AS turn, h, k, min(seq) AS seq, NULL::VARCHAR AS st FROM base GROUP BY h, k
+  UNION ALL SELECT turn + 1, h, k, seq, CASE WHEN st IS NOT NULL THEN st WHEN won THEN 'P' WHEN (h IS NOT NULL AND h_won) OR (k IS NOT NULL AND k_won) THEN 'D' END
+  FROM (SELECT *, bool_or(won) OVER (PARTITION BY h) AS h_won, bool_or(won) OVER (PARTITION BY k) AS k_won
+    FROM (SELECT *, st IS NULL AND (h IS NULL OR seq = min(CASE WHEN st IS NULL THEN seq END) OVER (PARTITION BY h)) AND (k IS NULL OR seq = min(CASE WHEN st IS NULL THEN seq END) OVER (PARTITION BY k)) AS won,
+      count(CASE WHEN st IS NULL THEN 1 END) OVER () AS todo FROM state) WHERE todo > 0)),
+p AS (SELECT h, k, seq FROM state WHERE st = 'P' AND turn = (SELECT max(turn) FROM state)),
+r AS (SELECT b.seq, CASE WHEN x.seq < b.seq THEN x.seq END AS by_hash, CASE WHEN y.seq < b.seq THEN y.seq END AS by_key FROM base b LEFT JOIN p x ON x.h = b.h LEFT JOIN p y ON y.k = b.k)
+SELECT seq, CASE WHEN by_hash IS NULL AND by_key IS NULL THEN 'PRIMARY' ELSE 'DUPLICATE' END AS duplicate_status, coalesce(by_hash, by_key) AS duplicate_of,
+  CASE WHEN by_hash IS NOT NULL THEN 'CONTENT_HASH' WHEN by_key IS NOT NULL THEN 'BUSINESS_KEY' END AS match_type FROM r""",
     "files_round_trip": """SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS account, o_orderstatus AS status, true AS hashed FROM orders""",
     "mapping_table": with_parts(MAPPING_SQL) + """SELECT map_id, legal_entity, supplier_name, activity_group, lower(trim(account_number)) || '_' || lower(trim(activity_group)) AS lookup_key FROM mapping WHERE map_id % 4 <> 0""",
     "hierarchy": with_parts(MAPPING_SQL) + "SELECT DISTINCT division, legal_entity AS legal_entity_name, unit_name AS unit FROM mapping WHERE map_id % 3 <> 0 AND map_id % 7 <> 0",

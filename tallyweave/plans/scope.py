@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.dates import month_label
@@ -26,11 +26,11 @@ def kpi_component(activity: Column) -> Column:
     return out
 
 
-def audit_periods(df: DataFrame) -> DataFrame:
+def audit_periods(df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Audit records of billed periods: identity, facility label, KPI, mapped or not, printed and effective dates, factor and billed kWh.
 
     df has invoice_id, line_id, source_file, flow, the facility, account_number, activity_group, mapping_status, start, end, effective_start,
-    effective_end, quantity, energy_unit and period_index. A blank invoice goes by its file, a blank line is 1.
+    effective_end, quantity, energy_unit and period_index. A blank invoice goes by its file, a blank line is 1. Columns to carry go along, as those of a month.
     """
     levels = [F.coalesce(trimmed(F.col(c)), F.lit("")) for c in FACILITY]
     labels = [F.when(v == "", "Unmapped").otherwise(v) for v in levels]
@@ -42,13 +42,17 @@ def audit_periods(df: DataFrame) -> DataFrame:
         F.concat_ws(" / ", *labels).alias("facility"), *(v.alias(c) for v, c in zip(levels, FACILITY, strict=True)), kpi_component(F.col("activity_group")).alias("kpi_component"),
         (filled & (is_blank(F.col("mapping_status")) | (F.col("mapping_status") == "MAPPED"))).alias("mapped"), F.coalesce("account_number", F.lit("")).alias("account"),
         F.col("start").alias("printed_start"), F.col("end").alias("printed_end"), F.coalesce("effective_start", "start").alias("start"), F.coalesce("effective_end", "end").alias("end"),
-        F.col("quantity").alias("billed_original"), F.col("energy_unit").alias("original_unit"), f.alias("factor"), (F.col("quantity") * f).alias("billed_kwh"), "source_file", "source_link", "period_index",
+        F.col("quantity").alias("billed_original"), F.col("energy_unit").alias("original_unit"), f.alias("factor"), (F.col("quantity") * f).alias("billed_kwh"), "source_file", "source_link", "period_index", *carry,
     )
 
 
 def allocation_records(periods: DataFrame, splits: DataFrame) -> DataFrame:
     """Each split (period_id, month, split_start, split_end, split_days, split_quantity) beside its period, with its amount in kWh."""
-    rows = splits.join(periods, "period_id")
+    return allocated(splits.join(periods, "period_id"))
+
+
+def allocated(rows: DataFrame) -> DataFrame:
+    """Splits with the factor of their period: with what falls to them, and that in kWh."""
     return rows.withColumns({"allocated_original": F.col("split_quantity"), "allocated_kwh": F.col("split_quantity") * F.col("factor")})
 
 
@@ -115,11 +119,6 @@ def case_table(cases: DataFrame) -> DataFrame:
     return cases.withColumns(links | {"periods": F.size("period_ids"), "source_files": F.array_join("source_files", "; ")}).drop("period_ids", "source_links")
 
 
-def indexed(df: DataFrame, order: list[Column], by: str) -> DataFrame:
-    """df with its place in the report's order, from 1 within each value of by: a report is one such value."""
-    return df.withColumn("index", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-
-
 def totals(allocations: DataFrame, levels: list[str]) -> DataFrame:
     """kWh by the levels and by each prefix of them, down to none; null where no amount is known. level counts the levels that a row is by."""
     rows = allocations.rollup(*levels).agg(F.sum("allocated_kwh").alias("kwh"), F.countDistinct("period_id").alias("periods"), F.count_if(F.col("allocated_kwh").isNull()).alias("unavailable"), F.grouping_id().alias("_tw_g"))

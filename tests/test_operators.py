@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import bronze, enrich, gold, periods, review, rollup
+from tallyweave.operators import bronze, enrich, gold, marking, periods, review, rollup
 from tallyweave.plans import audit, reports
 from tallyweave.sources import readers, sinks
 from tallyweave.streaming import stream
@@ -85,7 +85,23 @@ def test_duplicate_marking_agrees_with_the_greedy_rule(spark, tmp_path):
         return spark.read.parquet(path)
 
     df = spark.createDataFrame(rows, "seq int, content_hash string, business_key string")
-    assert {x.seq: x.duplicate_status for x in bronze.mark_duplicates_any(df, spill).collect()} == want
+    assert {x.seq: x.duplicate_status for x in marking.mark_duplicates_any(df, spill).collect()} == want
+    chain = [(i, f"h{(i + 1) // 2}", f"k{i // 2}") for i in range(1000)]  # each shares its key with the one before and its hash with the next
+    odd = [(5000, None, "x"), (5001, "y", " "), (5002, None, "x"), (5003, None, None), (5004, "y", "x"), (5005, "y", "z"), (5006, None, "z")]
+    hot = [(2000 + i, "hot", f"c{i}") for i in range(500)]
+    shuffled = chain + odd + hot
+    r.shuffle(shuffled)
+    out = {x.seq: (x.duplicate_of, x.match_type) for x in marking.mark_duplicates_any(spark.createDataFrame(shuffled, "seq int, content_hash string, business_key string"), spill).collect()}
+    hashes, named = {}, {}
+    for i, h, k in sorted(shuffled):
+        k = None if k == " " else k
+        if h in hashes or k in named:
+            assert out[i] == ((hashes[h], "CONTENT_HASH") if h in hashes else (named[k], "BUSINESS_KEY"))
+        else:
+            assert out[i] == (None, None)
+            hashes |= {h: i} if h else {}
+            named |= {k: i} if k else {}
+    assert marking.mark_duplicates_any(df.limit(0), spill).collect() == []
     simple = spark.createDataFrame([("a", "h1", "k1"), ("b", "h1", "k1"), ("c", "h2", "k1"), ("d", None, None), ("e", None, "")], "source_file string, content_hash string, business_key string")
     got = {x.source_file: (x.duplicate_status, x.duplicate_of, x.match_type) for x in bronze.mark_duplicates(simple, ["source_file"]).collect()}
     assert got == {"a": ("PRIMARY", None, None), "b": ("DUPLICATE", "a", "CONTENT_HASH"), "c": ("DUPLICATE", "a", "BUSINESS_KEY"), "d": ("PRIMARY", None, None), "e": ("PRIMARY", None, None)}
