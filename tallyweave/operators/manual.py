@@ -56,15 +56,18 @@ def missing_fields(required: list[str]) -> Column:
 
 
 def entry_fault(required: list[str]) -> Column:
-    """Why an entry cannot be saved: blank fields, no KPI or account, an unsupported unit, no single mapping; empty if it can."""
-    missing = missing_fields(required)
-    return (
-        F.when(missing != "", F.concat(F.lit("Required field is blank: "), missing))
-        .when(is_blank(F.col("activity_group")) | is_blank(F.col("account_number")), "Select a KPI Component and a matching account before saving.")
-        .when(factor(F.col("energy_unit")).isNull(), "Select a supported Energy Unit: kWh, MWh, ton, or RTH.")
-        .when(F.coalesce(F.col("mapping_status") != "MAPPED", F.lit(True)), F.col("mapping_status"))
-        .otherwise("")
-    )
+    """Codes and columns of all that keeps an entry from being saved, joined by "; "; empty if nothing does."""
+    wanted = {
+        "blank": {c: is_blank(F.col(c).cast("string")) for c in required},
+        "unlinked": {c: is_blank(F.col(c)) for c in ("activity_group", "account_number")},
+        "unknown": {"energy_unit": factor(F.col("energy_unit")).isNull()},
+        "unresolved": {"mapping_status": F.coalesce(F.col("mapping_status") != "MAPPED", F.lit(True))},
+    }
+    found = []
+    for code, columns in wanted.items():
+        names = F.array_compact(F.array(*(F.when(bad, F.lit(c)) for c, bad in columns.items())))
+        found.append(F.when(F.size(names) > 0, F.concat(F.lit(f"{code} "), F.array_join(names, ","))))
+    return F.array_join(F.array_compact(F.array(*found)), "; ")
 
 
 def reopened(decisions: DataFrame, issues: DataFrame) -> DataFrame:

@@ -276,7 +276,7 @@ ORACLE_SQL = {
     "case_scope": with_parts(*_R, _CASES) + """, chosen AS (SELECT row_id FROM ap WHERE division = 'ASIA' AND source = 'Reviewed OCR'), hit AS (SELECT DISTINCT issue, "month", k FROM evidence WHERE issue <> 'Overlapping billing periods' AND row_id IN (SELECT row_id FROM chosen)
   UNION SELECT issue, "month", k FROM evidence WHERE issue = 'Overlapping billing periods' AND "month" LIKE '1998-%')
 SELECT source_file, facility FROM ap WHERE row_id IN (SELECT row_id FROM evidence JOIN hit USING (issue, "month", k))""",
-    "split_integrity": with_parts(PERIODS_SQL, RESOLVED, SPLITS) + """SELECT row_id, "month", CASE part_key % 40 WHEN 1 THEN 'split without a matching invoice period' WHEN 2 THEN 'different source invoice' WHEN 3 THEN 'stale account or energy classification' ELSE 'stale billing date resolution' END AS fault FROM splits WHERE part_key % 40 BETWEEN 1 AND 4""",
+    "split_integrity": with_parts(PERIODS_SQL, RESOLVED, SPLITS) + """SELECT row_id, "month", CASE part_key % 40 WHEN 1 THEN 'no such period' WHEN 2 THEN 'another file' WHEN 3 THEN 'another account or activity' ELSE 'other dates' END AS fault FROM splits WHERE part_key % 40 BETWEEN 1 AND 4""",
     "repeated_ids": with_parts(PERIODS_SQL) + "SELECT invoice_id, count(*) AS rows FROM periods GROUP BY 1 HAVING count(*) > 1",
     "missing_mapping": with_parts(PERIODS_SQL, MAPPING_SQL) + """, k AS (SELECT division, account_number, count(*) OVER (PARTITION BY division, legal_entity, unit_name, lower(trim(activity_group)), trim(account_number)) AS n FROM mapping),
 a AS (

@@ -167,8 +167,8 @@ ORACLE_SQL = {
     "upload_queue": _ENTRIES + """, old AS (SELECT DISTINCT 'up' || (supplier_key % 50) AS invoice_id FROM bronze WHERE part_key % 5 = 0), new AS (SELECT 'up' || (supplier_key % 60) AS base, row_number() OVER (PARTITION BY supplier_key % 60 ORDER BY line_id) AS n FROM bronze WHERE part_key % 7 = 0)
 SELECT invoice_id, line_id, 'PENDING' AS manual_entry_status, NULL AS entry_source FROM queue UNION ALL SELECT invoice_id, '1', 'PENDING', 'UPLOAD' FROM old
 UNION ALL SELECT CASE WHEN n + (base IN (SELECT invoice_id FROM old))::INT = 1 THEN base ELSE base || '_' || (n + (base IN (SELECT invoice_id FROM old))::INT) END, '1', 'NEW', 'UPLOAD' FROM new""",
-    "entry_checks": with_parts(PERIODS_SQL) + """SELECT row_id, CASE WHEN part_key % 9 = 0 THEN 'Required field is blank: supplier_name' WHEN account_number IS NULL THEN 'Select a KPI Component and a matching account before saving.'
-  WHEN energy_unit = 'mmBTU' THEN 'Select a supported Energy Unit: kWh, MWh, ton, or RTH.' WHEN mapping_status <> 'MAPPED' THEN mapping_status ELSE '' END AS fault FROM periods""",
+    "entry_checks": with_parts(PERIODS_SQL) + """SELECT row_id, concat_ws('; ', CASE WHEN part_key % 9 = 0 THEN 'blank supplier_name' END, CASE WHEN account_number IS NULL THEN 'unlinked account_number' END,
+  CASE WHEN energy_unit = 'mmBTU' THEN 'unknown energy_unit' END, CASE WHEN mapping_status <> 'MAPPED' THEN 'unresolved mapping_status' END) AS fault FROM periods""",
     "reopened_decisions": with_parts(*_Q) + """SELECT 'decision_' || issue_id AS decision_id, line_id, field_name, coalesce(ocr_value, '') AS original_value, CASE WHEN field_name = 'account_number' THEN '' ELSE coalesce(ocr_value, '') END AS corrected_value,
   CASE WHEN field_name = 'account_number' THEN '' ELSE 'APPROVED' END AS review_decision, CASE WHEN field_name = 'account_number' THEN 'PENDING' ELSE 'DONE' END AS review_tag FROM issues WHERE field_name <> 'quantity'""",
     "override_ids": with_parts(PERIODS_SQL) + """, o AS (SELECT row_id AS line_id, 'override_' || replace(invoice_id, '-', '_') || '_' || CASE WHEN part_key % 3 = 0 THEN '1' ELSE replace(row_id, '-', '_') END || '_supplier_name' AS issue_id FROM periods)

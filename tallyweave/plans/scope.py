@@ -97,14 +97,27 @@ def split_faults(splits: DataFrame, periods: DataFrame) -> DataFrame:
     rows = splits.join(p, ["row_id", "period_index"], "left")
     differs = lambda *cs: reduce(lambda a, b: a | b, (~F.col(c).eqNullSafe(F.col(f"p.{c}")) for c in cs))
     fault = (
-        F.when(F.col("p").isNull(), "split without a matching invoice period")
-        .when(differs("source_file"), "different source invoice")
-        .when(differs("account_number", "activity_group"), "stale account or energy classification")
-        .when(differs("effective_start", "effective_end"), "stale billing date resolution")
+        F.when(F.col("p").isNull(), "no such period")
+        .when(differs("source_file"), "another file")
+        .when(differs("account_number", "activity_group"), "another account or activity")
+        .when(differs("effective_start", "effective_end"), "other dates")
     )
     return rows.withColumn("fault", fault).where("fault is not null").select("row_id", "month", "fault")
 
 
+def split_rules(splits: DataFrame, periods: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """splits beside their periods, and the rules that let them into a report: for constraints.enforced or quarantined."""
+    p = periods.select("row_id", "period_index", F.struct("source_file", "effective_start", "effective_end").alias("p"))
+    inside = F.coalesce((F.col("split_start") >= F.col("p.effective_start")) & (F.col("split_end") <= F.col("p.effective_end")), F.col("p").isNull())
+    rules = {
+        "no such period": F.col("p").isNotNull(),
+        "another file": F.col("p").isNull() | F.col("source_file").eqNullSafe(F.col("p.source_file")),
+        "no amount": F.col("split_quantity").isNotNull(),
+        "outside its period": inside,
+    }
+    return splits.join(p, ["row_id", "period_index"], "left"), rules
+
+
 def details(allocations: DataFrame) -> DataFrame:
     """The audit-details projection, with what the amounts recalculate to."""
     return allocations.select(
