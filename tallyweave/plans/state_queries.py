@@ -87,12 +87,12 @@ def _layers() -> list[layers.Layer]:
 
 
 def layer_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All layers built, refreshed once with nothing changed, once with allocations written again in another order, and once with other shares of
-    solar generation: how often each layer was built, and its rows."""
+    """All layers built, refreshed once with allocations written again in another order, and once with fossil and
+    renewable shares exchanged: how often each layer was built, and its rows."""
     root, allocation = scratch(spark, "layers"), lens.allocation(spark, sf_dir)
     sources = {"periods": lens.periods(spark, sf_dir), "allocation": allocation}
-    changed = allocation.withColumn("generation", F.col("generation") + 1)
-    for now in (allocation, allocation, allocation.orderBy(F.desc("lookup_id")), changed):
+    changed = allocation.withColumns({"fossil": F.col("renewable"), "renewable": F.col("fossil")})
+    for now in (allocation, allocation.orderBy(F.desc("lookup_id")), changed):
         layers.refresh(spark, root, _layers(), sources | {"allocation": now})
     return layers.log(spark, root).groupBy("layer").agg(F.count("*").alias("builds"), F.max_by("rows", "build").alias("rows"))
 
@@ -123,7 +123,7 @@ UNION ALL SELECT 4, 'override_' || replace(invoice_id, '-', '_') || '_' || repla
     "layer_refresh": with_parts(*_TPL) + """, n(layer, builds, rows) AS (
   SELECT '01_periods', 1, count(*) FROM periods UNION ALL SELECT '02_conflicts', 1, count(*) FROM periods UNION ALL SELECT '03_resolved', 1, count(*) FROM resolved UNION ALL SELECT '04_split', 1, count(*) FROM splits
   UNION ALL SELECT '05_monthly', 1, count(*) FROM monthly UNION ALL SELECT '06_allocated', 2, count(*) FROM allocated UNION ALL SELECT '07_business', 2, count(*) FROM allocated UNION ALL SELECT '08_template', 2, count(*) FROM template
-  UNION ALL SELECT '09_output', 2, count(*) FROM template UNION ALL SELECT '10_lineage', 1, count(*) FROM monthly UNION ALL SELECT 'gold_template', 2, count(*) FROM gold
+  UNION ALL SELECT '09_output', 2, count(*) FROM gold UNION ALL SELECT '10_lineage', 1, count(*) FROM (SELECT DISTINCT division, legal_entity, unit_name, supplier_name, account_number, activity_group, energy_unit, "month" FROM splits WHERE mapping_status = 'MAPPED') UNION ALL SELECT 'gold_template', 2, count(*) FROM gold
   UNION ALL SELECT 'gold_aggregated', 2, count(*) FROM (SELECT DISTINCT division, legal_entity, unit_name, "month", activity_group FROM gold))
 SELECT layer, CAST(builds AS BIGINT) AS builds, CAST(rows AS BIGINT) AS rows FROM n""",
     "split_quarantine": with_parts(PERIODS_SQL, RESOLVED, SPLITS) + """SELECT row_id || CASE WHEN part_key % 50 = 1 THEN 'x' ELSE '' END AS row_id, "month",
