@@ -9,7 +9,7 @@ from tallyweave.functions import text
 from tallyweave.operators import bronze, lineage, numbering, periods, rollup
 from tallyweave.sources import lens
 
-from . import archive_v1, audit, missing, reports, scope
+from . import archive_v1, audit, audit_report, missing, reports, scope
 from .oracle_parts import ALLOCATION_SQL, AUDITED, HISTORY, MAPPING_SQL, MONTHLY, PERIODS_SQL, RESOLVED, SPLITS, with_parts
 from .shared import spill
 
@@ -52,6 +52,30 @@ def audit_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.details(rows).withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in ("allocated_original", "allocated_kwh", "recalculated_kwh")})
 
 
+def _report(spark: SparkSession, sf_dir: str) -> audit_report.Report:
+    """The fiscal year 1998 of all facilities."""
+    return audit_report.build(_records(spark, sf_dir), audit_report.Wanted("1997-12-01", "1998-11-01"), spill(spark))
+
+
+def audit_report_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _report(spark, sf_dir).details()
+    return out.select("index", "source_file", "facility", "kpi_component", "account", "month", *(F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("allocated_original", "allocated_kwh")))
+
+
+def audit_report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir).summary().withColumn("kwh", F.round(F.col("kwh") + 1e-7, 2))
+
+
+def audit_report_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = _report(spark, sf_dir)
+    files = report.rows.select("period_id", "source_file").distinct()
+    return report.cases().join(files, "period_id", "left").drop("period_id")
+
+
+def audit_report_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir).information(("as planted",))
+
+
 def facility_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scope.totals(_allocations(spark, sf_dir), ["kpi_component", "division", "legal_entity"])
     return out.withColumn("kwh", F.round(F.col("kwh") + 1e-7, 2)).withColumn("level", F.col("level").cast("int"))
@@ -209,7 +233,7 @@ def constraints_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        audit_records, allocation_join, audit_details, facility_totals, report_index, report_options, case_evidence, case_scope, split_integrity, repeated_ids, missing_mapping, reporting_accounts, month_sources, dashboard_tiles, month_columns,
+        audit_records, audit_report_details, audit_report_summary, audit_report_cases, audit_report_information, allocation_join, audit_details, facility_totals, report_index, report_options, case_evidence, case_scope, split_integrity, repeated_ids, missing_mapping, reporting_accounts, month_sources, dashboard_tiles, month_columns,
         duplicate_counts, template_slice, quantities_v1, selected_quantity_v1, enriched_v1, dq_v1, constraints_v1,
     )
 }
@@ -241,6 +265,24 @@ full_cases AS (
   FROM evidence JOIN ap USING (row_id) GROUP BY ALL
 )
 """
+_SUMMARY = """, summary AS (SELECT division, legal_entity, unit_name, kpi_component, count(DISTINCT account) AS accounts, sum(alloc_kwh) AS kwh, count(DISTINCT row_id) AS periods, count(*) FILTER (alloc_kwh IS NULL) AS unavailable
+  FROM al WHERE "month" BETWEEN DATE '1997-12-01' AND DATE '1998-11-01' GROUP BY ALL)
+"""
+_REPORT_CASES = """, named AS (SELECT row_id, source_file, division, legal_entity, coalesce(u, '') AS unit_name, account_number, act AS activity_group, mapping_status, effective_start AS s, effective_end AS e, energy_unit FROM rec),
+v AS (SELECT *, coalesce(account_number, '?') AS a FROM named WHERE e >= s),
+days AS (SELECT division, legal_entity, unit_name, a, activity_group, CAST(unnest(generate_series(greatest(s, DATE '1997-12-01'), least(e, DATE '1998-11-30'), INTERVAL 1 DAY)) AS DATE) AS d FROM v),
+per_day AS (SELECT *, count(*) AS n FROM days GROUP BY ALL),
+per_month AS (SELECT division, legal_entity, unit_name, a, activity_group, CAST(date_trunc('month', d) AS DATE) AS "month", count(*) AS covered, count(*) FILTER (n > 1) AS over FROM per_day GROUP BY ALL),
+grid AS (SELECT division, legal_entity, unit_name, a, activity_group, CAST(unnest(generate_series(DATE '1997-12-01', DATE '1998-11-01', INTERVAL 1 MONTH)) AS DATE) AS "month" FROM (SELECT DISTINCT division, legal_entity, unit_name, a, activity_group FROM v)),
+gaps AS (SELECT g.*, day(last_day("month")) - coalesce(covered, 0) AS missing, coalesce(over, 0) AS over FROM grid g LEFT JOIN per_month USING (division, legal_entity, unit_name, a, activity_group, "month")),
+report_cases AS (
+  SELECT 'Missing mapping' AS issue, strftime(s, '%Y-%m') AS "month", division, legal_entity, unit_name, account_number, activity_group, NULL::BIGINT AS days, source_file FROM named WHERE account_number IS NULL OR unit_name = '' OR mapping_status <> 'MAPPED'
+  UNION ALL SELECT 'Invalid invoice inputs', strftime(s, '%Y-%m'), division, legal_entity, unit_name, account_number, activity_group, NULL, source_file FROM named WHERE NOT coalesce(e >= s, false)
+  UNION ALL SELECT 'Unsupported energy unit', strftime(s, '%Y-%m'), division, legal_entity, unit_name, account_number, activity_group, NULL, source_file FROM named WHERE energy_unit = 'mmBTU'
+  UNION ALL SELECT 'Missing coverage', strftime("month", '%Y-%m'), division, legal_entity, unit_name, nullif(a, '?'), activity_group, missing, NULL FROM gaps WHERE missing > 0
+  UNION ALL SELECT 'Overlapping billing periods', strftime("month", '%Y-%m'), division, legal_entity, unit_name, nullif(a, '?'), activity_group, over, NULL FROM gaps WHERE over > 0
+)
+"""
 _OCR = """
 ocr AS (
   SELECT row_id AS ocr_record_id, legal_entity, unit_name, supplier_name AS supplier, account_number, CAST(quantity AS VARCHAR) AS q1, CASE WHEN part_key % 3 = 0 THEN CAST(quantity * 2 AS VARCHAR) END AS q2, CASE WHEN part_key % 7 = 0 THEN '7' END AS q5, CAST(supplier_key AS VARCHAR) AS q6, energy_unit AS u1, 'kWh' AS u2, part_key
@@ -268,6 +310,14 @@ ORACLE_SQL = {
   round(alloc_kwh + 1e-7, 4) AS allocated_kwh, round(alloc_kwh + 1e-7, 4) AS recalculated_kwh, coalesce(source_link, 'SharePoint link unavailable') AS link FROM al WHERE division = 'ASIA' AND kpi_component = 'Purchased electricity'""",
     "allocation_join": with_parts(*_R) + """SELECT ap.source_file, q."month", q.split_start, q.split_end, CAST(q.split_days AS INT) AS split_days, facility, kpi_component, round(q.split_quantity + 1e-7, 4) AS allocated_original,
   round(q.split_quantity * factor + 1e-7, 4) AS allocated_kwh FROM ap JOIN splits q USING (row_id)""",
+    "audit_report_details": with_parts(*_R) + """SELECT row_number() OVER (ORDER BY division, legal_entity, unit_name, kpi_component, account, "month", s, substr(sha256(concat_ws('|', source, invoice_id, line_id, 1)), 1, 16)) AS index, source_file, facility, kpi_component, account, "month",
+  round(alloc + 1e-7, 4) AS allocated_original, round(alloc_kwh + 1e-7, 4) AS allocated_kwh FROM al WHERE "month" BETWEEN DATE '1997-12-01' AND DATE '1998-11-01'""",
+    "audit_report_summary": with_parts(*_R) + _SUMMARY + "SELECT * REPLACE (round(kwh + 1e-7, 2) AS kwh) FROM summary",
+    "audit_report_cases": with_parts(*_R) + _REPORT_CASES + "SELECT * FROM report_cases",
+    "audit_report_information": with_parts(*_R) + _SUMMARY + _REPORT_CASES + """, everything AS (SELECT ap.*, q."month" FROM ap LEFT JOIN splits q USING (row_id))
+SELECT 1 AS place, 'scope' AS item, 'all rows; 1997-12 to 1998-11' AS value UNION ALL SELECT 1, 'periods and months read', count(*)::VARCHAR FROM everything
+UNION ALL SELECT 1, 'without an amount in kWh', count(*)::VARCHAR FROM everything WHERE factor IS NULL OR "month" IS NULL UNION ALL SELECT 1, 'warning', 'as planted'
+UNION ALL SELECT 2, 'cases: ' || issue, count(*)::VARCHAR FROM report_cases GROUP BY issue UNION ALL SELECT 3, 'kWh: ' || kpi_component, format('{:,.2f}', sum(kwh) + 1e-7) FROM summary GROUP BY kpi_component""",
     "facility_totals": with_parts(*_R) + """SELECT kpi_component, division, legal_entity, round(sum(alloc_kwh) + 1e-7, 2) AS kwh, count(DISTINCT row_id) AS periods, count(*) FILTER (alloc_kwh IS NULL) AS unavailable,
   CAST((kpi_component IS NOT NULL)::INT + (division IS NOT NULL)::INT + (legal_entity IS NOT NULL)::INT AS INT) AS level FROM al GROUP BY ROLLUP (kpi_component, division, legal_entity)""",
     "report_index": with_parts(*_R) + "SELECT kpi_component, source_file, row_number() OVER (PARTITION BY kpi_component ORDER BY facility, s NULLS FIRST, invoice_id, source_file) AS index FROM ap",
