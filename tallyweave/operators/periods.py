@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,31 +40,72 @@ def _sequences(df: DataFrame) -> DataFrame:
     return df.withColumns({"_tw_valid": F.coalesce(valid, F.lit(False)), "_tw_seq": F.when(linked, key).otherwise(alone)})
 
 
-def overlap_flags(df: DataFrame) -> DataFrame:
+PLACE = ["start", "end", "row_id", "period_index"]
+
+
+def _chunked(rows: DataFrame, spill: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with _tw_chunk: sequences in their order, dealt by range, so that one of any length is cut between tasks."""
+    return spill(rows.repartitionByRange("_tw_seq", *PLACE).withColumn("_tw_chunk", F.spark_partition_id()))
+
+
+def _met(rows: DataFrame, summary: DataFrame, carried: dict[str, Column]) -> DataFrame:
+    """rows with _tw_in, what their chunk is handed by the other chunks of its sequence; null where the sequence is in one.
+
+    summary has a row a sequence and chunk; carried are expressions over its rows of one sequence. Only sequences in several chunks are joined.
+    """
+    handed = summary.withColumns({f"_tw_c_{k}": c for k, c in carried.items()} | {"_tw_chunks": F.count("*").over(Window.partitionBy("_tw_seq"))})
+    handed = handed.where("_tw_chunks > 1").select("_tw_seq", "_tw_chunk", F.struct(*(F.col(f"_tw_c_{k}").alias(k) for k in carried)).alias("_tw_in"))
+    return rows.join(handed, ["_tw_seq", "_tw_chunk"], "left")
+
+
+def overlap_flags(df: DataFrame, spill: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """df with conflict, whether a period overlaps another of its sequence by more than one shared end date, and the helpers of the sequence.
 
     Rows without an account, unmapped rows and invalid dates are sequences of their own, so they never share a partition. Both
     running bounds grow along their frame, forwards and backwards, so a sequence takes time in proportion to its length.
+
+    Where one sequence may hold a large part of all rows, give spill, which writes a table: sequences are then cut into chunks by range. A chunk's largest
+    end, its ends and its first single day are one row; running bounds over those rows are handed to the chunks, so the flags are
+    the same and no task sees more than a chunk.
     """
     rows = _sequences(df)
-    order = Window.partitionBy("_tw_seq").orderBy("start", "end", "row_id", "period_index")
-    back = Window.partitionBy("_tw_seq").orderBy(F.desc("start"), F.desc("end"), F.desc("row_id"), F.desc("period_index"))
     start, end = F.col("start"), F.col("end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    single = F.min(F.when(start == end, start)).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    own = (reach > start) | (F.lag("start").over(order) == start) | ((start == end) & (reach >= start))
-    partner = (F.lead("start").over(order) < end) | (F.lead("start").over(order) == start) | (single <= end)
-    return rows.withColumn("conflict", F.col("_tw_valid") & (F.coalesce(own, F.lit(False)) | F.coalesce(partner, F.lit(False))))
-
-
-def resolve_dates(df: DataFrame) -> DataFrame:
+    alone = F.when(start == end, start)
+    if spill:
+        rows = _chunked(rows, spill)
+        summary = rows.groupBy("_tw_seq", "_tw_chunk").agg(F.max("end").alias("reach"), F.min("start").alias("first"), F.max("start").alias("last"), F.min(alone).alias("single"))
+        chunks = Window.partitionBy("_tw_seq").orderBy("_tw_chunk")
+        before, after = chunks.rowsBetween(Window.unboundedPreceding, -1), chunks.rowsBetween(1, Window.unboundedFollowing)
+        rows = _met(rows, summary, {"reach": F.max("reach").over(before), "last": F.lag("last").over(chunks), "first": F.lead("first").over(chunks), "single": F.min("single").over(after)})
+    part = ["_tw_seq", "_tw_chunk"] if spill else ["_tw_seq"]
+    order = Window.partitionBy(*part).orderBy(*PLACE)
+    back = Window.partitionBy(*part).orderBy(*(F.desc(c) for c in PLACE))
+    handed = lambda f, c, k: f(c, F.col("_tw_in")[k]) if spill else c
+    reach = handed(F.greatest, F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), "reach")
+    single = handed(F.least, F.min(alone).over(back.rowsBetween(Window.unboundedPreceding, -1)), "single")
+    earlier, later = handed(F.coalesce, F.lag("start").over(order), "last"), handed(F.coalesce, F.lead("start").over(order), "first")
+    own = (reach > start) | (earlier == start) | ((start == end) & (reach >= start))
+    partner = (later < end) | (later == start) | (single <= end)
+    rows = rows.withColumn("conflict", F.col("_tw_valid") & (F.coalesce(own, F.lit(False)) | F.coalesce(partner, F.lit(False))))
+    return rows.drop("_tw_in") if spill else rows
+
+
+def resolve_dates(df: DataFrame, spill: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """df with effective_start, effective_end, date_adjustment, date_resolution, resolution_reference, date_provisional.
 
     df has row_id, period_index, the sequence columns, mapping_status, start and end; all flows resolve as one history.
+    spill is for sequences that are too long for a task, as in overlap_flags(); the rows are the same.
     """
-    order = Window.partitionBy("_tw_seq").orderBy("start", "end", "row_id", "period_index")
+    order = Window.partitionBy(*(["_tw_seq", "_tw_chunk"] if spill else ["_tw_seq"])).orderBy(*PLACE)
     ref = F.struct("start", "end", "conflict", F.concat(F.col("row_id"), F.lit(" (period "), F.col("period_index"), F.lit(")")).alias("ref"))
-    rows = overlap_flags(df).withColumn("_tw_next", F.lead(ref).over(order)).withColumn("_tw_prev", F.lag(ref).over(order))
+    rows = overlap_flags(df, spill)
+    nearest = {"_tw_next": F.lead(ref).over(order), "_tw_prev": F.lag(ref).over(order)}
+    if spill:
+        rows, chunks = spill(rows), Window.partitionBy("_tw_seq").orderBy("_tw_chunk")
+        summary = rows.groupBy("_tw_seq", "_tw_chunk").agg(F.min_by(ref, F.struct(*PLACE)).alias("head"), F.max_by(ref, F.struct(*PLACE)).alias("tail"))
+        rows = _met(rows, summary, {"next": F.lead("head").over(chunks), "prev": F.lag("tail").over(chunks)})
+        nearest = {k: F.coalesce(c, F.col("_tw_in")[k[4:]]) for k, c in nearest.items()}
+    rows = rows.withColumns(nearest)
     start, end, nxt, prev = F.col("start"), F.col("end"), F.col("_tw_next"), F.col("_tw_prev")
     shares = (nxt["start"] == end) & (start < end)
     shared = (start == prev["end"]) & (start < end)
@@ -92,7 +135,7 @@ def resolve_dates(df: DataFrame) -> DataFrame:
         .withColumn("date_provisional", ~r.isin(SINGLE, MONTH_START, MONTH_END, SHARED, CONSECUTIVE))
         .withColumn("resolution_reference", F.when(~fixed, F.coalesce(nxt["ref"], prev["ref"])))
     )
-    return rows.drop("_tw_valid", "_tw_seq", "_tw_next", "_tw_prev", "conflict")
+    return rows.drop("_tw_valid", "_tw_seq", "_tw_next", "_tw_prev", "_tw_chunk", "_tw_in", "conflict")
 
 
 def month_split(df: DataFrame, start: str = "effective_start", end: str = "effective_end", quantity: str = "quantity", keep_unsplit: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from tallyweave.streaming import ingest
 
 from . import scope
 from .oracle_parts import ALLOCATED, BRONZE_SQL, MONTHLY, PERIODS_SQL, QUALITY, RESOLVED, SPLITS, TEMPLATE, with_parts
-from .shared import scratch
+from .shared import scratch, spill
 
 FIELDS = {"account_number": "critical", "supplier_name": "optional", "energy_unit": "noncritical", "quantity": "critical"}
 
@@ -59,6 +59,17 @@ def decision_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.unionByName(decision_log.state(spark, path, 1).withColumn("version", F.lit(1))).select("version", "issue_id", "original_value", "corrected_value", "review_decision", "reviewed_at")
 
 
+def _crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All periods as those of one account: four sequences hold every mapped row."""
+    one = {c: F.lit("one") for c in ("division", "legal_entity", "unit_name", "supplier_name")}
+    return lens.periods(spark, sf_dir).withColumns(one | {"account_number": F.when(F.col("account_number").isNotNull(), "one")})
+
+
+def crowded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of sequences that no task holds: chunks of them, with what they hand each other."""
+    return periods.resolve_dates(_crowded(spark, sf_dir), spill(spark)).select("row_id", *ingest.RESOLUTION)
+
+
 def _layers() -> list[layers.Layer]:
     """The silver layers 01 to 10 and both gold tables."""
     monthly_key = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in [*rollup.MONTHLY_KEY, "flow"]))
@@ -108,11 +119,13 @@ def split_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.quarantined(*scope.split_rules(splits, records))[1].select("row_id", "month", F.array_join("faults", "; ").alias("faults"))
 
 
-QUERIES = {f.__name__: f for f in (late_arrivals, document_ingest, decision_versions, layer_refresh, split_quarantine)}
+QUERIES = {f.__name__: f for f in (late_arrivals, crowded_sequences, document_ingest, decision_versions, layer_refresh, split_quarantine)}
 
 _TPL = (PERIODS_SQL, RESOLVED, SPLITS, MONTHLY, ALLOCATED, TEMPLATE)
 ORACLE_SQL = {
     "late_arrivals": with_parts(PERIODS_SQL, RESOLVED) + "SELECT row_id, effective_start, effective_end, date_adjustment, date_resolution, resolution_reference, date_provisional FROM resolved",
+    "crowded_sequences": with_parts(PERIODS_SQL.replace("periods AS (", "plain AS ("), """periods AS (SELECT * REPLACE ('one' AS division, 'one' AS legal_entity, 'one' AS unit_name, 'one' AS supplier_name, CASE WHEN account_number IS NOT NULL THEN 'one' END AS account_number) FROM plain)
+""", RESOLVED) + "SELECT row_id, effective_start, effective_end, date_adjustment, date_resolution, resolution_reference, date_provisional FROM resolved",
     "document_ingest": """SELECT 'doc-' || s_suppkey AS document, CASE WHEN s_suppkey % 13 = 0 OR s_suppkey % 11 = 0 THEN 'corrupt' ELSE 'document' END AS kind,
   CASE WHEN s_suppkey % 13 = 0 OR s_suppkey % 11 = 0 THEN NULL ELSE s_name END AS account, 1 AS times FROM supplier""",
     "decision_versions": with_parts(PERIODS_SQL, BRONZE_SQL, QUALITY) + """, i AS (SELECT issue_id, ocr_value, part_key FROM issues JOIN bronze USING (line_id)),
