@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +68,20 @@ def business_key(dates: dict[str, Column], numbers: dict[str, Column], texts: di
     return _bound(parts, hashed)
 
 
+def hash128(*columns: Column) -> Column:
+    """Two 64-bit hashes of typed columns as 32 hex digits; nulls differ from all values. Far cheaper than a digest of their texts, for grouping equal rows."""
+    there = reduce(lambda a, b: a + b, (F.when(c.isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns)))
+    return F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(seed), there, *columns)), 16, "0") for seed in (17, 71)))
+
+
+def typed_key(dates: list[Column], numbers: list[Column], texts: list[Column]) -> Column:
+    """business_key() of columns that are dates and numbers already, as a hash128(): the same rows have equal keys, and the same have none."""
+    strong = [*dates, *(F.round(n, 6) + F.lit(0.0) for n in numbers)]
+    weak = [F.when(~is_blank(t), key_text(t)) for t in texts]
+    n = lambda cs: reduce(lambda a, b: a + b, (c.isNotNull().cast("int") for c in cs))
+    return F.when((n([*dates, *numbers]) >= 1) & (n([*dates, *numbers]) + n(texts) >= 3), hash128(*strong, *weak))
+
+
 def row_hash(*columns: str) -> Column:
     """SHA-256 of columns by name, for rows that are no JSON text: names are sorted, so their order does not matter."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)

@@ -41,8 +41,8 @@ def own_columns(df: DataFrame) -> list[str]:
 
 
 def is_blank(c: Column) -> Column:
-    """Null, empty or white space."""
-    return c.isNull() | c.rlike(r"(?U)^\s*$")
+    """Null, empty or white space; c is read once."""
+    return F.coalesce(~c.rlike(r"(?U)\S"), F.lit(True))
 
 
 def trimmed(c: Column) -> Column:
@@ -50,7 +50,7 @@ def trimmed(c: Column) -> Column:
 
 
 def nullif_blank(c: Column) -> Column:
-    return F.when(~is_blank(c), c)
+    return F.when(c.rlike(r"(?U)\S"), c)
 
 
 def first_present(*cs: Column) -> Column:

@@ -56,13 +56,14 @@ def mark_duplicates(rows: DataFrame, order: list[str]) -> DataFrame:
 
     Where equal hashes have equal business keys a group is one key: the first in order is PRIMARY. Rows without a key
     are PRIMARY and match nothing. Only the first of each group of two or more meets its rows again, so no group is
-    gathered or sorted; a row whose order equals the first's is a primary too.
+    gathered or sorted; a row whose order equals the first's is a primary too. Rows without a key are a group that is told apart after it is
+    counted: a filter on the key would be pushed down and have keys that are computed made several times over.
     """
     kept = own_columns(rows)
-    rows = rows.withColumn("_tw_group", F.coalesce(nullif_blank(F.col("business_key")), nullif_blank(F.col("content_hash"))))
+    rows = rows.withColumn("_tw_group", F.coalesce(nullif_blank(F.col("business_key")), nullif_blank(F.col("content_hash")), F.lit("")))
     place = F.struct(*order)
-    groups = rows.where(F.col("_tw_group").isNotNull()).groupBy("_tw_group").agg(F.count("*").alias("_tw_n"), F.min(F.struct(place.alias("at"), F.col("content_hash").alias("hash"))).alias("_tw_first"))
-    out = rows.join(groups.where("_tw_n > 1").drop("_tw_n"), "_tw_group", "left")
+    groups = rows.groupBy("_tw_group").agg(F.count("*").alias("_tw_n"), F.max(F.length("_tw_group")).alias("_tw_keyed"), F.min(F.struct(place.alias("at"), F.col("content_hash").alias("hash"))).alias("_tw_first"))
+    out = rows.join(groups.where("_tw_n > 1 and _tw_keyed > 0").drop("_tw_n", "_tw_keyed"), "_tw_group", "left")
     dup = F.coalesce(place != F.col("_tw_first.at"), F.lit(False))
     kind = F.when(dup, F.when(F.col("content_hash") == F.col("_tw_first.hash"), "CONTENT_HASH").otherwise("BUSINESS_KEY"))
     marks = {"duplicate_status": F.when(dup, "DUPLICATE").otherwise("PRIMARY"), "duplicate_of": F.when(dup, F.col(f"_tw_first.at.{order[0]}")), "match_type": kind}

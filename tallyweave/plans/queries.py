@@ -69,8 +69,8 @@ def period_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_marking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lens.periods(spark, sf_dir).withColumn("source_file", F.col("row_id"))
-    key = keys.business_key({"start": F.col("start")}, {"quantity": F.col("quantity")}, {"account": F.col("account_number"), "activity": F.col("activity_group")}, typed=True)
-    content = keys.row_hash("account_number", "activity_group", "start", "quantity", "energy_unit", "end")
+    key = keys.typed_key([F.col("start")], [F.col("quantity")], [F.col("account_number"), F.col("activity_group")])
+    content = keys.hash128(*(F.col(c) for c in ("account_number", "activity_group", "start", "quantity", "energy_unit", "end")))
     # without an account too little is left to tell two bills apart
     rows = rows.withColumn("business_key", F.when(F.col("account_number").isNotNull(), key)).withColumn("content_hash", F.when(F.col("account_number").isNotNull(), content))
     return bronze.mark_duplicates(rows, ["source_file"]).select("source_file", "duplicate_status", "duplicate_of", "match_type")

@@ -21,9 +21,11 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One billed period a line item."""
-    lines, site = table(spark, sf_dir, "lineitem"), sites(spark, sf_dir)
-    rows = lines.join(site, lines.l_suppkey == site.s_suppkey).withColumn("d", F.col("l_shipdate").cast("date"))
+    """One billed period a line item. Dimensions are joined to the lines one by one: a join of dimensions among themselves has no size that Spark
+    knows, and then it would broadcast the lines."""
+    lines, supplier, nation, region = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region"))
+    rows = lines.join(supplier, lines.l_suppkey == supplier.s_suppkey).join(nation, supplier.s_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey)
+    rows = rows.withColumn("d", F.col("l_shipdate").cast("date"))
     rows = rows.selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, d) row_id",
         "concat('INV-', l_orderkey) invoice_id",
