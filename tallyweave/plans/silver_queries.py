@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import dates, numbers, text
 from tallyweave.operators import bronze, lineage, periods, review, rollup, silver
-from tallyweave.sources import lens
+from tallyweave.sources import config, lens
 
 from .oracle_parts import MONTHLY, PERIODS_SQL, RESOLVED, SPLITS, with_parts
+from .shared import scratch
 
 
 def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,26 +61,20 @@ def lineage_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("month", "split_start", "split_end").agg(F.count("*").alias("n"))
 
 
-#: The waste category: line items in a table, with document fields beside them.
-WASTE = silver.FieldConfig(
-    fields={"account": ["Account No", "Customer Account"], "total": ["Total", "Amount"]}, table="Items", table_fields={"qty": ["Qty"], "waste": ["Waste", "Kind"]},
-    criticality={"account": "critical", "total": "optional", "waste": "critical"}, cleaners={"waste": text.proper_case},
-)
-
-
 def waste_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bronze lines of the waste flow, with the columns and their order from its configuration."""
-    rows = bronze.extracted(bronze.parsed(lens.documents_json(spark, sf_dir)), WASTE.fields)
-    rows = silver.cleaned(bronze.table_lines(rows, WASTE.table, WASTE.table_fields), WASTE.cleaners)
-    return silver.projected(rows, WASTE.bronze_columns())
+    """Bronze lines of the waste flow, with the columns, their order and cleaners from the category's document, read from shared storage."""
+    path = scratch(spark, "waste")
+    content = (Path(__file__).parent / "waste.yaml").read_text(encoding="utf-8")
+    spark.createDataFrame([(content,)], "value string").coalesce(1).write.text(path)
+    return config.read_category(spark, path).bronze(lens.documents_json(spark, sf_dir))
 
 
 def waste_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review of the waste flow: duplicates out, field quality, summary."""
-    rows = waste_bronze(spark, sf_dir).withColumn("invoice_id", F.col("source_file")).withColumn("waste_confidence", F.col("total_confidence"))
-    marked = bronze.mark_duplicates(rows.withColumns({"content_hash": F.sha2(F.concat_ws("|", "account", "total", "qty", "waste"), 256), "business_key": F.lit(None).cast("string")}), ["source_file", "line_id"])
-    unique, _ = bronze.split_duplicates(marked)
-    return review.review_summary(review.field_quality(unique, WASTE.criticality)).select("invoice_id", "line_id", "review_status", "review_severity", "failed_fields")
+    waste = config.own_category("waste")
+    rows = waste.bronze(lens.documents_json(spark, sf_dir)).withColumn("invoice_id", F.col("source_file")).withColumn("waste_confidence", F.col("total_confidence"))
+    unique, _ = bronze.split_duplicates(waste.marked(rows))
+    return review.review_summary(review.field_quality(unique, waste.fields.criticality, waste.thresholds)).select("invoice_id", "line_id", "review_status", "review_severity", "failed_fields")
 
 
 def typed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ YES = ("", "y", "yes", "true", "1")
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row a JSON file: its text, name and path."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    """One row a JSON file, however many lines it has: its text without a byte order mark, name and path."""
+    rows = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
     return rows.select(F.col("value").alias("json"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"))
 
 

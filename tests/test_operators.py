@@ -108,7 +108,7 @@ def test_duplicate_marking_agrees_with_the_greedy_rule(spark, tmp_path):
 
 
 def test_documents(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"status":"ok","fields":{"Acc":{"valueString":" ","confidence":0.5},"Account":{"valueString":"7"},"T":{"valueArray":[{"valueObject":{"q":{"valueNumber":3}}},{},{"valueObject":{"q":{"content":"4"}}}]}}}')
+    (tmp_path / "a.json").write_text('\ufeff{"status":\n"ok","fields":{"Acc":{"valueString":" ","confidence":0.5},"Account":{"valueString":"7"},"T":{"valueArray":[{"valueObject":{"q":{"valueNumber":3}}},{},{"valueObject":{"q":{"content":"4"}}}]}}}')
     (tmp_path / "b.json").write_text('{"Account":{"content":"cafÃ©"}}')
     docs = bronze.parsed(readers.json_documents(spark, str(tmp_path)))
     got = {x.source_file: (x.account, x.account_confidence) for x in bronze.extracted(docs, {"account": ["Acc", "Account"]}).collect()}
