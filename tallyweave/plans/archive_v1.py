@@ -31,6 +31,7 @@ def best_mapping(records: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
+# Fixed values, in the SQL below: what activities and shares are called, and the text for a missing contract.
 def gold_v1(enriched: DataFrame) -> DataFrame:
     """One row a positive share. A missing allocation counts as all fossil, and amounts are not multiplied by shares."""
     return enriched.sparkSession.sql(

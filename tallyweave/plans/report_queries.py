@@ -101,7 +101,9 @@ def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     kinds = F.array_compact(F.array(F.when(~F.col("mapped"), audit.MAPPING), F.when(F.col("factor").isNull(), audit.UNIT)))
     single = p.select(F.explode(kinds).alias("issue"), label.alias("month"), "period_id", F.col("period_id").alias("case_key"))
     months = p.where("end >= start").withColumn("m", F.explode(F.sequence(F.trunc("start", "MM"), "end", F.expr("interval 1 month"))))
-    shared = months.select(F.lit(audit.OVERLAPPING).alias("issue"), F.date_format("m", "yyyy-MM").alias("month"), "period_id", F.concat_ws("|", "facility", "account", "kpi_component").alias("case_key"))
+    # periods without an account are not those of one account
+    own = F.when(F.col("account") == "", F.col("period_id")).otherwise(F.concat_ws("|", "facility", "account", "kpi_component"))
+    shared = months.select(F.lit(audit.OVERLAPPING).alias("issue"), F.date_format("m", "yyyy-MM").alias("month"), "period_id", own.alias("case_key"))
     several = shared.groupBy("month", "case_key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return single.unionByName(shared.join(several, ["month", "case_key"], "left_semi")), p
 
@@ -258,7 +260,7 @@ _CASES = """
 evidence AS (
   SELECT 'Missing mapping' AS issue, strftime(s, '%Y-%m') AS "month", row_id AS k, row_id FROM ap WHERE NOT mapped
   UNION ALL SELECT 'Unsupported energy unit', strftime(s, '%Y-%m'), row_id, row_id FROM ap WHERE factor IS NULL
-  UNION ALL SELECT 'Overlapping billing periods', strftime(m, '%Y-%m'), k, row_id FROM (SELECT row_id, facility || '|' || account || '|' || kpi_component AS k, unnest(generate_series(date_trunc('month', s), e, INTERVAL 1 MONTH)) AS m FROM ap WHERE e >= s) QUALIFY count(*) OVER (PARTITION BY k, m) > 1
+  UNION ALL SELECT 'Overlapping billing periods', strftime(m, '%Y-%m'), k, row_id FROM (SELECT row_id, CASE WHEN account = '' THEN row_id ELSE facility || '|' || account || '|' || kpi_component END AS k, unnest(generate_series(date_trunc('month', s), e, INTERVAL 1 MONTH)) AS m FROM ap WHERE e >= s) QUALIFY count(*) OVER (PARTITION BY k, m) > 1
 ),
 full_cases AS (
   SELECT issue, "month", k, count(*) AS periods, min((facility, kpi_component, account)) AS x, string_agg(DISTINCT source_file, '; ') AS files, list_sort(list_distinct(list(source_link) FILTER (source_link IS NOT NULL))) AS links, list(row_id) AS ids

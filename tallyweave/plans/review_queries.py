@@ -75,7 +75,7 @@ def override_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unit_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lens.periods(spark, sf_dir).withColumn("account_number", F.when(F.col("part_key") % 2 == 0, F.col("account_number")))
-    return manual.unit_mapping(rows, lens.mapping(spark, sf_dir).where("map_id % 2 = 0"))
+    return manual.unit_mapping(rows, lens.mapping(spark, sf_dir))
 
 
 def line_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +173,7 @@ UNION ALL SELECT CASE WHEN n + (base IN (SELECT invoice_id FROM old))::INT = 1 T
   CASE WHEN field_name = 'account_number' THEN '' ELSE 'APPROVED' END AS review_decision, CASE WHEN field_name = 'account_number' THEN 'PENDING' ELSE 'DONE' END AS review_tag FROM issues WHERE field_name <> 'quantity'""",
     "override_ids": with_parts(PERIODS_SQL) + """, o AS (SELECT row_id AS line_id, 'override_' || replace(invoice_id, '-', '_') || '_' || CASE WHEN part_key % 3 = 0 THEN '1' ELSE replace(row_id, '-', '_') END || '_supplier_name' AS issue_id FROM periods)
 SELECT * FROM o WHERE NOT ends_with(issue_id, '1_supplier_name')""",
-    "unit_mapping": with_parts(PERIODS_SQL, MAPPING_SQL) + """, m AS (SELECT map_id, lower(unit_name) AS u, lower(trim(account_number)) AS a FROM mapping WHERE map_id % 2 = 0),
+    "unit_mapping": with_parts(PERIODS_SQL, MAPPING_SQL) + """, m AS (SELECT map_id, lower(unit_name) AS u, lower(trim(account_number)) AS a FROM mapping),
 c AS (SELECT u, '' AS a, count(*) AS n, min(map_id) AS one FROM m GROUP BY u UNION ALL SELECT u, a, count(*), min(map_id) FROM m WHERE a <> '' GROUP BY u, a),
 r AS (SELECT row_id, lower(unit_name) AS u, CASE WHEN part_key % 2 = 0 THEN coalesce(lower(account_number), '') ELSE '' END AS a FROM periods)
 SELECT row_id, CASE WHEN n IS NULL THEN 'UNMAPPED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'MAPPED' END AS mapping_status, CASE WHEN n = 1 THEN one END AS mapped_id FROM r LEFT JOIN c USING (u, a)""",

@@ -57,12 +57,3 @@ def provenance(spark: SparkSession, path: str) -> DataFrame:
     """File, modification time, length and SHA-256 of every file under a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "modificationTime", "length", F.sha2("content", 256).alias("sha256"))
-
-
-def stale_layers(files: DataFrame, layer: str = "layer", order: list[str] | None = None) -> DataFrame:
-    """Pairs of neighbouring layers of which the later is older than the earlier."""
-    latest = files.groupBy(layer).agg(F.max("modificationTime").alias("modified"))
-    position = F.array_position(F.array(*map(F.lit, order or [])), F.col(layer))
-    a = latest.select(F.col(layer).alias("input"), F.col("modified").alias("input_modified"), position.alias("p"))
-    b = latest.select(F.col(layer).alias("output"), F.col("modified").alias("output_modified"), (position - 1).alias("p"))
-    return a.join(b, "p").where("output_modified < input_modified").drop("p")

@@ -1,4 +1,4 @@
-"""Sinks: layers and checkpoints as Parquet."""
+"""Sinks: bronze, reports and typed exports; layers and checkpoints are written by layers.refresh()."""
 
 from __future__ import annotations
 
@@ -11,15 +11,6 @@ def bronze_table(df: DataFrame, path: str) -> None:
     df.dropDuplicates().write.mode("overwrite").parquet(path)
 
 
-def layer(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
-def checkpoint_table(df: DataFrame, path: str) -> None:
-    """Review state, by category."""
-    df.write.mode("overwrite").partitionBy("category").parquet(path)
-
-
 def report_by_kpi(df: DataFrame, path: str, column: str = "kpi_component") -> None:
     df.write.mode("overwrite").partitionBy(column).parquet(path)
 

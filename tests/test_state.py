@@ -106,13 +106,14 @@ def test_rows_that_break_a_rule_are_named(spark):
 def test_layers_are_built_again_only_where_their_inputs_changed(spark, tmp_path):
     root, n = str(tmp_path), spark.range(20).withColumn("m", F.create_map(F.lit("k"), F.col("id")))
     plan = [
-        layers.Layer("even", ("n",), lambda x: x.where("id % 2 = 0")), layers.Layer("sums", ("even", "w"), lambda x, w: x.join(w).groupBy("w").agg(F.sum("id").alias("s"))), layers.Layer("last", ("sums",), lambda x: x), layers.Layer("other", ("w",), lambda w: w),
+        layers.Layer("even", ("n",), lambda x: x.where("id % 2 = 0")), layers.Layer("sums", ("even", "w"), lambda x, w: x.join(w).groupBy("w").agg(F.sum("id").alias("s"))), layers.Layer("last", ("sums",), lambda x: x), layers.Layer("other", ("w",), lambda w: w.withColumn("category", F.lit("c")), partition_by=("category",)),
     ]
     w = lambda v: spark.createDataFrame([(v,)], "w int")
     builds = lambda: {k: x["build"] for k, x in layers.current(spark, root).items()}
     assert layers.stale(spark, root, plan, {"n": n, "w": w(1)})[:2] == [("even", "n"), ("sums", "even")]
     layers.refresh(spark, root, plan, {"n": n, "w": w(1)})
     layers.refresh(spark, root, plan, {"n": n.orderBy(F.desc("id")), "w": w(1)})
+    assert (tmp_path / "other" / "build=1" / "category=c").is_dir()
     assert set(builds().values()) == {1} and layers.stale(spark, root, plan, {"n": n, "w": w(1)}) == []
     odd = n.union(spark.range(21, 22).withColumn("m", F.create_map(F.lit("k"), F.col("id"))))
     assert layers.stale(spark, root, plan, {"n": odd, "w": w(1)}) == [("even", "n"), ("sums", "even"), ("last", "sums")]
