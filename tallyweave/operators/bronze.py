@@ -21,6 +21,15 @@ def parsed(documents: DataFrame, json_col: str = "json") -> DataFrame:
     return documents.withColumn("doc", root).withColumn("fields", F.coalesce("doc.fields", bare))
 
 
+#: What a document says of itself, beside its fields.
+METADATA = ("sharepoint_link", "document_confidence", "status", "createdDateTime", "lastUpdatedDateTime", "apiVersion", "modelId")
+
+
+def with_metadata(documents: DataFrame) -> DataFrame:
+    """parsed() documents with a column for their link and each thing they say of themselves; null where they say nothing."""
+    return documents.withColumns({c: F.col("doc")[c] for c in METADATA})
+
+
 def value_of(payload: Column) -> Column:
     """The first value of a payload that is not blank, with wrongly decoded text put right."""
     return mojibake_repaired(F.coalesce(*(nullif_blank(payload[v]) for v in VALUES)))

@@ -180,3 +180,12 @@ def day_coverage(df: DataFrame, keys: list[str], start: str = "start", end: str
     cut = spans.withColumn("month", F.explode(F.sequence(F.trunc("_tw_d", "MM"), "_tw_to", F.expr("interval 1 month"))))
     days = inclusive_days(F.greatest("_tw_d", "month"), F.least("_tw_to", F.last_day("month"))).cast("long")
     return cut.groupBy(*keys, "month").agg(F.sum(days).alias("covered_days"), F.sum(F.when(F.col("_tw_open") > 1, days).otherwise(0)).alias("overlapping_days"))
+
+
+#: What makes two splits the same segment.
+SEGMENT = ("row_id", "period_index", "month", "split_start", "split_end", "split_quantity")
+
+
+def distinct_segments(splits: DataFrame) -> DataFrame:
+    """splits with each segment (row, period, month, bounds, amount) once; null bounds and amounts count as equal. For a report sort by row and bounds."""
+    return splits.dropDuplicates(list(SEGMENT))

@@ -153,3 +153,27 @@ def field_view(rows: DataFrame, summary: DataFrame, fields: list[str]) -> DataFr
     status = F.when(named("missing_required_fields"), "Missing").when(named("low_confidence_fields"), "Low confidence").when(named("failed_fields"), "Failed").otherwise("OK")
     out = rows.select(*LINE, F.explode(parts).alias("x")).join(summary.select(*LINE, "missing_required_fields", "low_confidence_fields", "failed_fields"), LINE)
     return out.select(*LINE, "x.field", "x.value", status.alias("status"))
+
+
+@dataclass(frozen=True)
+class Review:
+    """What a review of bronze lines gives: a summary a line, issues, their decisions, the approved lines, and the lines that wait for a reviewer."""
+
+    summary: DataFrame
+    issues: DataFrame
+    decisions: DataFrame
+    approved: DataFrame
+    waiting: DataFrame
+
+
+def reviewed(bronze: DataFrame, criticality: dict[str, str], thresholds: Thresholds, old: DataFrame) -> Review:
+    """A review of bronze lines that keeps what reviewers decided in the review before (old, as carry_decisions() takes it).
+
+    Lines may come from a bronze table that was saved: nothing but its columns is read. A field with several issues takes the decision of the
+    last issue by id. Duplicates must be out.
+    """
+    quality = field_quality(bronze, criticality, thresholds)
+    summary, issues = review_summary(quality), review_issues(quality)
+    decisions = carry_decisions(issues, old)
+    approved = approve(bronze, summary, decisions.withColumn("seq", F.col("issue_id")), list(criticality))
+    return Review(summary, issues, decisions, approved, open_queue(summary, issues, decisions))

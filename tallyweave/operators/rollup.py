@@ -17,6 +17,7 @@ VALUE_KPIS = {"solar_total_generation": "Renewable energy production", "total_so
 MISSING_SHARES = "missing allocation percentages"
 OUTSIDE_SHARES = "allocation percentages must be fractions between 0 and 1"
 UNEQUAL_SHARES = "allocation percentages must total 1 (100%)"
+MISSING_UNIT = "no supported extracted or mapped unit"
 
 
 def in_first_order(items: Column, key=lambda x: x) -> Column:
@@ -88,18 +89,20 @@ def allocation_issue() -> Column:
 
 
 def business_rows(monthly: DataFrame) -> DataFrame:
-    """Template columns and the issue that keeps a row from being reported. monthly has shares, lookup_issue and solar amounts."""
+    """Template columns and all issues that keep a row from being reported: its unit, its shares, its contract.
+
+    monthly has shares, lookup_issue and solar amounts, and contract_issue where contracts were looked up. Of an unclear lookup and wrong
+    shares the lookup is named.
+    """
     own_columns(monthly)
     electric = lookup_text(F.col("activity_group")) == "electricity"
     solar = F.col("solar_total_generation") - F.coalesce("solar_export", F.lit(0.0))
-    issue = F.concat_ws(
-        "; ",
-        F.when(F.col("lookup_issue") != "", F.concat(F.lit("Energy source allocation: "), "lookup_issue")),
-        F.when(factor(F.col("energy_unit")).isNull(), "Energy unit: no supported extracted or mapped unit"),
-    )
-    rows = monthly.withColumn("business_mapping_issue", issue)
-    wrong = allocation_issue()
-    issue = F.when((wrong != "") & (F.col("business_mapping_issue") == ""), F.concat(F.lit("Energy source allocation: "), wrong)).otherwise(F.col("business_mapping_issue"))
+    shares = F.when(F.col("lookup_issue") != "", F.col("lookup_issue")).otherwise(allocation_issue())
+    found = {"Energy unit": F.when(factor(F.col("energy_unit")).isNull(), MISSING_UNIT), "Energy source allocation": F.when(shares != "", shares)}
+    if "contract_issue" in monthly.columns:
+        found["Contract"] = nullif_blank(F.col("contract_issue"))
+    issue = F.concat_ws("; ", *(F.concat(F.lit(f"{what}: "), c) for what, c in found.items()))
+    rows = monthly
     return rows.withColumns({
         "business_mapping_issue": issue,
         "KPI Component": F.concat(F.lit("Purchased "), F.lower("activity_group")),

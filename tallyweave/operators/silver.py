@@ -16,6 +16,15 @@ ACTIVITY_GROUPS = ("Electricity", "Steam", "Heat", "Cool")
 ACTIVITY_MESSAGE = "Scope 2 activity group must be Electricity, Steam, Heat, or Cool."
 # Other names of curated columns.
 CURATED_ALIASES = {"createdDateTme": ("createdDateTme", "createdDateTime"), "lastUpdateDateTime": ("lastUpdateDateTime", "lastUpdatedDateTime"), "modelID": ("modelID", "modelId")}
+# The columns of the curated layer, in its order.
+CURATED_COLUMNS = (
+    "invoice_id", "line_id", "data_quality", "division", "legal_entity", "unit_name", "account_number", "supplier_name",
+    "consumption_start_date_1_normalized", "consumption_end_date_1_normalized", "consumption_start_date_2_normalized", "consumption_end_date_2_normalized",
+    "quantity_1", "quantity_2", "quantity_3", "quantity_4", "quantity_5", "quantity_6", "quantity_unit_1", "consumption_unit", "consumption_quantity_unit", "quantity_unit_2",
+    "total_amount", "solar_export", "solar_banking_charge", "solar_total_generation", "division_shorthand", "facility_type", "scope", "facility_identifier", "activity_group", "invoice_count",
+    "source_file", "sharepoint_link", "status", "createdDateTme", "lastUpdateDateTime", "apiVersion", "modelID", "missing_fields", "low_confidence_fields", "approval_status", "manual_review_tag",
+    "mapping_status", "mapping_method", "mapping_message", "extracted_account_number",
+)
 # Columns of a manual entry and what they are called in the silver layers.
 MANUAL_COLUMNS = {
     "data_quality": "data_quality",

@@ -32,15 +32,16 @@ def best_mapping(records: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 # Fixed values, in the SQL below: what activities and shares are called, and the text for a missing contract.
-def gold_v1(enriched: DataFrame) -> DataFrame:
-    """One row a positive share. A missing allocation counts as all fossil, and amounts are not multiplied by shares."""
+def gold_v1(enriched: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a positive share, with the columns to keep. A missing allocation counts as all fossil, and amounts are not multiplied by shares."""
+    more = "".join(f", `{c}`" for c in keep)
     return enriched.sparkSession.sql(
-        """
+        f"""
         SELECT row_id, 'Actual' data_quality,
           CASE lower(coalesce(activity_group, '')) WHEN 'electricity' THEN 'Purchased electricity' WHEN 'steam' THEN 'Purchased steam'
             WHEN 'cooling' THEN 'Purchased cool' WHEN 'heating' THEN 'Purchased heat' ELSE coalesce(activity_group, 'Purchased electricity') END kpi_component,
-          energy_kpi, allocation_pct, amount, coalesce(contractual_instruments, 'No contractual instrument - emission factors unknown') instrument
-        FROM {e} LATERAL VIEW stack(3, 'Fossil Fuels', coalesce(fossil, 1.0D), 'Renewable sources', coalesce(renewable, 0.0D),
+          energy_kpi, allocation_pct, amount, coalesce(contractual_instruments, 'No contractual instrument - emission factors unknown') instrument{more}
+        FROM {{e}} LATERAL VIEW stack(3, 'Fossil Fuels', coalesce(fossil, 1.0D), 'Renewable sources', coalesce(renewable, 0.0D),
           'Nuclear sources', coalesce(nuclear, 0.0D)) s AS energy_kpi, allocation_pct
         WHERE allocation_pct > 0
         """,
@@ -79,7 +80,11 @@ def selected_quantity(ocr: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def enriched(ocr: DataFrame, mapping: DataFrame, division: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Rows with their best mapping, division and contract. A division serves an entity by unit or by facility id, so rows can multiply."""
+    """Rows with their best mapping, division and contract. A division serves an entity by unit or by facility id, so rows can multiply.
+
+    The two ways are two equi joins: rows are never met by all divisions of their entity. A row that no unit serves stays without a
+    division only if no facility id serves it either; a division that serves a row both ways counts once.
+    """
     best = best_mapping(ocr.withColumnRenamed("ocr_record_id", "row_id"), mapping)
     return ocr.sparkSession.sql(
         """
@@ -88,13 +93,19 @@ def enriched(ocr: DataFrame, mapping: DataFrame, division: DataFrame, contracts:
             coalesce(m.account_number, o.account_number) account_number, m.division, m.activity_group, m.facility_identifier
           FROM {o} o JOIN {b} b ON b.row_id = o.ocr_record_id LEFT JOIN {m} m ON m.mapping_id = b.mapping_id
         ),
+        keyed AS (SELECT *, lower(trim(legal_entity)) e, lower(trim(unit_name)) u, lower(trim(facility_identifier)) f FROM m),
+        da AS (
+          SELECT division own_division, legal_entity own_entity, unit_name own_unit, lower(trim(legal_entity)) e, nullif(lower(trim(unit_name)), '') u, nullif(lower(trim(facility_identifier)), '') f FROM {da}
+        ),
+        served AS (SELECT DISTINCT e, f FROM da WHERE e IS NOT NULL AND f IS NOT NULL),
         d AS (
-          SELECT m.*, da.division own_division, coalesce(da.legal_entity, m.legal_entity) d_entity, coalesce(da.unit_name, m.unit_name) d_unit
-          FROM m LEFT JOIN {da} da ON lower(trim(da.legal_entity)) = lower(trim(m.legal_entity))
-            AND (nullif(lower(trim(da.unit_name)), '') = lower(trim(m.unit_name)) OR nullif(lower(trim(da.facility_identifier)), '') = lower(trim(m.facility_identifier)))
-        )
-        SELECT d.ocr_record_id, d.mapping_id, d.mapping_needs_review, d.account_number, coalesce(d.own_division, d.division) division, d.activity_group, c.contract_id
-        FROM d LEFT JOIN {c} c ON lower(trim(c.legal_entity)) = lower(trim(d.d_entity)) AND lower(trim(c.unit_name)) = lower(trim(d.d_unit)) AND lower(trim(c.supplier_name)) = lower(trim(d.supplier_name))
+          SELECT k.*, da.own_division, da.own_entity, da.own_unit FROM keyed k LEFT JOIN da ON da.e = k.e AND da.u = k.u LEFT JOIN served s ON s.e = k.e AND s.f = k.f WHERE da.e IS NOT NULL OR s.e IS NULL
+          UNION ALL
+          SELECT k.*, da.own_division, da.own_entity, da.own_unit FROM keyed k JOIN da ON da.e = k.e AND da.f = k.f WHERE NOT coalesce(da.u = k.u, false)
+        ),
+        named AS (SELECT *, coalesce(own_entity, legal_entity) d_entity, coalesce(own_unit, unit_name) d_unit FROM d)
+        SELECT d.ocr_record_id, d.mapping_id, d.mapping_needs_review, d.account_number, coalesce(d.own_division, d.division) division, d.activity_group, c.contract_id, d.d_entity legal_entity, d.d_unit unit_name
+        FROM named d LEFT JOIN {c} c ON lower(trim(c.legal_entity)) = lower(trim(d.d_entity)) AND lower(trim(c.unit_name)) = lower(trim(d.d_unit)) AND lower(trim(c.supplier_name)) = lower(trim(d.supplier_name))
         """,
         o=ocr,
         b=best,
@@ -117,6 +128,30 @@ def uploadable(rows: DataFrame) -> DataFrame:
     return rows.where("coalesce(mapping_needs_review, 0) = 0")
 
 
+# The columns of an upload, in its order, and what each is of a row of gold_v1(); all that is uploaded was purchased.
+UPLOAD = {
+    "Data quality": "data_quality",
+    "KPI Component": "kpi_component",
+    "Division": "division",
+    "Legal Entity Name": "legal_entity",
+    "Unit": "unit_name",
+    "Consumption start date": "consumption_start",
+    "Consumption end date": "consumption_end",
+    "Transaction Date": "transaction_date",
+    "Energy KPI": "energy_kpi",
+    "Energy Type": "energy_type",
+    "Purchased or acquired": "'Purchased'",
+    "Amount of energy consumed": "amount",
+    "Energy Unit": "energy_unit",
+    "Contractual instrument used": "instrument",
+}
+
+
+def upload(gold: DataFrame) -> DataFrame:
+    """The columns of an upload, of the rows that neither their mapping nor their extraction sends to a reviewer; a blank flag sends none."""
+    return uploadable(gold).where("coalesce(ocr_needs_review, 0) = 0").selectExpr(*(f"{c} AS `{name}`" for name, c in UPLOAD.items()))
+
+
 def broken_constraints(allocation: DataFrame, unique: list[str], key: str) -> DataFrame:
     """(id, constraint) of shares outside 0 to 1, of totals outside 0.99 to 1.01, and of keys that repeat."""
     rows = [allocation.where(f"{c} not between 0 and 1").selectExpr(f"cast({key} as string) id", f"'{c} between 0 and 1' constraint") for c in ("fossil", "renewable", "nuclear")]

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.text import is_blank
 from tallyweave.functions.units import factor
+from tallyweave.operators.rollup import MISSING_UNIT
 
-UNIT_MESSAGE = "Energy unit: no supported extracted or mapped unit"
+UNIT_MESSAGE = f"Energy unit: {MISSING_UNIT}"
 COLUMNS = ["category", "mapping_status", "mapping_message", "division", "legal_entity", "unit_name", "account_number", "activity_group", "source_file"]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyweave.plans import report_queries, review_queries, silver_queries, state_queries
+from tallyweave.plans import curated_queries, report_queries, review_queries, silver_queries, state_queries
 from tallyweave.plans.oracle_parts import ALLOCATED, ALLOCATION_SQL, AUDITED, BRONZE_SQL, DECISIONS_SQL, HISTORY, INVOICES, MAPPING_SQL, MONTHLY, PERIODS_SQL, QUALITY, RESOLVED, SPLITS, TEMPLATE
 from tallyweave.plans.oracle_parts import with_parts as _with
 
@@ -138,4 +138,4 @@ FROM o LEFT JOIN t USING (o_orderkey) LEFT JOIN early USING (o_orderkey) LEFT JO
     "search_any_column": """SELECT c_custkey, c_name FROM customer WHERE lower(c_name) LIKE '%mer#0000000%' OR lower(c_mktsegment) LIKE '%house%'""",
     "stream_monthly_events": """SELECT CAST(date_trunc('month', ts) AS DATE) AS "month", event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""",
 }
-ORACLE_SQL |= silver_queries.ORACLE_SQL | review_queries.ORACLE_SQL | report_queries.ORACLE_SQL | state_queries.ORACLE_SQL
+ORACLE_SQL |= silver_queries.ORACLE_SQL | curated_queries.ORACLE_SQL | review_queries.ORACLE_SQL | report_queries.ORACLE_SQL | state_queries.ORACLE_SQL

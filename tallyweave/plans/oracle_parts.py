@@ -101,14 +101,11 @@ allocated AS (
 )
 
 TEMPLATE = """
-first_issue AS (
-  SELECT *, concat_ws('; ', CASE WHEN lookup_issue <> '' THEN 'Energy source allocation: ' || lookup_issue END,
-    CASE WHEN energy_unit NOT IN (SELECT unit FROM factors) THEN 'Energy unit: no supported extracted or mapped unit' END) AS issue1 FROM allocated
-),
 business AS (
-  SELECT *, CASE WHEN issue1 <> '' THEN issue1 WHEN fossil IS NULL OR renewable IS NULL OR nuclear IS NULL THEN 'Energy source allocation: missing allocation percentages'
-    WHEN abs(fossil + renewable + nuclear - 1) > 1e-6 THEN 'Energy source allocation: allocation percentages must total 1 (100%)' ELSE '' END AS issue
-  FROM first_issue
+  SELECT *, concat_ws('; ', CASE WHEN energy_unit NOT IN (SELECT unit FROM factors) THEN 'Energy unit: no supported extracted or mapped unit' END,
+    'Energy source allocation: ' || CASE WHEN lookup_issue <> '' THEN lookup_issue WHEN fossil IS NULL OR renewable IS NULL OR nuclear IS NULL THEN 'missing allocation percentages'
+      WHEN abs(fossil + renewable + nuclear - 1) > 1e-6 THEN 'allocation percentages must total 1 (100%)' END) AS issue
+  FROM allocated
 ),
 template AS (
   SELECT b.*, kpi AS energy_kpi, CASE kpi WHEN 'Fossil Fuels' THEN monthly_consumption * fossil WHEN 'Renewable sources' THEN monthly_consumption * renewable

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import dates, keys, numbers, text, units
 from tallyweave.operators import bronze, enrich, gold, periods, review, rollup
-from tallyweave.plans import archive_v1, audit, report_queries, reports, review_queries, silver_queries, state_queries
+from tallyweave.plans import archive_v1, audit, curated_queries, report_queries, reports, review_queries, silver_queries, state_queries
 from tallyweave.plans.shared import scratch
 from tallyweave.sources import lens
 from tallyweave.streaming import stream
@@ -376,4 +376,4 @@ QUERIES = {
         search_any_column, stream_monthly_events,
     )
 }
-QUERIES |= silver_queries.QUERIES | review_queries.QUERIES | report_queries.QUERIES | state_queries.QUERIES
+QUERIES |= silver_queries.QUERIES | curated_queries.QUERIES | review_queries.QUERIES | report_queries.QUERIES | state_queries.QUERIES

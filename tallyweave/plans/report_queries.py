@@ -16,6 +16,7 @@ from .shared import spill
 #: What a split adds to its period.
 SPLIT = ("month", "split_start", "split_end", "split_days", "split_quantity")
 FACILITY = ["division", "legal_entity", "unit_name"]
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +53,13 @@ def audit_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.details(rows).withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in ("allocated_original", "allocated_kwh", "recalculated_kwh")})
 
 
+def original_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was billed in its own unit by the periods that have allocations, each counted once."""
+    rows = scope.audit_periods(periods.month_split(_records(spark, sf_dir)), (*SPLIT, "supplier_name"))
+    out = scope.original_quantities(scope.allocated(rows))
+    return out.groupBy("source_link", "original_unit", "factor", "source", "supplier_name").agg(F.count("*").alias("periods"), F.round(F.sum("billed_original"), 2).alias("billed_original"))
+
+
 def _report(spark: SparkSession, sf_dir: str) -> audit_report.Report:
     """The fiscal year 1998 of all facilities."""
     return audit_report.build(_records(spark, sf_dir), audit_report.Wanted("1997-12-01", "1998-11-01"), spill(spark))
@@ -173,10 +181,10 @@ def dashboard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def month_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The export form: a column a month."""
+    """The export form of all mapped amounts: a row a facility, KPI and year, a column a month."""
     rows = lens.periods(spark, sf_dir).where("mapping_status = 'MAPPED'").selectExpr(*FACILITY, "activity_group kpi", "trunc(start, 'MM') month", "quantity v")
-    cells = rows.groupBy(*FACILITY, "kpi", "month").agg(F.sum("v").alias("v"))
-    return reports.by_month(cells, F.col("v"), ["Jan 1998", "Feb 1998", "Mar 1998"])
+    cells = rows.groupBy(*FACILITY, "kpi", "month").agg(F.sum("v").alias("v")).withColumn("year", F.year("month"))
+    return reports.by_month(cells, F.col("v"), list(MONTHS), "MMM", ("year",))
 
 
 def duplicate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,9 +219,10 @@ def selected_quantity_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _v1_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    m = lens.mapping(spark, sf_dir).where("map_id % 20 = 0").selectExpr("map_id mapping_id", "division", "account_number", "lower(trim(activity_group)) activity_group", "unit_name", "legal_entity", "supplier_name", "concat('F', map_id div 1000) facility_identifier", "'Scope 2' scope", "'Yes' active")
+    """The whole mapping, an account for each of its rows; divisions that serve by unit or by facility id; contracts, a third of which name a unit that is not there."""
+    m = lens.mapping(spark, sf_dir).selectExpr("map_id mapping_id", "division", "case when map_id % 2 = 1 then concat(account_number, '-B') else account_number end account_number", "lower(trim(activity_group)) activity_group", "unit_name", "legal_entity", "supplier_name", "concat('F', map_id div 1000) facility_identifier", "'Scope 2' scope", "'Yes' active")
     division = m.groupBy("legal_entity", "unit_name").agg(F.max("division").alias("d")).selectExpr("upper(legal_entity) legal_entity", "case when length(legal_entity) % 2 = 0 then unit_name else 'none' end unit_name", "concat('f', length(legal_entity)) facility_identifier", "concat('D-', d) division").distinct()
-    contracts = m.where("mapping_id % 300 = 0").groupBy("legal_entity", "unit_name", "supplier_name").agg(F.min("mapping_id").alias("contract_id"))
+    contracts = m.groupBy("legal_entity", "unit_name", "supplier_name").agg(F.min("mapping_id").alias("contract_id")).withColumn("unit_name", F.expr("case when contract_id div 100 % 3 = 0 then 'elsewhere' else unit_name end"))
     return m, division, contracts
 
 
@@ -222,6 +231,16 @@ def enriched_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_v1.enriched(_ocr(spark, sf_dir), m, division, contracts)
 
 
+def upload_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourteen columns of an upload, of the rows that need no reviewer."""
+    ocr = _ocr(spark, sf_dir)
+    amounts = archive_v1.selected_quantity(ocr, ocr.where("part_key % 4 = 0").selectExpr("ocr_record_id", "'quantity_6' selected_quantity_column", "'quantity_unit_2' selected_quantity_unit_column", "'by hand' reason"))
+    shares = ocr.selectExpr("ocr_record_id", "case when part_key % 5 = 0 then 0.25D end fossil", "case when part_key % 5 = 0 then 0.75D end renewable", "cast(null as double) nuclear", "case when part_key % 6 = 0 then 'Green tariff' end contractual_instruments", "case part_key % 9 when 1 then 1 when 2 then 0 end ocr_needs_review")
+    dates = lens.periods(spark, sf_dir).selectExpr("row_id", "start consumption_start", "end consumption_end", "cast(null as date) transaction_date")
+    rows = enriched_v1(spark, sf_dir).withColumn("energy_type", F.coalesce("activity_group", F.lit("Electricity"))).join(amounts, "ocr_record_id").join(shares, "ocr_record_id").withColumnRenamed("ocr_record_id", "row_id").join(dates, "row_id")
+    return archive_v1.upload(archive_v1.gold_v1(rows, ("division", "legal_entity", "unit_name", "consumption_start", "consumption_end", "transaction_date", "energy_type", "energy_unit", "mapping_needs_review", "ocr_needs_review")))
+
+
 def dq_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows for review: no mapping, electricity without a contract; and those that may be uploaded."""
     rows = enriched_v1(spark, sf_dir)
@@ -236,7 +255,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         audit_records, audit_report_details, audit_report_summary, audit_report_cases, audit_report_information, allocation_join, audit_details, facility_totals, report_index, report_options, case_evidence, case_scope, split_integrity, repeated_ids, missing_mapping, reporting_accounts, month_sources, dashboard_tiles, month_columns,
-        duplicate_counts, template_slice, quantities_v1, selected_quantity_v1, enriched_v1, dq_v1, constraints_v1,
+        duplicate_counts, template_slice, quantities_v1, selected_quantity_v1, enriched_v1, upload_v1, dq_v1, constraints_v1, original_quantities,
     )
 }
 
@@ -292,14 +311,14 @@ ocr AS (
 )
 """
 _V1 = """
-m AS (SELECT map_id AS mapping_id, division, account_number, lower(trim(activity_group)) AS activity_group, unit_name, legal_entity, supplier_name, 'F' || (map_id // 1000) AS facility_identifier FROM mapping WHERE map_id % 20 = 0),
+m AS (SELECT map_id AS mapping_id, division, CASE WHEN map_id % 2 = 1 THEN account_number || '-B' ELSE account_number END AS account_number, lower(trim(activity_group)) AS activity_group, unit_name, legal_entity, supplier_name, 'F' || (map_id // 1000) AS facility_identifier FROM mapping),
 da AS (SELECT DISTINCT upper(legal_entity) AS legal_entity, CASE WHEN length(legal_entity) % 2 = 0 THEN unit_name ELSE 'none' END AS unit_name, 'f' || length(legal_entity) AS facility_identifier, 'D-' || d AS division FROM (SELECT legal_entity, unit_name, max(division) AS d FROM m GROUP BY ALL)),
-con AS (SELECT legal_entity, unit_name, supplier_name, min(mapping_id) AS contract_id FROM m WHERE mapping_id % 300 = 0 GROUP BY ALL),
+con AS (SELECT * REPLACE (CASE WHEN contract_id // 100 % 3 = 0 THEN 'elsewhere' ELSE unit_name END AS unit_name) FROM (SELECT legal_entity, unit_name, supplier_name, min(mapping_id) AS contract_id FROM m GROUP BY ALL)),
 keys AS (SELECT 1 AS p, nullif(lower(trim(account_number)), '') AS k, mapping_id FROM m UNION ALL SELECT 2, lower(unit_name), mapping_id FROM m UNION ALL SELECT 3, lower(legal_entity), mapping_id FROM m),
 cnt AS (SELECT p, k, min(mapping_id) AS mapping_id, count(*) AS n FROM keys WHERE k IS NOT NULL GROUP BY ALL),
 best AS (SELECT ocr_record_id, p, c.mapping_id, n FROM ocr, LATERAL (VALUES (1, lower(account_number)), (2, lower(unit_name)), (3, lower(legal_entity))) AS v(p, k) JOIN cnt c USING (p, k) QUALIFY row_number() OVER (PARTITION BY ocr_record_id ORDER BY p) = 1),
 enr AS (
-  SELECT o.ocr_record_id, b.mapping_id, CASE WHEN b.mapping_id IS NULL OR n > 1 THEN 1 ELSE 0 END AS mapping_needs_review, coalesce(m.account_number, o.account_number) AS account_number, coalesce(da.division, m.division) AS division, m.activity_group, con.contract_id
+  SELECT o.ocr_record_id, b.mapping_id, CASE WHEN b.mapping_id IS NULL OR n > 1 THEN 1 ELSE 0 END AS mapping_needs_review, coalesce(m.account_number, o.account_number) AS account_number, coalesce(da.division, m.division) AS division, m.activity_group, con.contract_id, coalesce(da.legal_entity, m.legal_entity, o.legal_entity) AS legal_entity, coalesce(da.unit_name, m.unit_name, o.unit_name) AS unit_name
   FROM ocr o LEFT JOIN best b USING (ocr_record_id) LEFT JOIN m USING (mapping_id)
   LEFT JOIN da ON lower(da.legal_entity) = lower(coalesce(m.legal_entity, o.legal_entity)) AND (lower(da.unit_name) = lower(coalesce(m.unit_name, o.unit_name)) OR lower(da.facility_identifier) = lower(m.facility_identifier))
   LEFT JOIN con ON lower(con.legal_entity) = lower(coalesce(da.legal_entity, m.legal_entity, o.legal_entity)) AND lower(con.unit_name) = lower(coalesce(da.unit_name, m.unit_name, o.unit_name)) AND lower(con.supplier_name) = lower(coalesce(m.supplier_name, o.supplier))
@@ -349,14 +368,18 @@ g AS (SELECT division, legal_entity, unit_name, kpi, CAST(unnest(generate_series
 c AS (SELECT g.*, a.kwh AS cur, b.kwh AS prev FROM g LEFT JOIN s a USING (division, legal_entity, unit_name, kpi, m) LEFT JOIN s b ON b.division = g.division AND b.legal_entity = g.legal_entity AND b.unit_name = g.unit_name AND b.kpi = g.kpi AND b.m = g.m - INTERVAL 1 YEAR)
 SELECT kpi, count(*) AS cells, count(*) FILTER (cur IS NOT NULL AND prev IS NOT NULL) AS compared, count(*) FILTER (cur IS NOT NULL AND prev IS NULL) AS missing_previous, count(*) FILTER (abs(cur - prev) / abs(prev) > 0.1) AS over_10,
   (SELECT CAST(year(lo) AS INT) FROM ends) AS first_year, (SELECT CAST(year(hi) AS INT) FROM ends) AS last_year FROM c GROUP BY kpi""",
-    "month_columns": with_parts(PERIODS_SQL) + """, v AS (SELECT *, CAST(date_trunc('month', "start") AS DATE) AS m FROM periods WHERE mapping_status = 'MAPPED')
-SELECT division, legal_entity, unit_name, activity_group AS kpi, sum(quantity) FILTER (m = DATE '1998-01-01') AS "Jan 1998", sum(quantity) FILTER (m = DATE '1998-02-01') AS "Feb 1998", sum(quantity) FILTER (m = DATE '1998-03-01') AS "Mar 1998" FROM v GROUP BY ALL""",
+    "month_columns": with_parts(PERIODS_SQL) + "SELECT division, legal_entity, unit_name, activity_group AS kpi, CAST(year(\"start\") AS INTEGER) AS year, " + ", ".join(f'sum(quantity) FILTER (month("start") = {i + 1}) AS "{m}"' for i, m in enumerate(MONTHS)) + " FROM periods WHERE mapping_status = 'MAPPED' GROUP BY ALL",
     "duplicate_counts": with_parts(PERIODS_SQL) + """, d AS (SELECT division AS category, row_number() OVER w AS n, first_value(row_id) OVER w AS f FROM periods WINDOW w AS (PARTITION BY concat_ws('|', account_number, activity_group, quantity) ORDER BY row_id))
 SELECT category, count(*) AS rows, count(*) FILTER (n > 1) AS duplicates, count(DISTINCT CASE WHEN n > 1 THEN f END) AS groups FROM d GROUP BY ROLLUP (category)""",
     "template_slice": with_parts(PERIODS_SQL) + """SELECT 'Actual' AS data_quality, division, unit_name, quantity, energy_unit AS contractual_instruments, row_id, invoice_id AS source_files, CASE WHEN part_key % 2 = 0 THEN 'Manual override' ELSE 'Review decision' END AS decision_type FROM periods""",
     "quantities_v1": with_parts(PERIODS_SQL, _OCR) + """SELECT * FROM (SELECT ocr_record_id, 'quantity_1' AS quantity_column, q1 AS quantity_value, u1 AS quantity_unit FROM ocr UNION ALL SELECT ocr_record_id, 'quantity_2', q2, u1 FROM ocr UNION ALL SELECT ocr_record_id, 'quantity_5', q5, u1 FROM ocr UNION ALL SELECT ocr_record_id, 'quantity_6', q6, u2 FROM ocr) WHERE quantity_value IS NOT NULL""",
     "selected_quantity_v1": with_parts(PERIODS_SQL, _OCR) + """SELECT ocr_record_id, CASE WHEN part_key % 8 = 0 THEN 'quantity_6' ELSE 'quantity_1' END AS selected_quantity_column, CASE WHEN part_key % 8 = 0 THEN q6 ELSE q1 END AS amount, CASE WHEN part_key % 4 = 0 THEN u2 ELSE u1 END AS energy_unit, CASE WHEN part_key % 4 = 0 THEN 'by hand' END AS reason FROM ocr""",
     "enriched_v1": with_parts(PERIODS_SQL, MAPPING_SQL, _OCR, _V1) + "SELECT * FROM enr",
+    "upload_v1": with_parts(PERIODS_SQL, MAPPING_SQL, _OCR, _V1) + """, x AS (SELECT e.*, o.part_key AS k, p."start" AS s, p."end" AS t, CASE WHEN o.part_key % 4 = 0 THEN q6 ELSE q1 END AS amount, CASE WHEN o.part_key % 4 = 0 THEN u2 ELSE u1 END AS unit FROM enr e JOIN ocr o USING (ocr_record_id) JOIN periods p ON p.row_id = e.ocr_record_id WHERE mapping_needs_review = 0 AND o.part_key % 9 <> 1),
+y AS (SELECT *, 'Fossil Fuels' AS kpi FROM x UNION ALL SELECT *, 'Renewable sources' FROM x WHERE k % 5 = 0)
+SELECT 'Actual' AS "Data quality", CASE activity_group WHEN 'electricity' THEN 'Purchased electricity' WHEN 'steam' THEN 'Purchased steam' ELSE activity_group END AS "KPI Component", division AS "Division", legal_entity AS "Legal Entity Name", unit_name AS "Unit", s AS "Consumption start date", t AS "Consumption end date",
+  CAST(NULL AS DATE) AS "Transaction Date", kpi AS "Energy KPI", activity_group AS "Energy Type", 'Purchased' AS "Purchased or acquired", amount AS "Amount of energy consumed", unit AS "Energy Unit", CASE WHEN k % 6 = 0 THEN 'Green tariff' ELSE 'No contractual instrument - emission factors unknown' END AS "Contractual instrument used" FROM y""",
+    "original_quantities": with_parts(PERIODS_SQL, RESOLVED, SPLITS) + """SELECT CASE WHEN part_key % 6 <> 0 THEN 'https://bills.example/' || invoice_id ELSE 'SharePoint link unavailable' END AS source_link, energy_unit AS original_unit, f AS factor, flow AS source, supplier_name, count(*) AS periods, round(sum(quantity), 2) AS billed_original FROM resolved LEFT JOIN factors ON unit = energy_unit WHERE row_id IN (SELECT row_id FROM splits) GROUP BY ALL""",
     "dq_v1": with_parts(PERIODS_SQL, MAPPING_SQL, _OCR, _V1) + """SELECT ocr_record_id, 'unmatched' AS check FROM enr WHERE mapping_id IS NULL OR mapping_needs_review = 1 UNION ALL SELECT ocr_record_id, 'contract missing' FROM enr WHERE activity_group = 'electricity' AND contract_id IS NULL UNION ALL SELECT ocr_record_id, 'upload' FROM enr WHERE mapping_needs_review = 0""".replace(" AS check", ' AS "check"'),
     "constraints_v1": with_parts(ALLOCATION_SQL) + """, a AS (SELECT lookup_id, fossil + CASE WHEN lookup_id % 40 = 0 THEN 1 ELSE 0 END AS fossil, renewable, nuclear FROM allocation)
 SELECT CAST(lookup_id AS VARCHAR) AS id, 'fossil between 0 and 1' AS "constraint" FROM a WHERE fossil NOT BETWEEN 0 AND 1 UNION ALL SELECT CAST(lookup_id AS VARCHAR), 'shares total 1' FROM a WHERE fossil + renewable + nuclear NOT BETWEEN 0.99 AND 1.01

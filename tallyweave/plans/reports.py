@@ -130,9 +130,30 @@ def expected_accounts(accounts: DataFrame) -> DataFrame:
     return rows.withColumns(dates).select(*accounts.columns, "issue")
 
 
-def by_month(cells: DataFrame, value: Column, labels: list[str]) -> DataFrame:
-    """Export form: a column a month of a fixed list of labels (Mon YYYY)."""
-    return cells.withColumn("_label", F.date_format("month", "MMM yyyy")).groupBy(*FACILITY, "kpi").pivot("_label", labels).agg(F.first(value))
+def by_month(cells: DataFrame, value: Column, labels: list[str], form: str = "MMM yyyy", by: tuple[str, ...] = ()) -> DataFrame:
+    """Export form: a column a month of a fixed list of labels, written in a form; further columns tell rows apart, such as a year."""
+    own_columns(cells)
+    return cells.withColumn("_tw_label", F.date_format("month", form)).groupBy(*FACILITY, "kpi", *by).pivot("_tw_label", labels).agg(F.first(value))
+
+
+def completeness_tiles(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Over the cells of completeness(): facilities, those with any covered day, complete and partial months.
+
+    Facilities are told apart without case, marks and spacing. Months without expected days count as neither. Of no cells and no columns to
+    group by there is one row of zeros. Facilities are made distinct before they are counted.
+    """
+    own_columns(cells)
+    names = F.struct(*(F.coalesce(facility_key(F.col(c)), F.lit("")) for c in FACILITY))
+    ratio = F.col("ratio")
+    each = cells.groupBy(*by, names.alias("_tw_f")).agg(F.max(F.col("covered_days") > 0).alias("_tw_any"), F.count_if(ratio >= 1).alias("_tw_c"), F.count_if((ratio > 0) & (ratio < 1)).alias("_tw_p"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return each.groupBy(*by).agg(F.count("*").alias("facilities"), F.count_if("_tw_any").alias("facilities_with_data"), total("_tw_c").alias("complete_months"), total("_tw_p").alias("partial_months"))
+
+
+def approval_counts(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Approved rows, and how many of them a rule and how many a reviewer approved."""
+    s = F.col("approval_status")
+    return rows.groupBy(*by).agg(F.count("*").alias("approved"), F.count_if(s == "AUTO_APPROVED").alias("auto_approved"), F.count_if(s == "MANUALLY_APPROVED").alias("manually_approved"))
 
 
 def category_dashboard(summary: DataFrame, by: list[str]) -> DataFrame:

@@ -126,7 +126,7 @@ def files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The account mapping under its canonical columns."""
     raw = lens.mapping(spark, sf_dir).withColumnsRenamed({"legal_entity": "legal_entity_name", "supplier_name": "supplier"}).withColumn("active", F.when(F.col("map_id") % 4 == 0, " NO "))
-    out = readers.account_mapping(readers.lookup_table(raw, ["account_number", "activity_group"]))
+    out = readers.account_mapping(readers.lookup_table(raw, ["account_number", "activity_group"]), ("account_number", "legal_entity", "supplier_name", "activity_group"))
     return out.select("map_id", "legal_entity", "supplier_name", "activity_group", "lookup_key")
 
 
@@ -194,7 +194,7 @@ r AS (SELECT b.seq, CASE WHEN x.seq < b.seq THEN x.seq END AS by_hash, CASE WHEN
 SELECT seq, CASE WHEN by_hash IS NULL AND by_key IS NULL THEN 'PRIMARY' ELSE 'DUPLICATE' END AS duplicate_status, coalesce(by_hash, by_key) AS duplicate_of,
   CASE WHEN by_hash IS NOT NULL THEN 'CONTENT_HASH' WHEN by_key IS NOT NULL THEN 'BUSINESS_KEY' END AS match_type FROM r""",
     "files_round_trip": """SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS account, o_orderstatus AS status, true AS hashed FROM orders""",
-    "mapping_table": with_parts(MAPPING_SQL) + """SELECT map_id, legal_entity, supplier_name, activity_group, lower(trim(account_number)) || '_' || lower(trim(activity_group)) AS lookup_key FROM mapping WHERE map_id % 4 <> 0""",
+    "mapping_table": with_parts(MAPPING_SQL) + """SELECT map_id, legal_entity, supplier_name, CASE WHEN activity_group = ' cool ' THEN 'Cool' ELSE activity_group END AS activity_group, lower(trim(account_number)) || '_' || lower(trim(activity_group)) AS lookup_key FROM mapping WHERE map_id % 4 <> 0""",
     "hierarchy": with_parts(MAPPING_SQL) + "SELECT DISTINCT division, legal_entity AS legal_entity_name, unit_name AS unit FROM mapping WHERE map_id % 3 <> 0 AND map_id % 7 <> 0",
     "sink_layers": with_parts(PERIODS_SQL) + """, d AS (SELECT DISTINCT invoice_id, activity_group AS kpi_component, "start", quantity FROM periods)
 SELECT kpi_component, count(*) AS n, min("start") AS first, round(sum(quantity * 1000), 2) AS again, round(sum(quantity * 1000 - quantity), 2) AS difference FROM d GROUP BY 1""",

@@ -126,6 +126,12 @@ def details(allocations: DataFrame) -> DataFrame:
     )
 
 
+def original_quantities(allocations: DataFrame) -> DataFrame:
+    """One row a period of the allocations: where its invoice is, and what was billed in its own unit before any conversion."""
+    columns = ("period_id", "source_link", "billed_original", "original_unit", "factor", "source", "supplier_name")
+    return allocations.select(*columns).dropDuplicates(["period_id"]).withColumn("source_link", source_label(F.col("source_link")))
+
+
 def case_table(cases: DataFrame) -> DataFrame:
     """Cases as a report shows them: lists joined, the first links as columns."""
     links = {f"source_{i + 1}": F.get("source_links", F.lit(i)) for i in range(LINKS)}

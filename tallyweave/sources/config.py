@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import text
-from tallyweave.operators import bronze, silver
+from tallyweave.operators import bronze, review, silver
 from tallyweave.operators.review import Thresholds
 
 CRITICALITY = ("critical", "optional", "noncritical")
@@ -46,6 +46,10 @@ class Category:
         keyed = rows.withColumns({"content_hash": F.when(there != "", F.sha2(there, 256)), "business_key": F.lit(None).cast("string")})
         return bronze.mark_duplicates(keyed, list(self.fields.header))
 
+    def reviewed(self, rows: DataFrame, old: DataFrame) -> review.Review:
+        """The review of bronze lines, new or saved, without their duplicates, with the decisions of the review before."""
+        return review.reviewed(bronze.split_duplicates(self.marked(rows))[0], self.fields.criticality, self.thresholds, old)
+
 
 def parsed(content: str, name: str = "configuration") -> dict:
     """A document's content: JSON, or YAML where that library is installed."""
