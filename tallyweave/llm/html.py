@@ -38,24 +38,36 @@ BOILERPLATE = frozenset(
     "sharing shoutbox sidebar sign signup skip social sponsor sponsored subscribe subscription taboola tags toc toolbar tooltip topbar widget".split()
 )
 CONTENT = frozenset("article articlebody body blog content entry main p post story text".split())
+#: A header within an article, or named after one by these words, is the article's own.
+HEADERS, OWNERS = frozenset(("t:header", "c:header", "c:head")), frozenset(("c:article", "c:entry", "c:post", "c:story"))
 
 #: Attributes: a quote opens a value only behind an equals sign; elsewhere it is a character like others.
 ATTRIBUTES = r"""(?:[^>=]++|=\s*"[^"]*"|=\s*'[^']*'|=)*"""
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})(?:>|\Z)", re.S)
 UNREAD_TAGS = frozenset(UNREAD.split("|"))
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+UNSEEN = re.compile(r"""\bstyle\s*=\s*(?:"[^"]*|'[^']*|[^\s"'>]*)\b(?:display\s*:\s*none|visibility\s*:\s*hidden)\b""", re.I)
 #: An element around so large a share of a page's words, and of whose words so large a share lies in one element of the content, is a wrapper.
 WRAPS = 0.5
 
 
-def names(tag: str, attributes: str) -> tuple[str, ...]:
-    """Features of an element: its tag, and the words of its class, id and role."""
+def unseen(attributes: str) -> bool:
+    """Whether an element says itself that it is not shown: by the attribute hidden or its own style."""
+    return bool(HIDDEN.search(QUOTED.sub(" ", attributes)) or UNSEEN.search(attributes))
+
+
+def names(tag: str, attributes: str, within_article: bool = False) -> tuple[str, ...]:
+    """Features of an element: its tag, and the words of its class, id and role; 'hidden' if it is not shown. The header of an article is none."""
     out = {f"t:{tag}"}
     for m in NAMED.finditer(attributes) if attributes else ():
         for word in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[1]).lower()):
             if word:
                 out.add(f"c:{word}")
-    return tuple(out)
+    if attributes and unseen(attributes):
+        out.add("c:hidden")
+    return tuple(out - HEADERS if within_article or out & OWNERS else out)
 
 
 def prior(name: str) -> float:
@@ -141,7 +153,7 @@ def pieces(html: str, open_: Open, wrappers: frozenset | set = frozenset()):
         yield "open", tag
         if tag not in VOID and not m[3].rstrip().endswith("/"):
             element += 1
-            open_.push(tag, element, names(tag, m[3]), element in wrappers)
+            open_.push(tag, element, names(tag, m[3], open_.tags["article"] > 0), element in wrappers)
     if at < len(html):
         yield "text", html[at:]
 
@@ -173,6 +185,18 @@ def wrappers_of(html: str, weights: Weights) -> set[int]:
     return {e for e, k in kind.items() if k < 0 and words[e] > WRAPS * words[0] and best[e] > WRAPS * words[e]}
 
 
+def best_run(scores: list[float]) -> tuple[float, tuple[int, int]]:
+    """The largest sum of a contiguous run and its bounds, the first of equals; zero and an empty run if no sum is above zero."""
+    best, span, total, start = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
+        if total <= 0:
+            total, start = 0.0, i
+        total += score
+        if total > best:
+            best, span = total, (start, i + 1)
+    return best, span
+
+
 def main_text(html: str | None, weights: Weights) -> str:
     """The text blocks of the best region, one a line; empty if no region scores above zero, as for null and empty html.
 
@@ -186,13 +210,7 @@ def main_text(html: str | None, weights: Weights) -> str:
             items.append((n * open_.score() if n else 0.0, value, False))
         else:
             items.append((weights.tag_costs.get(value, -0.1), None, value not in INLINE))
-    best, span, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (score, _, _) in enumerate(items):
-        if total <= 0:
-            total, start = 0.0, i
-        total += score
-        if total > best:
-            best, span = total, (start, i + 1)
+    _, span = best_run([score for score, _, _ in items])
     blocks, parts = [], []
     for score, text, ends in [*items[span[0] : span[1]], (0.0, None, True)]:
         if text is not None and (score > 0 or not text.strip() and parts):

@@ -1,6 +1,7 @@
+import random
 import time
 
-from tallyweave.llm.html import Weights, extract, learn, main_text
+from tallyweave.llm.html import Open, Weights, best_run, extract, learn, main_text, pieces
 
 PAGE = (
     '<!DOCTYPE html><html><head><title>No</title><style>p{{a>b}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li>'
@@ -49,6 +50,35 @@ def test_pages_that_are_not_well_formed():
     assert main_text("<article><p><a href=\"x\"\">the link</a> and <a title=it's href=x>more</a> text</p></article>", Weights()) == "the link and more text"
 
 
+def test_an_article_keeps_its_own_header_and_loses_what_is_not_shown():
+    body = "<p>one two three four five six seven</p>"
+    text = "one two three four five six seven"
+    for head in ("<header><h1>Headline here</h1></header>", '<div class="post-header"><h1>Headline here</h1></div>', '<div class="head"><h1>Headline here</h1></div>'):
+        assert main_text(f"<header><p>site name</p></header><article>{head}{body}</article>", Weights()) == f"Headline here\n{text}"
+    assert main_text(f'<div class="post"><div class="post-header"><h1>Headline here</h1></div>{body}</div>', Weights()) == f"Headline here\n{text}"
+    assert main_text(f'<div class="main-header">site name</div><div class="post">{body}</div>', Weights()) == text
+    for hidden in ("hidden", 'hidden="until-found"', 'style="color:red; display : none"', "style=visibility:hidden", 'title="a" HIDDEN'):
+        assert main_text(f"<article>{body}<p {hidden}>not shown at all</p>{body}</article>", Weights()) == f"{text}\n{text}"
+    for shown in ('title="the hidden cost"', 'data-hidden="x"', 'aria-hidden="false"', 'title="display:none"', "style='display:block'"):
+        assert main_text(f"<article>{body}<p {shown}>shown</p></article>", Weights()) == f"{text}\nshown"
+
+
+def brute(scores):
+    """The best sum of all contiguous runs, or zero."""
+    return max([0.0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))])
+
+
+def test_the_scan_finds_the_best_of_all_runs():
+    r = random.Random(6)
+    for _ in range(60):
+        parts = [r.choice(["<p>" + "w " * r.randrange(1, 9) + "</p>", "<nav>" + "n " * r.randrange(1, 4) + "</nav>", "<div>x</div>", "<article>" + "a " * r.randrange(1, 6) + "</article>", "<br>"]) for _ in range(r.randrange(1, 9))]
+        open_, scores = Open(Weights()), []
+        for kind, value in pieces("".join(parts), open_):
+            scores.append(len(value.split()) * open_.score() if kind == "text" else -0.1)
+        best, span = best_run(scores)
+        assert abs(best - brute(scores)) < 1e-9 and abs(sum(scores[span[0] : span[1]]) - best) < 1e-9
+
+
 def test_time_grows_with_the_page():
     def took(html):
         began = time.process_time()
