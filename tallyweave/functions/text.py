@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,3 +157,9 @@ def source_label(c: Column) -> Column:
 def contains_any(term: str, *cs: Column) -> Column:
     """Whether any column contains a text, without case; a separator keeps it from spanning two columns."""
     return F.lower(F.concat_ws("\u0001", *cs)).contains(term.lower())
+
+
+def holds_all(filters: dict[str, str]) -> Column:
+    """Whether each column contains its text, without case and ends; a blank text asks for nothing, and a null value contains none."""
+    asked = {c: term.strip().lower() for c, term in filters.items() if term.strip()}
+    return reduce(lambda a, b: a & b, (F.coalesce(F.lower(F.col(c).cast("string")).contains(t), F.lit(False)) for c, t in asked.items()), F.lit(True))

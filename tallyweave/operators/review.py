@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions.text import is_blank, issue_id, line_key
+from tallyweave.functions.text import is_blank, issue_id, line_key, own_columns
 
 LINE = ["invoice_id", "line_id"]
 APPROVED = ("APPROVED", "CORRECTED", "NOT_APPLICABLE")
@@ -80,7 +80,8 @@ def review_issues(quality: DataFrame) -> DataFrame:
 def latest(decisions: DataFrame, key: list[str]) -> DataFrame:
     """The last decision of each key, by reviewed_at and then seq."""
     order = Window.partitionBy(*key).orderBy(F.desc("reviewed_at"), F.desc("seq"))
-    return decisions.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    own_columns(decisions)
+    return decisions.withColumn("_tw_n", F.row_number().over(order)).where("_tw_n = 1").drop("_tw_n")
 
 
 def approve(bronze: DataFrame, summary: DataFrame, decisions: DataFrame, fields: list[str]) -> DataFrame:
@@ -118,8 +119,8 @@ def open_queue(summary: DataFrame, issues: DataFrame, decisions: DataFrame) -> D
 
 def merged_queue(queue: DataFrame, decisions: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """All keys of both; where a decision exists its values count, blanks included."""
-    q, d = queue.alias("q"), decisions.withColumn("_has", F.lit(True)).alias("d")
-    value = lambda c: F.when(F.col("d._has"), F.col(f"d.{c}")).otherwise(F.col(f"q.{c}")).alias(c)
+    q, d = queue.alias("q"), decisions.withColumn("_tw_has", F.lit(True)).alias("d")
+    value = lambda c: F.when(F.col("d._tw_has"), F.col(f"d.{c}")).otherwise(F.col(f"q.{c}")).alias(c)
     return q.join(d, F.col(f"q.{key}") == F.col(f"d.{key}"), "full_outer").select(F.coalesce(f"q.{key}", f"d.{key}").alias(key), *map(value, columns))
 
 

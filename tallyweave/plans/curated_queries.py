@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.functions import text
-from tallyweave.operators import bronze, enrich, periods, review, rollup, silver
-from tallyweave.sources import config, lens, readers
+from tallyweave.functions import text, units
+from tallyweave.operators import bronze, enrich, lineage, periods, review, rollup, silver
+from tallyweave.sources import config, lens, readers, sinks
 
 from . import reports
 from .oracle_parts import ALLOCATED, BRONZE_SQL, DECISIONS_SQL, MAPPING_SQL, MONTHLY, PERIODS_SQL, QUALITY, RESOLVED, SPLITS, with_parts
@@ -114,7 +114,41 @@ def waste_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"waiting": F.coalesce("waiting", F.lit(False)), "decisions": F.coalesce("manual_review_decision_count", F.lit(0)).cast("long")}).drop("manual_review_decision_count")
 
 
-QUERIES = {f.__name__: f for f in (curated_layer, document_metadata, mapping_file, contract_issues, segments, completeness_tiles, approval_tiles, waste_rerun)}
+def variance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells over 10 % beside the files of both years and the links of their own."""
+    rows = lens.periods(spark, sf_dir).where("activity_group = 'Steam'")
+    facts = reports.reporting_rows(rows.selectExpr("*", "activity_group kpi", "quantity amount", "start date", "'' issue", "row_id source_files", "case when part_key % 6 <> 0 then concat('https://bills.example/', invoice_id) end source_link"))[0]
+    ends = rows.agg(F.min(F.trunc("start", "MM")).alias("first"), F.max(F.trunc("start", "MM")).alias("last")).first()
+    sources = reports.monthly_sources(facts)
+    out = reports.variance_report(reports.year_over_year(facts, facts, facts, reports.months_of(ends)), sources, sources)
+    out = lineage.widened(out, "links", "link_", 2).withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in ("previous", "current", "size")})
+    return out.withColumns({c: F.length(c) for c in ("current_files", "previous_files")} | {"digest": F.md5(F.concat_ws("|", "current_files", "previous_files"))})
+
+
+def filtered_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose columns contain what was typed above each."""
+    found = text.holds_all({"supplier_name": " ER#00000000 ", "activity_group": "EA", "account_number": "-1", "unit_name": "  ", "part_key": "7"})
+    return lens.periods(spark, sf_dir).where(found).select("row_id", "supplier_name", "activity_group", "account_number")
+
+
+def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kWh by the usual factors, and by a reader's own, which know another unit and lack one."""
+    rows = lens.periods(spark, sf_dir)
+    amount, unit = F.col("quantity"), F.col("energy_unit")
+    usual, own = units.to_kwh(amount, unit), units.to_kwh(amount, F.concat(F.lit(" "), F.lower(unit)), {"KWH": 1.0, "MWH": 1000.0, "MMBTU": 293.0, "TON": 700.0})
+    return rows.groupBy("legal_entity", "energy_unit").agg(F.round(F.sum(usual), 2).alias("usual"), F.round(F.sum(own), 2).alias("own"))
+
+
+def typed_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of an export as dates, numbers and links, written and read back."""
+    rows = lens.periods(spark, sf_dir).selectExpr(
+        "row_id", "case part_key % 4 when 0 then date_format(start, 'dd/MM/yyyy') when 1 then '' else cast(start as string) end start", "case part_key % 5 when 0 then 'n/a' when 1 then concat(' 1,', lpad(cast(part_key % 1000 as string), 3, '0'), '.5 ') else cast(quantity as string) end amount",
+        "case when part_key % 3 = 0 then ' ' else concat(' https://bills.example/', invoice_id, ' ') end link", "case when part_key % 2 = 0 then '01.02.2024' end raw_date",
+    )
+    return write_and_read(spark, lambda p: sinks.typed(rows, ["start", "absent"], ["amount"], ["link"]).write.parquet(p))
+
+
+QUERIES = {f.__name__: f for f in (curated_layer, document_metadata, mapping_file, contract_issues, segments, completeness_tiles, approval_tiles, waste_rerun, variance_report, filtered_columns, unit_conversion, typed_export)}
 
 _NONE = ("consumption_start_date_2_normalized", "consumption_end_date_2_normalized", "quantity_3", "quantity_4", "quantity_5", "quantity_6", "total_amount", "solar_export", "solar_banking_charge", "solar_total_generation", "facility_type", "facility_identifier", "invoice_count", "sharepoint_link")
 _LINES = {
@@ -164,6 +198,13 @@ cells AS (SELECT division, legal_entity, unit_name, kpi, date_trunc('month', due
 SELECT kpi, (SELECT count(*) FROM (SELECT DISTINCT division, legal_entity, unit_name FROM a WHERE a.kpi = cells.kpi)) AS facilities, count(DISTINCT (division, legal_entity, unit_name)) FILTER (covered > 0) AS facilities_with_data, count(*) FILTER (covered = expected) AS complete_months, count(*) FILTER (covered > 0 AND covered < expected) AS partial_months FROM cells GROUP BY kpi""",
     "approval_tiles": with_parts(PERIODS_SQL, BRONZE_SQL, QUALITY, DECISIONS_SQL) + """, good AS (SELECT DISTINCT line_id FROM decisions WHERE review_decision IN ('APPROVED', 'CORRECTED', 'NOT_APPLICABLE'))
 SELECT category, count(*) AS approved, count(*) FILTER (g.line_id IS NULL) AS auto_approved, count(g.line_id) AS manually_approved FROM summaries s JOIN bronze b USING (line_id) LEFT JOIN good g USING (line_id) WHERE NOT s.review_required OR g.line_id IS NOT NULL GROUP BY category""",
+    "variance_report": with_parts(PERIODS_SQL) + """, fx AS (SELECT *, quantity * CASE energy_unit WHEN 'kWh' THEN 1.0::DOUBLE WHEN 'MWh' THEN 1000.0::DOUBLE WHEN 'ton' THEN 720.0::DOUBLE WHEN 'RTH' THEN 0.62::DOUBLE END AS kwh, CAST(date_trunc('month', "start") AS DATE) AS m, CASE WHEN part_key % 6 <> 0 THEN 'https://bills.example/' || invoice_id END AS link FROM periods WHERE energy_unit <> 'mmBTU' AND activity_group = 'Steam'),
+s AS (SELECT division, legal_entity, unit_name, m, sum(kwh) AS kwh, string_agg(DISTINCT lower(row_id), chr(10) ORDER BY lower(row_id)) AS files, list_sort(list_distinct(list(link) FILTER (link IS NOT NULL))) AS links FROM fx GROUP BY ALL),
+v AS (SELECT a.*, b.kwh AS before, b.files AS old, (a.kwh - b.kwh) / abs(b.kwh) AS p FROM s a JOIN s b ON b.division = a.division AND b.legal_entity = a.legal_entity AND b.unit_name = a.unit_name AND b.m = a.m - INTERVAL 1 YEAR)
+SELECT division, legal_entity, unit_name, 'Steam' AS kpi, m AS "month", round(before + 1e-7, 4) AS previous, round(kwh + 1e-7, 4) AS current, round(p + sign(p) * 1e-10, 4) AS difference, round(abs(p) + 1e-7, 4) AS size, length(files) AS current_files, length(old) AS previous_files, md5(files || '|' || old) AS digest, links[1] AS link_1, links[2] AS link_2 FROM v WHERE abs(p) > 0.1""",
+    "filtered_columns": with_parts(PERIODS_SQL) + """SELECT row_id, supplier_name, activity_group, account_number FROM periods WHERE supplier_name ILIKE '%er#00000000%' AND activity_group ILIKE '%ea%' AND account_number LIKE '%-1%' AND CAST(part_key AS VARCHAR) LIKE '%7%'""",
+    "unit_conversion": with_parts(PERIODS_SQL) + """SELECT legal_entity, energy_unit, round(sum(quantity * CASE energy_unit WHEN 'kWh' THEN 1.0 WHEN 'MWh' THEN 1000.0 WHEN 'ton' THEN 720.0 WHEN 'RTH' THEN 0.62 END), 2) AS usual, round(sum(quantity * CASE energy_unit WHEN 'kWh' THEN 1 WHEN 'MWh' THEN 1000 WHEN 'mmBTU' THEN 293 WHEN 'ton' THEN 700 END), 2) AS own FROM periods GROUP BY ALL""",
+    "typed_export": with_parts(PERIODS_SQL) + """SELECT row_id, CASE WHEN part_key % 4 > 1 THEN "start" END AS "start", CASE part_key % 5 WHEN 0 THEN NULL WHEN 1 THEN 1000 + part_key % 1000 + 0.5 ELSE quantity END AS amount, CASE WHEN part_key % 3 <> 0 THEN 'https://bills.example/' || invoice_id END AS link, CASE WHEN part_key % 2 = 0 THEN '01.02.2024' END AS raw_date FROM periods""",
     "waste_rerun": """WITH b AS (SELECT 'doc-' || o_orderkey AS invoice_id, CAST(i + 1 AS VARCHAR) AS line_id, CAST(o_custkey AS VARCHAR) AS account, (o_orderkey % 10) / 10 AS c, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_totalprice AS VARCHAR) END AS total,
   CASE WHEN i < o_orderkey % 4 THEN CAST(o_orderkey % 7 + i AS VARCHAR) END AS qty, CASE WHEN i < o_orderkey % 4 THEN 'Kind ' || (o_orderkey % 3 + i) END AS waste FROM orders, range(3) t(i) WHERE i < greatest(o_orderkey % 4, 1)),
 u AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY concat_ws('|', account, total, qty, waste) ORDER BY invoice_id, line_id) = 1),

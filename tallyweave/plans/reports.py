@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.dates import inclusive_days, to_date
-from tallyweave.functions.numbers import completeness_class, difference_class, percent_difference
+from tallyweave.functions.numbers import completeness_class, difference_class, exported_difference, percent_difference
 from tallyweave.functions.text import facility_key, is_blank, lookup_text, own_columns, trimmed
 from tallyweave.functions.units import factor
 from tallyweave.operators.periods import covered_days
@@ -194,6 +194,23 @@ def monthly_sources(rows: DataFrame) -> DataFrame:
     return distinct.groupBy(*key).agg(F.array_sort(F.collect_set("file")).alias("sources"), F.array_sort(F.collect_set("source_link")).alias("links"))
 
 
+def variance_report(cells: DataFrame, current: DataFrame, previous: DataFrame, over: float = 0.10) -> DataFrame:
+    """high_variance() cells beside the files of their month and of the same month a year before, and the links of their month.
+
+    current and previous are monthly_sources(), which may be one table. Files are joined by line ends, and a cell without any has empty text and
+    no links. For a report sort by size, largest first, then facility, KPI and month.
+    """
+    own_columns(cells)
+    keys = {f"{c}_key": facility_key(F.col(c)) for c in FACILITY}
+    key = [*keys, "kpi", "month"]
+    now = current.select(*key, F.col("sources").alias("_tw_now"), "links")
+    then = previous.withColumn("month", F.add_months("month", 12)).select(*key, F.col("sources").alias("_tw_then"))
+    rows = high_variance(cells, over).withColumns(keys).join(now, key, "left").join(then, key, "left")
+    files = {"current_files": "_tw_now", "previous_files": "_tw_then"}
+    shown = F.coalesce("links", F.array().cast("array<string>"))
+    return rows.select(*FACILITY, "kpi", "month", "previous", "current", exported_difference(F.col("difference")).alias("difference"), "size", *(F.coalesce(F.array_join(c, "\n"), F.lit("")).alias(n) for n, c in files.items()), shown.alias("links"))
+
+
 def matching_facilities(cells: DataFrame, term: str) -> DataFrame:
     """Cells whose facility holds a text, without case, marks and spacing."""
     return cells.where(facility_key(F.concat_ws(" ", *FACILITY)).contains(term.lower()))

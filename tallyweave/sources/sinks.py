@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.functions.text import nullif_blank, trimmed
+
 
 def bronze_table(df: DataFrame, path: str) -> None:
     """Without rows that repeat in all columns."""
@@ -15,10 +17,13 @@ def report_by_kpi(df: DataFrame, path: str, column: str = "kpi_component") -> No
     df.write.mode("overwrite").partitionBy(column).parquet(path)
 
 
-def typed(df: DataFrame, dates: list[str], numbers: list[str]) -> DataFrame:
-    """Text columns as dates and numbers, null where they are none."""
-    cols = {c: F.try_to_date(c, "yyyy-MM-dd") for c in dates if c in df.columns}
-    return df.withColumns(cols | {c: F.col(c).try_cast("double") for c in numbers if c in df.columns})
+def typed(df: DataFrame, dates: list[str], numbers: list[str], links: list[str] = ()) -> DataFrame:
+    """Text columns as dates (ISO form alone), numbers (commas between digits and blanks around them do not count) and links without blanks
+    around them. What is none becomes null; other columns stay as they are, and columns that df lacks are passed over."""
+    there = lambda names: [c for c in names if c in df.columns]
+    plain = lambda c: F.replace(trimmed(F.col(c).cast("string")), F.lit(","), F.lit(""))
+    cols = {c: F.try_to_date(F.when(F.col(c).cast("string").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col(c).cast("string")), "yyyy-MM-dd") for c in there(dates)}
+    return df.withColumns(cols | {c: plain(c).try_cast("double") for c in there(numbers)} | {c: nullif_blank(trimmed(F.col(c))) for c in there(links)})
 
 
 def verified(df: DataFrame, billed: str, factor: str, reported: str) -> DataFrame:

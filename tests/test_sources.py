@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import bronze, periods, review, rollup, silver
 from tallyweave.plans import archive_v1, reports
-from tallyweave.sources import config, readers
+from tallyweave.functions import text, units
+from tallyweave.sources import config, readers, sinks
 
 
 def test_text_tables_without_marks_rows_or_files(spark, tmp_path):
@@ -99,3 +100,27 @@ def test_a_review_runs_again_from_saved_lines(spark, tmp_path):
     assert {(r.invoice_id, r.line_id, r.account, r.approval_status) for r in again.approved.collect()} == {("i", "1", "fixed", "MANUALLY_APPROVED"), ("j", "1", "z", "AUTO_APPROVED")}
     assert [(r.invoice_id, r.line_id) for r in again.waiting.collect()] == [("i", "2")]
     assert isinstance(again, review.Review)
+
+
+def test_exports_are_typed_by_their_texts(spark):
+    rows = spark.createDataFrame([("2024-02-29", " 1,234.5 ", " https://x "), ("2024-02-30", "1.2.3", " "), ("29/02/2024", "", None), ("2024-2-9", "-7", "y")], "d string, n string, l string")
+    got = [tuple(r) for r in sinks.typed(rows, ["d", "absent"], ["n"], ["l"]).collect()]
+    assert [(d and d.isoformat(), n, link) for d, n, link in got] == [("2024-02-29", 1234.5, "https://x"), (None, None, None), (None, None, None), (None, -7.0, "y")]
+
+
+def test_filters_by_column_and_units(spark):
+    rows = spark.createDataFrame([("Alpha", 17), ("beta", 7), (None, 7)], "a string, n int")
+    count = lambda **asked: rows.where(text.holds_all(asked)).count()
+    assert (count(), count(a=" "), count(a=" PH "), count(n="7"), count(a="a", n="17")) == (3, 3, 1, 3, 1)
+    kwh = lambda **how: [r[0] for r in rows.select(units.to_kwh(F.col("n").cast("double"), F.lit(" mmbtu "), **how)).collect()]
+    assert kwh() == [None] * 3 and kwh(factors={"MMBTU": 2.0}, strict=True) == [34.0, 14.0, 14.0]
+    with pytest.raises(Exception, match="Unsupported energy unit"):
+        kwh(strict=True)
+
+
+def test_variances_name_the_files_of_both_years(spark):
+    cells = spark.createDataFrame([("D", "L", "U-1", "k", "2024-03-01", 3.0, 1.0, 2.0), ("D", "L", "U-2", "k", "2024-03-01", 2.0, 1.0, -0.5), ("D", "L", "U-3", "k", "2024-03-01", 1.0, 1.0, 0.1)], "division string, legal_entity string, unit_name string, kpi string, month string, current double, previous double, difference double").withColumn("month", F.to_date("month"))
+    rows = spark.createDataFrame([("D", "l", "u 1", "k", "2024-03-09", "B.pdf; a.pdf", "https://b"), ("D", "l", "u 1", "k", "2024-03-10", "b.pdf", "https://a"), ("D", "l", "u 1", "k", "2023-03-01", "old.pdf", None)], "division string, legal_entity string, unit_name string, kpi string, date string, source_files string, source_link string").withColumn("date", F.to_date("date"))
+    sources = reports.monthly_sources(rows)
+    got = {r.unit_name: (r.current_files, r.previous_files, r.links, r.size) for r in reports.variance_report(cells, sources, sources).collect()}
+    assert got == {"U-1": ("a.pdf\nb.pdf", "old.pdf", ["https://a", "https://b"], 2.0), "U-2": ("", "", [], 0.5)}
