@@ -82,8 +82,8 @@ def selected_quantity(ocr: DataFrame, selection: DataFrame) -> DataFrame:
 def enriched(ocr: DataFrame, mapping: DataFrame, division: DataFrame, contracts: DataFrame) -> DataFrame:
     """Rows with their best mapping, division and contract. A division serves an entity by unit or by facility id, so rows can multiply.
 
-    The two ways are two equi joins: rows are never met by all divisions of their entity. A row that no unit serves stays without a
-    division only if no facility id serves it either; a division that serves a row both ways counts once.
+    A row asks by both ways in one equi join, so it is never met by all divisions of its entity, and nothing before it is made twice. A row that no
+    unit serves stays without a division only if no facility id serves it either; a division that serves a row both ways counts once.
     """
     best = best_mapping(ocr.withColumnRenamed("ocr_record_id", "row_id"), mapping)
     return ocr.sparkSession.sql(
@@ -98,10 +98,11 @@ def enriched(ocr: DataFrame, mapping: DataFrame, division: DataFrame, contracts:
           SELECT division own_division, legal_entity own_entity, unit_name own_unit, lower(trim(legal_entity)) e, nullif(lower(trim(unit_name)), '') u, nullif(lower(trim(facility_identifier)), '') f FROM {da}
         ),
         served AS (SELECT DISTINCT e, f FROM da WHERE e IS NOT NULL AND f IS NOT NULL),
+        ways AS (SELECT *, 'unit' way, u own_key FROM da WHERE u IS NOT NULL UNION ALL SELECT *, 'facility' way, f own_key FROM da WHERE f IS NOT NULL),
+        asked AS (SELECT * FROM keyed LATERAL VIEW stack(2, 'unit', u, 'facility', f) x AS way, own_key),
         d AS (
-          SELECT k.*, da.own_division, da.own_entity, da.own_unit FROM keyed k LEFT JOIN da ON da.e = k.e AND da.u = k.u LEFT JOIN served s ON s.e = k.e AND s.f = k.f WHERE da.e IS NOT NULL OR s.e IS NULL
-          UNION ALL
-          SELECT k.*, da.own_division, da.own_entity, da.own_unit FROM keyed k JOIN da ON da.e = k.e AND da.f = k.f WHERE NOT coalesce(da.u = k.u, false)
+          SELECT a.*, w.own_division, w.own_entity, w.own_unit FROM asked a LEFT JOIN ways w ON w.e = a.e AND w.way = a.way AND w.own_key = a.own_key LEFT JOIN served s ON s.e = a.e AND s.f = a.f
+          WHERE CASE WHEN w.e IS NULL THEN a.way = 'unit' AND s.e IS NULL ELSE a.way = 'unit' OR NOT coalesce(w.u = a.u, false) END
         ),
         named AS (SELECT *, coalesce(own_entity, legal_entity) d_entity, coalesce(own_unit, unit_name) d_unit FROM d)
         SELECT d.ocr_record_id, d.mapping_id, d.mapping_needs_review, d.account_number, coalesce(d.own_division, d.division) division, d.activity_group, c.contract_id, d.d_entity legal_entity, d.d_unit unit_name
