@@ -86,7 +86,7 @@ def completeness_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lens.periods(spark, sf_dir).withColumn("kpi", F.col("activity_group"))
     accounts = rows.where("account_number is not null and mapping_status = 'MAPPED'").select(*FACILITY, "kpi", "account_number").distinct().withColumns({"effective_start": F.lit(None).cast("date"), "effective_end": F.when(F.length("account_number") % 2 == 0, F.lit("1996-06-10").cast("date"))})
     ends = rows.agg(F.min(F.trunc("start", "MM")).alias("first"), F.max(F.trunc("start", "MM")).alias("last")).first()
-    cells = reports.completeness(accounts, rows.where("supplier_key % 3 <> 0"), [a for a, _ in reports.months_of(ends)])
+    cells = reports.completeness(accounts, rows, [a for a, _ in reports.months_of(ends)])
     return reports.completeness_tiles(cells, ("kpi",))
 
 
@@ -116,7 +116,7 @@ def waste_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def variance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells over 10 % beside the files of both years and the links of their own."""
-    rows = lens.periods(spark, sf_dir).where("activity_group = 'Steam'")
+    rows = lens.periods(spark, sf_dir)
     facts = reports.reporting_rows(rows.selectExpr("*", "activity_group kpi", "quantity amount", "start date", "'' issue", "row_id source_files", "case when part_key % 6 <> 0 then concat('https://bills.example/', invoice_id) end source_link"))[0]
     ends = rows.agg(F.min(F.trunc("start", "MM")).alias("first"), F.max(F.trunc("start", "MM")).alias("last")).first()
     sources = reports.monthly_sources(facts)
@@ -193,15 +193,15 @@ SELECT period_index, "month", count(*) AS segments, count(DISTINCT row_id) AS ro
     "completeness_tiles": with_parts(PERIODS_SQL) + """, ends AS (SELECT CAST(date_trunc('month', min("start")) AS DATE) AS lo, last_day(max("start")) AS hi FROM periods),
 a AS (SELECT DISTINCT division, legal_entity, unit_name, activity_group AS kpi, account_number, CASE WHEN length(account_number) % 2 = 0 THEN DATE '1996-06-10' END AS ee FROM periods WHERE account_number IS NOT NULL AND mapping_status = 'MAPPED'),
 due AS (SELECT division, legal_entity, unit_name, kpi, account_number, CAST(unnest(generate_series(lo, least(hi, coalesce(ee, hi)), INTERVAL 1 DAY)) AS DATE) AS d FROM a, ends),
-days AS (SELECT DISTINCT division, legal_entity, unit_name, activity_group AS kpi, account_number, CAST(unnest(generate_series("start", "end", INTERVAL 1 DAY)) AS DATE) AS d FROM periods WHERE "end" >= "start" AND supplier_key % 3 <> 0),
+days AS (SELECT DISTINCT division, legal_entity, unit_name, activity_group AS kpi, account_number, CAST(unnest(generate_series("start", "end", INTERVAL 1 DAY)) AS DATE) AS d FROM periods WHERE "end" >= "start"),
 cells AS (SELECT division, legal_entity, unit_name, kpi, date_trunc('month', due.d) AS m, count(*) AS expected, count(days.d) AS covered FROM due LEFT JOIN days USING (division, legal_entity, unit_name, kpi, account_number, d) GROUP BY ALL)
 SELECT kpi, (SELECT count(*) FROM (SELECT DISTINCT division, legal_entity, unit_name FROM a WHERE a.kpi = cells.kpi)) AS facilities, count(DISTINCT (division, legal_entity, unit_name)) FILTER (covered > 0) AS facilities_with_data, count(*) FILTER (covered = expected) AS complete_months, count(*) FILTER (covered > 0 AND covered < expected) AS partial_months FROM cells GROUP BY kpi""",
     "approval_tiles": with_parts(PERIODS_SQL, BRONZE_SQL, QUALITY, DECISIONS_SQL) + """, good AS (SELECT DISTINCT line_id FROM decisions WHERE review_decision IN ('APPROVED', 'CORRECTED', 'NOT_APPLICABLE'))
 SELECT category, count(*) AS approved, count(*) FILTER (g.line_id IS NULL) AS auto_approved, count(g.line_id) AS manually_approved FROM summaries s JOIN bronze b USING (line_id) LEFT JOIN good g USING (line_id) WHERE NOT s.review_required OR g.line_id IS NOT NULL GROUP BY category""",
-    "variance_report": with_parts(PERIODS_SQL) + """, fx AS (SELECT *, quantity * CASE energy_unit WHEN 'kWh' THEN 1.0::DOUBLE WHEN 'MWh' THEN 1000.0::DOUBLE WHEN 'ton' THEN 720.0::DOUBLE WHEN 'RTH' THEN 0.62::DOUBLE END AS kwh, CAST(date_trunc('month', "start") AS DATE) AS m, CASE WHEN part_key % 6 <> 0 THEN 'https://bills.example/' || invoice_id END AS link FROM periods WHERE energy_unit <> 'mmBTU' AND activity_group = 'Steam'),
-s AS (SELECT division, legal_entity, unit_name, m, sum(kwh) AS kwh, string_agg(DISTINCT lower(row_id), chr(10) ORDER BY lower(row_id)) AS files, list_sort(list_distinct(list(link) FILTER (link IS NOT NULL))) AS links FROM fx GROUP BY ALL),
-v AS (SELECT a.*, b.kwh AS before, b.files AS old, (a.kwh - b.kwh) / abs(b.kwh) AS p FROM s a JOIN s b ON b.division = a.division AND b.legal_entity = a.legal_entity AND b.unit_name = a.unit_name AND b.m = a.m - INTERVAL 1 YEAR)
-SELECT division, legal_entity, unit_name, 'Steam' AS kpi, m AS "month", round(before + 1e-7, 4) AS previous, round(kwh + 1e-7, 4) AS current, round(p + sign(p) * 1e-10, 4) AS difference, round(abs(p) + 1e-7, 4) AS size, length(files) AS current_files, length(old) AS previous_files, md5(files || '|' || old) AS digest, links[1] AS link_1, links[2] AS link_2 FROM v WHERE abs(p) > 0.1""",
+    "variance_report": with_parts(PERIODS_SQL) + """, fx AS (SELECT *, quantity * CASE energy_unit WHEN 'kWh' THEN 1.0::DOUBLE WHEN 'MWh' THEN 1000.0::DOUBLE WHEN 'ton' THEN 720.0::DOUBLE WHEN 'RTH' THEN 0.62::DOUBLE END AS kwh, CAST(date_trunc('month', "start") AS DATE) AS m, CASE WHEN part_key % 6 <> 0 THEN 'https://bills.example/' || invoice_id END AS link FROM periods WHERE energy_unit <> 'mmBTU'),
+s AS (SELECT division, legal_entity, unit_name, activity_group, m, sum(kwh) AS kwh, string_agg(DISTINCT lower(row_id), chr(10) ORDER BY lower(row_id)) AS files, list_sort(list_distinct(list(link) FILTER (link IS NOT NULL))) AS links FROM fx GROUP BY ALL),
+v AS (SELECT a.*, b.kwh AS before, b.files AS old, (a.kwh - b.kwh) / abs(b.kwh) AS p FROM s a JOIN s b ON b.division = a.division AND b.legal_entity = a.legal_entity AND b.unit_name = a.unit_name AND b.activity_group = a.activity_group AND b.m = a.m - INTERVAL 1 YEAR)
+SELECT division, legal_entity, unit_name, activity_group AS kpi, m AS "month", round(before + 1e-7, 4) AS previous, round(kwh + 1e-7, 4) AS current, round(p + sign(p) * 1e-10, 4) AS difference, round(abs(p) + 1e-7, 4) AS size, length(files) AS current_files, length(old) AS previous_files, md5(files || '|' || old) AS digest, links[1] AS link_1, links[2] AS link_2 FROM v WHERE abs(p) > 0.1""",
     "filtered_columns": with_parts(PERIODS_SQL) + """SELECT row_id, supplier_name, activity_group, account_number FROM periods WHERE supplier_name ILIKE '%er#00000000%' AND activity_group ILIKE '%ea%' AND account_number LIKE '%-1%' AND CAST(part_key AS VARCHAR) LIKE '%7%'""",
     "unit_conversion": with_parts(PERIODS_SQL) + """SELECT legal_entity, energy_unit, round(sum(quantity * CASE energy_unit WHEN 'kWh' THEN 1.0 WHEN 'MWh' THEN 1000.0 WHEN 'ton' THEN 720.0 WHEN 'RTH' THEN 0.62 END), 2) AS usual, round(sum(quantity * CASE energy_unit WHEN 'kWh' THEN 1 WHEN 'MWh' THEN 1000 WHEN 'mmBTU' THEN 293 WHEN 'ton' THEN 700 END), 2) AS own FROM periods GROUP BY ALL""",
     "typed_export": with_parts(PERIODS_SQL) + """SELECT row_id, CASE WHEN part_key % 4 > 1 THEN "start" END AS "start", CASE part_key % 5 WHEN 0 THEN NULL WHEN 1 THEN 1000 + part_key % 1000 + 0.5 ELSE quantity END AS amount, CASE WHEN part_key % 3 <> 0 THEN 'https://bills.example/' || invoice_id END AS link, CASE WHEN part_key % 2 = 0 THEN '01.02.2024' END AS raw_date FROM periods""",
