@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from tallyweave.operators import enrich
+from tallyweave.plans.queries import QUERIES
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def stages(spark):
@@ -13,10 +16,10 @@ def stages(spark):
     return [(s.stageId(), s.numTasks(), s.shuffleWriteRecords(), s.outputRecords()) for s in done]
 
 
-def run(spark, df):
-    """The stages that a run of df adds."""
+def run(spark, build):
+    """The stages that building and running a table adds."""
     before = {s[0] for s in stages(spark)}
-    df.write.format("noop").mode("overwrite").save()
+    build().write.format("noop").mode("overwrite").save()
     return [s for s in stages(spark) if s[0] not in before]
 
 
@@ -30,4 +33,11 @@ def test_lookup_rows_of_one_key_meet_no_row_one_by_one(spark):
     got = {r["row_id"]: (r["lookup_id"], r["v"], r["lookup_issue"] != "") for r in out.collect()}
     want = {f"r{i}": (i, 2 * i, False) for i in range(n)} | {"r0": (None, None, True), "r5": (None, None, True)}
     assert got == want
-    assert sum(s[2] for s in run(spark, out)) < 20 * n
+    assert sum(s[2] for s in run(spark, lambda: out)) < 20 * n
+
+
+def test_cases_resolve_their_periods_once(spark):
+    found = run(spark, lambda: QUERIES["case_scope"](spark, SMALL))
+    # resolved, written, and only then told apart by case
+    assert sum(s[2] for s in found) < 25_000
+    assert sum(s[3] for s in found) > 6_000
