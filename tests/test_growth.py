@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tallyweave.operators import enrich
 from tallyweave.plans.queries import QUERIES
+from tallyweave.sources import sinks
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -41,3 +42,10 @@ def test_cases_resolve_their_periods_once(spark):
     # resolved, written, and only then told apart by case
     assert sum(s[2] for s in found) < 25_000
     assert sum(s[3] for s in found) > 6_000
+
+
+def test_texts_are_written_as_files_of_one_folder(spark, tmp_path):
+    rows = spark.range(40).selectExpr("concat('n', id, '.txt') name", "concat('ü', id, char(10)) text").repartition(4)
+    assert sinks.write_texts(rows, f"file://{tmp_path}/in", "name", "text") == 40
+    assert {p.name: p.read_text() for p in (tmp_path / "in").iterdir()} == {f"n{i}.txt": f"ü{i}\n" for i in range(40)}
+    assert sinks.write_texts(rows.where("false"), f"file://{tmp_path}/none", "name", "text") == 0
