@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tallyweave.operators import enrich
+from tallyweave.plans import audit
 from tallyweave.plans.queries import QUERIES
 from tallyweave.sources import sinks
 
@@ -49,3 +52,15 @@ def test_texts_are_written_as_files_of_one_folder(spark, tmp_path):
     assert sinks.write_texts(rows, f"file://{tmp_path}/in", "name", "text") == 40
     assert {p.name: p.read_text() for p in (tmp_path / "in").iterdir()} == {f"n{i}.txt": f"ü{i}\n" for i in range(40)}
     assert sinks.write_texts(rows.where("false"), f"file://{tmp_path}/none", "name", "text") == 0
+
+
+def test_months_without_cover_are_not_joined(spark):
+    rows = spark.range(50).selectExpr("'d' division", "'e' legal_entity", "'u' unit_name", "case when id > 0 then concat('a', id) end account_number", "'Heat' activity_group", "date'2000-01-31' start", "date'2000-02-02' end")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = run(spark, lambda: audit.coverage_cases(rows, "2000-01-01", "2019-12-01"))
+        got = audit.coverage_cases(rows, "2000-01-01", "2019-12-01").groupBy("account_number").agg(F.sum("days"), F.count("month")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, got), key=str) == sorted(((f"a{i}" if i else None, 7305 - 3, 240) for i in range(50)), key=str)
+    assert sum(s[2] for s in found) < 2_000
