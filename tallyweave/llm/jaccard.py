@@ -2,9 +2,9 @@
 
 Two sets at a similarity of 0.8 differ in about a seventh of their fingerprints' bits. Anchors of the covering code reach one bit in
 32: with four independent parts they find most pairs from 0.95 on, and about a third at 0.8. MinHash bands find the rest: a pair at the least
-similarity shares no bucket with a probability of at most MISS. Texts meet the one that stands for their part or bucket, and, where a
-bucket still holds several groups, another one of them; so candidates grow with texts and never with the square of a crowd. In a
-bucket of two that is every pair. Every candidate is verified by its exact similarity.
+similarity shares no bucket with a probability of at most MISS. Texts meet first the one that stands for their part or bucket, then, where a
+bucket still holds several groups, another one of them. What of a bucket is then still in different groups meets in full, so no link between
+groups is left out; pairs within a group need none. Every candidate is verified by its exact similarity.
 """
 
 from __future__ import annotations
@@ -77,15 +77,17 @@ def parts_of(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def buckets(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(key, bucket) of every MinHash band of every text."""
+    """(key, bucket) of every MinHash band of every text; of copies in one task only the first is read."""
     bands, rows = bands_for(similarity, rows=ROWS)
     seeds = np.random.default_rng(11).integers(0, 1 << 64, (2, bands * rows, 1), np.uint64)
     times, plus = seeds[0] | np.uint64(1), seeds[1]
 
     def each(batches):
-        cache, powers = WordHashes(), Powers()
+        cache, powers, seen = WordHashes(), Powers(), set()
         for b in batches:
             out = []
+            b = b[~b["key"].duplicated() & ~b["key"].isin(seen)]
+            seen.update(b["key"])
             for text in b["text"]:
                 h = np.unique(_hashes(text, shingle, cache, powers))
                 low = np.full(bands * rows, np.iinfo(np.uint64).max)
@@ -134,10 +136,10 @@ def classes(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
 
     Texts without words are all alike. Copies of one text have one key and need no links.
     """
-    members = buckets(texts, shingle, similarity).distinct()
-    members = written(members, "members")
+    # one shuffle by bucket serves both: most buckets hold one text, and its rows go no further
+    members = buckets(texts, shingle, similarity).repartition("bucket")
     centres = members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
-    crowd = written(members.join(centres, "bucket"), "crowd")
+    crowd = written(members.join(centres, "bucket").distinct(), "crowd")
     pairs = anchored(texts, shingle).union(crowd.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")))
     pairs = written(pairs.distinct(), "candidates")
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
@@ -146,8 +148,23 @@ def classes(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     group = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
     apart = crowd.where("key <> low and key <> high").select("key", "high").distinct().join(group("key"), "key", "left").join(group("high"), "high", "left")
     apart = apart.where(F.coalesce("key_group", "key") != F.coalesce("high_group", "high")).select(F.col("key").alias("a"), F.col("high").alias("b"))
-    more = compared(apart, few, shingle, similarity)
-    return components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    more = written(components(joined(label, compared(apart, few, shingle, similarity))), "groups")
+    rest = compared(across(crowd, more), few, shingle, similarity)
+    return components(joined(more, rest)) if rest.limit(1).count() else more
+
+
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges of found groups (node, component) and of links between them."""
+    return label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
+
+
+def across(crowd: DataFrame, label: DataFrame) -> DataFrame:
+    """(a, b) of all pairs of crowd(bucket, key) that share a bucket but, by label(node, component), no group; buckets of one group give none."""
+    held = crowd.select("bucket", "key").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    held = written(held.join(mixed, "bucket"), "mixed")
+    a, b = (held.select("bucket", F.col("key").alias(c), F.col("component").alias(f"{c}_group")) for c in "ab")
+    return a.join(b, "bucket").where("a < b and a_group <> b_group").select("a", "b")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

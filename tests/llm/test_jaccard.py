@@ -71,3 +71,18 @@ def test_different_texts_of_one_id_stay(spark):
     rows = [(1, "first text of this id with words of its own"), (1, "and quite another text that says something else"), (2, "first text of this id with words of its own"), (1, "first text of this id with words of its own")]
     out = survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((x.doc_id, x.text) for x in out) == sorted(set(rows[:2]))
+
+
+def test_no_link_of_a_crowd_around_the_threshold_is_left_out(spark):
+    r = random.Random(5)
+    base, rows = [f"w{i}" for i in range(105)], []
+    for i in range(200):
+        w = list(base)
+        first, *others = r.sample(range(10, 95), 3)
+        w[first] = f"x{i}"
+        for at in others:
+            v = list(w)
+            v[at] = f"y{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(v)))
+    out = survivors(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert [(False, d) for d in sorted(x.doc_id for x in out.collect())] == plain(rows)
