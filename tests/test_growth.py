@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.operators import enrich
-from tallyweave.plans import audit
+from tallyweave.plans import audit, reports
 from tallyweave.plans.queries import QUERIES
 from tallyweave.sources import sinks
 
@@ -64,3 +64,15 @@ def test_months_without_cover_are_not_joined(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(map(tuple, got), key=str) == sorted(((f"a{i}" if i else None, 7305 - 3, 240) for i in range(50)), key=str)
     assert sum(s[2] for s in found) < 2_000
+
+
+def test_completeness_makes_no_table_of_accounts_and_months(spark):
+    months = [f"{y}-{m:02d}-01" for y in (2000, 2001, 2002) for m in range(1, 13)]
+    place = ["'d' division", "'l' legal_entity", "'u' unit_name", "'Heat' kpi", "concat('a', id % 100) account_number"]
+    accounts = spark.range(101).selectExpr(*place, "if(id = 1, date'2000-02-10', null) effective_start", "cast(null as date) effective_end")
+    rows = spark.range(100).selectExpr(*place, "date'2000-01-31' start", "date'2000-02-10' end")
+    out = reports.completeness(accounts, rows, months)
+    got = {str(r["month"])[:7]: (r["covered_days"], r["expected_days"]) for r in out.collect()}
+    # account 0 stands twice, account 1 begins on the tenth of February
+    assert len(got) == 36 and got["2000-01"] == (100, 100 * 31) and got["2000-02"] == (100 * 10 + 1, 100 * 29 + 20) and got["2000-03"] == (0, 101 * 31)
+    assert sum(s[2] for s in run(spark, lambda: out)) < 1500
