@@ -75,4 +75,8 @@ def test_completeness_makes_no_table_of_accounts_and_months(spark):
     got = {str(r["month"])[:7]: (r["covered_days"], r["expected_days"]) for r in out.collect()}
     # account 0 stands twice, account 1 begins on the tenth of February
     assert len(got) == 36 and got["2000-01"] == (100, 100 * 31) and got["2000-02"] == (100 * 10 + 1, 100 * 29 + 20) and got["2000-03"] == (0, 101 * 31)
-    assert sum(s[2] for s in run(spark, lambda: out)) < 1500
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for accounts too many to send to every task
+    try:
+        assert sum(s[2] for s in run(spark, lambda: reports.completeness(accounts, rows, months))) < 1500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
