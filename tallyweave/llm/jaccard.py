@@ -3,12 +3,14 @@
 Two sets at a similarity of 0.8 differ in about a seventh of their fingerprints' bits. Anchors of the covering code reach one bit in
 32: with four independent parts they find most pairs from 0.95 on, and about a third at 0.8. MinHash bands find the rest: a pair at the least
 similarity shares no bucket with a probability of at most MISS. Texts meet first the one that stands for their part or bucket, then, where a
-bucket still holds several groups, another one of them. What of a bucket is then still in different groups meets in full, so no link between
-groups is left out; pairs within a group need none. Every candidate is verified by its exact similarity.
+bucket still holds several groups, another one of them. What of a bucket is then still in different groups meets in full, in blocks of texts,
+so no link between groups is left out; pairs within a group need none. Every candidate is verified by its exact similarity.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -29,6 +31,8 @@ ROWS = 6
 #: Tasks that one text's comparisons are dealt over.
 DEALS = 16
 CHUNK = 2048
+#: What the texts of a block of a bucket weigh, about, and what a text weighs beside its bytes.
+BLOCK, ROW = 2 << 20, 1 << 10
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -149,7 +153,7 @@ def classes(texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     apart = crowd.where("key <> low and key <> high").select("key", "high").distinct().join(group("key"), "key", "left").join(group("high"), "high", "left")
     apart = apart.where(F.coalesce("key_group", "key") != F.coalesce("high_group", "high")).select(F.col("key").alias("a"), F.col("high").alias("b"))
     more = written(components(joined(label, compared(apart, few, shingle, similarity))), "groups")
-    rest = compared(across(crowd, more), few, shingle, similarity)
+    rest = across(crowd, more, few, shingle, similarity)
     return components(joined(more, rest)) if rest.limit(1).count() else more
 
 
@@ -158,13 +162,54 @@ def joined(label: DataFrame, links: DataFrame) -> DataFrame:
     return label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
 
 
-def across(crowd: DataFrame, label: DataFrame) -> DataFrame:
-    """(a, b) of all pairs of crowd(bucket, key) that share a bucket but, by label(node, component), no group; buckets of one group give none."""
+def across(crowd: DataFrame, label: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between groups of label(node, component), of all pairs of crowd(bucket, key) that share a bucket but no group.
+
+    A bucket of several groups is cut into blocks, and each two of its blocks meet in one task: a text is a row for each block, and no pair is
+    a row. Of the links between two groups a task gives one; buckets of one group give none.
+    """
     held = crowd.select("bucket", "key").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    held = written(held.join(mixed, "bucket"), "mixed")
-    a, b = (held.select("bucket", F.col("key").alias(c), F.col("component").alias(f"{c}_group")) for c in "ab")
-    return a.join(b, "bucket").where("a < b and a_group <> b_group").select("a", "b")
+    held = held.join(texts.select("key", (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW).alias("weight")), "key")
+    blocks = F.least(F.count("*"), F.ceil(F.sum("weight") / BLOCK)).cast("int").alias("blocks")
+    mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), blocks).where("low <> high").select("bucket", "blocks")
+    held = written(held.join(mixed, "bucket").select("bucket", "key", "component", "blocks", F.expr("pmod(xxhash64(key), blocks)").alias("own")), "mixed")
+    rows = held.join(texts.select("key", "text"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "component", "text")
+
+    def each(batches):
+        out = []
+        rows = (x for b in batches for x in zip(*(b[c] for c in b.columns), strict=True))
+        for _, cell in groupby(rows, key=lambda x: x[:3]):
+            out += links(*zip(*cell, strict=True), shingle, similarity)
+            if len(out) >= CHUNK:
+                yield pd.DataFrame(out, columns=["a", "b"])
+                out = []
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return written(dealt.mapInPandas(each, "a binary, b binary"), "across")
+
+
+def links(bucket: tuple, i: tuple, j: tuple, own: tuple, key: tuple, component: tuple, text: tuple, shingle: int, similarity: float) -> list[tuple[bytes, bytes]]:
+    """Pairs of keys that join all groups with texts similar enough; in a cell of two blocks only texts of different ones meet.
+
+    Common shingles are counted over lists of the texts that hold each, so texts without a common shingle cost nothing.
+    """
+    ids, names, out = {}, {}, []
+    sets = [np.array([ids.setdefault(s, len(ids)) for s in shingles(t, shingle)]) for t in text]
+    size, own, group = np.array([len(s) for s in sets]), np.array(own), np.array([names.setdefault(c, len(names)) for c in component])
+    flat = np.concatenate(sets)
+    holders, many = np.repeat(np.arange(len(sets)), size)[np.argsort(flat, kind="stable")], np.bincount(flat)
+    begin = np.cumsum(many) - many
+    for x in np.flatnonzero(group != np.bincount(group).argmax()):  # two texts of the largest group need not meet
+        n = many[sets[x]]
+        both = np.bincount(holders[np.repeat(begin[sets[x]] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+        near = (both / (size[x] + size - both) >= similarity) & (group != group[x])
+        for y in np.flatnonzero(near if i[0] == j[0] else near & (own != own[x])):
+            if group[y] != group[x]:
+                out.append((key[x], key[y]))
+                group[group == group[y]] = group[x]
+    return out
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

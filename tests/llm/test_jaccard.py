@@ -86,3 +86,30 @@ def test_no_link_of_a_crowd_around_the_threshold_is_left_out(spark):
             rows.append((len(rows), " ".join(v)))
     out = survivors(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert [(False, d) for d in sorted(x.doc_id for x in out.collect())] == plain(rows)
+
+
+def test_texts_of_a_bucket_that_stay_apart_are_no_row_a_pair(spark, monkeypatch):
+    from tallyweave.llm import jaccard as module
+
+    made, write = [], module.written
+
+    def counted(df, label):
+        out = write(df, label)
+        made.append(out.count())
+        return out
+
+    r = random.Random(6)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(300):  # most pairs are near 0.7, some at 0.8 or more
+        w = list(base)
+        for at in r.sample(range(6, 94, 6), 2):
+            w[at] = f"x{i}"
+        rows.append((i, " ".join(w)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join([*w[:-1], "end"])))
+    monkeypatch.setattr(module, "written", counted)
+    monkeypatch.setattr(module, "BLOCK", 100_000, raising=False)  # six blocks and more
+    out = survivors(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert [(False, d) for d in sorted(x.doc_id for x in out.collect())] == plain(rows)
+    bands, _ = module.bands_for(0.8, rows=module.ROWS)
+    assert max(made) <= bands * len(rows) < len(rows) ** 2 // 4
