@@ -80,3 +80,19 @@ def test_completeness_makes_no_table_of_accounts_and_months(spark):
         assert sum(s[2] for s in run(spark, lambda: reports.completeness(accounts, rows, months))) < 1500
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_with_the_same_keys_are_looked_up_once(spark):
+    n = 3000
+    rows = spark.range(n).selectExpr("concat('r', id) row_id", "concat('A', id % 5) account_number", "'U' unit_name", "'E' legal_entity", "'Heat' activity_group", "'x' mapping_status")
+    table = spark.range(4).selectExpr("id map_id", "concat('a', id) account_number", "if(id = 3, 'Cool', 'heat') activity_group", "'d' division", "cast(null as string) ocr_unit_name_list", "if(id = 0, 'e', '') ocr_legal_entity_name_list")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = enrich.mapping_cascade(rows, table)
+        found = run(spark, lambda: out)
+        got = {(x.account_number, x.mapping_status, x.mapping_method, x.mapped_id, x.n) for x in out.groupBy("account_number", "mapping_status", "mapping_method", "mapped_id").agg(F.count("*").alias("n")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    each = n // 5
+    assert got == {*((f"A{i}", "MAPPED", "ACCOUNT", i, each) for i in range(3)), ("A3", "CONFLICT", "ACCOUNT", None, each), ("A4", "MAPPED", "LEGAL_ENTITY_ALIAS", 0, each)}
+    assert sum(s[2] for s in found) < 1.2 * n
