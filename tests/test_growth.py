@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.operators import enrich
-from tallyweave.plans import audit, reports
+from tallyweave.plans import archive_v1, audit, reports
 from tallyweave.plans.queries import QUERIES
 from tallyweave.sources import sinks
 
@@ -96,3 +96,18 @@ def test_rows_with_the_same_keys_are_looked_up_once(spark):
     each = n // 5
     assert got == {*((f"A{i}", "MAPPED", "ACCOUNT", i, each) for i in range(3)), ("A3", "CONFLICT", "ACCOUNT", None, each), ("A4", "MAPPED", "LEGAL_ENTITY_ALIAS", 0, each)}
     assert sum(s[2] for s in found) < 1.2 * n
+
+
+def test_first_version_looks_rows_with_the_same_keys_up_once(spark):
+    n = 3000
+    rows = spark.range(n).selectExpr("concat('r', id) row_id", "if(id % 5 = 4, null, concat('A', id % 5)) account_number", "'U' unit_name", "if(id % 10 = 9, null, ' E') legal_entity")
+    table = spark.range(3).selectExpr("id mapping_id", "concat('a', id) account_number", "'' unit_name", "'e' legal_entity", "'Yes' active")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = archive_v1.best_mapping(rows, table)
+        found = run(spark, lambda: out)
+        got = {tuple(x) for x in out.groupBy("match_priority", "mapping_id", "same_priority_candidate_count", "mapping_needs_review").agg(F.count("*")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {*((1, i, 1, 0, 600) for i in range(3)), (3, 0, 3, 1, 900), (None, None, 0, 1, 300)}
+    assert sum(s[2] for s in found) < 1.2 * n
