@@ -111,3 +111,12 @@ def test_first_version_looks_rows_with_the_same_keys_up_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {*((1, i, 1, 0, 600) for i in range(3)), (3, 0, 3, 1, 900), (None, None, 0, 1, 300)}
     assert sum(s[2] for s in found) < 1.2 * n
+
+
+def test_issues_of_a_decision_log_are_made_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = run(spark, lambda: QUERIES["decision_versions"](spark, SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(s[2] for s in found) < 95_000
