@@ -85,7 +85,8 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     near = F.expr(f"case when i = -1 then home ^ 2147483648L else half ^ {_bit('i')} ^ {_bit('(s ^ i)')} end + side * 4294967296L")
     copies = flipped.select(near.alias("anchor"), F.col("fp").alias("b"))
     same = (homes["anchor"] == copies["anchor"]) & (homes["a"] < copies["b"]) & (F.bit_count(homes["a"].bitwiseXOR(copies["b"])) <= threshold)
-    pairs = homes.join(copies, same).select("a", "b")
+    # sized as if nothing was replicated, the replicas of a small table would be broadcast
+    pairs = homes.join(copies.hint("merge"), same).select("a", "b")
     return pairs.distinct()
 
 
@@ -99,7 +100,7 @@ def near_parts(parts: DataFrame) -> DataFrame:
     near = F.expr(f"case when i = -1 then home ^ 2147483648L else half ^ {_bit('i')} ^ {_bit('(s ^ i)')} end + part * 4294967296L")
     copies = flipped.select(near.alias("anchor"), F.col("half").alias("b"))
     same = (homes["anchor"] == copies["anchor"]) & (homes["a"] != copies["b"]) & (F.bit_count(homes["a"].bitwiseXOR(copies["b"])) <= 1)
-    return homes.join(copies, same).select("part", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return homes.join(copies.hint("merge"), same).select("part", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from tallyweave.llm.simhash import fingerprint, links, near_duplicates
+from tallyweave.llm.simhash import fingerprint, links, near_duplicates, near_parts
 
 
 def plain_fingerprint(text):
@@ -58,3 +58,11 @@ def test_no_link_is_lost_between_different_fingerprints(spark):
     found = {tuple(x) for x in links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()}
     want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
     assert found == want
+
+
+def test_replicas_are_not_broadcast(spark, tmp_path):
+    # sized by their files, where nothing is replicated yet, they would seem small
+    spark.range(1000).selectExpr("id * 7 fp", "0L part", "id half").write.parquet(f"{tmp_path}/fps")
+    fps = spark.read.parquet(f"{tmp_path}/fps")
+    for found in (links(fps), near_parts(fps)):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
