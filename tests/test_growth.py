@@ -120,3 +120,16 @@ def test_issues_of_a_decision_log_are_made_once(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum(s[2] for s in found) < 95_000
+
+
+def test_exploded_lookup_rows_are_not_broadcast(spark):
+    # a supplier is some 500 lookup rows, but no more than itself by the size of its file
+    for name in ("specificity_lookup", "contract_issues"):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line and "_tw_key" in line]
+        assert joins and all("strategy=merge" in line for line in joins)
+    rows = spark.range(9).selectExpr("concat('r', id) row_id", "concat('k', id) key", "concat('a', id) account_number", "'Steam' activity_group")
+    lookup = spark.range(9).selectExpr("id lookup_id", "array(concat('K', id)) keys", "if(id % 2 = 0, concat('a', id), '') account_number", "'' activity_group", "id * 2 v")
+    out = enrich.specific_lookup(rows, lookup.where("account_number <> ''"), ["v"])
+    assert {r["row_id"]: r["v"] for r in out.collect()} == {f"r{i}": 2 * i if i % 2 == 0 else None for i in range(9)}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
