@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import dates, text
 from tallyweave.operators import lineage, manual, periods, rollup, silver
-from tallyweave.plans import missing, reports, scope
+from tallyweave.plans import audit, missing, reports, scope
 
 D = dt.date
 
@@ -68,6 +68,15 @@ def test_cases_are_scoped_by_month_or_by_period(spark):
     assert scope.scoped(cases, issue=None, month="2023-01").count() == 2
 
 
+def test_cases_that_share_an_id_are_scoped_apart(spark):
+    cases = spark.createDataFrame([(audit.MAPPING, "2024-01", p) for p in ("p553003", "p1108055")], "issue string, month string, period_id string")
+    rows = spark.createDataFrame([(p, "f", "k", "a", p, None) for p in ("p553003", "p1108055")], "period_id string, facility string, kpi_component string, account string, source_file string, source_link string")
+    cases = scope.evidenced(cases, rows)
+    assert {x.case_id for x in cases.collect()} == {"A-facbdfb06c"}
+    found = scope.scoped_cases(cases, rows.where("period_id = 'p553003'"), [])
+    assert [x.period_id for x in scope.case_evidence(found, rows).collect()] == ["p553003"]
+
+
 def test_totals_of_every_level(spark):
     rows = spark.createDataFrame([("k", "a", "p1", 1.0), ("k", "b", "p2", None), ("m", "a", "p3", 2.0)], "kpi string, unit string, period_id string, allocated_kwh double")
     got = {(x.kpi, x.unit, x.level): x.kwh for x in scope.totals(rows, ["kpi", "unit"]).collect()}
