@@ -107,6 +107,7 @@ def compared(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     """The pairs (a, b) whose texts(key, text), each key once, are similar enough, each pair once."""
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
     pairs = pairs.withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(DEALS)))
+    texts = texts.hint("merge")  # near copies lie side by side in their files, which say little of what a broadcast of them would hold
     first = pairs.select("deal", "a").distinct().join(texts.withColumnRenamed("key", "a"), "a").select("deal", "a", F.lit(None).cast("binary").alias("b"), "text")
     rows = first.union(pairs.join(texts.withColumnRenamed("key", "b"), "b").select("deal", "a", "b", "text"))
 
@@ -173,7 +174,7 @@ def across(crowd: DataFrame, label: DataFrame, texts: DataFrame, shingle: int, s
     blocks = F.least(F.count("*"), F.ceil(F.sum("weight") / BLOCK)).cast("int").alias("blocks")
     mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), blocks).where("low <> high").select("bucket", "blocks")
     held = written(held.join(mixed, "bucket").select("bucket", "key", "component", "blocks", F.expr("pmod(xxhash64(key), blocks)").alias("own")), "mixed")
-    rows = held.join(texts.select("key", "text"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = held.join(texts.select("key", "text").hint("merge"), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "component", "text")
 
     def each(batches):

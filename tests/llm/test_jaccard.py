@@ -113,3 +113,16 @@ def test_texts_of_a_bucket_that_stay_apart_are_no_row_a_pair(spark, monkeypatch)
     assert [(False, d) for d in sorted(x.doc_id for x in out.collect())] == plain(rows)
     bands, _ = module.bands_for(0.8, rows=module.ROWS)
     assert max(made) <= bands * len(rows) < len(rows) ** 2 // 4
+
+
+def test_texts_are_not_broadcast(spark, tmp_path, monkeypatch):
+    # near copies take little room in their files, and much in a driver that broadcasts them
+    from tallyweave.llm import jaccard as module
+
+    spark.range(50).selectExpr("unhex(md5(cast(id as string))) key", "concat(repeat('a b c d e f g h i j k l ', 20), id) text").write.parquet(f"{tmp_path}/texts")
+    texts, plans = spark.read.parquet(f"{tmp_path}/texts"), []
+    pairs = texts.crossJoin(texts.selectExpr("key b")).where("key < b").selectExpr("key a", "b")
+    write = module.written
+    monkeypatch.setattr(module, "written", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, label))
+    assert module.compared(pairs, texts, 5, 0.8).count() == 50 * 49 // 2
+    assert "BroadcastHashJoin" not in plans[-1] and plans[-1].count("SortMergeJoin") == 2
