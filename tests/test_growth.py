@@ -133,3 +133,8 @@ def test_exploded_lookup_rows_are_not_broadcast(spark):
     out = enrich.specific_lookup(rows, lookup.where("account_number <> ''"), ["v"])
     assert {r["row_id"]: r["v"] for r in out.collect()} == {f"r{i}": 2 * i if i % 2 == 0 else None for i in range(9)}
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lineage_gathers_its_splits_once(spark):
+    plan = QUERIES["monthly_lineage"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1 and "collect_set(" not in plan
