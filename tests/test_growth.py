@@ -138,3 +138,9 @@ def test_exploded_lookup_rows_are_not_broadcast(spark):
 def test_lineage_gathers_its_splits_once(spark):
     plan = QUERIES["monthly_lineage"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list(") == 1 and "collect_set(" not in plan
+
+
+def test_report_cases_carry_what_they_show(spark):
+    # one aggregate by period, and one distinct of them for the months; nothing is joined back by period
+    plan = QUERIES["audit_report_cases"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "period_id" in line]
