@@ -52,6 +52,17 @@ def test_late_periods_change_what_their_neighbours_were_resolved_to(spark, tmp_p
     assert spark.read.parquet(path).count() == 34
 
 
+def test_late_batches_stage_one_batch_only(spark, tmp_path):
+    rows = [period(f"r{i}", D(2026, i, 1), D(2026, i, 20)) for i in range(1, 7)]
+    frame = lambda rows: spark.createDataFrame(rows, PERIOD)
+    path, staged = f"{tmp_path}/history", tmp_path / "staged"
+    ingest.begin_history(frame(rows[:2]), path, 8)
+    for n in (0, 1, 2):
+        ingest.arrive(frame(rows[n + 1 : n + 3]), n, path, str(staged), 8)  # the first of them has arrived before
+    assert {p.name for p in staged.iterdir()} == {"again", "rows"}
+    assert resolved(spark.read.parquet(path)) == resolved(periods.resolve_dates(frame(rows[:5])))
+
+
 def test_files_are_read_once_and_corrupt_ones_are_set_aside(spark, tmp_path):
     source, out = tmp_path / "in", f"{tmp_path}/out"
     source.mkdir()
