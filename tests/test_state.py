@@ -150,3 +150,13 @@ def test_dense_numbers_and_components(spark, spill):
     edges = [(i, i + 1) for i in range(300)] + [(1000, x) for x in range(1001, 1400)] + [(2000, 2000), (3001, 3000), (None, 5)]
     out = {x.node: x.component for x in graph.components(spark.createDataFrame(edges, "a int, b int"), spill).collect()}
     assert out == {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1400)} | {3000: 3000, 3001: 3000}
+
+
+def test_a_decision_log_is_kept_small(spark, tmp_path):
+    issues = spark.createDataFrame([(f"i{i}", "a", "1", "f", "v") for i in range(3)], "issue_id string, invoice_id string, line_id string, field_name string, ocr_value string")
+    path = f"{tmp_path}/log"
+    decision_log.append(spark, path, 1, decision_log.decisions(issues, F.lit(None), F.lit("APPROVED"), "2024-01-01"))
+    decision_log.compact(spark, path, 1)
+    files = list(tmp_path.rglob("part-*"))
+    assert files and all(".zstd." in p.name for p in files)
+    assert decision_log.state(spark, path).count() == 3
